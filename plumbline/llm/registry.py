@@ -6,15 +6,17 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import packing, token_counts
+from . import exact_topk, packing, permutation_index, token_counts
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op4_permutation_index": permutation_index.op4_permutation_index,
         "op5_token_counts": token_counts.op5_token_counts,
         "op6_packing": packing.op6_packing,
+        "op9_exact_topk": exact_topk.op9_exact_topk,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op9_exact_topk": exact_topk.OP9_SQL}

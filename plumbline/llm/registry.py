@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import exact_topk, packing, permutation_index, token_counts, warc
+from . import exact_topk, log_templates, packing, permutation_index, token_counts, warc
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -15,9 +15,10 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op4_permutation_index": permutation_index.op4_permutation_index,
         "op5_token_counts": token_counts.op5_token_counts,
         "op6_packing": packing.op6_packing,
+        "op8_log_templates": log_templates.op8_log_templates,
         "op9_exact_topk": exact_topk.op9_exact_topk,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op9_exact_topk": exact_topk.OP9_SQL}
+    return {"op8_log_templates": log_templates.OP8_SQL, "op9_exact_topk": exact_topk.OP9_SQL}

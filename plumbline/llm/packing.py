@@ -11,6 +11,7 @@ split over range partitions by doc_id.
 
 from __future__ import annotations
 
+import gc
 import re
 import zlib
 
@@ -25,15 +26,17 @@ from .token_counts import load_tokenizer
 
 LENGTH = 2048
 END_ID = 1
-MEMO = 400_000
+#: Entries of a worker's memo of encoded words, about 200 bytes each.
+MEMO = 1_000_000
 DIMS, BITS, BUCKETS, SEED = 4, 8, 1024, 7
-#: ASCII and the letters of Latin-1: lower-casing, composition and the pattern's classes are plain there.
+#: ASCII and the letters of Latin-1: lower-casing and composition are plain there.
 _PLAIN = re.compile(r"[\t\n\r\x0b\x0c\x20-\x7eÀ-ÖØ-öø-ÿ]*")
-_WORDS = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿ]+|[0-9]|[^\s0-9a-zß-öø-ÿ]+")
+#: Python splits at these, the tokenizer doesn't.
+_ODD = re.compile(r"[\x1c-\x1f]")
 
 
 class WordIds:
-    """Ids as little-endian 16-bit numbers. In plain texts words are encoded once each; other texts go to the tokenizer whole."""
+    """Ids as little-endian 16-bit numbers. The tokenizer drops white space and never joins across it, so words are encoded once each and kept."""
 
     def __init__(self, tokenizer, memo: int = MEMO):
         self.tokenizer, self.memo, self.known = tokenizer, memo, {}
@@ -42,20 +45,22 @@ class WordIds:
         return [np.array(e.ids, dtype="<u2").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
     def __call__(self, texts: list[str]) -> list[bytes]:
-        words = [_WORDS.findall(t.lower()) if "<|" not in t and _PLAIN.fullmatch(t) else None for t in texts]
-        missing = list(set().union(*(w for w in words if w)) - self.known.keys())
+        gc.disable()  # millions of strings are made here, and no cycles
+        try:
+            return self._encoded(texts)
+        finally:
+            gc.enable()
+
+    def _encoded(self, texts: list[str]) -> list[bytes]:
+        known = self.known
+        words = [[t] if _ODD.search(t) else (t.lower() if "<|" not in t and _PLAIN.fullmatch(t) else t).split() for t in texts]
+        got = [list(map(known.get, w)) for w in words]
+        missing = list({x for w, g in zip(words, got, strict=True) if None in g for x, y in zip(w, g, strict=True) if y is None})
         fresh = dict(zip(missing, self._raw(missing), strict=True))
-        room = self.memo - len(self.known)
-        if len(fresh) <= room:
-            self.known.update(fresh)
-            look = self.known.__getitem__
-        else:
-            for p in missing[: max(room, 0)]:
-                self.known[p] = fresh[p]
-            known = self.known
-            look = lambda p: known[p] if p in known else fresh[p]
-        whole = iter(self._raw([t for t, w in zip(texts, words, strict=True) if w is None]))
-        return [next(whole) if w is None else b"".join(map(look, w)) for w in words]
+        out = [b"".join(g) if None not in g else b"".join([fresh[x] if y is None else y for x, y in zip(w, g, strict=True)]) for w, g in zip(words, got, strict=True)]
+        room = self.memo - len(known)
+        known.update(fresh if len(fresh) <= room else {x: fresh[x] for x in missing[: max(room, 0)]})
+        return out
 
 
 def projection(seed: int = SEED) -> np.ndarray:

@@ -42,21 +42,45 @@ def _pivot_table(pivots: dict[int, np.ndarray], scale: int):
     return run
 
 
-def _scores(x: np.ndarray, q: np.ndarray, exact: bool) -> np.ndarray:
-    if exact:
+def _scores(x: np.ndarray, q: np.ndarray) -> np.ndarray:
+    if x.dtype != object:
         return np.rint(x @ q).astype(np.int64)
     own = [int(v) for v in q]
     return np.array([min(max(sum(int(a) * b for a, b in zip(row, own, strict=True)), -LONG - 1), LONG) for row in x], dtype=object)
 
 
-def top_k(q: np.ndarray, bound: np.ndarray, x: np.ndarray, ids: np.ndarray, k: int, exact: bool) -> tuple[np.ndarray, np.ndarray, int]:
+def narrow(x: np.ndarray, q: np.ndarray) -> np.dtype:
+    """The smallest type in which all products and sums of whole numbers are exact."""
+    most = np.abs(x).max() * np.abs(q).max() * x.shape[1]
+    return np.dtype(np.float32 if most < 2**24 else np.float64 if most < 2**53 else object)
+
+
+def steps_of(bound: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Rows in falling order of their bound, and for each the bound rounded up to one of 32,767 steps; -inf is left out."""
+    live = np.flatnonzero(bound > -np.inf)
+    if not len(live):
+        return live, bound[live]
+    low, high = float(bound[live].min()), float(bound[live].max())
+    width = (high - low) / 32_766 or 1.0
+    step = np.ceil((bound[live] - low) / width).astype(np.int16)
+    order = np.argsort(-step, kind="stable")  # a radix sort
+    return live[order], low + (step[order] + 1.0) * width
+
+
+def top_k(q: np.ndarray, bound: np.ndarray, x: np.ndarray, ids: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, int]:
     """Ids and scores of the k best rows of x (ids ascending), and how many were evaluated; rows of bound -inf are left out."""
-    order = np.argsort(-bound, kind="stable")[: np.count_nonzero(bound > -np.inf)]
+    order, most = steps_of(bound)
     best_ids, best, at, step = np.zeros(0, np.int64), np.zeros(0, np.int64), 0, FIRST
-    while at < len(order) and (len(best) < k or bound[order[at]] >= best[-1]):
+    while at < len(order) and (len(best) < k or most[at] >= best[-1]):
         rows = order[at : at + step]
-        at, step = at + len(rows), step * 2
-        best, best_ids = np.concatenate([best, _scores(x[rows], q, exact)]), np.concatenate([best_ids, ids[rows]])
+        at, step = at + len(rows), step * 8
+        scores = _scores(x[rows], q)
+        if len(best) == k:
+            rows, scores = rows[scores >= best[-1]], scores[scores >= best[-1]]
+        elif len(scores) > k:
+            least = np.partition(scores, len(scores) - k)[len(scores) - k]
+            rows, scores = rows[scores >= least], scores[scores >= least]
+        best, best_ids = np.concatenate([best, scores]), np.concatenate([best_ids, ids[rows]])
         keep = np.lexsort((best_ids, -best))[:k]
         best, best_ids = best[keep], best_ids[keep]
     return best_ids, best, at
@@ -72,16 +96,18 @@ def _search(k: int):
         pivots = len(rows.column("far")[0].values)
         fx, fq = (vectors.matrix(t.column("far"), pivots) if pivots else np.zeros((t.num_rows, 0)) for t in (rows, queries))
         ids, own = rows.column("vec_id").to_numpy(), queries.column("vec_id").to_numpy()
-        exact = np.abs(x).max() * np.abs(q).max() * dim < 2**53
-        nx, fx, out = (x * x).sum(1), np.ascontiguousarray(fx.T), []
+        nx, nq, kind = (x * x).sum(1), (q * q).sum(1), narrow(x, q)
+        x, q, fx, out = x.astype(kind), q.astype(kind), np.ascontiguousarray(fx.T, np.float32), []
+        least, gap = np.empty(len(x), np.float32), np.empty(len(x), np.float32)
         for i in range(len(q)):
-            least = np.zeros(len(x))
+            least[:] = 0
             for p in range(pivots):
-                np.maximum(least, np.abs(fx[p] - fq[i, p]), out=least)
-            most = (q[i] @ q[i] + nx - least * least) / 2
-            most += 1e-9 * (q[i] @ q[i] + nx) + 1  # beyond the rounding of the distances
+                np.subtract(fx[p], np.float32(fq[i, p]), out=gap)
+                np.maximum(least, np.abs(gap, out=gap), out=least)
+            most = (nq[i] + nx - least.astype(np.float64) ** 2) / 2
+            most += 1e-4 * (nq[i] + nx) + 1  # beyond the rounding of the distances
             most[ids == own[i]] = -np.inf
-            found, scores, _ = top_k(q[i], most, x, ids, k, exact)
+            found, scores, _ = top_k(q[i], most, x, ids, k)
             out.append((own[i], found, scores))
         return vectors.found_table(out, pa.int64())
 

@@ -6,17 +6,19 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import exact_topk, log_templates, packing, permutation_index, token_counts, warc
+from . import exact_topk, kneser_ney, log_templates, ngram_jaccard, packing, permutation_index, token_counts, warc
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_ngram_jaccard": ngram_jaccard.op1_ngram_jaccard,
         "op3_warc": warc.op3_warc,
         "op4_permutation_index": permutation_index.op4_permutation_index,
         "op5_token_counts": token_counts.op5_token_counts,
         "op6_packing": packing.op6_packing,
         "op8_log_templates": log_templates.op8_log_templates,
         "op9_exact_topk": exact_topk.op9_exact_topk,
+        "op10_kneser_ney": kneser_ney.op10_kneser_ney,
     }
 
 

@@ -99,7 +99,8 @@ def write_archives(pages: DataFrame, path: str, *, id_col: str = "page_id", url_
     spark = pages.sparkSession
     common.arrow_batches(spark)
     own = pages.select(F.col(id_col).cast("long").alias("page_id"), F.col(url_col).cast("string").alias("url"), F.col(html_col).cast("string").alias("html"))
-    some = own.orderBy(F.xxhash64("page_id"), "page_id").select(F.substring(F.coalesce("html", F.lit("")), 1, SAMPLE_BYTES).alias("html"), "url").limit(SAMPLES).collect()
+    chosen = [r["page_id"] for r in own.where("page_id is not null").select("page_id").orderBy(F.xxhash64("page_id"), "page_id").limit(SAMPLES).collect()]  # ids alone: every task sends its own smallest
+    some = own.where(F.col("page_id").isin(chosen)).select(F.substring(F.coalesce("html", F.lit("")), 1, SAMPLE_BYTES).alias("html"), "url").limit(SAMPLES).collect() if chosen else []
     dictionary = train([record(0, r["url"], r["html"].encode(), "", None, False) for r in some])
     frames = with_first(own, least).mapInArrow(_frames(dictionary), "frame binary")
     frames.select(F.col("frame").cast("string")).write.option("lineSep", BETWEEN.decode("ascii")).text(path)

@@ -46,10 +46,10 @@ def drop_scratch(spark: SparkSession, df: DataFrame) -> None:
         path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
-def arrow_batches(spark: SparkSession) -> None:
+def arrow_batches(spark: SparkSession, megabytes: int = 8) -> None:
     """Bounds what Spark sends to a Python worker at once, so that batches of long texts stay small."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "4096")
-    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(8 << 20))
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(megabytes << 9))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(megabytes << 20))
 
 
 def ids_and_text(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

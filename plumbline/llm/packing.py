@@ -11,12 +11,12 @@ split over range partitions by doc_id.
 
 from __future__ import annotations
 
-import gc
 import re
 import zlib
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -31,36 +31,47 @@ MEMO = 1_000_000
 DIMS, BITS, BUCKETS, SEED = 4, 8, 1024, 7
 #: ASCII and the letters of Latin-1: lower-casing and composition are plain there.
 _PLAIN = re.compile(r"[\t\n\r\x0b\x0c\x20-\x7eÀ-ÖØ-öø-ÿ]*")
-#: Python splits at these, the tokenizer doesn't.
-_ODD = re.compile(r"[\x1c-\x1f]")
+#: A comma or stop at a word's end that is part of a longer run of symbols.
+_RUN = re.compile(r"[^\s0-9a-zß-öø-ÿ][.,][ \n]")
+
+
+def prepared(text: str) -> str:
+    """A text of the same ids whose words repeat more often: in small letters and with commas and stops set off, where that is safe."""
+    if "<|" in text or not _PLAIN.fullmatch(text):
+        return text
+    low = text.lower()
+    if _RUN.search(low):
+        return low
+    for mark in (", ", ". ", ",\n", ".\n"):
+        low = low.replace(mark, " " + mark)
+    return low
 
 
 class WordIds:
-    """Ids as little-endian 16-bit numbers. The tokenizer drops white space and never joins across it, so words are encoded once each and kept."""
+    """Ids of a batch of texts. The tokenizer drops white space and never joins across it, so each distinct word of a batch is looked up once, and encoded once by a worker."""
 
     def __init__(self, tokenizer, memo: int = MEMO):
         self.tokenizer, self.memo, self.known = tokenizer, memo, {}
 
-    def _raw(self, texts: list[str]) -> list[bytes]:
-        return [np.array(e.ids, dtype="<u2").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
-
-    def __call__(self, texts: list[str]) -> list[bytes]:
-        gc.disable()  # millions of strings are made here, and no cycles
-        try:
-            return self._encoded(texts)
-        finally:
-            gc.enable()
-
-    def _encoded(self, texts: list[str]) -> list[bytes]:
-        known = self.known
-        words = [[t] if _ODD.search(t) else (t.lower() if "<|" not in t and _PLAIN.fullmatch(t) else t).split() for t in texts]
-        got = [list(map(known.get, w)) for w in words]
-        missing = list({x for w, g in zip(words, got, strict=True) if None in g for x, y in zip(w, g, strict=True) if y is None})
-        fresh = dict(zip(missing, self._raw(missing), strict=True))
-        out = [b"".join(g) if None not in g else b"".join([fresh[x] if y is None else y for x, y in zip(w, g, strict=True)]) for w, g in zip(words, got, strict=True)]
+    def __call__(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """All ids in a row, and where each text's begin (one more entry: the end)."""
+        cut = pc.ascii_split_whitespace(pa.array(list(map(prepared, texts)), pa.large_string()))
+        coded = cut.flatten().dictionary_encode()
+        words, known = coded.dictionary.to_pylist(), self.known
+        got = list(map(known.get, words))
+        missing = [w for w, g in zip(words, got, strict=True) if g is None]
+        fresh = {w: np.array(e.ids, dtype="<u2").tobytes() for w, e in zip(missing, self.tokenizer.encode_batch_fast(missing, add_special_tokens=False), strict=True)}
+        got = [fresh[w] if g is None else g for w, g in zip(words, got, strict=True)]
         room = self.memo - len(known)
-        known.update(fresh if len(fresh) <= room else {x: fresh[x] for x in missing[: max(room, 0)]})
-        return out
+        known.update(fresh if len(fresh) <= room else {w: fresh[w] for w in missing[: max(room, 0)]})
+        flat, sizes = np.frombuffer(b"".join(got), "<u2"), np.array([len(g) // 2 for g in got], np.int64)
+        codes = coded.indices.to_numpy()
+        each = sizes[codes]
+        ends = np.cumsum(each)
+        first = (np.cumsum(sizes) - sizes)[codes]
+        ids = flat[np.repeat(first - (ends - each), each) + np.arange(ends[-1])] if len(ends) and ends[-1] else flat[:0]
+        begin = np.r_[0, ends][cut.offsets.to_numpy() - cut.offsets[0].as_py()]
+        return ids, begin
 
 
 def projection(seed: int = SEED) -> np.ndarray:
@@ -105,10 +116,12 @@ def hilbert(at: np.ndarray, bits: int = BITS) -> np.ndarray:
 
 def _encoded(tokenizer_path: str, end_id: int, memo: int):
     def run(batches):
-        words, plane, end = WordIds(load_tokenizer(tokenizer_path), memo), projection(), np.array([end_id], "<u2").tobytes()
+        words, plane, end = WordIds(load_tokenizer(tokenizer_path), memo), projection(), np.array([end_id], "<u2")
         for batch in batches:
-            raw = [x + end for x in words(batch.column("text").to_pylist())]
-            key = hilbert(points([np.frombuffer(x, "<u2") for x in raw], plane)) if raw else np.zeros(0, np.int64)
+            ids, begin = words(batch.column("text").to_pylist())
+            own = [np.concatenate([ids[a:b], end]) for a, b in zip(begin[:-1], begin[1:], strict=True)]
+            raw = [x.tobytes() for x in own]
+            key = hilbert(points(own, plane)) if own else np.zeros(0, np.int64)
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(key, pa.int64()), pa.array([len(x) // 2 for x in raw], pa.int64()), pa.array(raw, pa.binary())], ["doc_id", "curve_key", "doc_tokens", "ids"])
 
     return run
@@ -140,7 +153,7 @@ def _cut(base: dict[int, int], length: int):
 
 def laid_out(df: DataFrame, tokenizer_path: str, *, id_col: str = "doc_id", text_col: str = "text", end_id: int = END_ID, memo: int = MEMO) -> DataFrame:
     """A stored table of documents in curve order: doc_id, curve_key, doc_tokens, ids (16-bit), part, first (place in its part)."""
-    common.arrow_batches(df.sparkSession)
+    common.arrow_batches(df.sparkSession, 24)  # larger batches repeat more of their words
     encoded = common.stored(common.ids_and_text(df, id_col, text_col).mapInArrow(_encoded(tokenizer_path, end_id, memo), "doc_id long, curve_key long, doc_tokens long, ids binary"), "pack-ids")
     ranged = encoded.repartitionByRange("curve_key", "doc_id").sortWithinPartitions("curve_key", "doc_id")
     laid = common.stored(ranged.mapInArrow(_laid, "doc_id long, curve_key long, doc_tokens long, ids binary, part int, first long"), "pack-laid")

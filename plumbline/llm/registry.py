@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import exact_topk, kneser_ney, log_templates, ngram_jaccard, packing, permutation_index, token_counts, warc
+from . import exact_topk, kneser_ney, log_templates, ngram_jaccard, packing, permutation_index, surrogates, token_counts, warc
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -16,6 +16,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op4_permutation_index": permutation_index.op4_permutation_index,
         "op5_token_counts": token_counts.op5_token_counts,
         "op6_packing": packing.op6_packing,
+        "op7_surrogates": surrogates.op7_surrogates,
         "op8_log_templates": log_templates.op8_log_templates,
         "op9_exact_topk": exact_topk.op9_exact_topk,
         "op10_kneser_ney": kneser_ney.op10_kneser_ney,

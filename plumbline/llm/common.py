@@ -56,13 +56,18 @@ def ids_and_text(df: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     return df.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
 
 
+def hot_rows(total: int, share: int = 1000) -> int:
+    """Rows from which a key is hot among `total`."""
+    return max(1000, -(-total // share))
+
+
 def hot_split(df: DataFrame, counts: DataFrame, keys: list[str], payload: list[str], total: int, share: int = 1000) -> DataFrame:
     """df left-joined to counts (one row per key, with its number of rows `rows`) without a hot key in any task.
 
     A key that holds at least 1/share of all rows, and at least 1000, is hot; there are at most `share`
     such keys, which bounds the broadcast. The others meet in an ordinary shuffled join.
     """
-    least = max(1000, -(-total // share))
+    least = hot_rows(total, share)
     hot = F.broadcast(counts.where(F.col("rows") >= least).select(*keys, *[F.col(c).alias(f"hot_{c}") for c in payload], F.lit(True).alias("is_hot")))
     tagged = df.join(hot, keys, "left")
     cold = tagged.where("is_hot is null").drop("is_hot", *[f"hot_{c}" for c in payload]).join(counts.where(F.col("rows") < least).select(*keys, *payload), keys, "left")

@@ -1,6 +1,6 @@
 """Line dedup by a log-template tree, in DataFrame functions only.
 
-A line's tokens are its words between blanks. Tokens with a digit, an @ or :// are variable from the start and
+A line's tokens are its words between blanks. Tokens with a digit, an @ or a slash are variable from the start and
 become <*>. The tree has a fixed depth: a line's leaf is its number of tokens and its `depth` leading tokens.
 In a leaf that holds different lines, a token that stands at its place in lines of at least two documents is a
 constant and any other a variable field; lines with the same constants and fields share a template, if
@@ -31,9 +31,10 @@ BROADCAST_LEAVES = 500_000
 
 
 def masked(line: Column) -> Column:
-    """Tokens with single blanks between them, variable ones as <*>."""
-    tidy = F.when(line.rlike(r"[\t\r\x0b\f]|  |^ | $"), F.btrim(F.regexp_replace(line, r"[ \t\r\x0b\f]+", " "))).otherwise(line)
-    return F.when(tidy.rlike("[0-9@]|://"), F.regexp_replace(tidy, "[^ ]*(?:[0-9@]|://)[^ ]*", "<*>")).otherwise(tidy)
+    """Tokens with single blanks between them, variable ones as <*>. Regular expressions only see the lines that need them."""
+    odd = F.contains(line, F.lit("  ")) | F.contains(line, F.lit("\t")) | F.contains(line, F.lit("\r")) | F.contains(line, F.lit("\v")) | F.contains(line, F.lit("\f"))
+    tidy = F.when(odd | F.startswith(line, F.lit(" ")) | F.endswith(line, F.lit(" ")), F.btrim(F.regexp_replace(line, r"[ \t\r\x0b\f]+", " "))).otherwise(line)
+    return F.when(line.rlike("[0-9@/]"), F.regexp_replace(tidy, "[^ ]*[0-9@/][^ ]*", "<*>")).otherwise(tidy)
 
 
 def tokens_in(text: Column) -> Column:
@@ -43,8 +44,9 @@ def tokens_in(text: Column) -> Column:
 def lines_of(df: DataFrame, id_col: str, text_col: str, depth: int, min_tokens: int) -> DataFrame:
     """doc_id, row_key, at, n, leaf, line, form: the lines that may be dropped; form is the masked text."""
     d = df.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).where("text is not null")
-    d = d.select("doc_id", F.xxhash64("doc_id", "text").alias("row_key"), F.posexplode(F.split("text", "\n")).alias("at", "raw"))
-    d = d.withColumn("form", masked(F.col("raw"))).where("form <> ''").withColumn("n", tokens_in(F.col("form"))).where(F.col("n") >= min_tokens)
+    # per document first: above the explosion its key and text would be computed and kept for every line
+    d = d.select("doc_id", F.xxhash64("doc_id", "text").alias("row_key"), F.transform(F.transform(F.split("text", "\n"), masked), lambda f: F.struct(f.alias("form"), tokens_in(f).alias("n"))).alias("lines"))
+    d = d.select("doc_id", "row_key", F.posexplode("lines").alias("at", "own")).select("doc_id", "row_key", "at", "own.form", "own.n").where(F.col("form") != "").where(F.col("n") >= min_tokens)
     fields = (F.length("form") - F.length(F.replace("form", F.lit("<*>"), F.lit("")))) / 3
     return d.select("doc_id", "row_key", "at", "n", F.xxhash64("n", F.substring_index("form", " ", depth)).alias("leaf"), F.xxhash64("form").alias("line"), (F.col("n") - fields).alias("fixed"), "form")
 
@@ -73,17 +75,19 @@ def dropped_lines(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "tex
     with_form = lines_of(df, id_col, text_col, depth, min_tokens)
     lines = common.stored(with_form.drop("form"), "lines")
     found = common.stored(templates(lines, with_form, constant_share), "templates")
-    # lines by (leaf, line): a hot line is one row of `found`, met through its share of all lines
-    per_line = lines.groupBy("leaf", "line").agg(F.count(F.lit(1)).alias("rows")).join(found, ["leaf", "line"])
     total = lines.count()
+    # hot lines are listed too where they have no template, so that they leave the shuffled join
+    per_line = lines.groupBy("leaf", "line").agg(F.count(F.lit(1)).alias("rows")).join(found, ["leaf", "line"], "left").where(F.col("template").isNotNull() | (F.col("rows") >= common.hot_rows(total)))
+    per_line = common.stored(per_line, "line-templates")
     named = common.hot_split(lines, per_line, ["leaf", "line"], ["template"], total).withColumn("general", F.col("template").isNotNull())
     named = named.where(F.col("general") | (F.col("fixed") >= constant_share * F.col("n"))).withColumn("template", F.coalesce("template", F.xxhash64("leaf", "line")))
     named = common.stored(named.select("doc_id", "row_key", "at", "n", "template"), "named-lines")
     first = F.min(F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "row_key"))
     docs = named.groupBy("template", "row_key").agg(F.min("doc_id").alias("doc_id"), F.max("n").alias("n"), F.count(F.lit(1)).alias("rows"))
     recurring = docs.groupBy("template").agg(first.alias("first"), F.max("n").alias("n"), F.count(F.lit(1)).alias("docs"), F.sum("rows").alias("rows"))
-    recurring = recurring.where(F.col("docs") >= F.when(F.col("n") >= long_tokens, min_docs).otherwise(short_docs))
-    recurring = common.stored(recurring.select("template", "rows", F.col("first.row_key").alias("keeper")), "recurring")
+    often = F.col("docs") >= F.when(F.col("n") >= long_tokens, min_docs).otherwise(short_docs)
+    recurring = recurring.select("template", "rows", F.when(often, F.col("first.row_key")).alias("keeper"))
+    recurring = common.stored(recurring.where(F.col("keeper").isNotNull() | (F.col("rows") >= common.hot_rows(total))), "recurring")
     hit = common.hot_split(named, recurring, ["template"], ["keeper"], total)
     return hit.where("keeper is not null and keeper <> row_key").select("row_key", "at")
 
@@ -115,7 +119,7 @@ raw AS (
 ), tidy AS (
   SELECT doc_id, row_key, line_no, CASE WHEN regexp_matches(line, '[\t\r\x0b\f]|  |^ | $') THEN trim(regexp_replace(line, '{blanks}+', ' ', 'g')) ELSE line END AS line FROM raw
 ), formed AS (
-  SELECT doc_id, row_key, line_no, CASE WHEN regexp_matches(line, '[0-9@]|://') THEN regexp_replace(line, '[^ ]*(?:[0-9@]|://)[^ ]*', '<*>', 'g') ELSE line END AS form FROM tidy
+  SELECT doc_id, row_key, line_no, CASE WHEN regexp_matches(line, '[0-9@/]') THEN regexp_replace(line, '[^ ]*[0-9@/][^ ]*', '<*>', 'g') ELSE line END AS form FROM tidy
 ), lines AS (
   SELECT *, string_split(form, ' ') AS words, len(string_split(form, ' ')) AS n FROM formed WHERE form <> '' AND len(string_split(form, ' ')) >= {MIN_TOKENS}
 ), leafed AS (

@@ -31,19 +31,30 @@ def scratch_path(spark: SparkSession, label: str) -> str:
     return f"{shared_dir(spark)}/plumbline/{label}-{uuid.uuid4().hex}"
 
 
+#: Scratch folders that this process has made and not yet removed.
+made: list[str] = []
+
+
+def remove(spark: SparkSession, folder: str) -> None:
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+    if folder in made:
+        made.remove(folder)
+
+
 def stored(df: DataFrame, label: str) -> DataFrame:
     """Writes df as a Parquet table in the shared folder and reads it again: cuts lineage, survives lost executors."""
     path = scratch_path(df.sparkSession, label)
+    made.append(path)
     df.write.option("compression", "zstd").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def drop_scratch(spark: SparkSession, df: DataFrame) -> None:
     """Removes the files of a stored() table that no one reads any more."""
-    jvm = spark.sparkContext._jvm
-    for folder in {x.rpartition("/")[0] for x in df.inputFiles()}:
-        path = jvm.org.apache.hadoop.fs.Path(folder)
-        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+    own = {x.rpartition("/")[0].rpartition("/")[2] for x in df.inputFiles()}
+    for folder in [x for x in made if x.rpartition("/")[2] in own]:
+        remove(spark, folder)
 
 
 def arrow_batches(spark: SparkSession, megabytes: int = 8) -> None:

@@ -13,6 +13,7 @@ from __future__ import annotations
 
 import re
 import zlib
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -31,20 +32,9 @@ MEMO = 1_000_000
 DIMS, BITS, BUCKETS, SEED = 4, 8, 1024, 7
 #: ASCII and the letters of Latin-1: lower-casing and composition are plain there.
 _PLAIN = re.compile(r"[\t\n\r\x0b\x0c\x20-\x7eÀ-ÖØ-öø-ÿ]*")
-#: A comma or stop at a word's end that is part of a longer run of symbols.
-_RUN = re.compile(r"[^\s0-9a-zß-öø-ÿ][.,][ \n]")
-
-
-def prepared(text: str) -> str:
-    """A text of the same ids whose words repeat more often: in small letters and with commas and stops set off, where that is safe."""
-    if "<|" in text or not _PLAIN.fullmatch(text):
-        return text
-    low = text.lower()
-    if _RUN.search(low):
-        return low
-    for mark in (", ", ". ", ",\n", ".\n"):
-        low = low.replace(mark, " " + mark)
-    return low
+#: Letters, then perhaps ASCII symbols: two pre-tokens at most, and the first ends in the one id that ends a word.
+_LETTERS = re.compile(r"([a-zß-öø-ÿ]+)([!-/:-@\[-^`{-~]*)")
+JOINED = 256
 
 
 class WordIds:
@@ -52,18 +42,49 @@ class WordIds:
 
     def __init__(self, tokenizer, memo: int = MEMO):
         self.tokenizer, self.memo, self.known = tokenizer, memo, {}
+        self.ends = np.zeros(1 << 16, bool)
+        for token, i in tokenizer.get_vocab().items():
+            self.ends[i] = token.endswith("</w>")
+
+    def _one_by_one(self, words: list[str]) -> dict[str, bytes]:
+        return {w: np.array(e.ids, dtype="<u2").tobytes() for w, e in zip(words, self.tokenizer.encode_batch_fast(words, add_special_tokens=False), strict=True)}
+
+    def _letters(self, words: list[str]) -> dict[str, bytes]:
+        """Words of letters, many in one text: each ends with its only id that ends a word."""
+        out = {}
+        groups = [words[i : i + JOINED] for i in range(0, len(words), JOINED)]
+        for own, e in zip(groups, self.tokenizer.encode_batch_fast([" ".join(g) for g in groups], add_special_tokens=False), strict=True):
+            ids = np.array(e.ids, dtype="<u2")
+            cut = (np.flatnonzero(self.ends[ids]) + 1).tolist()
+            if len(cut) != len(own) or cut[-1] != len(ids):
+                out |= self._one_by_one(own)
+                continue
+            raw, at = ids.tobytes(), 0
+            for w, end in zip(own, cut, strict=True):
+                out[w], at = raw[2 * at : 2 * end], end
+        return out
+
+    def _fresh(self, missing: list[str]) -> dict[str, bytes]:
+        """Ids of words met first; letters and the symbols after them are encoded apart."""
+        known, match = self.known, _LETTERS.fullmatch
+        parts = {w: m.groups() for w in missing if (m := match(w))}
+        letters = self._letters(list({a for a, _ in parts.values()} - known.keys()))
+        rest = self._one_by_one(list({b for _, b in parts.values() if b} - known.keys()) + [w for w in missing if w not in parts])
+        look = lambda w: letters.get(w) or rest.get(w) or known[w]
+        return letters | rest | {w: look(a) + look(b) if b else look(a) for w, (a, b) in parts.items()}
 
     def __call__(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """All ids in a row, and where each text's begin (one more entry: the end)."""
-        cut = pc.ascii_split_whitespace(pa.array(list(map(prepared, texts)), pa.large_string()))
+        plain = [t.lower() if "<|" not in t and _PLAIN.fullmatch(t) else t for t in texts]
+        cut = pc.ascii_split_whitespace(pa.array(plain, pa.large_string()))
         coded = cut.flatten().dictionary_encode()
         words, known = coded.dictionary.to_pylist(), self.known
         got = list(map(known.get, words))
         missing = [w for w, g in zip(words, got, strict=True) if g is None]
-        fresh = {w: np.array(e.ids, dtype="<u2").tobytes() for w, e in zip(missing, self.tokenizer.encode_batch_fast(missing, add_special_tokens=False), strict=True)}
+        fresh = self._fresh(missing)
         got = [fresh[w] if g is None else g for w, g in zip(words, got, strict=True)]
         room = self.memo - len(known)
-        known.update(fresh if len(fresh) <= room else {w: fresh[w] for w in missing[: max(room, 0)]})
+        known.update(fresh if len(fresh) <= room else dict(islice(fresh.items(), max(room, 0))))
         flat, sizes = np.frombuffer(b"".join(got), "<u2"), np.array([len(g) // 2 for g in got], np.int64)
         codes = coded.indices.to_numpy()
         each = sizes[codes]

@@ -31,14 +31,19 @@ BROADCAST_LEAVES = 500_000
 
 
 def masked(line: Column) -> Column:
-    """Tokens with single blanks between them, variable ones as <*>. Regular expressions only see the lines that need them."""
-    odd = F.contains(line, F.lit("  ")) | F.contains(line, F.lit("\t")) | F.contains(line, F.lit("\r")) | F.contains(line, F.lit("\v")) | F.contains(line, F.lit("\f"))
-    tidy = F.when(odd | F.startswith(line, F.lit(" ")) | F.endswith(line, F.lit(" ")), F.btrim(F.regexp_replace(line, r"[ \t\r\x0b\f]+", " "))).otherwise(line)
-    return F.when(line.rlike("[0-9@/]"), F.regexp_replace(tidy, "[^ ]*[0-9@/][^ ]*", "<*>")).otherwise(tidy)
+    """Tokens with single blanks between them, variable ones as <*>. One look at a class of characters tells lines that need more."""
+    tidy = F.btrim(F.regexp_replace(line, r"[ \t\r\x0b\f]+", " "))
+    plain = F.when(F.contains(line, F.lit("  ")) | F.startswith(line, F.lit(" ")) | F.endswith(line, F.lit(" ")), tidy).otherwise(line)
+    return F.when(line.rlike(r"[0-9@/\t\r\x0b\f]"), F.regexp_replace(tidy, "[^ ]*[0-9@/][^ ]*", "<*>")).otherwise(plain)
+
+
+def removed(text: Column, what: str) -> Column:
+    """Bytes of `what` in text."""
+    return F.octet_length(text) - F.octet_length(F.replace(text, F.lit(what), F.lit("")))
 
 
 def tokens_in(text: Column) -> Column:
-    return F.length(text) - F.length(F.replace(text, F.lit(" "), F.lit(""))) + 1
+    return removed(text, " ") + 1
 
 
 def lines_of(df: DataFrame, id_col: str, text_col: str, depth: int, min_tokens: int) -> DataFrame:
@@ -47,7 +52,7 @@ def lines_of(df: DataFrame, id_col: str, text_col: str, depth: int, min_tokens:
     # per document first: above the explosion its key and text would be computed and kept for every line
     d = d.select("doc_id", F.xxhash64("doc_id", "text").alias("row_key"), F.transform(F.transform(F.split("text", "\n"), masked), lambda f: F.struct(f.alias("form"), tokens_in(f).alias("n"))).alias("lines"))
     d = d.select("doc_id", "row_key", F.posexplode("lines").alias("at", "own")).select("doc_id", "row_key", "at", "own.form", "own.n").where(F.col("form") != "").where(F.col("n") >= min_tokens)
-    fields = (F.length("form") - F.length(F.replace("form", F.lit("<*>"), F.lit("")))) / 3
+    fields = F.when(F.contains("form", F.lit("<*>")), removed(F.col("form"), "<*>") / 3).otherwise(0)
     return d.select("doc_id", "row_key", "at", "n", F.xxhash64("n", F.substring_index("form", " ", depth)).alias("leaf"), F.xxhash64("form").alias("line"), (F.col("n") - fields).alias("fixed"), "form")
 
 

@@ -1,0 +1 @@
+"""Column expressions and driver-side value rules shared by the operators."""

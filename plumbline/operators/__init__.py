@@ -1,0 +1 @@
+"""Operators over DataFrames: execution, contracts, comparison, scoring, lineage graphs, routing, provenance, memory."""

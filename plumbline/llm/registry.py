@@ -6,12 +6,13 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import exact_topk, kneser_ney, log_templates, ngram_jaccard, packing, permutation_index, surrogates, token_counts, warc
+from . import exact_topk, kneser_ney, log_templates, ngram_jaccard, packing, permutation_index, piece_lattice, surrogates, token_counts, warc
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_ngram_jaccard": ngram_jaccard.op1_ngram_jaccard,
+        "op2_piece_lattice": piece_lattice.op2_piece_lattice,
         "op3_warc": warc.op3_warc,
         "op4_permutation_index": permutation_index.op4_permutation_index,
         "op5_token_counts": token_counts.op5_token_counts,

@@ -8,12 +8,12 @@ those combinations; counting shared tokens finds these pairs without writing the
 
 Tokens of at most `rare` classes are indexed singly: their lists give pairs with the number of shared tokens.
 Tokens of longer lists are the frequent class. They only lower the count that a pair needs by as many frequent
-tokens as both have. Classes whose frequent tokens alone could make up k go through the frequent lists: each list
-has leaders that all of it is verified against, and since the Jaccard distance is a metric, a member that is
-linked to a leader leaves the list unless an unlinked member may still be within reach, |d(l, y) - d(l, x)| <= 1/4.
-Rounds go on, with twice as many leaders each, until the lists are short and are paired directly. Candidates are
-verified on whole sets. So every link between different sets is found or implied by links found; components are
-those of all links.
+tokens as both have. Classes whose frequent tokens alone could make up k go through the frequent lists: all of a
+list is verified against its first class, the leader. What is linked to the leader is joined. What is not is
+compared, in blocks of bounded size, with the leader's other members, but for those linked to it that cannot be
+within reach: the Jaccard distance is a metric, so a link needs |d(l, y) - d(l, x)| <= 1/4. A block yields a forest of
+its links, not pairs. Candidates are verified on whole sets. So every link between different sets is found or
+implied by links found; components are those of all links.
 
 Defined results: null and empty texts have no shingles and are linked with nothing; texts of fewer than five words
 are one shingle; equal rows are in one component; null doc_ids take part and count as the largest. Extra
@@ -25,12 +25,14 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import common
 
 WORDS, PERCENT, RARE = 5, 75, 32
+#: Sets on each side of a block.
+BLOCK = 256
 MEMO = 500_000
 NULL_ID = (1 << 63) - 1
 #: Documents to verify up to which their ids (8 bytes each) are broadcast.
@@ -221,37 +223,66 @@ def _sizes_fit(percent: int, na: str = "na", nb: str = "nb") -> Column:
     return 100 * F.least(na, nb) >= percent * F.greatest(na, nb)
 
 
-def _frequent_links(lists: DataFrame, sets: DataFrame, percent: int, rare: int) -> list[DataFrame]:
-    """Verified pairs of the frequent lists (token, sig, n), round by round; their links join all that all links join."""
-    out, leaders = [], 1
+def _block_links(percent: int, columns: int = 4096):
+    """Links between the sets of two blocks, as a forest: pairs that are joined already need no look."""
+
+    def run(left: pa.Table, right: pa.Table) -> pa.Table:
+        sigs = np.concatenate([left.column("sig").to_numpy(), right.column("sig").to_numpy()])
+        own = [np.frombuffer(t.as_buffer(), np.int64) for t in [*left.column("tokens"), *right.column("tokens")]]
+        n = left.num_rows
+        sizes = np.array([len(x) for x in own])
+        _, token = np.unique(np.concatenate(own) if own else np.zeros(0, np.int64), return_inverse=True)
+        row = np.repeat(np.arange(len(own)), sizes)
+        both = np.zeros((n, len(own) - n), np.float32)
+        order = np.argsort(token, kind="stable")
+        token, row = token[order], row[order]
+        for low in range(0, int(token[-1]) + 1 if len(token) else 0, columns):  # so many tokens at a time
+            a, b = np.searchsorted(token, [low, low + columns])
+            x = np.zeros((len(own), columns), np.float32)
+            x[row[a:b], token[a:b] - low] = 1
+            both += x[:n] @ x[n:].T
+        linked = 100 * both >= percent * (sizes[:n, None] + sizes[None, n:] - both)
+        parent = {int(k): int(k) for k in sigs}
+
+        def root(k: int) -> int:
+            while parent[k] != k:
+                parent[k] = parent[parent[k]]
+                k = parent[k]
+            return k
+
+        out = []
+        for i, j in zip(*np.nonzero(linked), strict=True):
+            x, y = root(int(sigs[i])), root(int(sigs[n + j]))
+            if x != y:
+                parent[x] = y
+                out.append((int(sigs[i]), int(sigs[n + j])))
+        return pa.table([pa.array([o[0] for o in out], pa.int64()), pa.array([o[1] for o in out], pa.int64())], names=["a", "b"])
+
+    return run
+
+
+def _frequent_links(lists: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Links (a, b) of the frequent lists (token, sig, n) that join all that their links join."""
     reach = 1 - percent / 100
-    lists = common.stored(lists, "frequent")
-    while True:
-        size = lists.groupBy("token").agg(F.count(F.lit(1)).alias("m")).where("m > 1")
-        longest = size.agg(F.max("m")).first()[0]
-        if longest is None:
-            return out
-        if longest <= rare:  # short lists: every pair
-            other = lists.select("token", F.col("sig").alias("b"), F.col("n").alias("nb"))
-            pairs = lists.select("token", F.col("sig").alias("a"), F.col("n").alias("na")).join(other, "token").where("a < b").where(_sizes_fit(percent)).select("a", "b").distinct()
-            out.append(_verified(pairs, sets, percent))
-            return out
-        live = lists.join(size.select("token"), "token", "left_semi")
-        first = Window.partitionBy("token").orderBy("sig")  # limited before the shuffle to as many rows a list and task
-        heads = live.withColumn("at", F.row_number().over(first)).where(F.col("at") <= leaders)
-        heads = common.stored(heads.select("token", F.col("sig").alias("a"), F.col("n").alias("na")), "leaders")
-        met = common.stored(live.join(heads, "token").where("sig <> a"), "met")
-        tested = _verified(met.where(_sizes_fit(percent, "na", "n")).select("a", F.col("sig").alias("b")).distinct(), sets, percent)
-        out.append(tested)
-        far = 1 - F.coalesce(F.col("both") / F.col("either"), F.least("na", "n") / F.greatest("na", "n"))
-        known = met.join(tested.withColumnRenamed("b", "sig"), ["a", "sig"], "left").withColumn("far", far).withColumn("linked", F.coalesce("linked", F.lit(False)))
-        known = common.stored(known.select("token", "sig", "n", "a", "far", "linked"), "known")
-        least = known.where("not linked").groupBy("token", "a").agg(F.min("far").alias("least"))
-        # linked to a leader, and too near to it for any unlinked member to be within reach: out of the list
-        gone = known.where("linked").join(least, ["token", "a"], "left").where(F.col("least").isNull() | (F.col("far") < F.col("least") - reach - 1e-9)).select("token", "sig").distinct()
-        done = heads.select("token", F.col("a").alias("sig"))
-        lists = common.stored(live.join(gone.unionByName(done), ["token", "sig"], "left_anti").select("token", "sig", "n"), "frequent")
-        leaders = min(leaders * 2, 64)
+    leaders = lists.groupBy("token").agg(F.min("sig").alias("a"), F.min_by("n", "sig").alias("na"), F.count(F.lit(1)).alias("m")).where("m > 1").drop("m")
+    met = common.stored(lists.join(leaders, "token").where("sig <> a").select("a", "na", "sig", "n").distinct(), "met")
+    tested = _verified(met.where(_sizes_fit(percent, "na", "n")).select("a", F.col("sig").alias("b")), sets, percent)
+    known = met.join(tested.withColumnRenamed("b", "sig"), ["a", "sig"], "left")
+    far = 1 - F.coalesce(F.col("both") / F.col("either"), F.least("na", "n") / F.greatest("na", "n"))
+    known = common.stored(known.select("a", "sig", F.coalesce("linked", F.lit(False)).alias("linked"), far.alias("far")), "known")
+    apart = known.where("not linked")
+    least = apart.groupBy("a").agg(F.min("far").alias("least"), F.count(F.lit(1)).alias("apart"))
+    # members linked to a leader are joined; they matter for others only where these may be within their reach
+    others = known.join(least, "a").where(~F.col("linked") | (F.col("far") >= F.col("least") - reach - 1e-9))
+    size = others.groupBy("a").agg(F.count(F.lit(1)).alias("others")).join(least, "a")
+    size = common.stored(size.select("a", F.ceil(F.col("apart") / BLOCK).alias("rows"), F.ceil(F.col("others") / BLOCK).alias("columns")), "blocks")
+    block = lambda of: F.pmod(F.xxhash64("sig"), F.col(of)).cast("int")
+    every = lambda of: F.explode(F.sequence(F.lit(0), F.col(of).cast("int") - 1))
+    left = apart.join(size, "a").select("a", "sig", block("rows").alias("i"), "columns").select("a", "sig", "i", every("columns").alias("j"))
+    right = others.select("a", "sig").join(size, "a").select("a", "sig", block("columns").alias("j"), "rows").select("a", "sig", every("rows").alias("i"), "j")
+    fresh = lambda df: df.select(*(F.col(c).alias(c) for c in ("a", "i", "j", "sig", "tokens"))).groupBy("a", "i", "j")  # noqa: E731  both sides come from one table
+    found = fresh(left.join(sets, "sig")).cogroup(fresh(right.join(sets, "sig"))).applyInArrow(_block_links(percent), "a long, b long")
+    return tested.where("linked").select("a", "b").unionByName(common.stored(found, "block-links"))
 
 
 def components(nodes: DataFrame, links: DataFrame) -> DataFrame:
@@ -274,12 +305,14 @@ def join(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", width
     spark = df.sparkSession
     common.arrow_batches(spark)
     texts = common.ids_and_text(df, id_col, text_col).withColumn("doc_id", F.coalesce("doc_id", F.lit(NULL_ID)))
-    docs = common.stored(texts.mapInArrow(_sets(width, percent), "doc_id long, n long, sig long, prefix binary"), "sets")
+    posting = common.stored(texts.mapInArrow(_sets(width, percent), "doc_id long, n long, sig long, prefix binary"), "prefixes")
+    docs = common.stored(posting.select("doc_id", "n", "sig"), "sets")
     total = docs.count()
     classes = common.stored(docs.groupBy("sig", "n").agg(F.min("doc_id").alias("first"), F.count(F.lit(1)).alias("rows")), "classes")
 
-    posted = docs.where("prefix is not null").select("sig", "n", "prefix").mapInArrow(_post, "token long, sig long, n long")
+    posted = posting.where("prefix is not null").select("sig", "n", "prefix").mapInArrow(_post, "token long, sig long, n long")
     found = common.stored(posted.repartition("token").sortWithinPartitions("token", "sig").mapInArrow(_lists(rare, percent), "a long, b long, na long, nb long, shared long"), "lists")
+    common.drop_scratch(spark, posting)
     frequent = found.where("shared = 0").select(F.col("a").alias("token"), F.col("b").alias("sig"), F.col("nb").alias("n"))
     spare = common.stored(frequent.groupBy("sig", "n").agg(F.count(F.lit(1)).alias("f")), "spare")
     pairs = found.where("shared > 0").groupBy("a", "b", "na", "nb").agg(F.sum("shared").alias("shared"))
@@ -293,11 +326,8 @@ def join(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", width
     ids = common.stored(classes.join(wanted, "sig").select(F.col("first").alias("doc_id")).distinct(), "wanted")
     ids = F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids
     sets = common.stored(texts.join(ids, "doc_id", "left_semi").mapInArrow(_whole_sets(width), "sig long, tokens binary").dropDuplicates(["sig"]), "whole-sets")
-    verified = [_verified(rare_pairs, sets, percent), *_frequent_links(frequent.join(hot, "sig", "left_semi"), sets, percent, rare)]
-    links = verified[0]
-    for v in verified[1:]:
-        links = links.unionByName(v)
-    links = links.where("linked").select("a", "b").distinct()
+    links = _verified(rare_pairs, sets, percent).where("linked").select("a", "b")
+    links = links.unionByName(_frequent_links(frequent.join(hot, "sig", "left_semi"), sets, percent)).where("a <> b").distinct()
     firsts = classes.select("sig", "first")
     by_id = links.join(firsts.select(F.col("sig").alias("a"), F.col("first").alias("x")), "a").join(firsts.select(F.col("sig").alias("b"), F.col("first").alias("y")), "b").select(F.col("x").alias("a"), F.col("y").alias("b"))
     labels = components(classes, by_id)

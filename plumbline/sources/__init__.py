@@ -1,0 +1 @@
+"""Sources and sinks: context bundles, policies, contracts, benchmark worlds, paginated services, reports."""

@@ -29,6 +29,7 @@ LONG = (1 << 63) - 1
 def _pivot_table(pivots: dict[int, np.ndarray], scale: int):
     """vec_id, dim, whole (the integer components), far (distances to the pivots)."""
 
+    @common.tidy
     def run(batches):
         for batch in batches:
             whole, far = [], []

@@ -33,7 +33,8 @@ from . import common
 WORDS, PERCENT, RARE = 5, 75, 32
 #: Sets on each side of a block.
 BLOCK = 256
-MEMO = 500_000
+#: Words whose hashes a worker remembers.
+MEMO = 200_000
 NULL_ID = (1 << 63) - 1
 #: Documents to verify up to which their ids (8 bytes each) are broadcast.
 BROADCAST_IDS = 1_000_000
@@ -87,6 +88,7 @@ def prefix_length(n: int, percent: int = PERCENT) -> int:
 
 
 def _sets(width: int, percent: int):
+    @common.tidy
     def run(batches):
         shingles, met = Shingles(width), set()
         for batch in batches:
@@ -115,12 +117,13 @@ def _post(batches):
 _FOUND = ["a", "b", "na", "nb", "shared"]
 
 
-def _lists(rare: int, percent: int, flush: int = 1 << 20):
+def _lists(rare: int, percent: int, flush: int = 1 << 18):
     """From postings sorted by token and class: pairs of rare lists with shared > 0, rows (token, class, -, n, 0) of frequent ones."""
 
     def batch_of(columns) -> pa.RecordBatch:
         return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], _FOUND)
 
+    @common.tidy
     def run(batches):
         held: list[np.ndarray] = []
         held_rows = 0
@@ -190,6 +193,7 @@ def _lists(rare: int, percent: int, flush: int = 1 << 20):
 
 
 def _whole_sets(width: int):
+    @common.tidy
     def run(batches):
         shingles = Shingles(width)
         for batch in batches:

@@ -136,6 +136,7 @@ def hilbert(at: np.ndarray, bits: int = BITS) -> np.ndarray:
 
 
 def _encoded(tokenizer_path: str, end_id: int, memo: int):
+    @common.tidy
     def run(batches):
         words, plane, end = WordIds(load_tokenizer(tokenizer_path), memo), projection(), np.array([end_id], "<u2")
         for batch in batches:
@@ -158,6 +159,7 @@ def _laid(batches):
 
 
 def _cut(base: dict[int, int], length: int):
+    @common.tidy
     def run(batches):
         for batch in batches:
             out: list[tuple] = []

@@ -218,6 +218,7 @@ def _detect(batches):
 
 
 def _draw(key: bytes):
+    @common.tidy
     def run(batches):
         for batch in batches:
             new = [surrogate(k, c, key, a) for k, c, a in zip(*(batch.column(x).to_pylist() for x in ("kind", "canon", "attempt")), strict=True)]
@@ -227,6 +228,7 @@ def _draw(key: bytes):
 
 
 def _rewrite(key: bytes, text_col: str):
+    @common.tidy
     def run(batches):
         memo: dict = {}
         for batch in batches:

@@ -103,6 +103,7 @@ def spliced_ids(tokenizer, text: str, chunk: int = CHUNK, overlap: int = OVERLAP
 
 
 def _count(tokenizer_path: str, chunk: int, overlap: int, memo: int):
+    @common.tidy
     def run(batches):
         tokenizer = load_tokenizer(tokenizer_path)
         pieces = PieceCounts(tokenizer, memo)

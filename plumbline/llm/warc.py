@@ -67,6 +67,7 @@ def record(page_id: int | None, url: str | None, payload: bytes, digest: str, re
 
 
 def _frames(dictionary: bytes):
+    @common.tidy
     def run(batches):
         known = zstandard.ZstdCompressionDict(dictionary) if dictionary else None
         codec = zstandard.ZstdCompressor(level=LEVEL, dict_data=known, write_checksum=True)
@@ -204,6 +205,7 @@ _TYPES = pa.schema([("page_id", pa.int64()), ("url", pa.string()), ("payload", p
 
 
 def _read(with_payload: bool, rows: int = 256):
+    @common.tidy
     def run(batches):
         for batch in batches:
             for path, data in zip(batch.column("path").to_pylist(), batch.column("content"), strict=True):

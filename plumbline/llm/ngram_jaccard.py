@@ -32,7 +32,7 @@ from . import common
 
 WORDS, PERCENT, RARE = 5, 75, 32
 #: Sets on each side of a block.
-BLOCK = 256
+BLOCK = 640
 #: Words whose hashes a worker remembers.
 MEMO = 200_000
 NULL_ID = (1 << 63) - 1

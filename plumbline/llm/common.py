@@ -69,11 +69,18 @@ def arrow_batches(spark: SparkSession, megabytes: int = 8) -> None:
 
 
 def tidy(run: Callable) -> Callable:
-    """A function over Arrow batches that gives its memory back to the system when its task ends: workers are reused, and idle ones count."""
+    """A function over Arrow batches that gives its memory back to the system when its task ends: workers are reused, and idle ones count.
+
+    Meanwhile the search for cycles rests: the functions make millions of strings and arrays, and no cycles.
+    """
 
     @functools.wraps(run)
     def tidied(batches):
-        yield from run(batches)
+        gc.disable()
+        try:
+            yield from run(batches)
+        finally:
+            gc.enable()
         gc.collect()
         pa.default_memory_pool().release_unused()
         try:

@@ -13,6 +13,7 @@ from __future__ import annotations
 
 import re
 import zlib
+from functools import lru_cache
 from itertools import islice
 
 import numpy as np
@@ -95,6 +96,12 @@ class WordIds:
         return ids, begin
 
 
+@lru_cache(maxsize=1)
+def worker_words(tokenizer_path: str, memo: int) -> WordIds:
+    """A worker's encoder, kept from task to task with what it has learnt."""
+    return WordIds(load_tokenizer(tokenizer_path), memo)
+
+
 def projection(seed: int = SEED) -> np.ndarray:
     return np.random.default_rng(seed).standard_normal((BUCKETS, DIMS))
 
@@ -138,7 +145,7 @@ def hilbert(at: np.ndarray, bits: int = BITS) -> np.ndarray:
 def _encoded(tokenizer_path: str, end_id: int, memo: int):
     @common.tidy
     def run(batches):
-        words, plane, end = WordIds(load_tokenizer(tokenizer_path), memo), projection(), np.array([end_id], "<u2")
+        words, plane, end = worker_words(tokenizer_path, memo), projection(), np.array([end_id], "<u2")
         for batch in batches:
             ids, begin = words(batch.column("text").to_pylist())
             own = [np.concatenate([ids[a:b], end]) for a, b in zip(begin[:-1], begin[1:], strict=True)]

@@ -18,17 +18,24 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+#: Folders of applications on one machine that name none.
+_own_dirs: dict[str, str] = {}
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder that all executors share: the session's spark.checkpoint.dir.
 
     Only where that is unset (as in tests on one machine) a temporary folder is used.
     """
-    found = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
+    context = spark.sparkContext
+    found = context.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     if not found:
-        if not spark.sparkContext.master.startswith("local["):
+        if context.master != "local" and not context.master.startswith("local["):
             raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        found = f"file://{tempfile.mkdtemp(prefix='plumbline-')}"
-        spark.conf.set("spark.checkpoint.dir", found)
+        app = context.applicationId
+        if app not in _own_dirs:
+            _own_dirs[app] = f"file://{tempfile.mkdtemp(prefix='plumbline-')}"
+        found = _own_dirs[app]
     return found.rstrip("/")
 
 

@@ -3,9 +3,11 @@
 A vector is represented by its `prefix` nearest pivots in order. Within a block of candidates it is posted,
 with its place in that order, in the inverted file of each of these pivots. A query walks the files of its own
 nearest pivots and adds up Spearman's footrule to every vector, a missing pivot counting as place `prefix`. The
-`share` of the block with the smallest footrule is reranked by the exact inner product. The share is a part of
-all rows and so grows with them. For the largest inner product, vectors are lifted by one component to equal
-length, which turns it into the smallest distance. Pivots are a bounded sample; every row is indexed.
+`share` of the block with the smallest footrule is reranked by the exact inner product first. Of the rest,
+every group of rows (by nearest pivot) is searched whose radius leaves it a product that could still reach the k-th
+best, so that rows behind a dense group are not lost. For the largest inner product, vectors are lifted by one component to equal
+length, which turns it into the smallest distance. Pivots are spread over a bounded sample, each the farthest from
+those before it, whatever the density of rows; every row is indexed.
 
 Defined results: vectors that are null, empty, zero or hold a null or non-finite component take no part; nor do
 rows without an id. Repeated rows count once; rows that share the query's id are not its candidates. Vectors of
@@ -22,6 +24,8 @@ from pyspark.sql import functions as F
 from . import common, vectors
 
 PIVOTS, PREFIX, SHARE, LEAST = 128, 64, 0.2, 256
+#: Rows sampled for each pivot.
+SPREAD = 16
 
 
 def lifted(x: np.ndarray, longest: float) -> np.ndarray:
@@ -34,6 +38,39 @@ def permutations(x: np.ndarray, pivots: np.ndarray, prefix: int) -> np.ndarray:
     return np.argsort(far, axis=1, kind="stable")[:, :prefix]
 
 
+def spread(x: np.ndarray, n: int) -> np.ndarray:
+    """n rows of x or all different ones: the first, then always the row farthest from those chosen."""
+    chosen, far = [0], ((x - x[0]) ** 2).sum(1)
+    while len(chosen) < n and far.max() > 0:
+        chosen.append(int(far.argmax()))
+        far = np.minimum(far, ((x - x[chosen[-1]]) ** 2).sum(1))
+    return x[chosen]
+
+
+class Groups:
+    """Rows by their nearest pivot. A group's radius bounds the product of its rows with a query."""
+
+    def __init__(self, x: np.ndarray, pivots: np.ndarray):
+        far = (pivots * pivots).sum(1)[None] - 2 * (x @ pivots.T)
+        own = far.argmin(1)
+        self.rows = np.argsort(own, kind="stable")
+        numbers, self.starts = np.unique(own[self.rows], return_index=True)
+        self.ends = np.append(self.starts[1:], len(x))
+        self.centres, self.x = pivots[numbers], x[self.rows, :-1]
+        self.radii = np.sqrt(np.maximum.reduceat(((x[self.rows] - pivots[own[self.rows]]) ** 2).sum(1), self.starts))
+
+    def bounds(self, q: np.ndarray) -> np.ndarray:
+        """For each lifted query and group, what no product exceeds."""
+        return q @ self.centres.T + np.sqrt((q * q).sum(1))[:, None] * self.radii
+
+    def reaching(self, q: np.ndarray, open_groups: np.ndarray, least: float) -> np.ndarray:
+        """Rows of open groups whose product is at least `least`; neighbouring open groups are one run."""
+        edges = np.flatnonzero(np.diff(np.concatenate([[False], open_groups, [False]]).astype(np.int8)))
+        runs = [(self.starts[a], self.ends[b - 1]) for a, b in edges.reshape(-1, 2)]
+        found = [self.rows[a:b][self.x[a:b] @ q >= least] for a, b in runs]
+        return np.concatenate(found) if found else np.zeros(0, np.int64)
+
+
 class InvertedFiles:
     """For each pivot, the place that it has in the prefix of every row of the block, or `prefix` where it has none.
 
@@ -65,8 +102,11 @@ def _search(pivots: dict[int, np.ndarray], longest: float, prefix: int, share: f
         x, q = vectors.matrix(rows.column("vec"), dim), vectors.matrix(queries.column("vec"), dim)
         ids, own = rows.column("vec_id").to_numpy(), queries.column("vec_id").to_numpy()
         p = lifted(pivots[dim], longest) if dim in pivots else np.zeros((1, dim + 1))
-        files = InvertedFiles(permutations(lifted(x, longest), p, prefix), len(p))
-        walks = permutations(np.concatenate([q, np.zeros((len(q), 1))], axis=1), p, prefix)
+        lx, lq = lifted(x, longest), np.concatenate([q, np.zeros((len(q), 1))], axis=1)
+        files, walks = InvertedFiles(permutations(lx, p, prefix), len(p)), permutations(lq, p, prefix)
+        groups = Groups(lx, p)
+        slack = 1e-6 * longest * np.sqrt((q * q).sum(1))  # rounding of bounds and products
+        tops = groups.bounds(lq) + slack[:, None]
         most, out = min(len(x), max(LEAST, int(np.ceil(share * len(x))))), []
         for i in range(len(q)):
             total = files.footrule(walks[i]).astype(np.int64) * len(x) + np.arange(len(x))  # ties to the smaller id
@@ -74,6 +114,11 @@ def _search(pivots: dict[int, np.ndarray], longest: float, prefix: int, share: f
             near = np.argpartition(total, most - 1)[:most]
             near = near[ids[near] != own[i]]
             scores = (x[near] * q[i]).sum(1)
+            if most < len(x):
+                kth = np.partition(scores, -k)[-k] if len(scores) >= k else -np.inf
+                more = groups.reaching(q[i], tops[i] >= kth, kth - slack[i])
+                more = np.setdiff1d(more[ids[more] != own[i]], near)
+                near, scores = np.concatenate([near, more]), np.concatenate([scores, (x[more] * q[i]).sum(1)])
             keep = np.lexsort((ids[near], -scores))[:k]
             out.append((own[i], ids[near][keep], scores[keep]))
         return vectors.found_table(out, pa.float64())
@@ -87,7 +132,8 @@ def search(df: DataFrame, is_query, *, id_col: str = "vec_id", vec_col: str = "e
     v = common.stored(vectors.usable(df, id_col, vec_col, zero=False), "vectors")
     queries = v.where(is_query(F.col("vec_id")))
     n, dim, longest = v.agg(F.count(F.lit(1)), F.coalesce(F.max("dim"), F.lit(1)), F.coalesce(F.max(F.expr("sqrt(aggregate(vec, 0D, (a, x) -> a + x * x))")), F.lit(0.0))).first()
-    find = _search(vectors.bounded_sample(v, pivots), longest, prefix, share, k)
+    chosen = {d: spread(x, pivots) for d, x in vectors.bounded_sample(v, SPREAD * pivots).items()}
+    find = _search(chosen, longest, prefix, share, k)
     return vectors.nearest_in_blocks(queries, v, (n, queries.count(), dim), find, k, "double")
 
 

@@ -175,6 +175,25 @@ def test_permutation_index_recall_and_order(spark):
     assert permutation_index.search(df.limit(0), lambda i: i % 20 == 0).count() == 0
 
 
+def test_permutation_index_recall_with_a_hot_third(spark):
+    rng = np.random.default_rng(11)
+    x, centre = rng.standard_normal((6000, 64)), rng.standard_normal(64)
+    x[::3] = centre / np.linalg.norm(centre) + rng.uniform(0.02, 0.3, (2000, 1)) * rng.standard_normal((2000, 64))
+    x /= np.linalg.norm(x, axis=1)[:, None]
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    got, hits = listed(permutation_index.search(df, lambda i: i % 20 == 0)), []
+    for q in range(0, 6000, 20):
+        scores = x @ x[q]
+        scores[q] = -np.inf
+        hits.append(len({i for i, _ in got[q]} & set(np.argsort(-scores)[:20].tolist())) / 20)
+    assert np.mean(hits) >= 0.9 and min(hits) >= 0.9
+
+
+def test_spread_pivots_do_not_follow_density():
+    x = np.concatenate([np.full((900, 2), 5.0), np.array([[0.0, 0.0], [0.0, 9.0]])])
+    assert sorted(map(tuple, permutation_index.spread(x, 128).tolist())) == [(0.0, 0.0), (0.0, 9.0), (5.0, 5.0)]
+
+
 def test_footrule():
     rng = np.random.default_rng(0)
     order = np.array([rng.permutation(12)[:5] for _ in range(40)])

@@ -31,6 +31,8 @@ from . import common
 #: The key of the queries; production sets spark.plumbline.pii.key.
 KEY = "plumbline"
 ROUNDS = 8
+#: A round's hash covers half the bits of a text of up to LONG characters; longer ones are taken in pieces.
+LONG, PIECE = 85, 64
 # Forms of address by gender, syllables and endings of invented names by script.
 MALE = ["Mr", "Mister", "Herr", "Monsieur", "Señor", "Sr", "Signor", "г-н", "господин", "κύριος"]
 FEMALE = ["Mrs", "Ms", "Miss", "Frau", "Madame", "Mme", "Mlle", "Señora", "Sra", "Signora", "г-жа", "госпожа", "κυρία"]
@@ -50,7 +52,7 @@ _NAME = r"[A-ZÀ-ÖØ-ÞΑ-ΩА-Я][\w'’-]*\w"
 _PATTERNS = [
     ("email", r"(?<![\w.+-])[A-Za-z0-9][\w.+%-]*@(?:[A-Za-z0-9-]+\.)+[A-Za-z]{2,24}"),
     ("access", r"(?<![A-Za-z0-9])(?:AKIA|ASIA)[A-Z0-9]{16}(?![A-Za-z0-9])"),
-    ("secret", r"(?i:(?<![a-z])(?:token|secret|api[_-]?key|password|passwd|pwd)\s*[=:]\s*[\"']?)(?P<secret>[A-Za-z0-9_+/.~-]{6,128})"),
+    ("secret", r"(?i:(?<![a-z])(?:token|secret|api[_-]?key|password|passwd|pwd)\s*[=:]\s*[\"']?)(?P<secret>[A-Za-z0-9_+/.~-]{6,})"),
     ("iban", r"(?<![A-Za-z0-9])[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,4})?(?![A-Za-z0-9])"),
     ("ip", r"(?<![\w.])(?:(?:25[0-5]|2[0-4]\d|1?\d?\d)\.){3}(?:25[0-5]|2[0-4]\d|1?\d?\d)(?![\w]|\.\d)"),
     ("ssn", r"(?<![\w-])\d{3}-\d{2}-\d{4}(?![\w-])"),
@@ -82,8 +84,26 @@ def permuted(x: int, size: int, key: bytes, tweak: str) -> int:
             return x
 
 
+def _digest(key: bytes, *parts: str) -> str:
+    return hashlib.blake2b("\0".join(parts).encode(), key=key, digest_size=32).hexdigest()
+
+
+def reformed_long(text: str, key: bytes, tweak: str, hexadecimal: bool) -> str:
+    """As reformed, in pieces that one permutation covers: forwards each piece depends on those before it, then backwards on those behind."""
+    pieces = [text[i : i + PIECE] for i in range(0, len(text), PIECE)]
+    for way in ("forwards", "backwards"):
+        state = _digest(key, tweak, way, str(len(text)))
+        for i, piece in enumerate(pieces):
+            pieces[i] = reformed(piece, key, f"{tweak}:{state}", hexadecimal)
+            state = _digest(key, state, pieces[i])
+        pieces.reverse()
+    return "".join(pieces)
+
+
 def reformed(text: str, key: bytes, tweak: str, hexadecimal: bool = False) -> str:
     """Digits to digits and small or capital ASCII letters to their like, by one permutation of all texts of the same pattern."""
+    if len(text) > LONG:
+        return reformed_long(text, key, tweak, hexadecimal)
     sets = []
     for c in text:
         if hexadecimal and c in "0123456789abcdef":

@@ -143,6 +143,25 @@ def test_surrogates_keep_types_and_coreference(spark):
     assert surrogates.replaced(text, b"j" * 32)[0] != out
 
 
+@pytest.mark.parametrize("length", [129, 300, 700, 20_000])
+def test_long_secrets_are_replaced_whole(length):
+    rng = np.random.default_rng(length)
+    token = "".join(rng.choice(list("abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789"), length))
+    out, n = surrogates.replaced(f"token={token} end", b"k" * 32)
+    new = out[len("token=") : -len(" end")]
+    assert n == 1 and out == f"token={new} end" and len(new) == length
+    assert not any(token[i : i + 12] in out for i in range(length - 11))
+    other = "x" if token[-1] != "x" else "y"
+    changed = surrogates.replaced(f"token={token[:-1]}{other} end", b"k" * 32)[0]
+    assert changed[6:18] != new[:12]  # every character counts for all
+
+
+def test_long_pieces_are_a_permutation(monkeypatch):
+    monkeypatch.setattr(surrogates, "LONG", 1)
+    monkeypatch.setattr(surrogates, "PIECE", 1)
+    assert len({surrogates.reformed(f"{i:03}", b"k", "t") for i in range(1000)}) == 1000
+
+
 def test_permutation_is_one():
     for size in (2, 10, 97, 1000):
         assert sorted(surrogates.permuted(i, size, b"k", "t") for i in range(size)) == list(range(size))

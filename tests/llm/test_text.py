@@ -260,6 +260,24 @@ def test_classifier_on_held_out_labels(spark):
     assert kept[1] / total[1] >= 0.97 and kept.get(0, 0) / total[0] <= 0.45
 
 
+def test_small_languages_keep_model_and_threshold_beside_a_large_one(spark, monkeypatch):
+    monkeypatch.setattr(kneser_ney, "MAX_MODELS", 2)  # several groups of models
+    rng = np.random.default_rng(4)
+
+    def texts(lang, n):
+        return [" ".join(f"{lang}{w}" for w in rng.integers(0, 40, 30)) for _ in range(n)]
+
+    small = [(lang, t) for lang in ("aa", "bb", "cc") for t in texts(lang, 60)]
+    rows = [(i, t, lang) for i, (lang, t) in enumerate(small)]
+    large = [(1000 + i, t, "zz") for i, t in enumerate(texts("zz", 8000))]
+    schema, own = "doc_id long, text string, lang string", {}
+    for name, docs in (("alone", rows), ("beside", rows + large)):
+        labels = spark.createDataFrame([(d[0], 1) for d in docs], "doc_id long, quality int")
+        got = kneser_ney.classify(spark.createDataFrame(docs, schema), labels, sample=50)
+        own[name] = {r["doc_id"]: (r["n_tokens"], *(round(r[c], 6) for c in ("perplexity", "score", "threshold")), r["keep"]) for r in got.where("doc_id < 1000").collect()}
+    assert len(own["alone"]) == 180 and own["alone"] == own["beside"]
+
+
 def test_classifier_edges(spark):
     docs = spark.createDataFrame([(1, None, "en"), (2, "", None), (3, "a few words", "en"), (3, "a few words", "en")], "doc_id long, text string, lang string")
     none = spark.createDataFrame([(3, None)], "doc_id long, quality int")

@@ -12,6 +12,8 @@ from ..functions.values import is_number, number, plain, spelled
 from .positions import with_position
 
 SAMPLES = 5
+#: Values without an expected count that a report lists.
+UNEXPECTED = 20
 
 
 class ContractError(ValueError):
@@ -104,24 +106,29 @@ def value_count_differences(df: DataFrame, column: str, expected: dict[str, int]
     return both.withColumn("matches", F.col("actual_count").eqNullSafe(F.col("expected_count")))
 
 
+def column_findings(columns: list[str], contract: Contract) -> list[dict[str, Any]]:
+    """What the names of a result's columns violate: repeated, missing or unexpected ones, whatever their case."""
+    folded, known, found = [x.casefold() for x in columns], {x.casefold() for x in contract.required_columns}, []
+    if repeated := sorted({x for x in folded if folded.count(x) > 1}):
+        found.append({"type": "duplicate_output_columns", "columns": repeated, "allowed_actions": ["rename_output_columns"]})
+    if missing := [x for x in contract.required_columns if x.casefold() not in folded]:
+        found.append({"type": "missing_required_columns", "columns": missing, "allowed_actions": ["add_required_output_aliases"]})
+    if not contract.allow_extra_columns and (extra := [x for x in columns if x.casefold() not in known]):
+        found.append({"type": "unexpected_output_columns", "columns": extra, "allowed_actions": ["exclude"]})
+    return found
+
+
 def evaluate(df: DataFrame | None, contract: dict[str, Any] | Contract) -> dict[str, Any]:
     """The gate's report. df None stands for a query that did not run: the gate is skipped."""
     c = contract if isinstance(contract, Contract) else Contract.of(contract)
     if df is None:
         return {"gate": "result_quality", "status": "SKIPPED", "contract_id": c.contract_id, "violations": [], "message": "The query did not run."}
-    violations: list[dict[str, Any]] = []
+    violations = column_findings(df.columns, c)
 
     def violate(kind: str, action: str, **more) -> None:
         violations.append({"type": kind, **more, "allowed_actions": [action]})
 
     folded = [x.casefold() for x in df.columns]
-    if repeated := sorted({x for x in folded if folded.count(x) > 1}):
-        violate("duplicate_output_columns", "rename_output_columns", columns=repeated)
-    if missing := [x for x in c.required_columns if x.casefold() not in folded]:
-        violate("missing_required_columns", "add_required_output_aliases", columns=missing)
-    known = {x.casefold() for x in c.required_columns}
-    if not c.allow_extra_columns and (extra := [x for x in df.columns if x.casefold() not in known]):
-        violate("unexpected_output_columns", "exclude", columns=extra)
     m = metrics(df, c)
     if c.exact_row_count is not None and m["rows"] != c.exact_row_count:
         violate("row_count_mismatch", "preserve_one_row_per_entity", expected=c.exact_row_count, actual=m["rows"])
@@ -161,11 +168,15 @@ def evaluate(df: DataFrame | None, contract: dict[str, Any] | Contract) -> dict[
         if name.casefold() in at:
             i = at[name.casefold()]
             differences = value_count_differences(flat, f"c{i}", expected)
-            found = {r["value"]: r["actual_count"] for r in differences.where("actual_count is not null").orderBy("value").collect()}
-            ok = found == {str(k): v for k, v in expected.items()}
-            counts[name] = {"status": "PASS" if ok else "FAIL", "expected": expected, "actual": found}
+            other = differences.where("expected_count is null")
+            found = {r["value"]: r["actual_count"] for r in differences.where("expected_count is not null and actual_count is not null").orderBy("value").collect()}  # as many as are expected
+            extra = other.orderBy("value").limit(UNEXPECTED).collect()
+            more = other.count() if len(extra) == UNEXPECTED else len(extra)
+            found |= {r["value"]: r["actual_count"] for r in extra}
+            ok = not more and found == {str(k): v for k, v in expected.items()}
+            counts[name] = {"status": "PASS" if ok else "FAIL", "expected": expected, "actual": found, "unexpected_values": more}
             if not ok:
-                violate("value_count_mismatch", "correct_calculation", column=name, expected=expected, actual=found)
+                violate("value_count_mismatch", "correct_calculation", column=name, expected=expected, actual=found, unexpected_values=more)
     return {"gate": "result_quality", "status": "FAIL" if violations else "PASS", "contract_id": c.contract_id, "row_count": m["rows"], "columns": df.columns, "required_columns": c.required_columns, "null_quality": nulls, "uniqueness": unique, "numeric_ranges": ranges, "value_counts": counts, "violations": [{k: plain(v) for k, v in x.items()} for x in violations], "message": "The result violates its contract." if violations else "The result meets its contract."}
 
 

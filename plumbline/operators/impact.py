@@ -13,6 +13,7 @@ ACTIONS = ["AUTO_PR", "REVIEW_REQUIRED", "BLOCK_AUTO_MERGE"]
 STATUS = {"AUTO_PR": "PASS", "REVIEW_REQUIRED": "REVIEW", "BLOCK_AUTO_MERGE": "BLOCK"}
 EXIT = {"AUTO_PR": 0, "REVIEW_REQUIRED": 3, "BLOCK_AUTO_MERGE": 1}
 EXIT_ERROR = 2
+MESSAGE = {"AUTO_PR": "Known downstream assets allow an automatic change.", "REVIEW_REQUIRED": "A person has to review the downstream impact.", "BLOCK_AUTO_MERGE": "The downstream impact forbids an automatic merge."}
 ASSET_SCHEMA = "urn string, name string, type string, platform string, degree int, criticality string, classifications array<string>, is_representation boolean, lineage_path array<struct<urn:string,type:string>>"
 
 
@@ -84,5 +85,5 @@ def assess(spark, context: dict[str, Any], policy: dict[str, Any]) -> dict[str,
     route = routed(spark.createDataFrame(rows, ASSET_SCHEMA), source, policy)
     last = decision(route, policy).first()
     listed = route.collect()  # the assets of one bundle
-    affected = [{"urn": r["urn"], "name": r["name"], "type": r["type"], "degree": r["degree"], "criticality": r["criticality"], "criticality_source": r["criticality_source"], "lineage_path_verified": r["path_verified"], "required_action": r["required_action"]} for r in listed if not r["ignored"]]
-    return {"gate": "downstream_impact", "status": last["status"], "policy_id": policy.get("policy_id", "unknown"), "source_urn": source, "lineage_max_hops": context.get("lineage_max_hops"), "may_affect": [a["name"] for a in affected], "affected_assets": affected, "ignored_assets": [{"urn": r["urn"], "name": r["name"], "reason": "representation_copy"} for r in listed if r["ignored"]], "highest_criticality": last["highest_criticality"], "admission_action": last["admission_action"]}
+    affected = [{"urn": r["urn"], "name": r["name"], "type": r["type"], "degree": r["degree"], "criticality": r["criticality"], "criticality_source": r["criticality_source"], "lineage_path": [p.asDict() for p in r["lineage_path"] or []], "lineage_path_verified": r["path_verified"], "required_action": r["required_action"]} for r in listed if not r["ignored"]]
+    return {"gate": "downstream_impact", "status": last["status"], "policy_id": policy.get("policy_id", "unknown"), "source_urn": source, "lineage_max_hops": context.get("lineage_max_hops"), "may_affect": [a["name"] for a in affected], "affected_assets": affected, "ignored_assets": [{"urn": r["urn"], "name": r["name"], "reason": "representation_copy"} for r in listed if r["ignored"]], "highest_criticality": last["highest_criticality"], "admission_action": last["admission_action"], "message": MESSAGE[last["admission_action"]]}

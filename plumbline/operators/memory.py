@@ -18,8 +18,9 @@ def description(run_id: str, task: str, note: str, at: datetime.datetime) -> str
 
 def absent(entries: DataFrame, log: DataFrame) -> DataFrame:
     """The entries (url, task, note) that no element of the log (url, description) already holds."""
-    held = F.contains(log["description"], F.concat(F.lit("Task: "), entries["task"])) & F.contains(log["description"], F.concat(F.lit("Note: "), entries["note"]))
-    return entries.join(log, (entries["url"] == log["url"]) & held, "left_anti")
+    own = log.select(F.col("url").alias("_url"), F.col("description").alias("_held"))
+    held = F.contains("_held", F.concat(F.lit("Task: "), "task")) & F.contains("_held", F.concat(F.lit("Note: "), "note"))
+    return entries.join(own, (F.col("url") == F.col("_url")) & held, "left_anti")
 
 
 def append(entries: DataFrame, read: Callable[[], DataFrame], write: Callable[[DataFrame], None], pause: float = 0.2) -> str:
@@ -48,6 +49,29 @@ def with_tags(requested: DataFrame, tagged: DataFrame, columns: DataFrame) -> Da
     return tagged.unionByName(missing_tags(requested, tagged).distinct())
 
 
+def ensured_tags(wanted: DataFrame, existing: DataFrame) -> DataFrame:
+    """existing (tag, description) with the wanted tags that aren't there, each once; tags that exist keep their description."""
+    fresh = wanted.groupBy("tag").agg(F.min("description").alias("description")).join(existing, "tag", "left_anti")
+    return existing.unionByName(fresh.select(*existing.columns))
+
+
+def upserted(expected: DataFrame, actual: DataFrame, key: str = "urn") -> DataFrame:
+    """actual with the expected assets (one row each) put in: new ones added, known ones replaced, others left alone."""
+    return actual.join(expected.select(key), key, "left_anti").select(*actual.columns).unionByName(expected.select(*actual.columns))
+
+
+def upsert_graph(expected: DataFrame, read: Callable[[], DataFrame], write: Callable[[DataFrame], None], pause: float = 0.2) -> DataFrame:
+    """Writes the upserted assets and reads them back until nothing is missing or differs; what still does is returned."""
+    columns = [c for c in expected.columns if c != "urn"]
+    write(upserted(expected, read()))
+    for _ in range(READS):
+        left = graph_mismatches(expected, read(), columns)
+        if not left.limit(1).count():
+            break
+        time.sleep(pause)
+    return left
+
+
 def graph_mismatches(expected: DataFrame, actual: DataFrame, compared: list[str]) -> DataFrame:
     """urn and problem: expected assets that are missing or differ in a compared column."""
     both = expected.join(actual.select("urn", F.lit(True).alias("_there"), *(F.col(c).alias(f"_{c}") for c in compared)), "urn", "left")

@@ -7,6 +7,7 @@ import json
 import os
 import platform
 import stat
+import subprocess
 from importlib import metadata
 from pathlib import Path
 from typing import Any
@@ -50,6 +51,21 @@ def dependency_versions(names: tuple[str, ...] = ("pyspark", "pyarrow", "pandas"
     return out
 
 
+def git_snapshot(folder: str | Path) -> dict[str, Any]:
+    """Commit, branch and whether anything is changed, of the work tree that holds a folder; without one `available` is False."""
+
+    def git(*words: str) -> str | None:
+        try:
+            run = subprocess.run(["git", "-C", str(folder), *words], capture_output=True, text=True, timeout=30, check=False)
+        except (OSError, subprocess.TimeoutExpired):
+            return None
+        return run.stdout.strip() if run.returncode == 0 else None
+
+    commit = git("rev-parse", "HEAD")
+    changed = git("status", "--porcelain")
+    return {"available": commit is not None, "commit": commit, "branch": git("rev-parse", "--abbrev-ref", "HEAD"), "dirty": bool(changed) if changed is not None else None}
+
+
 def seal(spark: SparkSession, folder: str, run_id: str, **facts: Any) -> dict[str, Any]:
     """Writes the manifest with a digest of itself and makes the files read-only."""
     files = {r["path"]: {"sha256": r["sha256"], "bytes": r["bytes"]} for r in file_digests(spark, folder).orderBy("path").collect()}

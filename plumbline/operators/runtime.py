@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from ..functions.values import plain
 from ..plans import adapter, frontend
+from . import stable
 
 PREVIEW = 5
 
@@ -27,7 +28,7 @@ def execute(spark: SparkSession, sql: str) -> Execution:
     try:
         text = frontend.ready(spark, sql)
         adapter.parsed(spark, text)
-        result = spark.sql(text)
+        result = stable.kept(spark.sql(text))  # gates and comparison read it, not the query again
         rows = result.count()
         head = [{c: plain(v) for c, v in zip(result.columns, r, strict=True)} for r in result.limit(PREVIEW).collect()]
     except (PySparkException, adapter.PlanError, frontend.TemplateError, ValueError, StopIteration) as e:

@@ -8,6 +8,11 @@ from pyspark.sql import functions as F
 GATES = ["schema", "runtime", "governance", "result"]
 
 
+def skipped() -> list[dict[str, str]]:
+    """The gates of a candidate that isn't there."""
+    return [{"gate": g, "status": "SKIPPED"} for g in GATES]
+
+
 def rate(passed, total):
     """0.0 where there is nothing to rate."""
     return F.coalesce(F.try_divide(passed.cast("double"), total.cast("double")), F.lit(0.0))

@@ -31,7 +31,7 @@ def parsed(spark: SparkSession, sql: str):
     return plan
 
 
-_QUERY_NODES = {"Project", "Aggregate", "Filter", "Sort", "GlobalLimit", "LocalLimit", "Offset", "Distinct", "UnresolvedWith", "UnresolvedHaving", "Union", "Intersect", "Except", "SubqueryAlias", "UnresolvedRelation", "UnresolvedInlineTable", "OneRowRelation", "WithWindowDefinition", "Join", "UnresolvedSubqueryColumnAliases", "Pivot", "Unpivot", "UnresolvedTableValuedFunction", "Generate", "LateralJoin", "UnresolvedHint", "Sample"}
+_QUERY_NODES = {"Project", "Aggregate", "Filter", "Sort", "GlobalLimit", "LocalLimit", "Offset", "Distinct", "UnresolvedWith", "UnresolvedHaving", "Union", "Intersect", "Except", "SubqueryAlias", "UnresolvedRelation", "UnresolvedInlineTable", "LocalRelation", "OneRowRelation", "WithWindowDefinition", "Join", "UnresolvedSubqueryColumnAliases", "Pivot", "Unpivot", "UnresolvedTableValuedFunction", "Generate", "LateralJoin", "UnresolvedHint", "Sample"}
 
 
 def is_query(plan) -> bool:

@@ -207,6 +207,14 @@ def contract_report(spark, d):
     return contract.report_rows(_clv(spark, d), _contract())
 
 
+@_query("column_contract", "SELECT * FROM (VALUES ('duplicate_output_columns', 'o_status', 'rename_output_columns'), ('missing_required_columns', 'customer', 'add_required_output_aliases'), ('unexpected_output_columns', 'o_status,O_STATUS', 'exclude')) t(type, columns, actions)")
+def column_contract(spark, d):
+    own = _t(spark, d, "orders").select("o_orderkey", F.col("o_orderstatus").alias("o_status"), F.col("o_orderstatus").alias("O_STATUS"))
+    rules = contract.Contract.of({"contract_id": "c", "required_columns": ["O_ORDERKEY", "customer"], "allow_extra_columns": False})
+    found = contract.column_findings(own.columns, rules)
+    return spark.createDataFrame([(f["type"], ",".join(f["columns"]), ",".join(f["allowed_actions"])) for f in found], "type string, columns string, actions string")
+
+
 @_query("null_row_samples", f"WITH numbered AS (SELECT lifetime_value, row_number() OVER (ORDER BY c_custkey) AS row_number FROM ({_VALUE_SQL})) SELECT CAST(row_number AS BIGINT) AS row_number FROM numbered WHERE lifetime_value IS NULL ORDER BY 1 LIMIT 5")
 def null_row_samples(spark, d):
     from ..operators.positions import with_position
@@ -277,6 +285,18 @@ def all_gates_pass(spark, d):
     return score.readiness(_outcomes(spark, d), ["world", "task_id", "mode"])
 
 
+@_query("failure_actions", f"WITH o AS ({_OUTCOMES_SQL}), p AS (SELECT *, list_position(['schema', 'runtime', 'governance', 'result'], gate) AS place FROM o WHERE status <> 'PASS') SELECT world, task_id, mode, string_agg(gate || '=' || status, ',' ORDER BY place, status) AS failures FROM p GROUP BY ALL")
+def failure_actions(spark, d):
+    found = score.failure_actions(_outcomes(spark, d))
+    return found.withColumn("failures", F.array_join(F.transform("failures", lambda x: F.concat(x["gate"], F.lit("="), x["status"])), ","))
+
+
+@_query("repair_counts", f"WITH r AS ({_READY_SQL}) SELECT mode, CAST(sum(CASE WHEN ready THEN 0 ELSE 1 END) AS BIGINT) AS repairs_attempted, CAST(0 AS BIGINT) AS repairs_passed FROM r GROUP BY mode")
+def repair_counts(spark, d):
+    ready = score.readiness(_outcomes(spark, d), ["world", "task_id", "mode"])
+    return score.repairs(ready.select("mode", (~F.col("ready")).cast("int").alias("repair_attempts"), F.when(F.col("ready"), "NOT_NEEDED").otherwise("FAIL").alias("repair_status")))
+
+
 # --- lineage graph and impact -----------------------------------------------------------------------------------
 
 
@@ -316,6 +336,21 @@ def path_closure_3hop(spark, d):
     return found.select("node", F.col("degree").cast("long").alias("degree"), F.array_join("path", ">").alias("path"))
 
 
+@_query("downstream_assets", """WITH e AS (SELECT CASE WHEN p_partkey % 11 <> 0 THEN 'u' || p_partkey END AS urn, CASE WHEN p_partkey % 13 <> 0 THEN 'db.' || CASE WHEN p_size % 5 = 0 THEN upper(p_brand) ELSE p_brand END END AS name, p_size, p_partkey FROM part)
+SELECT urn, name, CASE p_size % 3 WHEN 0 THEN 'HIGH' WHEN 1 THEN 'LOW' END AS criticality, lower(split_part(name, '.', -1)) = lower('Brand#12') AS is_representation, CASE WHEN p_partkey % 4 = 0 THEN '' WHEN p_partkey % 6 = 0 THEN 's' ELSE 's>' || urn END AS path FROM e WHERE urn IS NOT NULL AND name IS NOT NULL""")
+def downstream_assets(spark, d):
+    key, size, brand = F.col("p_partkey"), F.col("p_size") % 3, F.col("p_brand")
+    urn = F.when(key % 11 != 0, F.concat(F.lit("u"), key.cast("string")))
+    node = lambda x: F.struct(x.alias("urn"), F.lit("DATASET").alias("type"))
+    first = F.array(node(F.lit("s")), node(F.when(key % 6 != 0, urn)))  # an element without a urn goes
+    paths = F.when(key % 4 != 0, F.array(first, F.array(node(F.lit("other"))))).otherwise(F.array().cast("array<array<struct<urn:string,type:string>>>"))
+    tokens = F.when(size == 0, F.array(F.lit("urn:li:tag:criticality-high"), F.lit("CRITICALITY:LOW"))).when(size == 1, F.array(F.lit("Criticality_low"))).otherwise(F.array(F.lit("PII")))
+    name = F.when(key % 13 != 0, F.concat(F.lit("db."), F.when(F.col("p_size") % 5 == 0, F.upper(brand)).otherwise(brand)))
+    none = F.lit(None).cast("string")
+    raw = _t(spark, d, "part").select(urn.alias("urn"), name.alias("name"), none.alias("type"), none.alias("platform"), F.lit(1).alias("degree"), tokens.alias("tokens"), paths.alias("paths"))
+    return graph.assets(raw, "prod.Brand#12").select("urn", "name", "criticality", "is_representation", F.array_join("lineage_path.urn", ">").alias("path"))
+
+
 _IMPACT_POLICY = {"policy_id": "p", "ignore_representation_copies": True, "require_verified_paths": True, "default_criticality": "MEDIUM", "no_downstream_action": "AUTO_PR", "actions": {"LOW": "AUTO_PR", "MEDIUM": "REVIEW_REQUIRED", "HIGH": "BLOCK_AUTO_MERGE"}}
 # Assets derived from parts: a brand is a source, its parts are the consumers.
 _ASSETS_SQL = """SELECT p_brand AS source, 'u' || p_partkey AS urn, CASE p_size % 4 WHEN 0 THEN 'LOW' WHEN 1 THEN 'MEDIUM' WHEN 2 THEN CASE WHEN p_partkey % 40 = 0 THEN 'HIGH' ELSE 'LOW' END END AS declared,
@@ -387,13 +422,13 @@ def pii_drop_projection(spark, d):
 _LIVE_SQL = "WITH base AS (SELECT *, upper(c_name) AS shout FROM customer) SELECT c_custkey, shout AS label, count(*) OVER (PARTITION BY c_nationkey) AS peers, (SELECT max(c_name) FROM customer) AS last_name FROM base"
 
 
-@_query("lineage_live_report")
+@_query("lineage_live_report", "SELECT * FROM (VALUES ('c_custkey', 'c_custkey'), ('label', 'c_name'), ('peers', 'c_nationkey'), ('last_name', 'c_name')) t(output_column, source_column)")
 def lineage_live_report(spark, d):
     rows = [(o.name, s) for o in lineage.of_sql(spark, _LIVE_SQL, _CUSTOMER_CONTEXT) for s in sorted(o.sources) or [""]]
     return spark.createDataFrame(rows, "output_column string, source_column string")
 
 
-@_query("schema_gate_live_report")
+@_query("schema_gate_live_report", "SELECT * FROM (VALUES ('c_email', 'not_in_context_schema'), ('loyalty', 'not_produced_by_derived_source')) t(column_name, reasons)")
 def schema_gate_live_report(spark, d):
     report = schema_gate.validate(spark, "WITH t AS (SELECT c_custkey, c_email AS mail FROM customer) SELECT mail, loyalty FROM t", _CUSTOMER_CONTEXT)
     return spark.createDataFrame([(x["column"], ",".join(x["reasons"])) for x in report["invalid_details"]], "column_name string, reasons string")
@@ -419,14 +454,40 @@ def row_sha256(spark, d):
     return _t(spark, d, "orders").select("o_orderkey", F.sha2(F.concat_ws("|", F.col("o_orderkey").cast("string"), "o_orderstatus"), 256).alias("digest"))
 
 
-@_query("memory_append", "WITH wanted AS (SELECT 'u' || c_nationkey AS url, 'Task: ' || c_mktsegment || ' Note: n' || c_custkey AS description, c_custkey FROM customer) SELECT url, description FROM wanted WHERE c_custkey % 3 <> 0 UNION ALL SELECT url, description FROM wanted WHERE c_custkey % 3 = 0")
+_ENTRIES_SQL = "SELECT 'u' || c_nationkey AS url, c_mktsegment AS task, 'n' || c_custkey % 60 AS note, 'Run: r' || c_custkey || chr(10) || 'Task: ' || c_mktsegment || chr(10) || 'Note: n' || c_custkey % 60 AS description, c_custkey FROM customer"
+
+
+@_query("memory_append", f"WITH e AS ({_ENTRIES_SQL}), log AS (SELECT url, description FROM e WHERE c_custkey % 3 = 0) SELECT url, description FROM log UNION ALL SELECT url, description FROM e WHERE NOT EXISTS (SELECT 1 FROM log WHERE log.url = e.url AND contains(log.description, 'Task: ' || e.task) AND contains(log.description, 'Note: ' || e.note))")
 def memory_append(spark, d):
-    c = _t(spark, d, "customer").select(F.concat(F.lit("u"), F.col("c_nationkey").cast("string")).alias("url"), F.col("c_mktsegment").alias("task"), F.concat(F.lit("n"), F.col("c_custkey").cast("string")).alias("note"), "c_custkey")
-    c = c.withColumn("description", F.concat(F.lit("Task: "), "task", F.lit(" Note: "), "note"))
-    log = c.where("c_custkey % 3 = 0").select("url", "description")
-    # the log holds whole descriptions here, so that an exact key finds them
-    fresh = c.join(log, ["url", "description"], "left_anti")
-    return log.unionByName(fresh.select("url", "description"))
+    key = F.col("c_custkey")
+    note = F.concat(F.lit("n"), (key % 60).cast("string"))
+    text = F.concat(F.lit("Run: r"), key.cast("string"), F.lit("\nTask: "), "c_mktsegment", F.lit("\nNote: "), note)
+    entries = _t(spark, d, "customer").select(F.concat(F.lit("u"), F.col("c_nationkey").cast("string")).alias("url"), F.col("c_mktsegment").alias("task"), note.alias("note"), text.alias("description"), "c_custkey")
+    log = entries.where("c_custkey % 3 = 0").select("url", "description")
+    # a note such as n1 is held by an element with n12, too: containment decides, not equality
+    return log.unionByName(memory.absent(entries, log).select("url", "description"))
+
+
+@_query("tag_ensure", "WITH have AS (SELECT DISTINCT 'T' || p_size AS tag, 'old' AS description FROM part WHERE p_size % 3 = 0) SELECT * FROM have UNION ALL SELECT 'T' || p_size, min(p_brand) FROM part WHERE 'T' || p_size NOT IN (SELECT tag FROM have) GROUP BY 1")
+def tag_ensure(spark, d):
+    tag = F.concat(F.lit("T"), F.col("p_size").cast("string")).alias("tag")
+    p = _t(spark, d, "part")
+    return memory.ensured_tags(p.select(tag, F.col("p_brand").alias("description")), p.where("p_size % 3 = 0").select(tag, F.lit("old").alias("description")).distinct())
+
+
+@_query("graph_upsert", "WITH a AS (SELECT 'u' || p_partkey AS urn, p_brand AS name, p_size AS degree FROM part WHERE p_partkey % 2 = 0), e AS (SELECT 'u' || p_partkey AS urn, upper(p_name) AS name, p_size + 1 AS degree FROM part WHERE p_partkey % 3 = 0) SELECT coalesce(e.urn, a.urn) AS urn, CASE WHEN e.urn IS NULL THEN a.name ELSE e.name END AS name, CAST(CASE WHEN e.urn IS NULL THEN a.degree ELSE e.degree END AS INTEGER) AS degree FROM e FULL JOIN a ON e.urn = a.urn")
+def graph_upsert(spark, d):
+    p = _t(spark, d, "part").withColumn("urn", F.concat(F.lit("u"), F.col("p_partkey").cast("string")))
+    actual = p.where("p_partkey % 2 = 0").select("urn", F.col("p_brand").alias("name"), F.col("p_size").cast("int").alias("degree"))
+    expected = p.where("p_partkey % 3 = 0").select("urn", F.upper("p_name").alias("name"), (F.col("p_size") + 1).cast("int").alias("degree"))
+    return memory.upserted(expected, actual)
+
+
+@_query("graph_mismatches", "WITH a AS (SELECT 'u' || p_partkey AS urn, CASE WHEN p_size > 25 THEN p_brand END AS name FROM part WHERE p_partkey % 5 <> 0), e AS (SELECT 'u' || p_partkey AS urn, CASE WHEN p_size > 10 THEN p_brand END AS name FROM part) SELECT e.urn, CASE WHEN a.urn IS NULL THEN 'missing' ELSE 'mismatched' END AS problem FROM e LEFT JOIN a ON e.urn = a.urn WHERE a.urn IS NULL OR e.name IS DISTINCT FROM a.name")
+def graph_mismatches(spark, d):
+    p = _t(spark, d, "part").withColumn("urn", F.concat(F.lit("u"), F.col("p_partkey").cast("string")))
+    actual = p.where("p_partkey % 5 <> 0").select("urn", F.when(F.col("p_size") > 25, F.col("p_brand")).alias("name"))
+    return memory.graph_mismatches(p.select("urn", F.when(F.col("p_size") > 10, F.col("p_brand")).alias("name")), actual, ["name"])
 
 
 @_query("tag_apply_missing", "SELECT 'f' || p_partkey AS field, 'PII' AS tag FROM part WHERE p_size > 10 UNION SELECT 'f' || p_partkey, CASE WHEN p_size < 30 THEN 'PII' ELSE 'OLD' END FROM part WHERE p_size < 40")

@@ -62,9 +62,9 @@ def violations(pairs: DataFrame, tagged: DataFrame, denied: list[str]) -> DataFr
 
 
 def allowed_actions(found: DataFrame, by_class: dict[str, list[str]]) -> DataFrame:
-    """found (tokens) with actions: what the policy allows for its classifications, each once in sorted order of their classes' rank."""
+    """found (tokens) with actions: what the policy allows for its classifications, each once, in the order in which their classes appear."""
     table = F.create_map(*(x for k, v in by_class.items() for x in (F.lit(k), F.array(*map(F.lit, v)))))
-    keys = F.array_sort(F.array_distinct(F.transform("tokens", classification_key)), lambda a, b: F.when(a > b, -1).when(a < b, 1).otherwise(0))
+    keys = F.array_distinct(F.transform("tokens", classification_key))
     lists = F.transform(keys, lambda k: F.coalesce(F.try_element_at(table, k), F.array().cast("array<string>")))
     return found.withColumn("actions", F.array_distinct(F.flatten(lists)))
 

@@ -54,7 +54,7 @@ def build_context(spark: SparkSession, keyword: str, search: Callable[[str], lis
     if found is None:
         raise ServiceError(f"no dataset for {keyword!r}")
     names = spark.createDataFrame([(n, i) for i, n in enumerate(upstream(found["urn"]))], "name string, position int")
-    assets = graph.assets(downstream(found["urn"]), found["name"]).limit(graph.MAX_RESULTS)
+    assets = graph.assets(downstream(found["urn"]), found["name"]).orderBy("degree", "urn").limit(graph.MAX_RESULTS)
     return {
         "table_name": found["name"].rpartition(".")[2],
         "urn": found["urn"],

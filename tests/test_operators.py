@@ -206,6 +206,89 @@ def test_generate_all_keeps_failures():
     assert admission.generate_all([("a", "p"), ("b", "p")], lambda t, p: "ok" if t == "a" else 1 / 0) == ["ok", None]
 
 
+def test_admission_survives_plans_that_nothing_understands(spark):
+    report = admission.admit(spark, "select id from (values (1)) v(id)", CONTEXT, GOVERNANCE, POLICY, "t", None)
+    assert report["gates"]["initial_schema"]["status"] == "PASS"
+    fixed = admission.admit(spark, "select customer_id, first_name from customers", CONTEXT, GOVERNANCE, POLICY, "t", admission.projection_repair(spark, GOVERNANCE))
+    assert (fixed["repair"]["status"], fixed["admission_action"]) == ("PASS", "AUTO_PR")
+
+
+def test_contract_lists_few_of_many_unexpected_values(spark):
+    report = contract.evaluate(spark.range(5000).selectExpr("id as k"), {"contract_id": "c", "value_counts": {"k": {"1": 1, "9999": 2}}})
+    found = report["violations"][0]
+    assert found["type"] == "value_count_mismatch" and found["unexpected_values"] == 4999 and len(found["actual"]) == 1 + contract.UNEXPECTED
+
+
+def test_assurance_run_writes_back(spark, tmp_path):
+    spark.createDataFrame([(1, 12.5)], "customer_id int, customer_lifetime_value double").createOrReplaceTempView("customers")
+    log = []
+    read = lambda: spark.createDataFrame(log, "url string, description string")
+    write_back = lambda e: memory.append(e, read, lambda df: log.extend(tuple(r) for r in df.collect()))
+    run = lambda name, back: admission.assurance_run(spark, tmp_path, name, "t", CONTEXT, GOVERNANCE, contract.Contract.of({"contract_id": "c"}), lambda *a: "select customer_id from customers", None, back, tmp_path)
+    first = run("r1", write_back)
+    assert first["status"] == "PASS" and first["write_back"] == {"status": "APPENDED"} and first["git"]["available"] is False
+    assert run("r2", write_back)["write_back"] == {"status": "UNCHANGED"} and len(log) == 1 and "Task: t" in log[0][1]
+    assert run("r3", lambda e: 1 / 0)["write_back"]["error_type"] == "ZeroDivisionError"
+    assert run("r4", None)["write_back"]["status"] == "NOT_REQUESTED"
+
+
+def benchmark_files(tmp_path):
+    context = {"table_name": "orders", "fields": [{"fieldPath": "order_id", "nativeDataType": "INTEGER"}, {"fieldPath": "total_amount", "nativeDataType": "DECIMAL(12,2)"}]}
+    tasks = [{"id": f"t{i}", "prompt": f"p{i}", "reference_sql": "select order_id, total_amount from orders order by order_id"} for i in range(3)]
+    (tmp_path / "orders.json").write_text(json.dumps(context))
+    (tmp_path / "worlds.json").write_text(json.dumps({"worlds": [{"id": "w", "context_file": "orders.json", "rows": [[1, 120.5], [2, 80.0]], "tasks": tasks}]}))
+    return tmp_path / "worlds.json"
+
+
+def test_benchmark_run(spark, tmp_path):
+    good = "select order_id, total_amount from orders order by order_id"
+
+    def generate(task, prompt):
+        if task == "p2":
+            raise TimeoutError
+        return good if task == "p0" and "orders" in prompt else "select order_id, amount as total_amount from orders order by 1"
+
+    report = admission.benchmark_run(spark, benchmark_files(tmp_path), generate, lambda sql, *a: good, GOVERNANCE, tmp_path / "out", "r1")
+    assert report["ready"] == {"blind": 0, "context": 1, "assurance": 2} and report["tasks"] == 3
+    assert (report["repairs"]["repairs_attempted"], report["repairs"]["repairs_passed"]) == (1, 1)
+    assert json.loads((tmp_path / "out" / "latest.json").read_text())["run_id"] == "r1" and (tmp_path / "out" / "r1" / "sql" / "t1__assurance.sql").read_text().strip() == good
+    assert "| mode | assurance | ready | 2 | 3 | 66.7% |" in (tmp_path / "out" / "summary.md").read_text()
+    assert [g["status"] for g in report["gates"]["t2/context"]] == ["SKIPPED"] * 4
+
+
+def test_command_lines(spark, tmp_path, capsys):
+    from plumbline.__main__ import main
+
+    def put(name, value):
+        (tmp_path / name).write_text(value if isinstance(value, str) else json.dumps(value))
+        return str(tmp_path / name)
+
+    context, policy, routes = put("c.json", CONTEXT), put("p.json", GOVERNANCE), put("i.json", POLICY)
+    bad, good = put("bad.sql", "select customer_id, first_name from customers"), put("good.sql", "select customer_id from customers")
+    assert main(["schema", "--sql", good, "--context", context]) == 0 and json.loads(capsys.readouterr().out)["status"] == "PASS"
+    assert main(["schema", "--sql", put("x.sql", "select nothing from customers"), "--context", context, "--report", str(tmp_path / "r.json")]) == 1
+    assert json.loads((tmp_path / "r.json").read_text())["hallucinated_columns"] == ["nothing"]
+    assert main(["governance", "--sql", bad, "--context", context, "--policy", policy]) == 1
+    assert main(["governance", "--sql", bad, "--context", context, "--policy", policy, "--repaired", str(tmp_path / "fixed.sql")]) == 0 and "first_name" not in (tmp_path / "fixed.sql").read_text()
+    assert main(["admit", "--sql", bad, "--context", context, "--policy", policy, "--impact-policy", routes]) == 0
+    high = put("h.json", CONTEXT | {"downstream_assets": [asset("HIGH")]})
+    medium = put("m.json", CONTEXT | {"downstream_assets": [asset("MEDIUM")]})
+    assert [main(["impact", "--context", c, "--policy", routes]) for c in (context, high, medium)] == [0, 1, 3]
+    assert main(["schema", "--sql", str(tmp_path / "none.sql"), "--context", context]) == 2
+    spark.createDataFrame([(1,), (2,)], "customer_id int").write.parquet(str(tmp_path / "customers.parquet"))
+    rules = put("k.json", {"contract_id": "c", "exact_row_count": 2})
+    assert main(["result", "--sql", good, "--contract", rules, "--tables", str(tmp_path)]) == 0
+    (tmp_path / "run").mkdir()
+    (tmp_path / "run" / "a.txt").write_text("x")
+    provenance.seal(spark, str(tmp_path / "run"), "r")
+    assert main(["verify", "--run", str(tmp_path / "run")]) == 0
+    (tmp_path / "sql").mkdir()
+    (tmp_path / "sql" / "t0__blind.sql").write_text("select order_id, total_amount from orders order by order_id")
+    capsys.readouterr()
+    assert main(["score", "--benchmark", str(benchmark_files(tmp_path)), "--candidates", str(tmp_path / "sql"), "--policy", policy, "--modes", "blind"]) == 0
+    assert {(r["passed"], r["total"]) for r in json.loads(capsys.readouterr().out)["rollups"] if r["level"] == "mode"} == {(1, 3)}
+
+
 def test_streaming_counts(spark, tmp_path):
     from plumbline.streaming import running_counts
 

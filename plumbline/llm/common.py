@@ -54,11 +54,17 @@ def remove(spark: SparkSession, folder: str) -> None:
         made.remove(folder)
 
 
+def free_shuffles(spark: SparkSession) -> None:
+    """Lets Spark's cleaner remove the shuffle files of plans that have ended: it learns of them when the driver collects garbage."""
+    spark.sparkContext._jvm.java.lang.System.gc()
+
+
 def stored(df: DataFrame, label: str) -> DataFrame:
     """Writes df as a Parquet table in the shared folder and reads it again: cuts lineage, survives lost executors."""
     path = scratch_path(df.sparkSession, label)
     made.append(path)
     df.write.option("compression", "zstd").parquet(path)
+    free_shuffles(df.sparkSession)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
@@ -69,6 +75,18 @@ def drop_scratch(spark: SparkSession, df: DataFrame) -> None:
         remove(spark, folder)
 
 
+def mark() -> set[str]:
+    """The scratch folders there are by now, for drop_since()."""
+    return set(made)
+
+
+def drop_since(spark: SparkSession, before: set[str], *keep: DataFrame) -> None:
+    """Removes the stored() tables made since, but for those that the results still read."""
+    kept = {x.rpartition("/")[0].rpartition("/")[2] for df in keep for x in df.inputFiles()}
+    for folder in [x for x in made if x not in before and x.rpartition("/")[2] not in kept]:
+        remove(spark, folder)
+
+
 def arrow_batches(spark: SparkSession, megabytes: int = 8) -> None:
     """Bounds what Spark sends to a Python worker at once, so that batches of long texts stay small."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(megabytes << 9))
@@ -98,28 +116,50 @@ def tidy(run: Callable) -> Callable:
     return tidied
 
 
+#: What a worker keeps from task to task of one call: its name and the thing.
+_kept: list = [None, None]
+
+
+def worker_state(call: str, make: Callable):
+    """A worker's state for a call. There is one at a time: a reused worker forgets what earlier calls have left in it."""
+    if _kept[0] != call:
+        _kept[:] = [None, None]
+        _kept[:] = [call, make()]
+    return _kept[1]
+
+
+def private(df: DataFrame, *names: str) -> list[str]:
+    """The names, each with underscores until no column of df is called so (in any case)."""
+    taken, out = {c.lower() for c in df.columns}, []
+    for name in names:
+        while name.lower() in taken:
+            name = f"_{name}"
+        out.append(name)
+    return out
+
+
 def ids_and_text(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     return df.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
 
 
-def hot_rows(total: int, share: int = 1000) -> int:
-    """Rows from which a key is hot among `total`."""
+def hot_rows(spark: SparkSession, total: int) -> int:
+    """Rows from which a key is hot among `total`: a fourth of a shuffled partition, and at least 1000.
+
+    There are at most four times as many hot keys as shuffle partitions (and a thousand at least, a million at most), which
+    bounds what is broadcast of them.
+    """
+    share = min(1_000_000, max(1000, 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))))
     return max(1000, -(-total // share))
 
 
-def hot_split(df: DataFrame, counts: DataFrame, keys: list[str], payload: list[str], total: int, share: int = 1000) -> DataFrame:
+def hot_split(df: DataFrame, counts: DataFrame, keys: list[str], payload: list[str], total: int) -> DataFrame:
     """df left-joined to counts (one row per key, with its number of rows `rows`) without a hot key in any task.
 
-    A key that holds at least 1/share of all rows, and at least 1000, is hot; there are at most `share`
-    such keys, which bounds the broadcast. The others meet in an ordinary shuffled join.
+    The hot keys' rows are broadcast; the others meet in an ordinary shuffled join.
     """
-    least = hot_rows(total, share)
+    least = hot_rows(df.sparkSession, total)
     hot = F.broadcast(counts.where(F.col("rows") >= least).select(*keys, *[F.col(c).alias(f"hot_{c}") for c in payload], F.lit(True).alias("is_hot")))
     tagged = df.join(hot, keys, "left")
     cold = tagged.where("is_hot is null").drop("is_hot", *[f"hot_{c}" for c in payload]).join(counts.where(F.col("rows") < least).select(*keys, *payload), keys, "left")
     warm = tagged.where("is_hot").select(*df.columns, *[F.col(f"hot_{c}").alias(c) for c in payload])
     return warm.unionByName(cold.select(*warm.columns))
-
-
-def first_of(columns: list[str], wanted: str) -> Column:
-    return F.col(wanted) if wanted in columns else F.lit(None)

@@ -13,7 +13,6 @@ from __future__ import annotations
 
 import re
 import zlib
-from functools import lru_cache
 from itertools import islice
 
 import numpy as np
@@ -29,7 +28,9 @@ from .token_counts import load_tokenizer
 LENGTH = 2048
 END_ID = 1
 #: Entries of a worker's memo of encoded words, about 200 bytes each.
-MEMO = 1_000_000
+MEMO = 300_000
+#: Megabytes that a worker gets at once; larger batches repeat more of their words.
+BATCH = 12
 DIMS, BITS, BUCKETS, SEED = 4, 8, 1024, 7
 #: ASCII and the letters of Latin-1: lower-casing and composition are plain there.
 _PLAIN = re.compile(r"[\t\n\r\x0b\x0c\x20-\x7eÀ-ÖØ-öø-ÿ]*")
@@ -96,12 +97,6 @@ class WordIds:
         return ids, begin
 
 
-@lru_cache(maxsize=1)
-def worker_words(tokenizer_path: str, memo: int) -> WordIds:
-    """A worker's encoder, kept from task to task with what it has learnt."""
-    return WordIds(load_tokenizer(tokenizer_path), memo)
-
-
 def projection(seed: int = SEED) -> np.ndarray:
     return np.random.default_rng(seed).standard_normal((BUCKETS, DIMS))
 
@@ -145,7 +140,8 @@ def hilbert(at: np.ndarray, bits: int = BITS) -> np.ndarray:
 def _encoded(tokenizer_path: str, end_id: int, memo: int):
     @common.tidy
     def run(batches):
-        words, plane, end = worker_words(tokenizer_path, memo), projection(), np.array([end_id], "<u2")
+        words = common.worker_state(f"words {tokenizer_path} {memo}", lambda: WordIds(load_tokenizer(tokenizer_path), memo))
+        plane, end = projection(), np.array([end_id], "<u2")
         for batch in batches:
             ids, begin = words(batch.column("text").to_pylist())
             own = [np.concatenate([ids[a:b], end]) for a, b in zip(begin[:-1], begin[1:], strict=True)]
@@ -183,7 +179,7 @@ def _cut(base: dict[int, int], length: int):
 
 def laid_out(df: DataFrame, tokenizer_path: str, *, id_col: str = "doc_id", text_col: str = "text", end_id: int = END_ID, memo: int = MEMO) -> DataFrame:
     """A stored table of documents in curve order: doc_id, curve_key, doc_tokens, ids (16-bit), part, first (place in its part)."""
-    common.arrow_batches(df.sparkSession, 24)  # larger batches repeat more of their words
+    common.arrow_batches(df.sparkSession, BATCH)
     encoded = common.stored(common.ids_and_text(df, id_col, text_col).mapInArrow(_encoded(tokenizer_path, end_id, memo), "doc_id long, curve_key long, doc_tokens long, ids binary"), "pack-ids")
     ranged = encoded.repartitionByRange("curve_key", "doc_id").sortWithinPartitions("curve_key", "doc_id")
     laid = common.stored(ranged.mapInArrow(_laid, "doc_id long, curve_key long, doc_tokens long, ids binary, part int, first long"), "pack-laid")

@@ -1,42 +1,56 @@
 """PII: detected entities get keyed surrogates of the same type and format.
 
-Detected are e-mail addresses, IPv4 addresses, payment card numbers whose check digit holds, phone numbers, US social security numbers,
-IBANs, access keys, assigned tokens and passwords, and names after a form of address. An entity's canonical form
-(digits of a number, small letters of an address) is mapped by a keyed permutation of all forms of the same
-pattern, digits to digits and letters to letters; the surface gets it back with the separators and capitals
-it had. Card numbers keep their length and network digit and a valid check digit; phone numbers keep the
-country code; addresses go to example domains. Name parts get invented names of the same script, with an ending of
-the same gender, and the same part always gets the same name. The key alone decides, so that an entity is replaced
-alike in every document, and equal keys join equal entities over runs.
-
-Collision checks: over the distinct entities of the whole corpus, a surrogate that is its own original, that is
+Detected are e-mail addresses, IPv4 and IPv6 addresses, payment card numbers whose check digit holds, phone numbers (bare
+digits only after a word such as phone), US social security numbers, IBANs whose check digits hold, access keys, assigned
+tokens and passwords, and names after a form of address or a label such as Name. A name's parts, wherever else in its
+document they stand with a capital, are mentions of it. Names without any title or label in their document are not found.
+
+An entity's canonical form (digits of a number, small letters of an address or a name's part) is mapped by a keyed
+permutation of all forms of the same pattern, digits to digits and letters to letters; the surface gets it back
+with the separators and capitals it had. Card numbers keep their length and network digit and a valid check digit; IBANs
+their country and valid check digits; phone numbers the country code; IP addresses their class (private, loopback, public
+and so on); e-mail addresses go to example domains. A name's part gets an invented name of the same script, with an
+ending of its gender: that of the titles by which most documents address it, none if they are as many. It is one name
+for one part, whatever the title, the capitals or the document. The key alone decides, so equal keys join equal
+entities over runs; whoever holds it can undo the surrogates of numbers, so it is as secret as the text.
+
+Checks over the distinct entities of the whole corpus: a surrogate that is its own original, that is
 another original, or that two originals share is drawn anew until none is left, the smallest original keeping
-it. Redrawn entities reach their documents through a join.
+it. What a document cannot know by itself (entities drawn anew, genders told otherwise elsewhere) reaches it through a
+join on entities, then on texts, both without hot keys.
 
-Defined results: null text stays null, with 0 entities; empty text stays empty; repeated rows are replaced alike;
-extra columns are kept. An empty table gives no rows.
+Defined results: null text stays null, with 0 entities; empty text stays empty; texts are handled whole, however long;
+repeated rows are replaced alike, and equal entities alike everywhere; extra columns are kept, but for one named
+n_entities, which the count replaces. Without a key (the argument or the setting spark.plumbline.pii.key) nothing is
+done and an error raised. An empty table gives no rows.
 """
 
 from __future__ import annotations
 
 import hashlib
+import ipaddress
 import re
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StringType, StructField, StructType
 
 from . import common
 
-#: The key of the queries; production sets spark.plumbline.pii.key.
-KEY = "plumbline"
+#: The key of the queries over the synthetic tables, unless the session has one. The operator has none of its own.
+QUERY_KEY = "synthetic tables"
 ROUNDS = 8
 #: A round's hash covers half the bits of a text of up to LONG characters; longer ones are taken in pieces.
 LONG, PIECE = 85, 64
+#: Attempts after which a secret's surrogate may be longer than it, if its pattern has no free form left.
+CROWDED = 20
 # Forms of address by gender, syllables and endings of invented names by script.
 MALE = ["Mr", "Mister", "Herr", "Monsieur", "Señor", "Sr", "Signor", "г-н", "господин", "κύριος"]
 FEMALE = ["Mrs", "Ms", "Miss", "Frau", "Madame", "Mme", "Mlle", "Señora", "Sra", "Signora", "г-жа", "госпожа", "κυρία"]
 OPEN = ["Dr", "Prof", "Professor", "Mx"]
+LABELS = ["Name", "Full name", "Nombre", "Nom", "Имя", "Όνομα"]
+PHONES = ["phone", "telephone", "tel", "mobile", "cell", "fax", "whatsapp"]
 SYLLABLES = {
     "latin": ["ba", "ce", "di", "fo", "gu", "ha", "je", "ki", "lo", "mu", "na", "pe", "ri", "so", "tu", "va"],
     "cyrillic": ["ба", "ве", "ги", "до", "жу", "за", "ке", "ли", "мо", "ну", "па", "ре", "си", "то", "фу", "ха"],
@@ -47,7 +61,11 @@ ENDINGS = {
     "cyrillic": {"m": ["н", "р", "с", "л"], "f": ["на", "ла", "ра", "са"], "": ["т", "м", "к", "в"]},
     "greek": {"m": ["νος", "ρος", "λος", "τος"], "f": ["να", "ρα", "λα", "τα"], "": ["νης", "ρης", "λης", "της"]},
 }
+# Classes of IP addresses other than public ones (first address, bits that are free in it).
+CLASSES = [("0.0.0.0", 24), ("10.0.0.0", 24), ("100.64.0.0", 22), ("127.0.0.0", 24), ("169.254.0.0", 16), ("172.16.0.0", 20), ("192.168.0.0", 16), ("224.0.0.0", 28), ("240.0.0.0", 28)]
+_CLASSES = [(int(ipaddress.IPv4Address(a)), 1 << bits) for a, bits in CLASSES]
 _TITLES = "|".join(map(re.escape, sorted(MALE + FEMALE + OPEN, key=len, reverse=True)))
+_LABELS, _PHONES = "|".join(LABELS), "|".join(PHONES)
 _NAME = r"[A-ZÀ-ÖØ-ÞΑ-ΩА-Я][\w'’-]*\w"
 _PATTERNS = [
     ("email", r"(?<![\w.+-])[A-Za-z0-9][\w.+%-]*@(?:[A-Za-z0-9-]+\.)+[A-Za-z]{2,24}"),
@@ -55,14 +73,19 @@ _PATTERNS = [
     ("secret", r"(?i:(?<![a-z])(?:token|secret|api[_-]?key|password|passwd|pwd)\s*[=:]\s*[\"']?)(?P<secret>[A-Za-z0-9_+/.~-]{6,})"),
     ("iban", r"(?<![A-Za-z0-9])[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,4})?(?![A-Za-z0-9])"),
     ("ip", r"(?<![\w.])(?:(?:25[0-5]|2[0-4]\d|1?\d?\d)\.){3}(?:25[0-5]|2[0-4]\d|1?\d?\d)(?![\w]|\.\d)"),
+    ("ip6", r"(?<![\w:.])(?:[0-9A-Fa-f]{1,4}:){2,7}(?::?[0-9A-Fa-f]{1,4}(?::[0-9A-Fa-f]{1,4})*)?:?(?![\w:])|(?<![\w:.])(?:[0-9A-Fa-f]{1,4}::)(?:[0-9A-Fa-f]{1,4}(?::[0-9A-Fa-f]{1,4})*)?(?![\w:])"),
     ("ssn", r"(?<![\w-])\d{3}-\d{2}-\d{4}(?![\w-])"),
     ("card", r"(?<![\w.-])[3-6](?:[ -]?\d){12,18}(?![\w-])"),
     ("phone", r"(?<![\w.])(?:\+\d{1,3}[ .-]?)?(?:\(\d{2,4}\) ?|\d{2,4}[ .-])\d{3,4}[ .-]\d{3,4}(?![\w-])|(?<![\w.])\+\d{1,3}(?:[ .-]?\d){7,12}(?![\w-])"),
-    ("name", rf"(?<!\w)(?P<title>{_TITLES})\.? +(?P<name>{_NAME}(?: {_NAME}){{0,2}})"),
+    ("bare", rf"(?<![A-Za-z])(?i:{_PHONES})(?:\.|:| no\.?)?:? {{0,2}}(?P<number>\d{{7,12}})(?![\w-])"),
+    ("name", rf"(?<!\w)(?:(?P<title>{_TITLES})\.? +|(?:{_LABELS}): ?)(?P<name>{_NAME}(?: {_NAME}){{0,2}})"),
 ]
 _ENTITY = re.compile("|".join(f"(?P<t_{t}>{p})" for t, p in _PATTERNS))
+_GROUP = {"secret": "secret", "bare": "number"}
 #: Texts without any of these hold no entity.
-_HINT = re.compile(rf"[0-9@]|(?<!\w)(?:{_TITLES})(?!\w)|(?i:token|secret|key|passw|pwd)")
+_HINT = re.compile(rf"[0-9@]|::|(?<!\w)(?:{_TITLES}|{_LABELS})(?!\w)|(?i:token|secret|key|passw|pwd)")
+_WORD = re.compile(r"[^\W\d_][\w'’]*")
+_OWN = re.compile(r"['’]s$", re.I)
 
 
 def _number(key: bytes, *parts: object) -> int:
@@ -126,6 +149,22 @@ def luhn(digits: str) -> int:
     return sum(int(d) if i % 2 == 0 else sum(divmod(2 * int(d), 10)) for i, d in enumerate(reversed(digits))) % 10
 
 
+def mod97(iban: str) -> int:
+    """1 where the check digits hold."""
+    return int("".join(str(int(c, 36)) for c in iban[4:] + iban[:4])) % 97
+
+
+def moved_ip(x: int, key: bytes, tweak: str) -> int:
+    """An address of the same class."""
+    for first, size in _CLASSES:
+        if first <= x < first + size:
+            return first + permuted(x - first, size, key, f"{tweak}:{first}")
+    while True:  # a permutation of all, walked until it is a public one again
+        x = permuted(x, 1 << 32, key, tweak)
+        if not any(first <= x < first + size for first, size in _CLASSES):
+            return x
+
+
 def script(word: str) -> str:
     return "cyrillic" if re.search("[А-Яа-яЁё]", word) else "greek" if re.search("[Α-Ωα-ωά-ώ]", word) else "latin"
 
@@ -145,8 +184,8 @@ def canonical(kind: str, surface: str) -> str:
     return surface.replace(" ", "") if kind == "iban" else surface
 
 
-def surrogate(kind: str, canon: str, key: bytes, attempt: int = 0) -> str:
-    """The surrogate of a canonical form. Names are given as gender:part."""
+def surrogate(kind: str, canon: str, key: bytes, attempt: int = 0, sex: str = "") -> str:
+    """The surrogate of a canonical form; names are in small letters."""
     tweak = f"{kind}:{attempt}"
     if kind == "email":
         local, _, domain = canon.rpartition("@")
@@ -155,8 +194,12 @@ def surrogate(kind: str, canon: str, key: bytes, attempt: int = 0) -> str:
         tail = domain.rpartition(".")[2]
         return moved + ("." if host else "") + f"example.{tail if tail in ('com', 'org', 'net') else 'com'}"
     if kind == "ip":
-        x = permuted(int.from_bytes(bytes(map(int, canon.split("."))), "big"), 1 << 32, key, tweak)
-        return ".".join(map(str, x.to_bytes(4, "big")))
+        return str(ipaddress.IPv4Address(moved_ip(int(ipaddress.IPv4Address(canon)), key, tweak)))
+    if kind == "ip6":  # the first 16 bits tell the class, groups of zeros stay
+        groups = [canon[i : i + 4] for i in range(0, 32, 4)]
+        live = [i for i in range(1, 8) if groups[i] != "0000"]
+        moved = reformed("".join(groups[i] for i in live), key, f"{tweak}{groups[0]}{live}", hexadecimal=True)
+        return "".join(moved[4 * live.index(i) :][:4] if i in live else g for i, g in enumerate(groups))
     if kind == "card":
         body = canon[0] + reformed(canon[1:-1], key, tweak + canon[0])
         off = luhn(canon)
@@ -167,16 +210,18 @@ def surrogate(kind: str, canon: str, key: bytes, attempt: int = 0) -> str:
     if kind == "access":
         return canon[:4] + reformed(canon[4:], key, tweak)
     if kind == "iban":
-        return canon[:2] + reformed(canon[2:], key, tweak)
+        body = reformed(canon[4:], key, tweak + canon[:2])
+        return f"{canon[:2]}{98 - mod97(canon[:2] + '00' + body):02d}{body}"
     if kind == "name":
-        sex, _, part = canon.partition(":")
-        own = script(part)
-        x = _number(key, tweak, part)
+        own = script(canon)
+        x = _number(key, tweak, canon)
         word = ""
-        for _ in range(2 + x % 2 + attempt):
+        for _ in range(3 + x % 2 + attempt):
             x, i = divmod(x, 16)
             word += SYLLABLES[own][i]
-        return (word + ENDINGS[own][sex][x % 4]).capitalize()
+        return word + ENDINGS[own][sex][x % 4]
+    if kind == "secret" and attempt >= CROWDED:  # hardly any form of this pattern is free: a longer one
+        canon += "".join(str(_number(key, tweak, i, canon) % 10) for i in range(attempt - CROWDED + 4))
     return reformed(canon, key, tweak, hexadecimal=kind == "secret" and re.fullmatch(r"[0-9a-f]{16,}", canon) is not None)
 
 
@@ -189,40 +234,73 @@ def dressed(kind: str, surface: str, new: str) -> str:
         for c in reversed(surface):  # from the end: a country code before it stays
             out.append(left.pop() if c.isalnum() and left else c)
         return "".join(reversed(out))
+    if kind == "ip6":
+        address = ipaddress.IPv6Address(int(new, 16))
+        shown = address.exploded if len(surface) == 39 else str(address)
+        return shown.upper() if surface.upper() == surface else shown
+    if kind == "name":
+        return new.upper() if len(surface) > 1 and surface.isupper() else new.capitalize()
     return new
 
 
-def entities(text: str) -> list[tuple[int, int, str, str, str]]:
-    """(start, end, kind, surface, canonical form) of each entity; a name's parts are entities of their own."""
-    found = []
+def _found(m: re.Match) -> tuple[int, int, str, str] | None:
+    """(start, end, kind, canonical form) of a match that isn't a name, or None if it isn't what it looks like."""
+    kind = m.lastgroup[2:] if m.lastgroup.startswith("t_") else next(t for t, _ in _PATTERNS if m.group(f"t_{t}") is not None)
+    a, b = m.span(_GROUP[kind]) if kind in _GROUP else m.span()
+    surface = m.string[a:b]
+    if kind == "card" and luhn(re.sub(r"\D", "", surface)) or kind == "iban" and mod97(surface.replace(" ", "")) != 1:
+        return None  # any long number, any code of letters and digits
+    if kind == "ip6":
+        surface = surface.rstrip(":") if not surface.endswith("::") else surface
+        try:
+            x = int(ipaddress.IPv6Address(surface))
+        except ValueError:
+            return None
+        return (a, a + len(surface), kind, f"{x:032x}") if x > 1 and x & ((1 << 112) - 1) else None  # no, the own or a whole network's address
+    if kind == "secret" and sum(c.isalnum() for c in surface) < 4:  # a rule of dashes or dots
+        return None
+    kind = "phone" if kind == "bare" else kind
+    return a, b, kind, canonical(kind, surface)
+
+
+def entities(text: str) -> list[tuple[int, int, str, str, str, str]]:
+    """(start, end, kind, surface, canonical form, gender) of each entity in order; a name's parts are entities of their own."""
+    found: list[tuple[int, int, str, str]] = []
+    sexes: dict[str, str] = {}
     if not _HINT.search(text):
-        return found
+        return []
     for m in _ENTITY.finditer(text):
-        kind = m.lastgroup[2:] if m.lastgroup.startswith("t_") else next(t for t, _ in _PATTERNS if m.group(f"t_{t}") is not None)
-        if kind == "name":
-            parts, at = m.group("name").split(" "), m.start("name")
-            for i, part in enumerate(parts):
-                sex = gender(m.group("title")) if i < len(parts) - 1 else ""  # the last part is a family name
-                found.append((at, at + len(part), kind, part, f"{sex}:{part}"))
-                at += len(part) + 1
-            continue
-        a, b = m.span("secret") if kind == "secret" else m.span()
-        surface = text[a:b]
-        if kind == "card" and luhn(re.sub(r"\D", "", surface)):  # any long number
+        if m.group("name") is None:
+            if one := _found(m):
+                found.append(one)
             continue
-        found.append((a, b, kind, surface, canonical(kind, surface)))
-    return found
-
-
-def replaced(text: str, key: bytes, redrawn: dict[tuple[str, str], int] | None = None, memo: dict | None = None) -> tuple[str, int]:
-    """The text with surrogates, and how many."""
+        parts = [(p.start(), p.start() + len(_OWN.sub("", p.group()))) for p in re.compile(r"[^ -]+").finditer(text, *m.span("name"))]
+        for i, (a, b) in enumerate(parts):
+            part = text[a:b].casefold()
+            sex = gender(m.group("title") or "") if i < len(parts) - 1 else ""  # the last part is a family name
+            sexes[part] = sexes.get(part) or sex
+            found.append((a, b, "name", part))
+    if sexes:  # other mentions of the same people
+        taken, at, more = found, 0, []
+        for m in _WORD.finditer(text):
+            a, word = m.start(), _OWN.sub("", m.group())
+            while at < len(taken) and taken[at][1] <= a:
+                at += 1
+            if word[0].isupper() and (part := word.casefold()) in sexes and not (at < len(taken) and taken[at][0] < m.end()):
+                more.append((a, a + len(word), "name", part))
+        found = sorted(found + more)
+    return [(a, b, kind, text[a:b], canon, sexes.get(canon, "") if kind == "name" else "") for a, b, kind, canon in found]
+
+
+def replaced(text: str, key: bytes, told: dict[tuple[str, str], tuple[int, str]] | None = None, memo: dict | None = None) -> tuple[str, int]:
+    """The text with surrogates, and how many. `told` has attempts and genders that the text itself doesn't show."""
     out, at, memo = [], 0, {} if memo is None else memo
     found = entities(text)
-    for a, b, kind, surface, canon in found:
-        attempt = (redrawn or {}).get((kind, canon), 0)
-        new = memo.get((kind, canon, attempt))
+    for a, b, kind, surface, canon, sex in found:
+        attempt, sex = (told or {}).get((kind, canon), (0, sex))
+        new = memo.get((kind, canon, attempt, sex))
         if new is None:
-            new = memo[kind, canon, attempt] = surrogate(kind, canon, key, attempt)
+            new = memo[kind, canon, attempt, sex] = surrogate(kind, canon, key, attempt, sex)
             if len(memo) > 100_000:
                 memo.clear()
         out += [text[at:a], dressed(kind, surface, new)]
@@ -231,71 +309,100 @@ def replaced(text: str, key: bytes, redrawn: dict[tuple[str, str], int] | None =
 
 
 def _detect(batches):
+    """The distinct entities of each text."""
     for batch in batches:
-        rows = [(k, kind, canon) for k, text in zip(batch.column("row_key").to_pylist(), batch.column("text").to_pylist(), strict=True) for _, _, kind, _, canon in entities(text)]
-        k, kind, canon = zip(*rows, strict=True) if rows else ([], [], [])
-        yield pa.RecordBatch.from_arrays([pa.array(k, pa.int64()), pa.array(kind, pa.string()), pa.array(canon, pa.string())], ["row_key", "kind", "canon"])
+        rows = [(k, *e) for k, text in zip(batch.column("text_key").to_pylist(), batch.column("text").to_pylist(), strict=True) for e in sorted({e[2:3] + e[4:] for e in entities(text)})]
+        k, kind, canon, sex = zip(*rows, strict=True) if rows else ([], [], [], [])
+        yield pa.RecordBatch.from_arrays([pa.array(k, pa.int64()), *(pa.array(c, pa.string()) for c in (kind, canon, sex))], ["text_key", "kind", "canon", "sex"])
 
 
 def _draw(key: bytes):
     @common.tidy
     def run(batches):
         for batch in batches:
-            new = [surrogate(k, c, key, a) for k, c, a in zip(*(batch.column(x).to_pylist() for x in ("kind", "canon", "attempt")), strict=True)]
+            new = [surrogate(*row[:2], key, *row[2:]) for row in zip(*(batch.column(x).to_pylist() for x in ("kind", "canon", "attempt", "sex")), strict=True)]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(new, pa.string())], [*batch.schema.names, "new"])
 
     return run
 
 
-def _rewrite(key: bytes, text_col: str):
+def _rewrite(key: bytes, text_col: str, told_col: str, out: list[str]):
     @common.tidy
     def run(batches):
         memo: dict = {}
         for batch in batches:
-            redrawn = batch.column("redrawn").to_pylist()
-            done = [(None, 0) if t is None else replaced(t, key, {(r["kind"], r["canon"]): r["attempt"] for r in more or ()}, memo) for t, more in zip(batch.column(text_col).to_pylist(), redrawn, strict=True)]
-            names = [n for n in batch.schema.names if n not in ("redrawn", text_col)]
-            yield pa.RecordBatch.from_arrays([*(batch.column(n) for n in names), pa.array([t for t, _ in done], pa.string()), pa.array([n for _, n in done], pa.int64())], [*names, text_col, "n_entities"])
+            told = batch.column(told_col).to_pylist()
+            done = [(None, 0) if t is None else replaced(t, key, {(r["kind"], r["canon"]): (r["attempt"], r["sex"]) for r in more or ()}, memo) for t, more in zip(batch.column(text_col).to_pylist(), told, strict=True)]
+            new = {text_col: pa.array([t for t, _ in done], pa.string()), "n_entities": pa.array([n for _, n in done], pa.int64())}
+            yield pa.RecordBatch.from_arrays([new[c] if c in new else batch.column(c) for c in out], out)
 
     return run
 
 
-def redrawn_entities(found: DataFrame, key: bytes) -> DataFrame:
-    """kind, canon, attempt of the entities whose first surrogate collides; found has kind and canon."""
-    drawn = "kind string, canon string, attempt int, new string"
-    table = common.stored(found.select("kind", "canon").distinct().withColumn("attempt", F.lit(0)).mapInArrow(_draw(key), drawn), "drawn")
-    originals = table.select("kind", F.regexp_replace("canon", "^[mf]?:(?=\\p{L})", "").alias("new")).distinct().withColumn("real", F.lit(True))
+def entity_table(found: DataFrame, key: bytes) -> DataFrame:
+    """A stored row per entity of found (kind, canon, sex; a row per text and entity): attempt, sex, rows, and `odd`, if texts can't tell these by themselves.
+
+    No two entities of a kind have the same surrogate, and none has an original for its own.
+    """
+    votes = lambda s: F.count_if(F.col("sex") == s)
+    sex = F.when(votes("m") > votes("f"), "m").when(votes("f") > votes("m"), "f").otherwise("")
+    own = found.groupBy("kind", "canon").agg(sex.alias("sex"), F.min("sex").alias("a"), F.max("sex").alias("b"), F.count(F.lit(1)).alias("rows"))
+    own = own.select("kind", "canon", "sex", "rows", ((F.col("a") != F.col("b")) | (F.col("sex") != F.col("a"))).alias("other"))
+    drawn = "kind string, canon string, sex string, rows long, other boolean, attempt int, new string"
+    table = common.stored(own.withColumn("attempt", F.lit(0)).mapInArrow(_draw(key), drawn), "drawn")
+    originals = table.select("kind", F.col("canon").alias("new"), F.lit(True).alias("real"))
     while True:
         shared = table.groupBy("kind", "new").agg(F.min("canon").alias("holder"), F.count(F.lit(1)).alias("m")).where("m > 1")
         bad = table.join(shared, ["kind", "new"], "left").join(originals, ["kind", "new"], "left")
         bad = common.stored(bad.where("real or (m > 1 and canon <> holder)").select("kind", "canon"), "collisions")
         if not bad.limit(1).count():
-            return table.where("attempt > 0").select("kind", "canon", "attempt")
-        again = table.join(bad, ["kind", "canon"], "left_semi").select("kind", "canon", (F.col("attempt") + 1).alias("attempt")).mapInArrow(_draw(key), drawn)
+            return table.select("kind", "canon", "sex", "rows", "attempt", (F.col("other") | (F.col("attempt") > 0)).alias("odd"))
+        again = table.join(bad, ["kind", "canon"], "left_semi").withColumn("attempt", F.col("attempt") + 1).drop("new").mapInArrow(_draw(key), drawn)
         table = common.stored(table.join(bad, ["kind", "canon"], "left_anti").unionByName(again), "drawn")
 
 
+def told_texts(found: DataFrame, table: DataFrame) -> DataFrame:
+    """text_key, told (attempt and gender of the entities that its text can't tell by itself), rows (texts of this key)."""
+    odd = table.where("odd").select("kind", "canon", F.struct(F.col("attempt"), F.col("sex")).alias("own"), "rows")
+    total = table.agg(F.coalesce(F.sum("rows"), F.lit(0))).first()[0]
+    met = common.hot_split(found.select("text_key", "kind", "canon"), odd, ["kind", "canon"], ["own"], total).where("own is not null")
+    one = F.struct("kind", "canon", F.col("own.attempt").alias("attempt"), F.col("own.sex").alias("sex"))
+    whole = met.groupBy("text_key").agg(F.collect_set(one).alias("told"), F.count(F.lit(1)).alias("n"))  # a text's own entities
+    return whole.select("text_key", "told", (F.col("n") / F.size("told")).cast("long").alias("rows"))
+
+
 def replace_pii(df: DataFrame, *, text_col: str = "text", key: str | None = None) -> DataFrame:
     """df with surrogates in its text, and n_entities."""
     spark = df.sparkSession
     common.arrow_batches(spark)
-    secret = hashlib.blake2b((key or spark.conf.get("spark.plumbline.pii.key", KEY)).encode(), digest_size=32).digest()
+    key = key or spark.conf.get("spark.plumbline.pii.key", None)
+    if not key:
+        raise ValueError("surrogates need a key: the argument or spark.plumbline.pii.key")
+    secret = hashlib.blake2b(key.encode(), digest_size=32).digest()
+    mark = common.mark()
     text = F.col(text_col).cast("string")
-    keyed = df.withColumn("row_key", F.xxhash64(text))
-    found = common.stored(keyed.where(text.isNotNull()).select("row_key", text.alias("text")).mapInArrow(_detect, "row_key long, kind string, canon string"), "entities")
-    redrawn = common.stored(redrawn_entities(found, secret), "redrawn")
-    fields = "array<struct<kind:string,canon:string,attempt:int>>"
-    if redrawn.limit(1).count():
-        per_text = found.distinct().join(redrawn, ["kind", "canon"]).groupBy("row_key").agg(F.collect_list(F.struct("kind", "canon", "attempt")).alias("redrawn"))  # a text's own entities
-        keyed = keyed.join(per_text, "row_key", "left")
+    texts = df.where(text.isNotNull()).select(F.xxhash64(text).alias("text_key"), text.alias("text"))
+    found = common.stored(texts.mapInArrow(_detect, "text_key long, kind string, canon string, sex string"), "entities")
+    told = common.stored(told_texts(found, entity_table(found, secret)), "told")
+    rest = [c for c in df.columns if c not in (text_col, "n_entities")]
+    key_col, told_col = common.private(df, "text_key", "told")
+    keyed = df.select(*rest, text.alias(text_col), F.xxhash64(text).alias(key_col))
+    if told.limit(1).count():
+        named = told.select(F.col("text_key").alias(key_col), F.col("told").alias(told_col), "rows")
+        some = common.hot_split(keyed.where(F.col(text_col).isNotNull()), named, [key_col], [told_col], df.count())
+        keyed = some.unionByName(keyed.where(F.col(text_col).isNull()), allowMissingColumns=True)
     else:
-        keyed = keyed.withColumn("redrawn", F.lit(None).cast(fields))
-    rest = [c for c in df.columns if c != text_col]
-    types = dict(df.dtypes)
-    schema = ", ".join([*(f"`{c}` {types[c]}" for c in rest), f"`{text_col}` string", "n_entities long"])
-    out = keyed.select(*rest, text.alias(text_col), "redrawn").mapInArrow(_rewrite(secret, text_col), schema)
-    return out.select(*df.columns, "n_entities")
+        keyed = keyed.withColumn(told_col, F.lit(None).cast(dict(told.dtypes)["told"]))
+    common.drop_since(spark, mark, told)
+    out = [c for c in df.columns if c != "n_entities"] + ["n_entities"]
+    kept = {f.name: f for f in df.schema.fields} | {text_col: StructField(text_col, StringType()), "n_entities": StructField("n_entities", LongType())}
+    return keyed.drop(key_col).mapInArrow(_rewrite(secret, text_col, told_col, out), StructType([kept[c] for c in out]))
+
+
+def query_key(spark: SparkSession) -> str:
+    """The session's key, or that of the synthetic tables."""
+    return spark.conf.get("spark.plumbline.pii.key", QUERY_KEY)
 
 
 def op7_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return replace_pii(common.table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return replace_pii(common.table(spark, sf_dir, "documents").select("doc_id", "text"), key=query_key(spark))

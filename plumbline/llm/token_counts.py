@@ -16,7 +16,6 @@ from __future__ import annotations
 import os
 import re
 from collections.abc import Iterator
-from functools import lru_cache
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -66,12 +65,6 @@ class PieceCounts:
         return [sum(map(look, pieces)) for pieces in cut]
 
 
-@lru_cache(maxsize=1)
-def worker_pieces(tokenizer_path: str, memo: int) -> PieceCounts:
-    """A worker's counter, kept from task to task with what it has learnt."""
-    return PieceCounts(load_tokenizer(tokenizer_path), memo)
-
-
 def is_stable(text: str, at: int) -> bool:
     return 0 < at < len(text) and text[at] in _BREAKS and not text[at - 1].isspace() and not _ODD.match(text[at - 1])
 
@@ -112,7 +105,7 @@ def spliced_ids(tokenizer, text: str, chunk: int = CHUNK, overlap: int = OVERLAP
 def _count(tokenizer_path: str, chunk: int, overlap: int, memo: int):
     @common.tidy
     def run(batches):
-        pieces = worker_pieces(tokenizer_path, memo)
+        pieces = common.worker_state(f"counts {tokenizer_path} {memo}", lambda: PieceCounts(load_tokenizer(tokenizer_path), memo))
         tokenizer = pieces.tokenizer
         for batch in batches:
             texts = batch.column("text").to_pylist()

@@ -1,6 +1,7 @@
 """Token counts, packing, pieces, surrogates, line dedup and the classifier against plain versions."""
 
 import re
+import struct
 import zlib
 from collections import Counter, defaultdict
 
@@ -54,9 +55,11 @@ def test_splice_equals_one_encoding(chunk, overlap):
 
 def test_packing(spark):
     tok = token_counts.load_tokenizer(P.path("word_bpe_49k.json"))
-    df = odd_table(spark).where("doc_id <> 1")
+    df = odd_table(spark)
     texts = {r["doc_id"]: r["text"] or "" for r in df.collect()}
     pieces = packing.pack(df, P.path("word_bpe_49k.json"), length=64, memo=50).collect()
+    again = [p for p in pieces if p["doc_id"] == 1]  # the row that stands twice is packed twice
+    assert len({(p["sequence_id"], p["offset"]) for p in again}) == len(again) and sum(p["length"] for p in again) == 2 * again[0]["doc_tokens"]
     by_doc, fill = defaultdict(list), defaultdict(list)
     for p in pieces:
         by_doc[p["doc_id"]].append(p)
@@ -64,11 +67,11 @@ def test_packing(spark):
     assert set(by_doc) == set(texts)
     for doc, own in by_doc.items():
         ids, at = np.array([*tok.encode(texts[doc], add_special_tokens=False).ids, 1], "<u4"), 0
-        for p in sorted(own, key=lambda p: p["start"]):
+        for p in sorted(own, key=lambda p: p["start"]) if doc != 1 else ():
             assert p["start"] == at and p["doc_tokens"] == len(ids)
             assert p["ids_crc32"] == zlib.crc32(ids[at : at + p["length"]].tobytes())
             at += p["length"]
-        assert at == len(ids)
+        assert at == len(ids) or doc == 1
     sizes = []
     for s in sorted(fill):
         at = 0
@@ -95,8 +98,9 @@ def test_pieces(spark):
     sp = SentencePieceProcessor(model_file=model)
     df = spark.read.parquet(f"{DATA}/documents.parquet").limit(60).select("doc_id", "text").union(odd_table(spark).selectExpr("doc_id + 10000", "text")).union(spark.createDataFrame([(77_777, "nul\x00  in it")], "doc_id long, text string"))
     texts = {r["doc_id"]: r["text"] or "" for r in df.collect()}
+    clashing = df.withColumn("ids", F_lit(1)).withColumn("part", F_lit("x")).withColumn("row", F_lit(2)).withColumn("edges", F_lit("y"))
     for bound in (1 << 20, 0):
-        got = piece_lattice.encode(df, model, broadcast=bound).collect()
+        got = piece_lattice.encode(clashing, model, broadcast=bound).collect()
         assert len(got) == df.count()
         for r in got:
             assert np.frombuffer(r["ids"], "<u4").tolist() == sp.encode(texts[r["doc_id"]])
@@ -105,6 +109,60 @@ def test_pieces(spark):
     assert piece_lattice.encode(df.limit(0), model).count() == 0
 
 
+def proto(*fields):
+    """A serialised message of (field, value): whole numbers, floats, and bytes or text."""
+
+    def number(n):
+        out = bytearray()
+        while n > 127:
+            out.append(n & 127 | 128)
+            n >>= 7
+        return bytes([*out, n])
+
+    out = b""
+    for k, v in fields:
+        if isinstance(v, float):
+            out += number(k << 3 | 5) + struct.pack("<f", v)
+        elif isinstance(v, int):
+            out += number(k << 3) + number(v)
+        else:
+            v = v.encode() if isinstance(v, str) else v
+            out += number(k << 3 | 2) + number(len(v)) + v
+    return out
+
+
+@pytest.fixture
+def unigram_model(tmp_path):
+    """A model put together by hand: pieces with scores by rule, byte pieces, no normalisation."""
+    rng = np.random.default_rng(9)
+    letters = "abcdeé▁"
+    pieces = {c: -6.0 - i for i, c in enumerate(letters)}
+    while len(pieces) < 300:
+        pieces.setdefault("".join(rng.choice(list(letters[:6]), rng.integers(2, 6))), float(np.float32(-3 - 9 * rng.random())))
+        pieces.setdefault("▁" + "".join(rng.choice(list(letters[:6]), rng.integers(1, 5))), float(np.float32(-3 - 9 * rng.random())))
+    own = [proto((1, "<unk>"), (2, 0.0), (3, 2)), proto((1, "<s>"), (2, 0.0), (3, 3)), proto((1, "</s>"), (2, 0.0), (3, 3))]
+    own += [proto((1, f"<0x{b:02X}>"), (2, 0.0), (3, 6)) for b in range(256)] + [proto((1, p), (2, s)) for p, s in pieces.items()]
+    trainer, normalizer = proto((3, 1), (35, 1)), proto((1, "identity"), (3, 1), (4, 0), (5, 1))
+    path = tmp_path / "unigram.model"
+    path.write_bytes(proto(*((1, p) for p in own), (2, trainer), (3, normalizer)))
+    return str(path)
+
+
+def test_unigram_models_are_segmented_by_viterbi(spark, unigram_model):
+    from sentencepiece import SentencePieceProcessor
+
+    assert piece_lattice.model_type(unigram_model) == piece_lattice.UNIGRAM and piece_lattice.model_type(P.path("piece_bpe_32k.model")) == piece_lattice.BPE
+    sp, rng = SentencePieceProcessor(model_file=unigram_model), np.random.default_rng(2)
+    texts = ["", "abcab decab", "xyz", "a" * 150, " two  blanks", *("".join(rng.choice(list("abcdeé x"), rng.integers(1, 300), p=[0.15] * 6 + [0.08, 0.02])) for _ in range(60))]
+    texts.append("abcdeé" * 40)  # a part beyond a mask
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    for bound in (1 << 20, 0):
+        for r in piece_lattice.encode(df, unigram_model, back=True, broadcast=bound).collect():
+            t = texts[r["doc_id"]]
+            assert np.frombuffer(r["ids"], "<u4").tolist() == sp.encode(t), t
+            assert r["decoded"] == t
+
+
 def test_viterbi_fold_finds_the_best_total(spark):
     scores = {"a": -1.0, "b": -1.5, "ab": -2.2, "ba": -3.1, "aba": -3.9, "bb": -2.0, "c": -5.0}
     words = ["abab", "aabbab", "cab", "bbbb", "axb", "ababa"]
@@ -167,21 +225,94 @@ def test_permutation_is_one():
         assert sorted(surrogates.permuted(i, size, b"k", "t") for i in range(size)) == list(range(size))
 
 
-def test_surrogate_collisions_are_redrawn(spark, monkeypatch):
-    first = surrogates.surrogate
-    monkeypatch.setattr(surrogates, "surrogate", first)
-    found = spark.createDataFrame([("name", f"m:{c}{d}") for c in "ABCDEFGHIJKLMNOPQRSTUVWXYZ" for d in "abcdefghijklmnopqrstuvwxyz"] + [("ssn", "123456789")], "kind string, canon string")
-    again = {(r["kind"], r["canon"]): r["attempt"] for r in surrogates.redrawn_entities(found, b"k" * 32).collect()}
-    drawn = [(r["kind"], first(r["kind"], r["canon"], b"k" * 32, again.get((r["kind"], r["canon"]), 0))) for r in found.collect()]
-    assert len(set(drawn)) == len(drawn)
-
-
-def test_surrogates_on_a_table(spark):
-    df = spark.createDataFrame([(1, "write to a.b@c.org", "k"), (2, None, "k"), (3, "", "k"), (4, "nothing here", "k"), (1, "write to a.b@c.org", "k")], "doc_id long, text string, kind string")
-    got = sorted((r["doc_id"], r["text"], r["kind"], r["n_entities"]) for r in surrogates.replace_pii(df).fillna("NULL", ["text"]).collect())
-    assert [g[3] for g in got] == [1, 1, 0, 0, 0] and got[0] == got[1] and "a.b@c.org" not in got[0][1]
-    assert [g[1] for g in got[2:]] == ["NULL", "", "nothing here"]
-    assert surrogates.replace_pii(df.limit(0)).count() == 0
+def test_one_person_has_one_surrogate_under_titles_capitals_and_bare_mentions():
+    out, n = surrogates.replaced("Mr. John Smith went home. Smith said so and John agreed. SMITH'S dog; Mr. Smith's cat. Johnson stays, smith too.", b"k" * 32)
+    assert n == 6 and "Johnson stays, smith too" in out and not re.search(r"\b(John|Smith|SMITH)\b", out)
+    john, smith = re.match(r"Mr\. (\w+) (\w+) went", out).groups()
+    assert out == f"Mr. {john} {smith} went home. {smith} said so and {john} agreed. {smith.upper()}'S dog; Mr. {smith}'s cat. Johnson stays, smith too."
+    out, _ = surrogates.replaced("Dr. John Smith met Mr. John Smith and Mr. JOHN SMITH. Name: Ana-Maria Lopez", b"k" * 32)
+    names = [e[4] for e in surrogates.entities(out)]
+    assert names[:2] == names[2:4] == names[4:6] and len(set(names)) == 5 and re.search(r"Name: \w+-\w+ \w+$", out)
+    assert john[-1] in "nrsl"  # an ending of the title's gender
+    greek, _ = surrogates.replaced("κύριος Νίκος Παππάς, г-жа Анна Петрова", b"k" * 32)
+    assert re.fullmatch(r"κύριος [Α-Ωα-ω]+ [Α-Ωα-ω]+, г-жа [А-Яа-я]+ [А-Яа-я]+", greek) and "Νίκος" not in greek and "Анна" not in greek
+
+
+def test_formats_stay_valid():
+    key = b"k" * 32
+    out, n = surrogates.replaced("GB82 WEST 1234 5698 7654 32 and DE89370400440532013000, part AB12 CDEF GHIJ KLMN", key)
+    a, b = re.search(r"(GB\d\d [A-Z]{4} \d{4} \d{4} \d{4} \d\d) and (DE\d{20}), part AB12 CDEF GHIJ KLMN$", out).groups()
+    assert n == 2 and "WEST" not in out and surrogates.mod97(a.replace(" ", "")) == surrogates.mod97(b) == 1
+    import ipaddress
+
+    for ip in ("10.0.0.1", "172.20.3.4", "192.168.7.7", "127.0.0.1", "8.8.8.8", "100.64.9.9"):
+        new = surrogates.replaced(f"host {ip}.", key)[0][5:-1]
+        old, got = ipaddress.ip_address(ip), ipaddress.ip_address(new)
+        assert new != ip and (old.is_private, old.is_loopback, old.is_global) == (got.is_private, got.is_loopback, got.is_global)
+        assert old not in (c := ipaddress.ip_network("192.168.0.0/16")) or got in c
+    for ip in ("2001:db8::8a2e:370:7334", "fe80::1", "2001:0db8:0000:0000:0000:ff00:0042:8329"):
+        new = surrogates.replaced(f"at {ip} now", key)[0][3:-4]
+        assert new != ip and ipaddress.ip_address(new).is_link_local == ipaddress.ip_address(ip).is_link_local and (len(new) == 39) == (len(ip) == 39)
+    assert surrogates.replaced("password: ------, token=........ and fe80:: too", key)[1] == 0  # nothing to replace
+    assert surrogates.replaced("at 12:30:45, aa:bb:cc:dd:ee:ff and ::1 std::x", key)[1] == 0
+    out, n = surrogates.replaced("Phone: 4155551234 or (415) 555-1234, order 4155551234", key)
+    assert n == 2 and out.endswith("order 4155551234") and re.sub(r"\D", "", out.split("or")[0]) == re.sub(r"\D", "", out.split("or ")[1].split(",")[0])
+
+
+def test_surrogate_collisions_are_redrawn(spark):
+    names = [(f"{c}{d}", s) for c in "abcdefghijklmnopqrstuvwxyz" for d in "abcdefghijklmnopqrstuvwxyz" for s in "mf"[: 1 + (c < "d")]]
+    found = spark.createDataFrame([(i, "name", c, s) for i, (c, s) in enumerate(names)] + [(9999, "ssn", "123456789", "")], "text_key long, kind string, canon string, sex string")
+    table = surrogates.entity_table(found, b"k" * 32).collect()
+    drawn = [(r["kind"], surrogates.surrogate(r["kind"], r["canon"], b"k" * 32, r["attempt"], r["sex"])) for r in table]
+    assert len(set(drawn)) == len(drawn) == len({n for n, _ in names}) + 1
+    assert not {("name", n) for n, _ in names} & set(drawn)
+    assert {r["canon"] for r in table if r["sex"] == "" and r["kind"] == "name"} == {n for n, _ in names if n < "d"}  # as many of each gender
+
+
+def brute_surrogates(texts, key):
+    """The same by plain dictionaries over all texts."""
+    found = [surrogates.entities(t or "") for t in texts]
+    votes = defaultdict(Counter)
+    for own in found:
+        for kind, canon, sex in {(e[2], e[4], e[5]) for e in own}:
+            votes[kind, canon][sex] += 1
+    sex = {e: "m" if v["m"] > v["f"] else "f" if v["f"] > v["m"] else "" for e, v in votes.items()}
+    attempt = dict.fromkeys(votes, 0)
+    while True:
+        new = {e: surrogates.surrogate(*e, key, attempt[e], sex[e]) for e in votes}
+        holder = {}
+        for e in sorted(votes):
+            holder.setdefault((e[0], new[e]), e)
+        bad = [e for e in votes if holder[e[0], new[e]] != e or (e[0], new[e]) in votes]
+        if not bad:
+            break
+        for e in bad:
+            attempt[e] += 1
+    out = []
+    for t, own in zip(texts, found):
+        at, done = 0, ""
+        for a, b, kind, surface, canon, _ in own:
+            done += t[at:a] + surrogates.dressed(kind, surface, new[kind, canon])
+            at = b
+        out.append(None if t is None else done + t[at:])
+    return out, new
+
+
+def test_surrogates_on_a_table_equal_brute_force(spark):
+    import hashlib
+
+    rows = spark.read.parquet(f"{DATA}/documents.parquet").select("doc_id", "text").collect()
+    texts = [r["text"] for r in rows] + [f"{t} {a} {b} wrote, {b} did" for t in ("Mr.", "Ms.", "Dr.") for a in ("Kim", "Lee", "Pat") for b in ("Ray", "Kim", "Fox")] + [None, "", "x" * 200_000 + " mail a@b.org", texts_of_one := "Mr. Kim Fox and Fox"] + ["Mr. Kim Fox and Fox"] * 3
+    df = spark.createDataFrame([(i, t, "k", 5, True, 1.5) for i, t in enumerate(texts)], "doc_id long, text string, text_key string, told int, rows boolean, n_entities double")
+    want, new = brute_surrogates(texts, hashlib.blake2b(b"key", digest_size=32).digest())
+    out = surrogates.replace_pii(df, key="key")
+    assert out.columns == df.columns and dict(out.dtypes)["n_entities"] == "bigint"
+    got = {r["doc_id"]: r for r in out.collect()}
+    assert [got[i]["text"] for i in range(len(texts))] == want and all((r["text_key"], r["told"], r["rows"]) == ("k", 5, True) for r in got.values())
+    assert len(set((k, v) for (k, _), v in new.items())) == len(new) and texts_of_one not in want
+    assert surrogates.replace_pii(df.limit(0), key="key").count() == 0
+    with pytest.raises(ValueError):
+        surrogates.replace_pii(df)
 
 
 def duck_lines(pandas):
@@ -202,6 +333,33 @@ def test_line_dedup_equals_sql(spark):
     assert by[0]["n_dropped"] == 0 and by[3]["n_dropped"] == 3 and by[3]["text"] == own(3)
     assert by[105]["n_dropped"] == 0 and by[104]["text"] == own(2)  # a short line in two documents
     assert log_templates.drop_recurring_lines(df.limit(0)).count() == 0
+    for c in ("row_key", "parts", "drop_at", "n_lines", "leaf", "template"):  # clashing columns are kept, but for the results' names
+        df = df.withColumn(c, F_lit("x"))
+    clash = log_templates.drop_recurring_lines(df)
+    assert clash.columns == ["doc_id", "text", "row_key", "parts", "drop_at", "leaf", "template", "n_lines", "n_dropped"]
+    assert {(r["doc_id"], r["text"]): (r["n_lines"], r["n_dropped"]) for r in clash.collect()} == got and {r["parts"] for r in clash.collect()} == {"x"}
+
+
+@pytest.mark.parametrize("leaves", [500_000, 0])
+def test_line_dedup_of_fields_whose_values_repeat(spark, monkeypatch, leaves):
+    monkeypatch.setattr(log_templates, "BROADCAST_LEAVES", leaves)
+    monkeypatch.setattr(log_templates, "TINY_DOCS", 30)
+    names = [f"Name{chr(97 + i // 26)}{chr(97 + i % 26)}" for i in range(150)]
+    rows = []
+    for i in range(400):
+        lines = [f"own {i} words that are not anywhere else {i * i}", f"Written for our site by {names[i % 150]}"]  # each name in two or three documents
+        if i < 12:
+            lines.append("2024-05-01 12:00:01 GET /index.html 200 512 OK")
+        if i < 40:
+            lines.append("Read more")
+        if i < 20:
+            lines.append("Next")
+        rows.append((i, "\n".join(lines)))
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r["doc_id"]: (r["text"], r["n_lines"], r["n_dropped"]) for r in log_templates.drop_recurring_lines(df, tiny_docs=30).collect()}
+    assert {(t, *more) for t, *more in got.values()} == {(k[1], *v) for k, v in duck_lines(df.toPandas()).items()} and len(got) == 400
+    assert not any("Written" in got[i][0] or "GET" in got[i][0] or "Read more" in got[i][0] for i in range(1, 400))
+    assert all("Next" in got[i][0] for i in range(20)) and all(got[0][0].count(x) == 1 for x in ("Written", "GET", "Read more"))
 
 
 def test_line_dedup_on_documents_equals_sql(spark):
@@ -210,13 +368,14 @@ def test_line_dedup_on_documents_equals_sql(spark):
     assert got == duck_lines(df.toPandas())
 
 
-def brute_kneser_ney(texts, word_ids):
-    """Probabilities by dictionaries: (u, v, w) -> p, of an interpolated modified Kneser-Ney model."""
+def brute_kneser_ney(texts):
+    """log p(u, v, w) by dictionaries, of an interpolated modified Kneser-Ney model whose unseen words cost by shape."""
+    cut = lambda t: ["<s>", "<s>", *map(kneser_ney.plain, re.findall(r"\w+|[^\w\s]+", t)), "</s>"]
     c3 = Counter()
     for t in texts:
-        x = word_ids(t).tolist()
+        x = cut(t)
         c3.update(zip(x, x[1:], x[2:]))
-    c2, c1 = Counter((v, w) for _, v, w in c3), None
+    c2 = Counter((v, w) for _, v, w in c3)
     c1 = Counter(w for _, w in c2)
 
     def level(counts, context):
@@ -225,31 +384,84 @@ def brute_kneser_ney(texts, word_ids):
         for k, c in counts.items():
             total[context(k)] += c
             taken[context(k)] += d[min(c, 3) - 1]
-        return lambda k: ((counts[k] - d[min(counts[k], 3) - 1]) / total[context(k)] if k in counts else 0.0, taken[context(k)] / total[context(k)] if total[context(k)] else 1.0)
+        return lambda k, of=context: ((counts[k] - d[min(counts[k], 3) - 1]) / total[of(k)] if k in counts else 0.0, taken[of(k)] / total[of(k)] if total[of(k)] else 1.0)
 
     l1, l2, l3 = level(c1, lambda k: 0), level(c2, lambda k: k[0]), level(c3, lambda k: k[:2])
-
-    def p(u, v, w, size):
+    once, kinds = Counter({s: 1 for s in range(1, 8)}), Counter({s: 1 for s in range(1, 8)})
+    for w, c in c1.items():
+        if w != "</s>":
+            once[kneser_ney.shape(w)] += c == 1
+            kinds[kneser_ney.shape(w)] += 1
+
+    def log_p(u, v, w):
+        s = 0 if w == "</s>" else kneser_ney.shape(w)
         a, b = l1(w)
-        q1 = a + b / size
+        q = a + (b * once[s] / sum(once.values()) / kinds[s] if s else 0.0)
         a, b = l2((v, w))
-        q2 = a + b * q1
+        q = a + b * q
         a, b = l3((u, v, w))
-        return a + b * q2
-
-    return p
-
-
-def test_kneser_ney_equals_brute_force(spark):
-    rows = spark.read.parquet(f"{DATA}/documents.parquet").orderBy("doc_id").limit(25).collect()
-    df = spark.createDataFrame([("", r["text"]) for r in rows[:20]], "model string, text string")
-    model = kneser_ney.train(df)[""]
-    words = kneser_ney.Words(model["words"])
-    p, size = brute_kneser_ney([r["text"] for r in rows[:20]], words), len(model["words"]) + kneser_ney.FIRST_WORD
-    for r in rows[15:]:
-        x = words(r["text"])
-        want = [np.log(p(u, v, w, size)) - model["spread"][w] for u, v, w in zip(x.tolist(), x[1:].tolist(), x[2:].tolist())]
-        assert np.allclose(kneser_ney.log_probabilities(model, x), want, atol=1e-4)
+        return np.log(a + b * q)
+
+    return lambda t: -sum(log_p(*x) for x in zip(cut(t), cut(t)[1:], cut(t)[2:])) if t is not None else 0.0
+
+
+def lm_documents(spark, n=60):
+    docs = spark.read.parquet(f"{DATA}/documents.parquet").orderBy("doc_id").limit(n).select("doc_id", "text", F_lit("en").alias("lang"))
+    more = [(1000 + i, t, "en") for i, t in enumerate(ODD)] + [(2000, None, "en"), (1, ODD[1], "en"), (None, "no id", "en")]
+    own = ("row", "key", "model", "cost", "keep", "score", "row_key")
+    out = docs.union(spark.createDataFrame(more, "doc_id long, text string, lang string"))
+    for c in own:
+        out = out.withColumn(c, F_lit("x"))  # clashing names
+    return out
+
+
+@pytest.mark.parametrize("bits", [(27, 20), (8, 3)])
+def test_kneser_ney_equals_brute_force(spark, monkeypatch, bits):
+    monkeypatch.setattr(kneser_ney, "FILTER_BITS", bits[0])  # a full filter and few slots: all n-grams go through the join
+    monkeypatch.setattr(kneser_ney, "SLOT_BITS", bits[1])
+    docs = lm_documents(spark)
+    labels = spark.createDataFrame([(i, 1) for i in range(60)], "doc_id long, quality int")
+    scores, held = kneser_ney.scored(docs, labels)
+    held = {r[0] for r in held.collect()}
+    texts = [(r["doc_id"], r["text"]) for r in docs.collect()]
+    cost = brute_kneser_ney([t for i, t in texts if i is not None and i < 60 and i not in held and not (i == 1 and t == ODD[1])] + ([ODD[1]] if 1 not in held else []))
+    assert 15 < len(held) < 45
+    want = sorted((str(i), len(re.findall(r"\w+|[^\w\s]+", t or "")), cost(t or "")) for i, t in texts)
+    got = sorted((str(r["doc_id"]), r["n_tokens"], r["cost"]) for r in scores.collect())
+    assert [g[:2] for g in got] == [w[:2] for w in want]
+    assert np.allclose([g[2] for g in got], [w[2] for w in want], rtol=2e-6, atol=1e-3)  # weights are 32-bit floats
+
+
+def test_hashes_are_those_of_spark(spark):
+    rows = [(r["a"], r["b"], r["h"]) for r in spark.range(-50, 50).selectExpr("id * 7777777777777 as a", "id - 3 as b").selectExpr("*", "xxhash64(a, b) as h").collect()]
+    a, b, h = (np.array(c, np.int64).view(np.uint64) for c in zip(*rows))
+    assert (kneser_ney.joined(a, b) == h).all()
+
+
+def test_thresholds_and_decisions_equal_brute_force(spark):
+    docs, labels = (spark.read.parquet(f"{DATA}/{t}.parquet") for t in ("documents", "labels"))
+    scores, held = kneser_ney.scored(docs, labels, least=60)
+    held = {r[0] for r in held.collect()}
+    rows = [(r["doc_id"], r["lang"], r["n_tokens"] + 1, r["cost"]) for r in scores.collect()]
+    mine = [r for r in rows if r[0] in held and r[2] > 1]
+
+    def middle(own):
+        return sum(r[3] for r in own) / sum(r[2] for r in own)
+
+    def score(r, m):
+        return (r[3] + kneser_ney.PRIOR * m) / (r[2] + kneser_ney.PRIOR)
+
+    def limit(own, m):
+        steps = sorted(int(np.floor(score(r, m) * kneser_ney.STEPS)) for r in own)
+        return (steps[int(np.ceil(kneser_ney.QUANTILE * len(own))) - 1] + 1) / kneser_ney.STEPS + kneser_ney.SLACK
+
+    general, by = (middle(mine), limit(mine, middle(mine))), {}
+    for lang in {r[1] for r in mine}:
+        own = [r for r in mine if r[1] == lang]
+        by[lang] = (middle(own), limit(own, middle(own))) if len(own) >= kneser_ney.OWN_DOCS else general
+    want = sorted((i, n > 1 and score((i, lang, n, c), by.get(lang, general)[0]) <= by.get(lang, general)[1]) for i, lang, n, c in rows)
+    got = kneser_ney.classify(docs, labels, least=60).collect()
+    assert sorted((r["doc_id"], r["keep"]) for r in got) == want and len({x[1] for x in want}) == 2
 
 
 def test_classifier_on_held_out_labels(spark):
@@ -260,8 +472,7 @@ def test_classifier_on_held_out_labels(spark):
     assert kept[1] / total[1] >= 0.97 and kept.get(0, 0) / total[0] <= 0.45
 
 
-def test_small_languages_keep_model_and_threshold_beside_a_large_one(spark, monkeypatch):
-    monkeypatch.setattr(kneser_ney, "MAX_MODELS", 2)  # several groups of models
+def test_small_languages_keep_model_and_threshold_beside_a_large_one(spark):
     rng = np.random.default_rng(4)
 
     def texts(lang, n):
@@ -273,11 +484,18 @@ def test_small_languages_keep_model_and_threshold_beside_a_large_one(spark, monk
     schema, own = "doc_id long, text string, lang string", {}
     for name, docs in (("alone", rows), ("beside", rows + large)):
         labels = spark.createDataFrame([(d[0], 1) for d in docs], "doc_id long, quality int")
-        got = kneser_ney.classify(spark.createDataFrame(docs, schema), labels, sample=50)
+        got = kneser_ney.classify(spark.createDataFrame(docs, schema), labels)
         own[name] = {r["doc_id"]: (r["n_tokens"], *(round(r[c], 6) for c in ("perplexity", "score", "threshold")), r["keep"]) for r in got.where("doc_id < 1000").collect()}
     assert len(own["alone"]) == 180 and own["alone"] == own["beside"]
 
 
+def test_training_grows_with_the_trusted_documents(spark):
+    for n, low, high in ((600, 250, 350), (40_000, 2300, 2700)):
+        docs = spark.range(n).selectExpr("id as doc_id", "concat('word ', id % 7) as text", "'en' as lang")
+        _, held = kneser_ney.scored(docs, docs.selectExpr("doc_id", "1 as quality"))
+        assert low < n - held.count() < high
+
+
 def test_classifier_edges(spark):
     docs = spark.createDataFrame([(1, None, "en"), (2, "", None), (3, "a few words", "en"), (3, "a few words", "en")], "doc_id long, text string, lang string")
     none = spark.createDataFrame([(3, None)], "doc_id long, quality int")

@@ -2,15 +2,20 @@
 
 Distances from every vector to a bounded set of pivots are computed once. For a query q and a candidate x, the
 largest |d(q, p) - d(x, p)| over the pivots p is a lower bound of d(q, x), hence
-(|q|^2 + |x|^2 - bound^2) / 2 an upper bound of the inner product. Candidates of a block are evaluated in the
-order of that bound until the k-th best score found exceeds the next bound.
+(|q|^2 + |x|^2 - bound^2) / 2 an upper bound of the inner product.
+
+Rows lie in cells by their nearest pivot, of which the pivot table also has the least and greatest distances and norm. A
+first pass searches one block of each query's own cell; its k-th score is a floor that no row of the query's result falls
+below. The query then goes only to cells whose bound reaches its floor. Within a block, candidates are evaluated in the
+order of their bound until the k-th best score found, or the floor, exceeds the next bound.
 
 Components are turned into floor(scale * x). Scores are exact integers; where a block's sums could leave 2^53
 they are computed with Python's integers and end at the limits of a long.
 
 Defined results: vectors that are null, empty or hold a null or non-finite component take no part; nor do rows
 without an id. Repeated rows count once; rows that share the query's id are not its candidates. Vectors of other
-dimensions are not comparable and not candidates. Ties go to the smaller id. Empty tables give no rows.
+dimensions are not comparable and not candidates. Ties go to the smaller id. Extra columns are ignored, whatever their
+names. Empty tables give no rows.
 """
 
 from __future__ import annotations
@@ -27,18 +32,54 @@ LONG = (1 << 63) - 1
 
 
 def _pivot_table(pivots: dict[int, np.ndarray], scale: int):
-    """vec_id, dim, whole (the integer components), far (distances to the pivots)."""
+    """vec_id, dim, cell (the nearest pivot), whole (the integer components), far (distances to the pivots)."""
 
     @common.tidy
     def run(batches):
         for batch in batches:
-            whole, far = [], []
+            whole, far, cell = [], [], []
             for row in batch.column("vec"):
                 x = np.floor(scale * row.values.to_numpy(zero_copy_only=False).astype(np.float64))
                 whole.append(x)
-                p = pivots.get(len(x))
+                p = pivots.get(len(x))  # none if the sample missed a rare dimension: one cell, no bounds
                 far.append(np.sqrt(((p - x) ** 2).sum(1)) if p is not None else np.zeros(0))
-            yield pa.RecordBatch.from_arrays([batch.column("vec_id"), batch.column("dim"), pa.array(whole, pa.list_(pa.float64())), pa.array(far, pa.list_(pa.float64()))], ["vec_id", "dim", "whole", "far"])
+                cell.append(int(far[-1].argmin()) if p is not None else 0)
+            numbers = pa.list_(pa.float64())
+            yield pa.RecordBatch.from_arrays([batch.column("vec_id"), batch.column("dim"), pa.array(cell, pa.int32()), pa.array(whole, numbers), pa.array(far, numbers)], ["vec_id", "dim", "cell", "whole", "far"])
+
+    return run
+
+
+def _ranges(t: DataFrame, pivots: int) -> dict[int, list[tuple]]:
+    """By dimension, each cell's (cell, least distances, greatest distances, greatest square of a norm): a row a pivot and dimension."""
+    square = F.expr("aggregate(whole, 0D, (a, x) -> a + x * x)")
+    far = lambda i: F.try_element_at("far", F.lit(i + 1))
+    rows = t.groupBy("dim", "cell").agg(F.array(*(F.min(far(i)) for i in range(pivots))).alias("low"), F.array(*(F.max(far(i)) for i in range(pivots))).alias("high"), F.max(square).alias("square")).collect()
+    out: dict[int, list[tuple]] = {}
+    for r in rows:
+        size = sum(x is not None for x in r["low"])
+        out.setdefault(r["dim"], []).append((r["cell"], np.array(r["low"][:size], float), np.array(r["high"][:size], float), r["square"]))
+    return out
+
+
+def _reached(ranges: dict[int, list[tuple]]):
+    """Queries once for each cell with a bound that reaches their floor."""
+
+    @common.tidy
+    def run(batches):
+        arrays = {d: ([c for c, *_ in own], *(np.array([x[i] for x in own]) for i in (1, 2, 3))) for d, own in ranges.items()}
+        for batch in batches:
+            take, cells = [], []
+            for i, (dim, far, whole, floor) in enumerate(zip(*(batch.column(c).to_pylist() for c in ("dim", "far", "whole", "floor")), strict=True)):
+                names, low, high, square = arrays[dim]
+                f, q = np.array(far), float(np.dot(whole, whole))
+                gap = np.maximum(np.maximum(f - high, low - f), 0.0).max(1, initial=0.0)
+                most = (q + square - gap**2) / 2 + 1e-6 * (q + square) + 1  # beyond the rounding of the distances
+                own = [c for c, m in zip(names, most, strict=True) if floor is None or m >= floor]
+                take += [i] * len(own)
+                cells += own
+            rows = batch.select([c for c in batch.schema.names if c != "cell"]).take(pa.array(take, pa.int64()))
+            yield pa.RecordBatch.from_arrays([*rows.columns, pa.array(cells, pa.int32())], [*rows.schema.names, "cell"])
 
     return run
 
@@ -68,11 +109,14 @@ def steps_of(bound: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return live[order], low + (step[order] + 1.0) * width
 
 
-def top_k(q: np.ndarray, bound: np.ndarray, x: np.ndarray, ids: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, int]:
-    """Ids and scores of the k best rows of x (ids ascending), and how many were evaluated; rows of bound -inf are left out."""
+def top_k(q: np.ndarray, bound: np.ndarray, x: np.ndarray, ids: np.ndarray, k: int, floor: int | None = None) -> tuple[np.ndarray, np.ndarray, int]:
+    """Ids and scores of the k best rows of x (ids ascending), and how many were evaluated.
+
+    Rows of bound -inf are left out, and so may be rows that score below the floor.
+    """
     order, most = steps_of(bound)
     best_ids, best, at, step = np.zeros(0, np.int64), np.zeros(0, np.int64), 0, FIRST
-    while at < len(order) and (len(best) < k or most[at] >= best[-1]):
+    while at < len(order) and (floor is None or most[at] >= floor) and (len(best) < k or most[at] >= best[-1]):
         rows = order[at : at + step]
         at, step = at + len(rows), step * 8
         scores = _scores(x[rows], q)
@@ -97,6 +141,7 @@ def _search(k: int):
         pivots = len(rows.column("far")[0].values)
         fx, fq = (vectors.matrix(t.column("far"), pivots) if pivots else np.zeros((t.num_rows, 0)) for t in (rows, queries))
         ids, own = rows.column("vec_id").to_numpy(), queries.column("vec_id").to_numpy()
+        floors = queries.column("floor").to_pylist() if "floor" in queries.column_names else [None] * len(own)
         nx, nq, kind = (x * x).sum(1), (q * q).sum(1), narrow(x, q)
         x, q, fx, out = x.astype(kind), q.astype(kind), np.ascontiguousarray(fx.T, np.float32), []
         least, gap = np.empty(len(x), np.float32), np.empty(len(x), np.float32)
@@ -108,7 +153,7 @@ def _search(k: int):
             most = (nq[i] + nx - least.astype(np.float64) ** 2) / 2
             most += 1e-4 * (nq[i] + nx) + 1  # beyond the rounding of the distances
             most[ids == own[i]] = -np.inf
-            found, scores, _ = top_k(q[i], most, x, ids, k)
+            found, scores, _ = top_k(q[i], most, x, ids, k, floors[i])
             out.append((own[i], found, scores))
         return vectors.found_table(out, pa.int64())
 
@@ -117,13 +162,19 @@ def _search(k: int):
 
 def search(df: DataFrame, is_query, *, id_col: str = "vec_id", vec_col: str = "embedding", k: int = 20, scale: int = SCALE, pivots: int = PIVOTS) -> DataFrame:
     """query_id, rank (from 1), vec_id, score: each query's k largest integer inner products over all other rows."""
-    common.arrow_batches(df.sparkSession)
+    spark, mark = df.sparkSession, common.mark()
+    common.arrow_batches(spark)
     v = vectors.usable(df, id_col, vec_col, zero=True)
     chosen = {d: np.floor(scale * p) for d, p in vectors.bounded_sample(v, pivots).items()}
-    t = common.stored(v.mapInArrow(_pivot_table(chosen, scale), "vec_id long, dim int, whole array<double>, far array<double>"), "pivot-table")
+    t = common.stored(v.mapInArrow(_pivot_table(chosen, scale), "vec_id long, dim int, cell int, whole array<double>, far array<double>"), "pivot-table")
+    cells, find = common.stored(vectors.cells_of(t), "cells"), _search(k)
     queries = t.where(is_query(F.col("vec_id")))
-    n, dim = t.agg(F.count(F.lit(1)), F.coalesce(F.max("dim"), F.lit(1))).first()
-    return vectors.nearest_in_blocks(queries, t, (n, queries.count(), dim), _search(k), k, "long")
+    first = vectors.nearest_in_blocks(queries, t, cells, find, k, "long", own=True)
+    floors = common.stored(first.where(F.col("rank") == k).select(F.col("query_id").alias("vec_id"), F.col("score").alias("floor")), "floors")
+    schema = "vec_id long, dim int, whole array<double>, far array<double>, floor long, cell int"
+    reached = common.stored(queries.join(floors, "vec_id", "left").mapInArrow(_reached(_ranges(t, pivots)), schema), "reached")
+    common.drop_since(spark, mark, t, cells, reached)
+    return vectors.nearest_in_blocks(reached, t, cells, find, k, "long")
 
 
 def op9_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:

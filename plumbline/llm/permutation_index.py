@@ -1,17 +1,21 @@
 """Approximate nearest neighbours by a permutation index.
 
-A vector is represented by its `prefix` nearest pivots in order. Within a block of candidates it is posted,
-with its place in that order, in the inverted file of each of these pivots. A query walks the files of its own
-nearest pivots and adds up Spearman's footrule to every vector, a missing pivot counting as place `prefix`. The
-`share` of the block with the smallest footrule is reranked by the exact inner product first. Of the rest,
-every group of rows (by nearest pivot) is searched whose radius leaves it a product that could still reach the k-th
-best, so that rows behind a dense group are not lost. For the largest inner product, vectors are lifted by one component to equal
-length, which turns it into the smallest distance. Pivots are spread over a bounded sample, each the farthest from
-those before it, whatever the density of rows; every row is indexed.
+A vector is represented by its `prefix` nearest pivots in order. Half of the pivots are spread over a bounded sample of its
+dimension, each the farthest from those before it, and half follow the density of rows, so that dense groups are told
+apart as well as rare ones. For the largest inner product, vectors are lifted by one component to equal length, which turns
+it into the smallest distance.
+
+Rows lie in cells by their nearest pivot; a query goes only to the cells of the `visits` pivots nearest to it. There a
+block of rows is posted in the pivots' inverted files: for every pivot the rows that have it in their prefix, with its
+place. The query walks the files of its own nearest pivots and adds up Spearman's footrule, a pivot that is missing counting
+as place `prefix`. Rows up to the query's own limit are reranked by the exact inner product. The limit is the footrule
+within which the `share` of the sample lies: it holds for all blocks alike, so that blocks near the query give more
+rows than others, and dense groups as many as they have.
 
 Defined results: vectors that are null, empty, zero or hold a null or non-finite component take no part; nor do
 rows without an id. Repeated rows count once; rows that share the query's id are not its candidates. Vectors of
-another dimension are not candidates. Equal scores go to the smaller id. Empty tables give no rows.
+another dimension are not candidates. Equal scores go to the smaller id. A dimension that the sample lacks, or of no more
+than `few` rows, is searched whole. Extra columns are ignored, whatever their names. Empty tables give no rows.
 """
 
 from __future__ import annotations
@@ -23,9 +27,9 @@ from pyspark.sql import functions as F
 
 from . import common, vectors
 
-PIVOTS, PREFIX, SHARE, LEAST = 128, 64, 0.2, 256
-#: Rows sampled for each pivot.
-SPREAD = 16
+PIVOTS, PREFIX, VISITS, SHARE = 128, 32, 120, 0.35
+#: Rows sampled for each pivot, and rows of a dimension that are all reranked.
+SPREAD, FEW = 16, 512
 
 
 def lifted(x: np.ndarray, longest: float) -> np.ndarray:
@@ -35,7 +39,7 @@ def lifted(x: np.ndarray, longest: float) -> np.ndarray:
 def permutations(x: np.ndarray, pivots: np.ndarray, prefix: int) -> np.ndarray:
     """Rows of pivot numbers, nearest first; ties to the smaller number."""
     far = (pivots * pivots).sum(1)[None] - 2 * (x @ pivots.T)
-    return np.argsort(far, axis=1, kind="stable")[:, :prefix]
+    return np.argsort(far, axis=1, kind="stable")[:, :prefix].astype(np.int16)
 
 
 def spread(x: np.ndarray, n: int) -> np.ndarray:
@@ -47,78 +51,115 @@ def spread(x: np.ndarray, n: int) -> np.ndarray:
     return x[chosen]
 
 
-class Groups:
-    """Rows by their nearest pivot. A group's radius bounds the product of its rows with a query."""
-
-    def __init__(self, x: np.ndarray, pivots: np.ndarray):
-        far = (pivots * pivots).sum(1)[None] - 2 * (x @ pivots.T)
-        own = far.argmin(1)
-        self.rows = np.argsort(own, kind="stable")
-        numbers, self.starts = np.unique(own[self.rows], return_index=True)
-        self.ends = np.append(self.starts[1:], len(x))
-        self.centres, self.x = pivots[numbers], x[self.rows, :-1]
-        self.radii = np.sqrt(np.maximum.reduceat(((x[self.rows] - pivots[own[self.rows]]) ** 2).sum(1), self.starts))
-
-    def bounds(self, q: np.ndarray) -> np.ndarray:
-        """For each lifted query and group, what no product exceeds."""
-        return q @ self.centres.T + np.sqrt((q * q).sum(1))[:, None] * self.radii
-
-    def reaching(self, q: np.ndarray, open_groups: np.ndarray, least: float) -> np.ndarray:
-        """Rows of open groups whose product is at least `least`; neighbouring open groups are one run."""
-        edges = np.flatnonzero(np.diff(np.concatenate([[False], open_groups, [False]]).astype(np.int8)))
-        runs = [(self.starts[a], self.ends[b - 1]) for a, b in edges.reshape(-1, 2)]
-        found = [self.rows[a:b][self.x[a:b] @ q >= least] for a, b in runs]
-        return np.concatenate(found) if found else np.zeros(0, np.int64)
-
-
 class InvertedFiles:
-    """For each pivot, the place that it has in the prefix of every row of the block, or `prefix` where it has none.
-
-    A prefix takes a good part of the pivots, so that a file holds a good part of the rows; files are therefore kept
-    dense, by row, which makes a walk a few passes over an array.
-    """
+    """For each pivot the rows of a block that have it in their prefix, and at which place: postings in a row, by pivot."""
 
     def __init__(self, order: np.ndarray, pivots: int):
         self.rows, self.prefix = order.shape
-        self.places = np.full((pivots, self.rows), self.prefix, np.int16)
-        self.places[order.T, np.arange(self.rows)[None]] = np.arange(self.prefix, dtype=np.int16)[:, None]
+        by_pivot = np.argsort(order.ravel(), kind="stable")
+        self.row, self.place = (by_pivot // self.prefix).astype(np.int32), (by_pivot % self.prefix).astype(np.int32)
+        self.start = np.searchsorted(order.ravel()[by_pivot], np.arange(pivots + 1))
 
     def footrule(self, own: np.ndarray) -> np.ndarray:
         """Footrule of every row from a query's prefix; a pivot that one of them lacks counts as place `prefix`."""
         n = self.prefix
-        total = np.full(self.rows, n * (n + 1) // 2 - n * len(own), np.int32)  # the rows' own places against n
+        # as if no row had any of the query's pivots; each posting takes off what it has in common
+        total = np.full(self.rows, n * (n + 1) // 2 + sum(n - at for at in range(len(own))), np.int32)
         for at, pivot in enumerate(own):
-            place = self.places[pivot]
-            total += np.abs(place - np.int16(at)) + place
+            a, b = self.start[pivot], self.start[pivot + 1]
+            place = self.place[a:b]
+            total[self.row[a:b]] -= (n - at) + (n - place) - np.abs(place - at)
         return total
 
 
-def _search(pivots: dict[int, np.ndarray], longest: float, prefix: int, share: float, k: int):
+class Index:
+    """What workers need of one dimension: its pivots, and the prefixes of the sample."""
+
+    def __init__(self, sample: np.ndarray, longest: float, pivots: int, prefix: int):
+        x = lifted(sample, longest)
+        far = spread(x, max(1, pivots // 2))
+        self.pivots = np.unique(np.concatenate([far, x[: pivots - len(far)]]), axis=0)
+        self.prefix = min(prefix, len(self.pivots))
+        self.files = InvertedFiles(permutations(x, self.pivots, self.prefix), len(self.pivots))
+
+    def walk(self, q: np.ndarray) -> np.ndarray:
+        """All pivots in a query's order. It is lifted by nothing: only its direction counts."""
+        return permutations(np.concatenate([q, [0.0]])[None], self.pivots, len(self.pivots))[0]
+
+    def limit(self, own: np.ndarray, share: float) -> int:
+        total = self.files.footrule(own)
+        return int(np.partition(total, (at := min(len(total) - 1, int(np.ceil(share * len(total))))))[at])
+
+
+def _posted(found: dict[int, Index], longest: float):
+    """vec_id, dim, vec, cell, order (the prefix)."""
+
+    @common.tidy
+    def run(batches):
+        for batch in batches:
+            cell, order = np.zeros(batch.num_rows, np.int32), [None] * batch.num_rows
+            dims = batch.column("dim").to_numpy()
+            for d in np.unique(dims):
+                at = np.flatnonzero(dims == d)
+                if int(d) in found:
+                    x = vectors.matrix(batch.column("vec").take(pa.array(at)), int(d))
+                    own = permutations(lifted(x, longest), found[int(d)].pivots, found[int(d)].prefix)
+                    cell[at] = own[:, 0]
+                    for i, o in zip(at.tolist(), own, strict=True):
+                        order[i] = o
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("vec_id", "dim", "vec")), pa.array(cell), pa.array(order, pa.list_(pa.int16()))], ["vec_id", "dim", "vec", "cell", "order"])
+
+    return run
+
+
+def _sent(found: dict[int, Index], visits: int, share: float):
+    """Queries once for each cell that they go to, with their prefix and limit (null: all rows)."""
+
+    @common.tidy
+    def run(batches):
+        for batch in batches:
+            take, cells, order, limits, went = [], [], [], [], []
+            for i, (d, vec) in enumerate(zip(batch.column("dim").to_pylist(), batch.column("vec"), strict=True)):
+                index, own, limit = found.get(d), None, None
+                if index is not None:
+                    own = index.walk(vec.values.to_numpy(zero_copy_only=False).astype(np.float64))
+                    went, own = own[:visits].tolist(), own[: index.prefix]
+                    limit = index.limit(own, share)
+                if index is None or visits >= len(index.pivots):
+                    went = [None]
+                take += [i] * len(went)
+                cells += went
+                order += [own] * len(went)
+                limits += [limit] * len(went)
+            at = pa.array(take, pa.int64())
+            yield pa.RecordBatch.from_arrays([*(batch.column(c).take(at) for c in ("vec_id", "dim", "vec")), pa.array(cells, pa.int32()), pa.array(order, pa.list_(pa.int16())), pa.array(limits, pa.int32())], ["vec_id", "dim", "vec", "cell", "order", "most"])
+
+    return run
+
+
+def _search(sizes: dict[int, tuple[int, int]], k: int):
+    """sizes: by dimension, how many pivots and places of a prefix."""
+
     def run(queries: pa.Table, rows: pa.Table) -> pa.Table:
         if not queries.num_rows or not rows.num_rows:
             return vectors.found_table([], pa.float64())
         rows = rows.sort_by("vec_id")
         dim = rows.column("dim")[0].as_py()
         x, q = vectors.matrix(rows.column("vec"), dim), vectors.matrix(queries.column("vec"), dim)
-        ids, own = rows.column("vec_id").to_numpy(), queries.column("vec_id").to_numpy()
-        p = lifted(pivots[dim], longest) if dim in pivots else np.zeros((1, dim + 1))
-        lx, lq = lifted(x, longest), np.concatenate([q, np.zeros((len(q), 1))], axis=1)
-        files, walks = InvertedFiles(permutations(lx, p, prefix), len(p)), permutations(lq, p, prefix)
-        groups = Groups(lx, p)
-        slack = 1e-6 * longest * np.sqrt((q * q).sum(1))  # rounding of bounds and products
-        tops = groups.bounds(lq) + slack[:, None]
-        most, out = min(len(x), max(LEAST, int(np.ceil(share * len(x))))), []
+        ids, own, most = rows.column("vec_id").to_numpy(), queries.column("vec_id").to_numpy(), queries.column("most").to_pylist()
+        files = None
+        if dim in sizes:
+            pivots, prefix = sizes[dim]
+            shape = lambda t: t.column("order").combine_chunks().flatten().to_numpy().reshape(-1, prefix)
+            files, walks = InvertedFiles(shape(rows), pivots), shape(queries)
+        out = []
         for i in range(len(q)):
-            total = files.footrule(walks[i]).astype(np.int64) * len(x) + np.arange(len(x))  # ties to the smaller id
-            total[ids == own[i]] = np.iinfo(np.int64).max
-            near = np.argpartition(total, most - 1)[:most]
+            near = np.arange(len(x)) if files is None or most[i] is None else np.flatnonzero(files.footrule(walks[i]) <= most[i])
             near = near[ids[near] != own[i]]
             scores = (x[near] * q[i]).sum(1)
-            if most < len(x):
-                kth = np.partition(scores, -k)[-k] if len(scores) >= k else -np.inf
-                more = groups.reaching(q[i], tops[i] >= kth, kth - slack[i])
-                more = np.setdiff1d(more[ids[more] != own[i]], near)
-                near, scores = np.concatenate([near, more]), np.concatenate([scores, (x[more] * q[i]).sum(1)])
+            if len(near) > k:
+                some = np.flatnonzero(scores >= np.partition(scores, len(scores) - k)[len(scores) - k])
+                near, scores = near[some], scores[some]
             keep = np.lexsort((ids[near], -scores))[:k]
             out.append((own[i], ids[near][keep], scores[keep]))
         return vectors.found_table(out, pa.float64())
@@ -126,15 +167,24 @@ def _search(pivots: dict[int, np.ndarray], longest: float, prefix: int, share: f
     return run
 
 
-def search(df: DataFrame, is_query, *, id_col: str = "vec_id", vec_col: str = "embedding", k: int = 20, pivots: int = PIVOTS, prefix: int = PREFIX, share: float = SHARE) -> DataFrame:
+def search(df: DataFrame, is_query, *, id_col: str = "vec_id", vec_col: str = "embedding", k: int = 20, pivots: int = PIVOTS, prefix: int = PREFIX, visits: int = VISITS, share: float = SHARE, few: int = FEW) -> DataFrame:
     """query_id, rank (from 1), vec_id, score: each query's k nearest found by inner product."""
-    common.arrow_batches(df.sparkSession)
+    spark, mark = df.sparkSession, common.mark()
+    common.arrow_batches(spark)
     v = common.stored(vectors.usable(df, id_col, vec_col, zero=False), "vectors")
-    queries = v.where(is_query(F.col("vec_id")))
-    n, dim, longest = v.agg(F.count(F.lit(1)), F.coalesce(F.max("dim"), F.lit(1)), F.coalesce(F.max(F.expr("sqrt(aggregate(vec, 0D, (a, x) -> a + x * x))")), F.lit(0.0))).first()
-    chosen = {d: spread(x, pivots) for d, x in vectors.bounded_sample(v, SPREAD * pivots).items()}
-    find = _search(chosen, longest, prefix, share, k)
-    return vectors.nearest_in_blocks(queries, v, (n, queries.count(), dim), find, k, "double")
+    norm = F.expr("sqrt(aggregate(vec, 0D, (a, x) -> a + x * x))")
+    sizes = {r["dim"]: (r["n"], r["longest"]) for r in v.groupBy("dim").agg(F.count(F.lit(1)).alias("n"), F.max(norm).alias("longest")).collect()}  # a row a dimension
+    longest = max((x for _, x in sizes.values()), default=0.0)
+    found = {d: Index(x, longest, pivots, prefix) for d, x in vectors.bounded_sample(v, SPREAD * pivots).items() if sizes[d][0] > few}
+    schema = "vec_id long, dim int, vec array<double>, cell int, order array<short>"
+    posted = common.stored(v.mapInArrow(_posted(found, longest), schema), "posted")
+    cells = common.stored(vectors.cells_of(posted), "cells")
+    sent = v.where(is_query(F.col("vec_id"))).mapInArrow(_sent(found, visits, share), schema + ", most int")
+    whole = sent.where("cell is null").drop("cell").join(F.broadcast(cells.select("dim", "cell")), "dim")  # to all cells of its dimension
+    queries = common.stored(sent.where("cell is not null").unionByName(whole.select(sent.columns)), "sent")
+    common.drop_since(spark, mark, posted, cells, queries)
+    find = _search({d: (len(i.pivots), i.prefix) for d, i in found.items()}, k)
+    return vectors.nearest_in_blocks(queries, posted, cells, find, k, "double")
 
 
 def op4_permutation_index(spark: SparkSession, sf_dir: str) -> DataFrame:

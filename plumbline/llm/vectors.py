@@ -1,7 +1,8 @@
 """Vector search over blocks: what exact search and the permutation index share.
 
-Queries meet all rows block by block. Every row has a block by a hash of its id, queries likewise, and each
-pair of a query block and a candidate block is one group, processed in memory that the block sizes bound. Each
+Rows lie in cells by their nearest pivot, and cells in blocks of bounded size. Queries go to the blocks of the cells that they name,
+and each pair of a query block and a candidate block is one group, processed in memory that the block sizes bound. A query
+block takes as many queries as a block has rows, so candidates are copied only once for each so many queries. Each
 group returns its nearest `k` for each query; these are merged by query.
 """
 
@@ -11,11 +12,11 @@ from collections.abc import Callable
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Numbers in a block of candidates and in one of queries.
-BLOCK, QUERY_BLOCK = 1 << 20, 1 << 15
+#: Numbers in a block of candidates, and in one of queries.
+BLOCK = 1 << 20
 
 
 def usable(df: DataFrame, id_col: str, vec_col: str, zero: bool) -> DataFrame:
@@ -33,18 +34,42 @@ def matrix(column: pa.ChunkedArray | pa.Array, dim: int) -> np.ndarray:
 
 
 def bounded_sample(v: DataFrame, n: int) -> dict[int, np.ndarray]:
-    """The vectors of the n smallest hashes of ids, by dimension: a sample whose size the parameter bounds."""
-    rows = v.select("vec", "dim").orderBy(F.xxhash64("vec_id"), "vec_id").limit(n).collect()
-    return {d: np.array([r["vec"] for r in rows if r["dim"] == d]) for d in {r["dim"] for r in rows}}
-
-
-def nearest_in_blocks(queries: DataFrame, candidates: DataFrame, size: tuple[int, int, int], search: Callable[[pa.Table, pa.Table], pa.Table], k: int, score_type: str) -> DataFrame:
-    """query_id, rank, vec_id, score. Both inputs have vec_id and dim; size: candidates, queries, largest dimension."""
-    n, m, dim = size
-    blocks, query_blocks = max(1, -(-n * dim // BLOCK)), max(1, -(-m * dim // QUERY_BLOCK))
-    c = candidates.withColumn("c_block", F.pmod(F.xxhash64("vec_id"), F.lit(blocks)).cast("int")).withColumn("q_block", F.explode(F.sequence(F.lit(0), F.lit(query_blocks - 1))))
-    q = queries.withColumn("q_block", F.pmod(F.xxhash64("vec_id"), F.lit(query_blocks)).cast("int")).withColumn("c_block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
-    keys = ["dim", "q_block", "c_block"]
+    """By dimension, the vectors of the n smallest hashes of ids, of twice as many expected ones that are collected: the parameter bounds them for each dimension."""
+    counts = {r["dim"]: r["n"] for r in v.groupBy("dim").agg(F.count(F.lit(1)).alias("n")).collect()}  # a row a dimension
+    if not counts:
+        return {}
+    places, at = 1 << 30, F.xxhash64("vec_id", F.lit("sample"))
+    upto = F.create_map(*(F.lit(x) for d, m in counts.items() for x in (d, min(places, -(-2 * n * places // m)))))
+    rows = v.where(F.pmod(at, F.lit(places)) < F.element_at(upto, F.col("dim"))).select("dim", at.alias("at"), "vec_id", "vec").collect()
+    rows.sort(key=lambda r: (r["at"], r["vec_id"], r["vec"]))
+    own = {d: [r["vec"] for r in rows if r["dim"] == d][:n] for d in counts}
+    return {d: np.array(x) for d, x in own.items() if x}
+
+
+def cells_of(t: DataFrame) -> DataFrame:
+    """dim, cell, n, blocks: the cells of t and in how many blocks their rows lie; a row for each pivot of a dimension at most."""
+    sizes = t.groupBy("dim", "cell").agg(F.count(F.lit(1)).alias("n"))
+    return sizes.withColumn("blocks", F.greatest(F.lit(1), F.ceil(F.col("n") * F.col("dim") / BLOCK)).cast("int"))
+
+
+def block_of(blocks: Column) -> Column:
+    return F.pmod(F.xxhash64("vec_id"), blocks).cast("int")
+
+
+def nearest_in_blocks(queries: DataFrame, candidates: DataFrame, cells: DataFrame, search: Callable[[pa.Table, pa.Table], pa.Table], k: int, score_type: str, *, own: bool = False) -> DataFrame:
+    """query_id, rank, vec_id, score. candidates have vec_id, dim and cell, queries the cells that they go to; cells as of cells_of().
+
+    With `own`, queries go only to the block of their cell in which a candidate of their id would lie.
+    """
+    cells = F.broadcast(cells)
+    queries = queries.select(*(F.col(c).alias(c) for c in queries.columns))  # both sides come from one table
+    q = queries.join(cells.select("dim", "cell", "blocks"), ["dim", "cell"])
+    q = q.withColumn("c_block", block_of(F.col("blocks")) if own else F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    per = F.broadcast(q.groupBy("dim", "cell").agg(F.greatest(F.lit(1), F.ceil(F.count_if(F.col("c_block") == 0) * F.col("dim") / BLOCK)).cast("int").alias("parts")) if not own else cells.select("dim", "cell", F.lit(1).alias("parts")))
+    q = q.join(per, ["dim", "cell"]).withColumn("q_block", block_of(F.col("parts"))).drop("blocks", "parts")
+    c = candidates.join(cells.select("dim", "cell", "blocks"), ["dim", "cell"]).join(per, ["dim", "cell"]).withColumn("c_block", block_of(F.col("blocks")))
+    c = c.withColumn("q_block", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).drop("blocks", "parts")
+    keys = ["dim", "cell", "c_block", "q_block"]
     found = q.groupBy(*keys).cogroup(c.groupBy(*keys)).applyInArrow(search, f"query_id long, vec_id long, score {score_type}")
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

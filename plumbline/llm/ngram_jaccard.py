@@ -1,19 +1,24 @@
 """N-gram Jaccard join: components of documents whose sets of word 5-grams have a similarity of 0.75 or more.
 
 Words are runs of other than ASCII white space in the text with A-Z in small letters. Equal sets form a class.
-Shingles are hashes, and their order by hash is the global one. For sets x, y that overlap enough, the prefixes of
+Shingles are hashes, and their order by hash is the first global one. For sets x, y that overlap enough, the prefixes of
 length |x| - ceil(0.75 |x|) + k share at least k tokens; a prefix extended by k - 1 thus stands for all
-combinations of k of its tokens, and k grows with the set. Two classes that share k prefix tokens share one of
-those combinations; counting shared tokens finds these pairs without writing the combinations out.
-
-Tokens of at most `rare` classes are indexed singly: their lists give pairs with the number of shared tokens.
-Tokens of longer lists are the frequent class. They only lower the count that a pair needs by as many frequent
-tokens as both have. Classes whose frequent tokens alone could make up k go through the frequent lists: all of a
-list is verified against its first class, the leader. What is linked to the leader is joined. What is not is
-compared, in blocks of bounded size, with the leader's other members, but for those linked to it that cannot be
-within reach: the Jaccard distance is a metric, so a link needs |d(l, y) - d(l, x)| <= 1/4. A block yields a forest of
-its links, not pairs. Candidates are verified on whole sets. So every link between different sets is found or
-implied by links found; components are those of all links.
+combinations of k of its tokens, and k grows with the set. Tokens of at most `rare` classes are indexed singly: their lists
+give pairs with the number of shared tokens. Tokens of longer lists are the frequent class. They only lower the count
+that a pair needs by as many frequent tokens as both have.
+
+Classes whose frequent tokens alone could make up k are indexed anew among themselves, in an order with frequent tokens last:
+all their tokens are counted, and prefixes taken of rare tokens first. Sets that merely share a passage then have none but
+rare tokens in their prefixes. What is left are sets made of frequent tokens for the most part. Up to `HIGH` shingles
+these are indexed by combinations of two frequent tokens, which every similar pair without a shared rare token shares;
+longer ones, whose combinations would be too many, by single tokens. Of lists of these beyond `rare`, all classes are verified
+against the first, the leader. What is linked to the leader is joined. What is not is compared, in blocks of bounded
+size, with the leader's other members, but for those linked to it that cannot be within reach: the Jaccard distance is a
+metric, so a link needs |d(l, y) - d(l, x)| <= 1/4. A block yields a forest of its links, not pairs. Candidates are verified
+on whole sets. So every link between different sets is found or implied by links found; components are those of all links.
+
+Tokens that hold a good part of all postings are told by a sample of classes and leave the shuffled lists; that
+they are frequent is certain from the sample alone.
 
 Defined results: null and empty texts have no shingles and are linked with nothing; texts of fewer than five words
 are one shingle; equal rows are in one component; null doc_ids take part and count as the largest. Extra
@@ -31,6 +36,11 @@ from pyspark.sql import functions as F
 from . import common
 
 WORDS, PERCENT, RARE = 5, 75, 32
+#: Sets up to HIGH shingles are indexed by combinations of two frequent tokens, those above LOW by single ones. Similar sets differ
+#: by less than HIGH / LOW in size, so each pair has one of the two in common.
+LOW, HIGH = 64, 86
+#: Part of classes whose postings are counted beforehand, and tokens that leave the lists at most.
+SAMPLED, TOP = 64, 20_000
 #: Sets on each side of a block.
 BLOCK = 640
 #: Words whose hashes a worker remembers.
@@ -87,6 +97,15 @@ def prefix_length(n: int, percent: int = PERCENT) -> int:
     return min(n, n - -(-percent * n // 100) + int(shared_needed(n)))
 
 
+def shared_late(n):
+    """k in the order with frequent tokens last: at least 2, so that similar sets share a combination of two."""
+    return np.minimum(4, np.maximum(2, 1 + n // 4))
+
+
+def _shared_late(n: Column) -> Column:
+    return F.least(F.lit(4), F.greatest(F.lit(2), 1 + F.floor(n / 4)))
+
+
 def _sets(width: int, percent: int):
     @common.tidy
     def run(batches):
@@ -192,6 +211,45 @@ def _lists(rare: int, percent: int, flush: int = 1 << 18):
     return run
 
 
+def _combined(tokens: np.ndarray) -> np.ndarray:
+    """A token for each pair of tokens, whatever their order in the pair."""
+    i, j = np.triu_indices(len(tokens), 1)
+    low, high = np.minimum(tokens[i], tokens[j]).view(np.uint64), np.maximum(tokens[i], tokens[j]).view(np.uint64)
+    x = (low * _ODD[0]) ^ (low >> np.uint64(31))
+    x = (x + high) * _ODD[1]
+    return (x ^ (x >> np.uint64(29))).view(np.int64)
+
+
+def late_prefix(tokens: np.ndarray, frequent: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray]:
+    """The prefix of a set in the order with frequent tokens last: its rare and its frequent tokens."""
+    n, often = len(tokens), np.isin(tokens, frequent, assume_unique=True)
+    size = min(n, n - -(-percent * n // 100) + int(shared_late(n)))
+    rare = tokens[~often][:size]
+    return rare, tokens[often][: size - len(rare)]
+
+
+def _late(percent: int):
+    """sig, n, f (frequent tokens in the prefix), rare, singles and pairs to post."""
+
+    @common.tidy
+    def run(batches):
+        for batch in batches:
+            out = []
+            for tokens, often in zip(batch.column("tokens"), batch.column("often").to_pylist(), strict=True):
+                tokens = np.frombuffer(tokens.as_buffer(), np.int64)
+                n = len(tokens)
+                rare, common_ = late_prefix(tokens, np.array(often or [], np.int64), percent)
+                least = int(shared_late(-(-percent * n // 100)))  # of the smallest similar set
+                hot = len(common_) >= least
+                pairs = _combined(common_[: len(common_) - least + 2]) if hot and n <= HIGH else common_[:0]
+                out.append((n, len(common_), rare.tobytes(), (common_ if hot and n > LOW else common_[:0]).tobytes(), pairs.tobytes()))
+            types = (pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.binary())
+            columns = [pa.array(c, t) for c, t in zip(zip(*out, strict=True) if out else [[]] * 5, types, strict=True)]
+            yield pa.RecordBatch.from_arrays([batch.column("sig"), *columns], ["sig", "n", "f", "rare", "singles", "pairs"])
+
+    return run
+
+
 def _whole_sets(width: int):
     @common.tidy
     def run(batches):
@@ -203,6 +261,49 @@ def _whole_sets(width: int):
     return run
 
 
+def _top_tokens(posting: DataFrame, rare: int) -> DataFrame:
+    """Tokens, TOP at most, that more than `rare` classes of a sample alone have in their prefix; stored."""
+    sample = posting.where(F.pmod(F.xxhash64("sig"), F.lit(SAMPLED)) == 0).mapInArrow(_post, "token long, sig long, n long").select("token", "sig").distinct()
+    counts = common.stored(sample.groupBy("token").agg(F.count(F.lit(1)).alias("m")).where(F.col("m") > rare), "sampled-tokens")
+    total = counts.agg(F.coalesce(F.sum("m"), F.lit(0))).first()[0]
+    return common.stored(counts.where(F.col("m") >= -(-total // TOP)).select("token"), "top-tokens")
+
+
+def _listed(posting: DataFrame, rare: int, percent: int) -> DataFrame:
+    """Of posting (sig, n, prefix): a, b, na, nb, shared of rare lists' pairs, and rows (token, sig, -, n, 0) of frequent ones; stored."""
+    top = F.broadcast(_top_tokens(posting, rare))
+    posted = posting.mapInArrow(_post, "token long, sig long, n long")
+    often = posted.join(top, "token", "left_semi").distinct().select(F.col("token").alias("a"), F.col("sig").alias("b"), F.lit(0).cast("long").alias("na"), F.col("n").alias("nb"), F.lit(0).cast("long").alias("shared"))
+    rest = posted.join(top, "token", "left_anti").repartition("token").sortWithinPartitions("token", "sig")
+    return common.stored(rest.mapInArrow(_lists(rare, percent), "a long, b long, na long, nb long, shared long").unionByName(often), "lists")
+
+
+def _frequent_in(found: DataFrame) -> DataFrame:
+    return found.where("shared = 0").select(F.col("a").alias("token"), F.col("b").alias("sig"), F.col("nb").alias("n"))
+
+
+def _rare_pairs(found: DataFrame, spare: DataFrame, needed) -> DataFrame:
+    """a, b of pairs that share as many rare tokens as they need beside the frequent ones `f` of spare (sig, f)."""
+    pairs = found.where("shared > 0").groupBy("a", "b", "na", "nb").agg(F.sum("shared").alias("shared"))
+    fa, fb = spare.select(F.col("sig").alias("a"), F.col("f").alias("fa")), spare.select(F.col("sig").alias("b"), F.col("f").alias("fb"))
+    least = F.least(needed(F.col("na")), needed(F.col("nb"))) - F.least(F.coalesce("fa", F.lit(0)), F.coalesce("fb", F.lit(0)))
+    return pairs.join(fa, "a", "left").join(fb, "b", "left").where(F.col("shared") >= least).select("a", "b")
+
+
+def late_index(sets: DataFrame, rare: int, percent: int) -> tuple[DataFrame, DataFrame]:
+    """Candidate pairs (a, b) among sets (sig, tokens) by prefixes with frequent tokens last, and the frequent lists (token, sig, n); stored."""
+    posted = sets.select("sig", F.lit(0).cast("long").alias("n"), F.col("tokens").alias("prefix")).mapInArrow(_post, "token long, sig long, n long").select("token", "sig")
+    counts = common.stored(posted.groupBy("token").agg(F.count(F.lit(1)).alias("rows")).where(F.col("rows") > rare).withColumn("often", F.lit(True)), "frequent-tokens")
+    total = counts.agg(F.coalesce(F.sum("rows"), F.lit(0))).first()[0]
+    own = common.hot_split(posted, counts, ["token"], ["often"], total).where("often").groupBy("sig").agg(F.collect_list("token").alias("often"))  # a set's own tokens
+    late = common.stored(sets.join(own, "sig", "left").mapInArrow(_late(percent), "sig long, n long, f long, rare binary, singles binary, pairs binary"), "late-prefixes")
+    post = lambda column: late.where(F.length(column) > 0).select("sig", "n", F.col(column).alias("prefix"))
+    found, combined = _listed(post("rare"), rare, percent), _listed(post("pairs"), rare, percent)
+    pairs = _rare_pairs(found, late.where("f > 0").select("sig", "f"), _shared_late).unionByName(combined.where("shared > 0").select("a", "b")).distinct()
+    lists = post("singles").mapInArrow(_post, "token long, sig long, n long").unionByName(_frequent_in(combined)).unionByName(_frequent_in(found))
+    return common.stored(pairs, "late-pairs"), common.stored(lists, "late-lists")
+
+
 def _overlaps(batches):
     for batch in batches:
         common_, least = [], []
@@ -306,7 +407,7 @@ def components(nodes: DataFrame, links: DataFrame) -> DataFrame:
 
 def join(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", width: int = WORDS, percent: int = PERCENT, rare: int = RARE) -> DataFrame:
     """Per row: doc_id, n_shingles, component_id."""
-    spark = df.sparkSession
+    spark, mark = df.sparkSession, common.mark()
     common.arrow_batches(spark)
     texts = common.ids_and_text(df, id_col, text_col).withColumn("doc_id", F.coalesce("doc_id", F.lit(NULL_ID)))
     posting = common.stored(texts.mapInArrow(_sets(width, percent), "doc_id long, n long, sig long, prefix binary"), "prefixes")
@@ -314,29 +415,26 @@ def join(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", width
     total = docs.count()
     classes = common.stored(docs.groupBy("sig", "n").agg(F.min("doc_id").alias("first"), F.count(F.lit(1)).alias("rows")), "classes")
 
-    posted = posting.where("prefix is not null").select("sig", "n", "prefix").mapInArrow(_post, "token long, sig long, n long")
-    found = common.stored(posted.repartition("token").sortWithinPartitions("token", "sig").mapInArrow(_lists(rare, percent), "a long, b long, na long, nb long, shared long"), "lists")
+    found = _listed(posting.where("prefix is not null").select("sig", "n", "prefix"), rare, percent)
     common.drop_scratch(spark, posting)
-    frequent = found.where("shared = 0").select(F.col("a").alias("token"), F.col("b").alias("sig"), F.col("nb").alias("n"))
-    spare = common.stored(frequent.groupBy("sig", "n").agg(F.count(F.lit(1)).alias("f")), "spare")
-    pairs = found.where("shared > 0").groupBy("a", "b", "na", "nb").agg(F.sum("shared").alias("shared"))
-    needed = F.least(_shared_needed(F.col("na")), _shared_needed(F.col("nb")))
-    fa, fb = spare.select(F.col("sig").alias("a"), F.col("f").alias("fa")), spare.select(F.col("sig").alias("b"), F.col("f").alias("fb"))
-    rare_pairs = pairs.join(fa, "a", "left").join(fb, "b", "left").where(F.col("shared") >= needed - F.least(F.coalesce("fa", F.lit(0)), F.coalesce("fb", F.lit(0)))).select("a", "b")
-    rare_pairs = common.stored(rare_pairs, "rare-pairs")
+    spare = common.stored(_frequent_in(found).groupBy("sig", "n").agg(F.count(F.lit(1)).alias("f")), "spare")
+    rare_pairs = common.stored(_rare_pairs(found, spare, _shared_needed), "rare-pairs")
     hot = common.stored(spare.where(F.col("f") >= _shared_needed(F.ceil(F.col("n") * percent / 100))).select("sig"), "hot")
 
     wanted = rare_pairs.select(F.col("a").alias("sig")).unionByName(rare_pairs.select(F.col("b").alias("sig"))).unionByName(hot).distinct()
     ids = common.stored(classes.join(wanted, "sig").select(F.col("first").alias("doc_id")).distinct(), "wanted")
     ids = F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids
     sets = common.stored(texts.join(ids, "doc_id", "left_semi").mapInArrow(_whole_sets(width), "sig long, tokens binary").dropDuplicates(["sig"]), "whole-sets")
-    links = _verified(rare_pairs, sets, percent).where("linked").select("a", "b")
-    links = links.unionByName(_frequent_links(frequent.join(hot, "sig", "left_semi"), sets, percent)).where("a <> b").distinct()
+    late_pairs, lists = late_index(sets.join(hot, "sig", "left_semi"), rare, percent)
+    pairs = rare_pairs.unionByName(late_pairs).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    links = _verified(pairs, sets, percent).where("linked").select("a", "b")
+    links = links.unionByName(_frequent_links(lists, sets, percent)).where("a <> b").distinct()
     firsts = classes.select("sig", "first")
     by_id = links.join(firsts.select(F.col("sig").alias("a"), F.col("first").alias("x")), "a").join(firsts.select(F.col("sig").alias("b"), F.col("first").alias("y")), "b").select(F.col("x").alias("a"), F.col("y").alias("b"))
     labels = components(classes, by_id)
     named = classes.join(labels.withColumnRenamed("node", "first"), "first", "left").select("sig", "n", "rows", F.coalesce("label", "first").alias("component_id"))
     named = common.stored(named.where("n > 0"), "components")
+    common.drop_since(spark, mark, docs, named)
     out = common.hot_split(docs.select("doc_id", "n", "sig"), named, ["sig", "n"], ["component_id"], total)
     known = F.nullif(F.col("doc_id"), F.lit(NULL_ID))
     return out.select(known.alias("doc_id"), F.col("n").alias("n_shingles"), F.nullif(F.coalesce("component_id", "doc_id"), F.lit(NULL_ID)).alias("component_id"))

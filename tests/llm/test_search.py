@@ -59,6 +59,56 @@ def test_join_equals_brute_force(spark, rare):
     assert joined(df, rare=rare) == brute_components(rows)
 
 
+@pytest.mark.parametrize("broadcast", [1_000_000, 0])
+def test_join_of_groups_made_of_frequent_shingles(spark, monkeypatch, broadcast):
+    """Near copies of short and long texts about the threshold, in groups beyond `rare`, and the sizes where the two indexes meet."""
+    monkeypatch.setattr(ngram_jaccard, "BROADCAST_IDS", broadcast)
+    monkeypatch.setattr(ngram_jaccard, "SAMPLED", 1)  # every class is sampled: many tokens leave the lists beforehand
+    rng, rows = np.random.default_rng(17), []
+    for g, size in enumerate((8, 14, 40, 68, 90, 130)):
+        base = [f"g{g}w{i}" for i in range(size)]
+        for _ in range(28):
+            w = list(base)
+            for k in rng.choice(size, rng.integers(0, max(2, size // 12)), replace=False):
+                w[k] = f"e{len(rows)}x{k}"
+            w = w[: len(w) - int(rng.integers(0, size // 8 + 1))] + [f"t{len(rows)}x{k}" for k in range(rng.integers(0, size // 8 + 1))]
+            rows.append((len(rows), " ".join(w)))
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    want = brute_components(rows)
+    assert joined(df, rare=3) == want and 20 < len({w[2] for w in want}) < 160
+
+
+def test_sets_that_share_a_passage_cost_rows_in_proportion(spark):
+    made = {}
+    for m in (300, 1200):
+        own = [("licence text " + " ".join(f"l{i}" for i in range(200)) + " " + " ".join(f"d{d}w{i}" for i in range(110))) for d in range(m)]
+        cut = ngram_jaccard.Shingles()
+        df = spark.createDataFrame([(ngram_jaccard.signature(cut(t)), cut(t).tobytes()) for t in own], "sig long, tokens binary")
+        pairs, lists = ngram_jaccard.late_index(df, 32, 75)
+        made[m] = pairs.count() + lists.count()
+    assert made == {300: 0, 1200: 0}  # nothing to compare: prefixes hold rare shingles alone
+
+
+def test_late_prefixes_share_what_they_must():
+    rng = np.random.default_rng(6)
+    for _ in range(300):
+        n = int(rng.integers(2, 120))
+        x = np.unique(rng.integers(0, 1 << 40, n))
+        y = np.unique(np.concatenate([x[rng.random(len(x)) > rng.uniform(0, 0.25)], rng.integers(0, 1 << 40, rng.integers(0, max(1, n // 6)))]))
+        both = len(np.intersect1d(x, y))
+        if 100 * both < 75 * (len(x) + len(y) - both):
+            continue
+        often = rng.permutation(np.union1d(x, y))[: int(rng.integers(0, 2 * n))]
+        (rx, fx), (ry, fy) = (ngram_jaccard.late_prefix(v, often, 75) for v in (x, y))
+        k = int(min(ngram_jaccard.shared_late(len(x)), ngram_jaccard.shared_late(len(y))))
+        same_rare, same_often = len(np.intersect1d(rx, ry)), len(np.intersect1d(fx, fy))
+        assert same_rare + same_often >= min(k, len(x), len(y))
+        if not same_rare and min(len(x), len(y)) > 1:
+            least = [int(ngram_jaccard.shared_late(-(-75 * len(v) // 100))) for v in (x, y)]
+            a, b = (ngram_jaccard._combined(f[: len(f) - at + 2]) for f, at in zip((fx, fy), least))
+            assert len(np.intersect1d(a, b))
+
+
 def test_join_of_nothing(spark):
     empty = spark.createDataFrame([], "doc_id long, text string")
     assert joined(empty) == [] and joined(spark.createDataFrame([(1, None)], "doc_id long, text string")) == [("1", 0, "1")]

@@ -9,28 +9,12 @@ Of near duplicates the smallest doc_id stays, of rows with equal id and text one
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from plumbline.llm import common, kneser_ney, log_templates, ngram_jaccard, packing, surrogates
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
-#: Scratch tables of the stage before: its result has been written when the next one starts.
-_last: list[str] = []
-
-
-def _stage(work: Callable[[SparkSession, DataFrame, str], DataFrame]) -> Callable[[SparkSession, DataFrame, str], DataFrame]:
-    def run_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-        for folder in [x for x in _last if x in common.made]:
-            common.remove(spark, folder)
-        before = set(common.made)
-        out = work(spark, docs, sf_dir)
-        _last[:] = [x for x in common.made if x not in before]
-        return out
-
-    return run_stage
 
 
 def _with_text(docs: DataFrame) -> DataFrame:
@@ -69,11 +53,11 @@ def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 STAGES = [
-    ("quality", _stage(quality)),
-    ("line_dedup", _stage(line_dedup)),
-    ("near_duplicates", _stage(near_duplicates)),
-    ("private_data", _stage(private_data)),
-    ("packing", _stage(packed)),
+    ("quality", quality),
+    ("line_dedup", line_dedup),
+    ("near_duplicates", near_duplicates),
+    ("private_data", private_data),
+    ("packing", packed),
 ]
 
 #: The classifier, the join's shingle hashes, keyed surrogates and the tokenizer have no SQL.
@@ -82,9 +66,14 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over documents; each but the last is written as Parquet and read again."""
-    docs = common.table(spark, sf_dir, "documents").select(*COLUMNS)
+    docs, last = common.table(spark, sf_dir, "documents").select(*COLUMNS), None
     for name, stage in STAGES[:-1]:
-        path = common.scratch_path(spark, f"stage-{name}")
+        mark, path = common.mark(), common.scratch_path(spark, f"stage-{name}")
+        common.made.append(path)
         stage(spark, docs, sf_dir).write.parquet(path)
         docs = spark.read.parquet(path)
+        common.drop_since(spark, mark, docs)  # what the stage read lazily is in its table now
+        if last:
+            common.remove(spark, last)
+        last = path
     return STAGES[-1][1](spark, docs, sf_dir)

@@ -320,3 +320,21 @@ def test_pipeline(spark):
         seen = docs.count()
     assert corpus_pipeline.STAGES[-1][1](spark, docs, DATA).select("doc_id").distinct().count() == seen
     assert docs.where("n_chars <> length(text)").count() == 0
+
+
+def test_pipeline_on_odd_tables(spark):
+    import corpus_pipeline
+
+    text = "Some ordinary words that nobody else has written in this order before, number "
+    rows = [(None, None, None, None, None), (None, text + "one", "en", "s", 1), (1, "", "en", None, 0), (2, text * 3 + "two", None, "s", 5), (2, text * 3 + "two", None, "s", 5), (2, "another text under the same number, " + text, "xx", "s", 9), (3, "x", "en", "s", 1), (4, "Mr. Kim Fox, " + text * 40, "fr", "s", 4)]
+    odd = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    for docs in (odd, odd.limit(0)):
+        for name, stage in corpus_pipeline.STAGES[:-1]:
+            extra = docs.withColumn("row_key", F.lit("x")).withColumn("n_entities", F.lit("y")).withColumn("sig", F.lit(1))  # clashing names
+            docs = common.stored(stage(spark, extra, DATA), f"odd-{name}")
+            assert docs.columns == corpus_pipeline.COLUMNS
+        left = [r["text"] for r in docs.collect()]
+        assert len(left) == len(set(left)) and None not in left and "" not in left and not any("Kim" in t for t in left)
+        packed = corpus_pipeline.STAGES[-1][1](spark, docs, DATA)
+        assert (packed.count() > 0) == bool(left)
+    assert len(left) == 0

@@ -126,8 +126,10 @@ def test_components_of_chains_and_stars(spark):
     assert {got[i] for i in range(61)} == {0} and {got[100 + i] for i in range(40)} == {100} and got[200] == got[150] == 150 or got[150] == 100
 
 
-def test_warc_round_trip(spark):
-    rows = [(5, "u\n x", "é<b>" * 50), (3, None, "é<b>" * 50), (None, "z", "é<b>" * 50), (9, "a", None), (7, "b", ""), (8, "", "q"), (3, "again", "é<b>" * 50)]
+@pytest.mark.parametrize("broadcast", [100_000, 0])
+def test_warc_round_trip(spark, monkeypatch, broadcast):
+    monkeypatch.setattr(warc, "BROADCAST_ROWS", broadcast)
+    rows = [(11, "long", "ab<p>é" * 400_000), (5, "u\n x", "é<b>" * 50), (3, None, "é<b>" * 50), (None, "z", "é<b>" * 50), (9, "a", None), (7, "b", ""), (8, "", "q"), (3, "again", "é<b>" * 50)]
     df = spark.createDataFrame([(*r, 1) for r in rows], "page_id long, url string, html string, payload int")
     path = warc.write_archives(df, common.scratch_path(spark, "test-warc"))
     got = warc.read_archives(spark, path).collect()
@@ -137,7 +139,7 @@ def test_warc_round_trip(spark):
     for r in got:
         own = html[r["page_id"]]
         assert r["payload_bytes"] == len((own or "").encode()) and r["payload_digest"] == digest(own)
-        assert r["record_type"] == ("response" if r["page_id"] in (3, 7, 8) else "revisit")
+        assert r["record_type"] == ("response" if r["page_id"] in (3, 7, 8, 11) else "revisit")
         assert r["refers_to"] == {5: 3, None: 3, 9: 7}.get(r["page_id"])
         assert r["payload"] == ((own or "").encode() if r["record_type"] == "response" else None)
     assert warc.read_archives(spark, warc.write_archives(df.limit(0), common.scratch_path(spark, "test-warc"))).count() == 0

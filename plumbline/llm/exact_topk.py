@@ -62,24 +62,24 @@ def _ranges(t: DataFrame, pivots: int) -> dict[int, list[tuple]]:
     return out
 
 
-def _reached(ranges: dict[int, list[tuple]]):
-    """Queries once for each cell with a bound that reaches their floor."""
+def _reached(ranges: dict[int, list[tuple]], packs: dict[tuple[int, int], int]):
+    """Queries once for each pack that holds a cell with a bound that reaches their floor."""
 
     @common.tidy
     def run(batches):
         arrays = {d: ([c for c, *_ in own], *(np.array([x[i] for x in own]) for i in (1, 2, 3))) for d, own in ranges.items()}
         for batch in batches:
-            take, cells = [], []
+            take, chosen = [], []
             for i, (dim, far, whole, floor) in enumerate(zip(*(batch.column(c).to_pylist() for c in ("dim", "far", "whole", "floor")), strict=True)):
                 names, low, high, square = arrays[dim]
                 f, q = np.array(far), float(np.dot(whole, whole))
                 gap = np.maximum(np.maximum(f - high, low - f), 0.0).max(1, initial=0.0)
                 most = (q + square - gap**2) / 2 + 1e-6 * (q + square) + 1  # beyond the rounding of the distances
-                own = [c for c, m in zip(names, most, strict=True) if floor is None or m >= floor]
+                own = sorted({packs[dim, c] for c, m in zip(names, most, strict=True) if floor is None or m >= floor})
                 take += [i] * len(own)
-                cells += own
+                chosen += own
             rows = batch.select([c for c in batch.schema.names if c != "cell"]).take(pa.array(take, pa.int64()))
-            yield pa.RecordBatch.from_arrays([*rows.columns, pa.array(cells, pa.int32())], [*rows.schema.names, "cell"])
+            yield pa.RecordBatch.from_arrays([*rows.columns, pa.array(chosen, pa.int32())], [*rows.schema.names, "pack"])
 
     return run
 
@@ -167,13 +167,13 @@ def search(df: DataFrame, is_query, *, id_col: str = "vec_id", vec_col: str = "e
     v = vectors.usable(df, id_col, vec_col, zero=True)
     chosen = {d: np.floor(scale * p) for d, p in vectors.bounded_sample(v, pivots).items()}
     t = common.stored(v.mapInArrow(_pivot_table(chosen, scale), "vec_id long, dim int, cell int, whole array<double>, far array<double>"), "pivot-table")
-    cells, find = common.stored(vectors.cells_of(t), "cells"), _search(k)
+    (cells, packs), find = vectors.packs_of(t), _search(k)
     queries = t.where(is_query(F.col("vec_id")))
     first = vectors.nearest_in_blocks(queries, t, cells, find, k, "long", own=True)
     floors = common.stored(first.where(F.col("rank") == k).select(F.col("query_id").alias("vec_id"), F.col("score").alias("floor")), "floors")
-    schema = "vec_id long, dim int, whole array<double>, far array<double>, floor long, cell int"
-    reached = common.stored(queries.join(floors, "vec_id", "left").mapInArrow(_reached(_ranges(t, pivots)), schema), "reached")
-    common.drop_since(spark, mark, t, cells, reached)
+    schema = "vec_id long, dim int, whole array<double>, far array<double>, floor long, pack int"
+    reached = common.stored(queries.join(floors, "vec_id", "left").mapInArrow(_reached(_ranges(t, pivots), packs), schema), "reached")
+    common.drop_since(spark, mark, t, reached)
     return vectors.nearest_in_blocks(reached, t, cells, find, k, "long")
 
 

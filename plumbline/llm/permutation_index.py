@@ -112,27 +112,28 @@ def _posted(found: dict[int, Index], longest: float):
     return run
 
 
-def _sent(found: dict[int, Index], visits: int, share: float):
-    """Queries once for each cell that they go to, with their prefix and limit (null: all rows)."""
+def _sent(found: dict[int, Index], packs: dict[tuple[int, int], int], visits: int, share: float):
+    """Queries once for each pack with a cell that they go to, with their prefix and limit (null: all rows)."""
+    whole = {d: sorted({p for (x, _), p in packs.items() if x == d}) for d in {d for d, _ in packs}}
 
     @common.tidy
     def run(batches):
         for batch in batches:
-            take, cells, order, limits, went = [], [], [], [], []
+            take, chosen, order, limits, went = [], [], [], [], []
             for i, (d, vec) in enumerate(zip(batch.column("dim").to_pylist(), batch.column("vec"), strict=True)):
                 index, own, limit = found.get(d), None, None
                 if index is not None:
                     own = index.walk(vec.values.to_numpy(zero_copy_only=False).astype(np.float64))
-                    went, own = own[:visits].tolist(), own[: index.prefix]
+                    went, own = sorted({packs[d, c] for c in own[:visits].tolist() if (d, c) in packs}), own[: index.prefix]
                     limit = index.limit(own, share)
                 if index is None or visits >= len(index.pivots):
-                    went = [None]
+                    went = whole[d]
                 take += [i] * len(went)
-                cells += went
+                chosen += went
                 order += [own] * len(went)
                 limits += [limit] * len(went)
             at = pa.array(take, pa.int64())
-            yield pa.RecordBatch.from_arrays([*(batch.column(c).take(at) for c in ("vec_id", "dim", "vec")), pa.array(cells, pa.int32()), pa.array(order, pa.list_(pa.int16())), pa.array(limits, pa.int32())], ["vec_id", "dim", "vec", "cell", "order", "most"])
+            yield pa.RecordBatch.from_arrays([*(batch.column(c).take(at) for c in ("vec_id", "dim", "vec")), pa.array(chosen, pa.int32()), pa.array(order, pa.list_(pa.int16())), pa.array(limits, pa.int32())], ["vec_id", "dim", "vec", "pack", "order", "most"])
 
     return run
 
@@ -176,13 +177,11 @@ def search(df: DataFrame, is_query, *, id_col: str = "vec_id", vec_col: str = "e
     sizes = {r["dim"]: (r["n"], r["longest"]) for r in v.groupBy("dim").agg(F.count(F.lit(1)).alias("n"), F.max(norm).alias("longest")).collect()}  # a row a dimension
     longest = max((x for _, x in sizes.values()), default=0.0)
     found = {d: Index(x, longest, pivots, prefix) for d, x in vectors.bounded_sample(v, SPREAD * pivots).items() if sizes[d][0] > few}
-    schema = "vec_id long, dim int, vec array<double>, cell int, order array<short>"
-    posted = common.stored(v.mapInArrow(_posted(found, longest), schema), "posted")
-    cells = common.stored(vectors.cells_of(posted), "cells")
-    sent = v.where(is_query(F.col("vec_id"))).mapInArrow(_sent(found, visits, share), schema + ", most int")
-    whole = sent.where("cell is null").drop("cell").join(F.broadcast(cells.select("dim", "cell")), "dim")  # to all cells of its dimension
-    queries = common.stored(sent.where("cell is not null").unionByName(whole.select(sent.columns)), "sent")
-    common.drop_since(spark, mark, posted, cells, queries)
+    posted = common.stored(v.mapInArrow(_posted(found, longest), "vec_id long, dim int, vec array<double>, cell int, order array<short>"), "posted")
+    cells, packs = vectors.packs_of(posted)
+    sent = v.where(is_query(F.col("vec_id"))).mapInArrow(_sent(found, packs, visits, share), "vec_id long, dim int, vec array<double>, pack int, order array<short>, most int")
+    queries = common.stored(sent, "sent")
+    common.drop_since(spark, mark, posted, queries)
     find = _search({d: (len(i.pivots), i.prefix) for d, i in found.items()}, k)
     return vectors.nearest_in_blocks(queries, posted, cells, find, k, "double")
 

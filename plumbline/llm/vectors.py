@@ -1,7 +1,7 @@
 """Vector search over blocks: what exact search and the permutation index share.
 
-Rows lie in cells by their nearest pivot, and cells in blocks of bounded size. Queries go to the blocks of the cells that they name,
-and each pair of a query block and a candidate block is one group, processed in memory that the block sizes bound. A query
+Rows lie in cells by their nearest pivot, small cells share a pack, and packs are cut in blocks of bounded size. Queries go to
+the blocks of the packs that they name, and each pair of a query block and a candidate block is one group, processed in memory that the block sizes bound. A query
 block takes as many queries as a block has rows, so candidates are copied only once for each so many queries. Each
 group returns its nearest `k` for each query; these are merged by query.
 """
@@ -46,10 +46,20 @@ def bounded_sample(v: DataFrame, n: int) -> dict[int, np.ndarray]:
     return {d: np.array(x) for d, x in own.items() if x}
 
 
-def cells_of(t: DataFrame) -> DataFrame:
-    """dim, cell, n, blocks: the cells of t and in how many blocks their rows lie; a row for each pivot of a dimension at most."""
-    sizes = t.groupBy("dim", "cell").agg(F.count(F.lit(1)).alias("n"))
-    return sizes.withColumn("blocks", F.greatest(F.lit(1), F.ceil(F.col("n") * F.col("dim") / BLOCK)).cast("int"))
+def packs_of(t: DataFrame) -> tuple[DataFrame, dict[tuple[int, int], int]]:
+    """dim, cell, pack, blocks of the cells of t, also as pack by (dim, cell): small cells share a pack of one block, large ones have several blocks.
+
+    There is a row for each pivot of a dimension at most.
+    """
+    sizes = sorted((r["dim"], r["cell"], r["n"]) for r in t.groupBy("dim", "cell").agg(F.count(F.lit(1)).alias("n")).collect())
+    out, pack, room, last = [], -1, 0, None
+    for dim, cell, n in sizes:
+        size = n * dim
+        if dim != last or size > room:
+            pack, room, last = pack + 1, max(BLOCK, size), dim
+        room -= size
+        out.append((dim, cell, pack, max(1, -(-size // BLOCK))))
+    return t.sparkSession.createDataFrame(out, "dim int, cell int, pack int, blocks int"), {(d, c): p for d, c, p, _ in out}
 
 
 def block_of(blocks: Column) -> Column:
@@ -57,19 +67,20 @@ def block_of(blocks: Column) -> Column:
 
 
 def nearest_in_blocks(queries: DataFrame, candidates: DataFrame, cells: DataFrame, search: Callable[[pa.Table, pa.Table], pa.Table], k: int, score_type: str, *, own: bool = False) -> DataFrame:
-    """query_id, rank, vec_id, score. candidates have vec_id, dim and cell, queries the cells that they go to; cells as of cells_of().
+    """query_id, rank, vec_id, score. candidates have vec_id, dim and cell, queries the packs that they go to; cells as of packs_of().
 
-    With `own`, queries go only to the block of their cell in which a candidate of their id would lie.
+    With `own`, queries have their cell, and go only to the block of its pack in which a candidate of their id would lie.
     """
-    cells = F.broadcast(cells)
-    queries = queries.select(*(F.col(c).alias(c) for c in queries.columns))  # both sides come from one table
-    q = queries.join(cells.select("dim", "cell", "blocks"), ["dim", "cell"])
+    packs = F.broadcast(cells.select("dim", "pack", "blocks").distinct())
+    q = queries.join(F.broadcast(cells), ["dim", "cell"]).drop("cell") if own else queries.join(packs, ["dim", "pack"])
     q = q.withColumn("c_block", block_of(F.col("blocks")) if own else F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    per = F.broadcast(q.groupBy("dim", "cell").agg(F.greatest(F.lit(1), F.ceil(F.count_if(F.col("c_block") == 0) * F.col("dim") / BLOCK)).cast("int").alias("parts")) if not own else cells.select("dim", "cell", F.lit(1).alias("parts")))
-    q = q.join(per, ["dim", "cell"]).withColumn("q_block", block_of(F.col("parts"))).drop("blocks", "parts")
-    c = candidates.join(cells.select("dim", "cell", "blocks"), ["dim", "cell"]).join(per, ["dim", "cell"]).withColumn("c_block", block_of(F.col("blocks")))
+    many = F.greatest(F.lit(1), F.ceil(F.count_if(F.col("c_block") == 0) * F.col("dim") / BLOCK)).cast("int").alias("parts")
+    per = F.broadcast(packs.select("dim", "pack", F.lit(1).alias("parts")) if own else q.groupBy("dim", "pack").agg(many))
+    q = q.join(per, ["dim", "pack"]).withColumn("q_block", block_of(F.col("parts"))).drop("blocks", "parts")
+    c = candidates.join(F.broadcast(cells), ["dim", "cell"]).drop("cell").join(per, ["dim", "pack"]).withColumn("c_block", block_of(F.col("blocks")))
     c = c.withColumn("q_block", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).drop("blocks", "parts")
-    keys = ["dim", "cell", "c_block", "q_block"]
+    keys = ["dim", "pack", "c_block", "q_block"]
+    q = q.select(*(F.col(x).alias(x) for x in q.columns))  # both sides come from the same tables
     found = q.groupBy(*keys).cogroup(c.groupBy(*keys)).applyInArrow(search, f"query_id long, vec_id long, score {score_type}")
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

@@ -295,7 +295,7 @@ def test_top_k_floors_leave_out_only_what_falls_below(spark, monkeypatch):
     cell = far.argmin(1)
     ranges = [(c, far[cell == c].min(0), far[cell == c].max(0), (whole[cell == c] ** 2).sum(1).max()) for c in np.unique(cell)]
     batch = pa.RecordBatch.from_arrays([pa.array([q]), pa.array([8], pa.int32()), pa.array([whole[q].tolist()]), pa.array([far[q].tolist()]), pa.array([floor]), pa.array([0], pa.int32())], ["vec_id", "dim", "whole", "far", "floor", "cell"])
-    reached = next(exact_topk._reached({8: ranges})(iter([batch]))).column("cell").to_pylist()
+    reached = next(exact_topk._reached({8: ranges}, {(8, int(c)): int(c) for c in cell})(iter([batch]))).column("pack").to_pylist()
     assert set(cell[np.argsort(-scores)[:20]]) <= set(reached) and len(reached) < len(ranges)
 
 

@@ -6,6 +6,7 @@ import ctypes
 import functools
 import gc
 import tempfile
+import time
 import uuid
 from collections.abc import Callable
 
@@ -54,9 +55,15 @@ def remove(spark: SparkSession, folder: str) -> None:
         made.remove(folder)
 
 
+#: When shuffles were last freed, and the seconds that must have passed before they are again.
+_freed, PAUSE = [0.0], 5.0
+
+
 def free_shuffles(spark: SparkSession) -> None:
     """Lets Spark's cleaner remove the shuffle files of plans that have ended: it learns of them when the driver collects garbage."""
-    spark.sparkContext._jvm.java.lang.System.gc()
+    if time.monotonic() - _freed[0] > PAUSE:
+        spark.sparkContext._jvm.java.lang.System.gc()
+        _freed[0] = time.monotonic()
 
 
 def stored(df: DataFrame, label: str) -> DataFrame:

@@ -6,9 +6,10 @@ import ctypes
 import functools
 import gc
 import tempfile
-import time
+import threading
 import uuid
 from collections.abc import Callable
+from contextlib import contextmanager
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -40,57 +41,110 @@ def shared_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
+#: Applications whose scratch folder is marked for removal when the driver's JVM ends.
+_marked: set[str] = set()
+
+
 def scratch_path(spark: SparkSession, label: str) -> str:
-    return f"{shared_dir(spark)}/plumbline/{label}-{uuid.uuid4().hex}"
+    """A new folder's path. Whatever an application leaves in its folders goes when its driver ends."""
+    app = spark.sparkContext.applicationId
+    top = f"{shared_dir(spark)}/plumbline/{app}"
+    if app not in _marked:
+        path, files = _files(spark, top)
+        files.mkdirs(path)
+        files.deleteOnExit(path)
+        _marked.add(app)
+    return f"{top}/{label}-{uuid.uuid4().hex}"
+
+
+def _files(spark: SparkSession, folder: str):
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+    return path, path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
 
 
-#: Scratch folders that this process has made and not yet removed.
-made: list[str] = []
+class _Made(threading.local):
+    """Scratch folders that the calling thread has made and not yet removed: calls in other threads own theirs."""
 
+    def __init__(self):
+        self.folders: list[str] = []
 
-def remove(spark: SparkSession, folder: str) -> None:
-    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
-    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
-    if folder in made:
-        made.remove(folder)
 
+_made = _Made()
 
-#: When shuffles were last freed, and the seconds that must have passed before they are again.
-_freed, PAUSE = [0.0], 5.0
 
+def own(folder: str) -> str:
+    """Notes a folder as made by the calling thread, so that drop_since() there removes it."""
+    _made.folders.append(folder)
+    return folder
 
-def free_shuffles(spark: SparkSession) -> None:
-    """Lets Spark's cleaner remove the shuffle files of plans that have ended: it learns of them when the driver collects garbage."""
-    if time.monotonic() - _freed[0] > PAUSE:
-        spark.sparkContext._jvm.java.lang.System.gc()
-        _freed[0] = time.monotonic()
+
+def remove(spark: SparkSession, folder: str) -> None:
+    path, files = _files(spark, folder)
+    files.delete(path, True)
+    if folder in _made.folders:
+        _made.folders.remove(folder)
+
+
+#: Spark's setting that removes an execution's shuffle files when it ends; how many threads write now, and what held before.
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+_writing, _writers = threading.Lock(), {"n": 0, "before": None}
+
+
+@contextmanager
+def _shuffles_removed(spark: SparkSession):
+    """While any thread is in here, an execution's shuffle files go when it ends; afterwards the setting is as before."""
+    with _writing:
+        if not _writers["n"]:
+            _writers["before"] = spark.conf.get(_CLEANUP, None)
+            spark.conf.set(_CLEANUP, "true")
+        _writers["n"] += 1
+    try:
+        yield
+    finally:
+        with _writing:
+            _writers["n"] -= 1
+            if not _writers["n"]:
+                spark.conf.set(_CLEANUP, _writers["before"]) if _writers["before"] else spark.conf.unset(_CLEANUP)
 
 
 def stored(df: DataFrame, label: str) -> DataFrame:
     """Writes df as a Parquet table in the shared folder and reads it again: cuts lineage, survives lost executors."""
-    path = scratch_path(df.sparkSession, label)
-    made.append(path)
-    df.write.option("compression", "zstd").parquet(path)
-    free_shuffles(df.sparkSession)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    spark, path = df.sparkSession, own(scratch_path(df.sparkSession, label))
+    with _shuffles_removed(spark):
+        df.write.option("compression", "zstd").parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def _read_by(*tables: DataFrame) -> set[str]:
+    """Names of the folders whose files tables read."""
+    return {x.rpartition("/")[0].rpartition("/")[2] for df in tables for x in df.inputFiles()}
 
 
 def drop_scratch(spark: SparkSession, df: DataFrame) -> None:
     """Removes the files of a stored() table that no one reads any more."""
-    own = {x.rpartition("/")[0].rpartition("/")[2] for x in df.inputFiles()}
-    for folder in [x for x in made if x.rpartition("/")[2] in own]:
+    names = _read_by(df)
+    for folder in [x for x in _made.folders if x.rpartition("/")[2] in names]:
         remove(spark, folder)
 
 
+def release(result: DataFrame) -> None:
+    """Removes the stored() tables that an operator's result still reads, once the result isn't needed; from any thread."""
+    spark = result.sparkSession
+    top = f"{shared_dir(spark)}/plumbline/{spark.sparkContext.applicationId}"
+    own_files = [x for x in result.inputFiles() if f"/plumbline/{spark.sparkContext.applicationId}/" in x]
+    for name in {x.rpartition("/")[0].rpartition("/")[2] for x in own_files}:
+        remove(spark, f"{top}/{name}")
+
+
 def mark() -> set[str]:
-    """The scratch folders there are by now, for drop_since()."""
-    return set(made)
+    """The scratch folders that the calling thread has by now, for drop_since()."""
+    return set(_made.folders)
 
 
 def drop_since(spark: SparkSession, before: set[str], *keep: DataFrame) -> None:
-    """Removes the stored() tables made since, but for those that the results still read."""
-    kept = {x.rpartition("/")[0].rpartition("/")[2] for df in keep for x in df.inputFiles()}
-    for folder in [x for x in made if x not in before and x.rpartition("/")[2] not in kept]:
+    """Removes the stored() tables that the calling thread has made since, but for those that the results still read."""
+    kept = _read_by(*keep)
+    for folder in [x for x in _made.folders if x not in before and x.rpartition("/")[2] not in kept]:
         remove(spark, folder)
 
 

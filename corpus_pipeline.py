@@ -68,8 +68,7 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over documents; each but the last is written as Parquet and read again."""
     docs, last = common.table(spark, sf_dir, "documents").select(*COLUMNS), None
     for name, stage in STAGES[:-1]:
-        mark, path = common.mark(), common.scratch_path(spark, f"stage-{name}")
-        common.made.append(path)
+        mark, path = common.mark(), common.own(common.scratch_path(spark, f"stage-{name}"))
         stage(spark, docs, sf_dir).write.parquet(path)
         docs = spark.read.parquet(path)
         common.drop_since(spark, mark, docs)  # what the stage read lazily is in its table now

@@ -29,6 +29,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -38,7 +39,7 @@ from .token_counts import _ODD
 
 BLANK = "▁"
 #: Tokens of a run at most, words that a worker remembers, and pairs of ids whose counts go to every worker (18 MB).
-RUN, MEMO, TOP = 1 << 16, 300_000, 1 << 20
+RUN, MEMO, TOP = 1 << 16, 400_000, 1 << 20
 #: Links that are made at once, and pairs that a task gathers before it gives their counts on.
 LINKS, GATHERED = 1 << 21, 1 << 21
 
@@ -78,21 +79,43 @@ class Tokenizers:
         self.a_bytes = [bytes(alphabet[c] for c in n) if n and all(c in alphabet for c in n) else (n or "").encode() for n in names]
         pieces = [self.b.id_to_piece(i) for i in range(self.b.get_piece_size())]
         self.b_bytes = [bytes([int(p[3:5], 16)]) if self.b.is_byte(i) else p.replace(BLANK, " ").encode() for i, p in enumerate(pieces)]
+        self.sizes = tuple(np.array([len(x) for x in side], np.int64) for side in (self.a_bytes, self.b_bytes))
         self.lead = self.b.piece_to_id(BLANK)
         shown = [p.replace(BLANK, " ") for i, p in enumerate(pieces) if not self.b.is_byte(i)]
         blanks = any(" " in p.lstrip(" ") for p in shown)
-        free = [] if blanks or pieces[self.lead] != BLANK else [" ", *(c for c in "\n\t" if not any(c in p[1:] for p in shown))]
-        self.cut = re.compile(rf"(?<=\S)(?=[{''.join(free)}])") if free else None
+        self.free = "" if blanks or pieces[self.lead] != BLANK else "".join([" ", *(c for c in "\n\t" if not any(c in p[1:] for p in shown))])
+        self.cut = re.compile(rf"(?<=\S)(?=[{self.free}])") if self.free else None
 
     def lengths(self) -> Vocabularies:
-        return Vocabularies(*(np.array([len(x) for x in side], np.int64) for side in (self.a_bytes, self.b_bytes)))
+        return Vocabularies(*self.sizes)
 
     def words(self, text: str) -> list[str]:
         """Parts of blank + text that both tokenizers encode on their own."""
         return [f" {text}"] if self.cut is None or _ODD.search(text) else self.cut.split(f" {text}")
 
-    def encode(self, words: list[str]) -> tuple[list[list[int]], list[list[int]]]:
-        """Ids of parts. B puts a blank before what it gets: a part's own, or one that is taken off again."""
+    def split(self, texts: list[str]) -> pa.ListArray:
+        """The words of each text; of an empty one none."""
+        if any("\x00" in t for t in texts):
+            return pa.array([self.words(t) if t else [] for t in texts], pa.large_list(pa.large_string()))
+        marked: list[str | None] = []
+        for t in texts:
+            if not t:
+                marked.append(None)
+                continue
+            even = t
+            for c in self.free[1:]:
+                even = even.replace(c, " ")
+            if self.cut is None or " ".join(even.split()) != even:
+                marked.append("\x00".join(self.words(t)))
+            else:  # each of these characters follows something else, and there is no other white space
+                said = f" {t}"
+                for c in self.free:
+                    said = said.replace(c, f"\x00{c}")
+                marked.append(said[1:])
+        return pc.fill_null(pc.split_pattern(pa.array(marked, pa.large_string()), "\x00"), [])
+
+    def one_by_one(self, words: list[str]) -> tuple[list, list, list[bool]]:
+        """Ids of parts, and whether their bytes come back. B puts a blank before what it gets: a part's own, or one that is taken off again."""
         a = [e.ids for e in self.a.encode_batch_fast(words, add_special_tokens=False)]
         b = self.b.encode([w[1:] if w[0] == " " else w for w in words], num_threads=1)
         for i, w in enumerate(words):
@@ -102,25 +125,49 @@ class Tokenizers:
                 del b[i][0]
             elif w == " ":
                 b[i] = [self.lead]  # of nothing the library makes nothing
-        return a, b
+        return a, b, [self.faithful(w, x, y) for w, x, y in zip(words, a, b, strict=True)]
+
+    def together(self, words: list[str]) -> list[tuple[np.ndarray, np.ndarray]] | None:
+        """Each side's ids of parts that may stand side by side, and how many each part has; None if their bytes don't come back."""
+        text = "".join(words)
+        raw = text.encode()
+        ids = self.a.encode(text, add_special_tokens=False).ids, self.b.encode(text[1:])
+        ends = np.cumsum([len(w.encode()) for w in words])
+        out = []
+        for side, shown, lengths in zip(ids, (self.a_bytes, self.b_bytes), self.sizes, strict=True):
+            if b"".join(map(shown.__getitem__, side)) != raw:
+                return None
+            own = np.array(side, np.int64)
+            by = np.cumsum(lengths[own])
+            at = np.searchsorted(by, ends)
+            if (by[at] != ends).any():
+                return None
+            out.append((own, steps(at + 1)))
+        return out
 
     def faithful(self, word: str, a: list[int], b: list[int]) -> bool:
         raw = word.encode()
         return b"".join(map(self.a_bytes.__getitem__, a)) == raw == b"".join(map(self.b_bytes.__getitem__, b))
 
 
+def steps(at: np.ndarray) -> np.ndarray:
+    """Differences, the first from 0."""
+    out = at.copy()
+    out[1:] -= at[:-1]
+    return out
+
+
 class Ragged:
     """Rows of whole numbers, appended in bulk and gathered in bulk."""
 
     def __init__(self, dtype: np.dtype):
         self.flat, self.starts, self.sizes, self.used = np.zeros(1 << 16, dtype), np.zeros(0, np.int64), np.zeros(0, np.int64), 0
 
-    def extend(self, rows: list[list[int]]) -> None:
-        sizes = np.array([len(r) for r in rows], np.int64)
-        more = int(sizes.sum())
+    def extend(self, ids: np.ndarray, sizes: np.ndarray) -> None:
+        more = len(ids)
         if self.used + more > len(self.flat):
             self.flat = np.concatenate([self.flat, np.zeros(max(more, len(self.flat)), self.flat.dtype)])
-        self.flat[self.used : self.used + more] = np.fromiter((i for r in rows for i in r), self.flat.dtype, more)
+        self.flat[self.used : self.used + more] = ids
         self.starts = np.concatenate([self.starts, self.used + np.cumsum(sizes) - sizes])
         self.sizes, self.used = np.concatenate([self.sizes, sizes]), self.used + more
 
@@ -141,31 +188,48 @@ class Words:
         width = self.tokenizers.lengths().width
         self.codes, self.sides, self.good = {}, (Ragged(width), Ragged(width)), np.zeros(0, bool)
 
+    def _learn(self, fresh: list[str]) -> None:
+        """Both sides' ids of new words: of those that may stand side by side 4096 at once, of others one by one."""
+        free = self.tokenizers.free
+        alone = [w for w in fresh if w[0] != " " or w[0] not in free or w[-1].isspace() or BLANK in w]
+        kept = set(alone)
+        joined = [w for w in fresh if w not in kept] if alone else fresh
+        for i in range(0, len(joined), 4096):
+            some = joined[i : i + 4096]
+            both = self.tokenizers.together(some)
+            if both is None:
+                alone += some
+                continue
+            self._note(some, both, np.ones(len(some), bool))
+        for i in range(0, len(alone), 4096):
+            some = alone[i : i + 4096]
+            *both, good = self.tokenizers.one_by_one(some)
+            self._note(some, [(np.array([x for ids in side for x in ids], np.int64), np.array([len(ids) for ids in side], np.int64)) for side in both], np.array(good, bool))
+
+    def _note(self, words: list[str], both: list[tuple[np.ndarray, np.ndarray]], good: np.ndarray) -> None:
+        first = len(self.codes)
+        self.codes.update(zip(words, range(first, first + len(words)), strict=True))
+        for side, (ids, sizes) in zip(self.sides, both, strict=True):
+            side.extend(ids, sizes)
+        self.good = np.concatenate([self.good, good])
+
     def __call__(self, texts: list[str]):
         """For each text its ids of both sides; none for texts whose bytes don't come back."""
-        cut = [self.tokenizers.words(t) if t else [] for t in texts]
-        met = set().union(*cut)
-        if len(self.codes) + len(met) > self.memo:
+        split = self.tokenizers.split(texts)
+        met = split.flatten().dictionary_encode()
+        words = met.dictionary.to_pylist()
+        if len(self.codes) + len(words) > self.memo:
             self._clear()
-        fresh = [w for w in met if w not in self.codes]
-        for i in range(0, len(fresh), 4096):
-            some = fresh[i : i + 4096]
-            both = self.tokenizers.encode(some)
-            first = len(self.codes)
-            self.codes.update(zip(some, range(first, first + len(some)), strict=True))
-            for side, ids in zip(self.sides, both, strict=True):
-                side.extend(ids)
-            self.good = np.concatenate([self.good, [self.tokenizers.faithful(w, x, y) for w, x, y in zip(some, *both, strict=True)]])
-        look = self.codes.__getitem__
-        codes = np.fromiter((look(w) for words in cut for w in words), np.int64, sum(map(len, cut)))
-        ends = np.cumsum([len(words) for words in cut])
+        if fresh := [w for w in words if w not in self.codes]:
+            self._learn(fresh)
+        codes = np.fromiter(map(self.codes.__getitem__, words), np.int64, len(words))[met.indices.to_numpy()]
+        ends = np.cumsum(pc.list_value_length(split).to_numpy(zero_copy_only=False)).astype(np.int64)
         gathered = [side.gather(codes) for side in self.sides]
-        at = [np.concatenate([[0], np.cumsum(sizes)]) for _, sizes in gathered]
-        good = self.good[codes]
-        for text, words, end in zip(texts, cut, ends.tolist(), strict=True):
-            start = end - len(words)
-            a, b = (ids[p[start] : p[end]] for (ids, _), p in zip(gathered, at, strict=True))
-            if good[start:end].all() or self.tokenizers.faithful(f" {text}", a.tolist(), b.tolist()):
+        at = [np.concatenate([[0], np.cumsum(sizes)])[np.concatenate([[0], ends])].tolist() for _, sizes in gathered]
+        bad = np.concatenate([[0], np.cumsum(~self.good[codes])])[np.concatenate([[0], ends])].tolist()
+        for i, text in enumerate(texts):
+            a, b = (ids[p[i] : p[i + 1]] for (ids, _), p in zip(gathered, at, strict=True))
+            if bad[i + 1] == bad[i] or self.tokenizers.faithful(f" {text}", a.tolist(), b.tolist()):
                 yield a, b
             else:
                 yield a[:0], b[:0]
@@ -220,23 +284,27 @@ def common_ends(a: np.ndarray, b: np.ndarray, v: Vocabularies) -> tuple[np.ndarr
 
 
 class _Spelling:
-    """The text of groups."""
+    """The text of groups: every token's digits and the sign behind them, in rows of equal width of which the used part is taken."""
 
     def __init__(self, v: Vocabularies):
-        shown = [[str(i) for i in range(len(x))] for x in (v.a_lengths, v.b_lengths)]
-        self.inner = [np.array([f"{x}," for x in s], object) for s in shown]
-        self.last = [np.array([f"{x}{end}" for x in s], object) for s, end in zip(shown, "|;", strict=True)]
-
-    def __call__(self, a: np.ndarray, b: np.ndarray, cut_a: np.ndarray, cut_b: np.ndarray) -> str:
+        self.wide = len(str(max(len(v.a_lengths), len(v.b_lengths)))) + 1
+        self.shown, self.used = [], []
+        for lengths in (v.a_lengths, v.b_lengths):
+            digits = np.array([f"{i},".encode() for i in range(len(lengths))], f"S{self.wide}")
+            self.shown.append(digits.view(np.uint8).reshape(-1, self.wide))
+            self.used.append(np.char.str_len(digits).astype(np.int64))
+
+    def __call__(self, a: np.ndarray, b: np.ndarray, cut_a: np.ndarray, cut_b: np.ndarray) -> bytes:
         """Each group with its semicolon."""
-        words = np.empty(len(a) + len(b), object)
+        rows, used = np.empty((len(a) + len(b), self.wide), np.uint8), np.empty(len(a) + len(b), np.int64)
         before_b = np.concatenate([[0], cut_b[:-1]])
-        sizes_a, sizes_b = np.diff(cut_a, prepend=0), np.diff(cut_b, prepend=0)
-        at_a = np.arange(len(a)) + np.repeat(before_b, sizes_a)
-        at_b = np.arange(len(b)) + np.repeat(cut_a, sizes_b)
-        words[at_a], words[at_b] = self.inner[0][a], self.inner[1][b]
-        words[at_a[cut_a - 1]], words[at_b[cut_b - 1]] = self.last[0][a[cut_a - 1]], self.last[1][b[cut_b - 1]]
-        return "".join(words)
+        at_a = np.arange(len(a)) + np.repeat(before_b, steps(cut_a))
+        at_b = np.arange(len(b)) + np.repeat(cut_a, steps(cut_b))
+        for at, ids, cut, shown, size, sign in zip((at_a, at_b), (a, b), (cut_a, cut_b), self.shown, self.used, b"|;", strict=True):
+            rows[at], used[at] = shown[ids], size[ids]
+            ends = at[cut - 1]
+            rows[ends, used[ends] - 1] = sign
+        return rows[np.arange(self.wide) < used[:, None]].tobytes()
 
 
 class Sweep:
@@ -246,7 +314,7 @@ class Sweep:
         self.v, self.spelling = v, spelling
         self.open = [np.zeros(0, v.width), np.zeros(0, v.width)]
         self.counts, self.digest, self.parts = np.zeros(4, np.int64), hashlib.sha256(), 0
-        self.held = ""
+        self.held = b""
 
     def feed(self, second: bool, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray] | None:
         """Takes a run; the tokens of the groups that are complete now, if any."""
@@ -256,10 +324,10 @@ class Sweep:
         if not len(cut_a):
             return None
         n, m = cut_a[-1], cut_b[-1]
-        self.counts += [n, m, len(cut_a), int((np.diff(cut_a, prepend=0) * np.diff(cut_b, prepend=0)).sum())]
+        self.counts += [n, m, len(cut_a), int((steps(cut_a) * steps(cut_b)).sum())]
         said = self.held + self.spelling(a[:n], b[:m], cut_a, cut_b)
-        self.digest.update(said[:-1].encode())
-        self.held, self.parts = said[-1], self.parts + 1  # the last semicolon stands only if a group follows
+        self.digest.update(said[:-1])
+        self.held, self.parts = said[-1:], self.parts + 1  # the last semicolon stands only if a group follows
         self.open = [a[n:], b[m:]]
         return a[:n], b[:m]
 
@@ -314,7 +382,7 @@ def links(a: np.ndarray, b: np.ndarray, v: Vocabularies):
     A group with more links than that is counted by its different ids, a slice of A's at a time.
     """
     cut_a, cut_b = common_ends(a, b, v)
-    sizes_a, sizes_b, n_b = np.diff(cut_a, prepend=0), np.diff(cut_b, prepend=0), len(v.b_lengths)
+    sizes_a, sizes_b, n_b = steps(cut_a), steps(cut_b), len(v.b_lengths)
     from_b = cut_b - sizes_b
     total = np.cumsum(sizes_a * sizes_b)
     start = 0
@@ -497,7 +565,7 @@ def groups(swept: DataFrame, v: Vocabularies) -> DataFrame:
                 cut_a, cut_b = common_ends(a, b, v)
                 ends = np.cumsum(v.a_lengths[a])[cut_a - 1] if len(cut_a) else cut_a
                 lists = [pa.ListArray.from_arrays(pa.array(np.concatenate([[0], cut]), pa.int32()), pa.array(ids, pa.int32())) for cut, ids in ((cut_a, a), (cut_b, b))]
-                n, start = len(cut_a), ends - np.diff(ends, prepend=0)
+                n, start = len(cut_a), ends - steps(ends)
                 yield pa.RecordBatch.from_arrays([pa.array([key] * n, pa.int64()), pa.array([doc] * n, pa.int64()), pa.array([part] * n, pa.int32()), pa.array(np.arange(n)), pa.array(start), pa.array(ends - start), *lists], schema=schema)
 
     return swept.select("row_key", "doc_id", "part", "a", "b").mapInArrow(run, "row_key long, doc_id long, part int, at long, start long, length long, a_ids array<int>, b_ids array<int>")

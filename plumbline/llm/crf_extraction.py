@@ -8,7 +8,7 @@ are independent, so extraction is a map without a shuffle; memory is bounded by
 
 Labelled pages are HTML whose elements say by data-main="1" or "0" which blocks are main text; the innermost such element
 counts, and no feature looks at it. labelled_pages() makes them in Spark from a bounded sample of the table's own words,
-at most SAMPLE pages by hash of their id: layouts with and without semantic elements, with the parts that pages have
+at most SAMPLE pages by hash of their id, MADE of them: layouts with and without semantic elements, with the parts that pages have
 around articles and in them. Any other table of labelled pages will do for train().
 
 Text: character references are decoded, white space inside a block becomes one blank, blocks are joined by line feeds.
@@ -33,9 +33,9 @@ from pyspark.sql import functions as F
 
 from . import common
 
-#: Pages at most whose words labelled pages are made of, labelled pages made of each, and steps and strength of training.
-SAMPLE, EACH = 160, 4
-STEPS, RATE, L2 = 140, 0.15, 0.002
+#: Pages at most whose words labelled pages are made of, how many of these are made, and steps, rate and restraint of training.
+SAMPLE, MADE = 200, 1500
+STEPS, RATE, L2 = 120, 0.15, 0.0005
 DEPTH = 512
 
 # Fixed values of HTML: elements that are blocks, that have no content, whose content is raw text, and whose text isn't shown as text.
@@ -240,20 +240,20 @@ def features(blocks: list[Block]) -> list[list[str]]:
         f += [f"named {w}" for w in set(b.words)]
         f += [f"inner {w}" for w in set(b.inner)]
         f += [f"begin {w[:5]}" for w in set(b.words) if len(w) > 5]
-        f.append(f"named {bool(b.words)}")
+        f.append(f"kind {b.kind} named {bool(b.inner)}")
         if b.near_form:
             f.append("near form")
         if b.hidden:
             f.append("hidden")
         if i < 2:
             f.append("at begin")
-        if i >= count - 2:
+        if i == count - 1:
             f.append("at end")
         if words <= 8:
             f += [f"word {w}" for w in re.findall(r"[^\W\d_]+", b.text.lower())]
         if "©" in b.text:
             f.append("sign ©")
-        if words <= 20 and ("|" in b.text or "·" in b.text or "»" in b.text):
+        if link and words <= 20 and ("|" in b.text or "·" in b.text or "»" in b.text):
             f.append("sign separator")
         out.append(f)
     return out
@@ -396,6 +396,24 @@ class _Maker:
             out.append(html.escape(s[:1].upper() + s[1:] + self.r.choice("....!?"), quote=False))
         return " ".join(out)
 
+    def odd(self) -> str:
+        """A paragraph that doesn't read like prose: cells between strokes, words with signs, repetitions, capitals, numbers, no stop."""
+        r, words = self.r, self.r.choices(self.words, k=self.r.choice([1, 4, 9, 30]))
+        kind = r.random()
+        if kind < 0.25:
+            said = " | ".join(words) + " |"
+        elif kind < 0.45:
+            said = " ".join(w + r.choice(["###", "%%%", "***", "!!!", "", ";"]) for w in words)
+        elif kind < 0.6:
+            said = " ".join(w for w in words for _ in range(4))
+        elif kind < 0.7:
+            said = " ".join(words).upper()
+        elif kind < 0.85:
+            said = " ".join(f"{w} {r.randint(1, 9999)}" for w in words)
+        else:
+            said = " ".join(words)
+        return html.escape(said, quote=False)
+
     def says(self, part: str) -> str:
         return html.escape(self.r.choice(SAYS[part]) if part in SAYS and self.r.random() < 0.6 else self.some(1, 4), quote=False)
 
@@ -455,8 +473,10 @@ class _Maker:
                 out.append(f"<p>{self.sentences(1, r.choice([1, 2, 6, 14]))}</p>" if self.closed else f"<p>{self.sentences(1, 6)}")
             elif kind < 0.6:
                 out.append(f"<p><b>{self.sentences(1, 4)}<br>" if r.random() < 0.5 else f"<p><b>{self.some(1, 5)}</b> {self.sentences(1, 3)} <a href='/y'>{self.some(1, 3)}</a> {self.sentences(1, 2)}</p>")
-            elif kind < 0.68:
+            elif kind < 0.64:
                 out.append(f"<p>{html.escape(self.some(1, 2), quote=False)}.</p>")
+            elif kind < 0.68:
+                out.append(f"<p>{self.odd()}</p>")
             elif kind < 0.76:
                 out.append(f"<h{r.randint(2, 4)}>{html.escape(self.some(1, 6), quote=False)}</h2>")
             elif kind < 0.84:
@@ -492,11 +512,11 @@ class _Maker:
         return f"<!DOCTYPE html><html><head><title>{self.some(1, 5)}</title></head><body>{body}</body></html>"
 
 
-def labelled_pages(pages: DataFrame, *, id_col: str = "page_id", html_col: str = "html", sample: int = SAMPLE, each: int = EACH) -> DataFrame:
-    """html: labelled pages made of the words of at most `sample` pages, those of the smallest hashes of their ids, `each` of every one."""
+def labelled_pages(pages: DataFrame, *, id_col: str = "page_id", html_col: str = "html", sample: int = SAMPLE, made: int = MADE) -> DataFrame:
+    """html: `made` labelled pages (up to a page a source more) of the words of at most `sample` pages, those of the smallest hashes of their ids."""
     own = pages.select(F.col(id_col).cast("long").alias("page_id"), F.col(html_col).cast("string").alias("html")).where("length(html) > 0")
     chosen = [r["page_id"] for r in own.where("page_id is not null").select("page_id").orderBy(F.xxhash64("page_id"), "page_id").limit(sample).collect()]  # ids alone: every task sends its own smallest
-    few = own.where(F.col("page_id").isin(chosen)).limit(sample)
+    few, each = own.where(F.col("page_id").isin(chosen)).limit(sample), -(-made // max(1, len(chosen)))
 
     @common.tidy
     def run(batches):
@@ -510,7 +530,7 @@ def labelled_pages(pages: DataFrame, *, id_col: str = "page_id", html_col: str =
     return few.mapInArrow(run, "html string")
 
 
-def train(pages: DataFrame, *, html_col: str = "html", most: int = SAMPLE * EACH, **settings) -> Model:
+def train(pages: DataFrame, *, html_col: str = "html", most: int = MADE + SAMPLE, **settings) -> Model:
     """A model of labelled pages; of more than `most` of them, those with the smallest hashes."""
     rows = pages.select(F.col(html_col).alias("html")).where("html is not null").orderBy(F.xxhash64("html"), "html").limit(most).collect()
     return fit([labelled(r["html"]) for r in rows], **settings)

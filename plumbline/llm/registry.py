@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import exact_topk, kneser_ney, log_templates, ngram_jaccard, packing, permutation_index, piece_lattice, surrogates, token_alignment, token_counts, warc, whitening
+from . import crf_extraction, exact_topk, kneser_ney, log_templates, ngram_jaccard, packing, permutation_index, piece_lattice, surrogates, token_alignment, token_counts, warc, whitening
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -22,6 +22,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op9_exact_topk": exact_topk.op9_exact_topk,
         "op10_kneser_ney": kneser_ney.op10_kneser_ney,
         "op11_token_alignment": token_alignment.op11_token_alignment,
+        "op12_crf_extraction": crf_extraction.op12_crf_extraction,
         "op13_whitening": whitening.op13_whitening,
     }
 

@@ -154,7 +154,40 @@ def qualify_rewrite(spark, d):
     own = spark.newSession()
     own.conf.set("spark.sql.ansi.doubleQuotedIdentifiers", "true")
     own.read.parquet(f"{d}/orders.parquet").createOrReplaceTempView("orders")
-    return own.sql(frontend.rewrite_qualify(_QUALIFY))
+    return own.sql(frontend.ready(own, _QUALIFY))
+
+
+def _candidate(spark, d, table: str, sql: str) -> DataFrame:
+    """A candidate over one table as the gates take it: the schema gate on the table's columns, the rewriting, then the result."""
+    from ..session import isolated
+    from . import adapter, frontend
+
+    own = isolated(spark)
+    rows = own.read.parquet(f"{d}/{table}.parquet")
+    rows.createOrReplaceTempView(table)
+    report = schema_gate.validate(own, sql, {"table_name": table, "fields": [{"fieldPath": c} for c in rows.columns]})
+    if report["status"] != "PASS":
+        raise adapter.PlanError(f"the schema gate fails: {report['invalid_details']}")
+    return own.sql(frontend.ready(own, sql))
+
+
+# A window's alias under QUALIFY, another alias inside a window, and an order by what isn't selected.
+_QUALIFY_ALIAS = "WITH ranked AS (SELECT o_custkey, o_orderkey, o_totalprice, row_number() OVER (PARTITION BY o_custkey ORDER BY o_totalprice DESC, o_orderkey) AS place FROM orders QUALIFY place <= 2 ORDER BY o_orderdate) SELECT o_custkey, CAST(count(*) AS BIGINT) AS orders, round(sum(o_totalprice), 2) AS amount FROM ranked GROUP BY o_custkey QUALIFY rank() OVER (ORDER BY amount DESC) <= 500 ORDER BY ALL"
+
+
+@_query("qualify_alias_run", _QUALIFY_ALIAS)
+def qualify_alias_run(spark, d):
+    return _candidate(spark, d, "orders", _QUALIFY_ALIAS)
+
+
+_DIALECT = """WITH recent AS (SELECT * EXCLUDE (o_orderpriority) REPLACE (round(o_totalprice, 0) AS o_totalprice, lower(o_orderstatus) AS o_orderstatus) FROM orders WHERE o_orderdate >= '1995-01-01'::timestamp),
+ spans AS (SELECT o_custkey, CAST(count(*) AS BIGINT) AS orders, arg_max(o_orderkey, o_totalprice + o_orderkey / 1e9) AS dearest, date_diff('month', min(o_orderdate), max(o_orderdate)) AS months, date_diff('week', min(o_orderdate), max(o_orderdate)) AS weeks, string_agg(DISTINCT o_orderstatus, '' ORDER BY o_orderstatus) AS statuses, strftime(max(o_orderdate), '%Y-%m-%d') AS last_day FROM recent GROUP BY ALL)
+SELECT o_custkey, orders, dearest, months, weeks, statuses, last_day FROM spans WHERE orders > 1 UNION ALL BY NAME SELECT orders::varchar || ' orders' AS note, o_custkey, o_custkey // 7 AS dearest FROM spans WHERE orders = 1"""
+
+
+@_query("dialect_run", _DIALECT)
+def dialect_run(spark, d):
+    return _candidate(spark, d, "orders", _DIALECT)
 
 
 @_query("having_filter", "SELECT o_custkey, CAST(count(*) AS BIGINT) AS order_count FROM orders GROUP BY o_custkey HAVING count(*) >= 12")

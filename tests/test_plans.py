@@ -2,7 +2,7 @@
 
 import pytest
 
-from plumbline.plans import adapter, frontend, governance, repair, schema_gate
+from plumbline.plans import adapter, dialect, frontend, governance, repair, schema_gate
 
 TAG = {"tags": [{"tag": {"urn": "urn:li:tag:PII", "properties": {"name": "PII"}}}]}
 CONTEXT = {"table_name": "customers", "fields": [{"fieldPath": "customer_id", "nativeDataType": "INTEGER"}, {"fieldPath": "first_name", "nativeDataType": "VARCHAR", "tags": TAG}, {"fieldPath": "last_name", "nativeDataType": "VARCHAR", "tags": TAG}, {"fieldPath": "customer_lifetime_value", "nativeDataType": "DOUBLE"}]}
@@ -135,7 +135,7 @@ def test_other_spellings(spark):
         ("select concat(a, null, concat('(', b)), concat_ws('-', a), s.concat(a) from t", "select concat_ws('', a, null, concat_ws('', '(', b)), concat_ws('-', a), s.concat(a) from t"),
         ("select x as text, cast((select max(y) as text from u) as hugeint) from t", "select x as text, cast((select max(y) as text from u) as decimal(38,0)) from t"),
     ):
-        assert frontend.respelled(text) == want
+        assert dialect.translated(text) == want
     row = spark.sql(frontend.normalized("select concat('a', null, 1) as c, 7 // 2 as d, 5::varchar as e")).first()
     assert (row["c"], row["d"], row["e"]) == ("a1", 3, "5")
     nested = frontend.normalized("with t as (select id, id % 3 as g from range(9) qualify row_number() over (partition by id % 3 order by id desc) = 1) select id from t order by id")
@@ -154,3 +154,105 @@ def test_frontend(spark):
 def test_tokens():
     assert governance.tokens({"tags": [{"tag": {"urn": "u", "properties": {"name": "n"}}}, "s"]}) == ["u", "n", "s"]
     assert governance.field_tokens({"editedTags": ["PII"], "glossaryTerms": {"terms": [{"term": {"name": "T"}}]}, "classifications": ["C"]}) == {"PII", "T", "C"}
+
+
+RUNS = [
+    "select id, row_number() over (order by amt desc, id) as rn from t qualify rn <= 2 order by rn",
+    "select id from t qualify row_number() over (partition by grp order by amt, id) = 1 order by amt desc, id",
+    "select grp, sum(amt) as s from t group by grp qualify row_number() over (order by s desc) <= 2 order by s",
+    "select distinct grp from t qualify rank() over (partition by grp order by amt) > 1 order by grp",
+    "select -id as id, amt from t qualify row_number() over (order by id) <= 2 order by amt, 1",
+    "select x.id from t x join t y on x.id = y.id + 1 qualify row_number() over (order by x.id) > 3 order by x.id desc limit 2",
+    "with a as (select * from t qualify row_number() over (partition by grp order by id) = 1) select id, grp from a where id in (select id from t qualify row_number() over (order by id) < 9) order by id",
+    "select id from t where grp = 'a' qualify row_number() over (order by id) = 1 union all select id from t where grp = 'b' qualify row_number() over (order by id desc) = 1 order by 1",
+    "select grp, count(*) as n, min(ts) as first_at from t group by all order by all",
+    "select * exclude (ts, amt) from t order by id",
+    "select * exclude (ts) replace (round(amt) as amt, upper(grp) as grp) from t order by id",
+    "with u as (select * replace (id * 2 as id) from t) select u.* exclude ts from u order by id",
+    "select id, amt from t where id < 3 union all by name select grp, id from t where id > 8 order by id, grp",
+    "select id from t union by name select id % 3 as id from t union all by name select 7 as other order by all",
+    "select id, date_diff('month', timestamp '2023-11-30 00:00:00', ts) as m, date_diff('week', date '2023-11-30', ts) as w, date_diff('day', date '2023-11-30', ts) as d, date_diff('hour', timestamp '2023-11-30 00:30:00', ts) as h, date_diff('quarter', date '2023-11-30', ts) as q, date_diff('year', date '2023-11-30', ts) as y from t order by id",
+    "select id, strftime(ts, '%Y/%m/%d at %H:%M') as s, dayofweek(ts) as a, isodow(ts) as b, monthname(ts) as c, dayname(ts) as d, date_sub('month', timestamp '2023-11-30 00:00:00', ts) as e from t order by id",
+    "select arg_max(id, amt) as a, arg_min(id, amt) as b, quantile_cont(amt, 0.5) as c, string_agg(grp, '-' order by id) as d, bool_or(amt > 5) as e, log(100) as f from t",
+    "select id::varchar || '!' as s, starts_with(grp, 'a') as p, strpos(grp, 'b') as i, regexp_matches(grp, '^[ab]$') as m, regexp_full_match(grp, 'a') as f, id // 4 as q from t order by id",
+    "select id, date_add(ts, interval 3 day) as later from t order by id",
+]
+
+
+@pytest.mark.parametrize("sql", RUNS)
+def test_candidates_run_as_elsewhere(spark, sql):
+    """The same text gives the same rows, in order, in another engine; and passes the gate."""
+    import duckdb
+
+    rows = [(i, "abc"[i % 3], float((i * 7) % 10) + 0.25, f"2024-0{1 + i % 6}-{10 + i} 0{i}:15:00") for i in range(1, 10)]
+    other = duckdb.connect()
+    other.execute("create table t (id bigint, grp varchar, amt double, ts timestamp)")
+    other.executemany("insert into t values (?, ?, ?, ?)", rows)
+    own = spark.newSession()
+    own.conf.set("spark.sql.ansi.doubleQuotedIdentifiers", "true")
+    own.createDataFrame(rows, "id long, grp string, amt double, ts string").selectExpr("id", "grp", "amt", "cast(ts as timestamp_ntz) as ts").createOrReplaceTempView("t")
+    got = own.sql(frontend.ready(own, sql))
+    want = other.execute(sql)
+    assert [c.lower() for c in got.columns] == [d[0].lower() for d in want.description]
+    assert [tuple(r) for r in got.collect()] == want.fetchall()
+    report = schema_gate.validate(spark, sql, {"table_name": "t", "fields": [{"fieldPath": c} for c in ("id", "grp", "amt", "ts")]})
+    assert (report["status"], report["hallucinated_columns"], report["unsupported_nodes"]) == ("PASS", [], [])
+
+
+@pytest.mark.parametrize(
+    ("sql", "status", "invalid", "derived"),
+    [
+        ("select shopper_fk, row_number() over (order by gross_revenue_usd) as rn from checkouts qualify rn <= 2", "PASS", [], ["rn"]),
+        ("select shopper_fk as s from checkouts qualify row_number() over (order by s) = 1 order by gross_revenue_usd, s", "PASS", [], ["s"]),
+        ("select shopper_fk, sum(gross_revenue_usd) as s from checkouts group by all having s > 1 qualify row_number() over (order by s desc) = 1 order by all", "PASS", [], ["s"]),
+        ("select shopper_fk, rank() over w as r from checkouts window w as (order by gross_revenue_usd) qualify r = 1", "PASS", [], ["r"]),
+        ("select shopper_fk, rank() over (order by gross_revenue_usd) as r from checkouts qualify r = lost", "FAIL", ["lost"], ["r"]),
+        ("select shopper_fk, rank() over (order by gross_revenue_usd) as r from checkouts where r = 1", "FAIL", ["r"], []),
+        ("select shopper_fk from checkouts qualify rank() over (order by gone) = 1 order by gone_too", "FAIL", ["gone", "gone_too"], []),
+        ("select * exclude (shopper_fk) replace (lost + 1 as gross_revenue_usd) from checkouts", "FAIL", ["lost"], []),
+        ("with a as (select shopper_fk from checkouts union by name select gross_revenue_usd as g from checkouts) select shopper_fk, g, h from a", "FAIL", ["h"], ["g", "shopper_fk"]),
+    ],
+)
+def test_schema_gate_by_clause(spark, sql, status, invalid, derived):
+    report = schema_gate.validate(spark, sql, CHECKOUTS)
+    assert (report["status"], report["hallucinated_columns"], report["derived_columns"]) == (status, invalid, derived)
+
+
+def repaired(spark, sql):
+    return repair.governed_repair(spark, sql, CONTEXT, POLICY)
+
+
+def test_repair_keeps_qualify(spark):
+    done = repaired(spark, "select customer_id, first_name from customers qualify row_number() over (partition by customer_id order by customer_lifetime_value desc) = 1")
+    assert done["repaired_sql"] == "select customer_id from {{ ref('customers') }} qualify row_number() over (partition by customer_id order by customer_lifetime_value desc) = 1\n"
+    done = repaired(spark, "select first_name, row_number() over (order by customer_lifetime_value) as rn from customers qualify rn <= 2 order by rn")
+    assert done["repaired_sql"].startswith("select row_number() over (order by customer_lifetime_value) as rn, customer_id from") and "qualify rn <= 2" in done["repaired_sql"]
+    with pytest.raises(repair.RepairError, match="QUALIFY"):
+        repaired(spark, "select customer_id, upper(first_name) as f from customers qualify row_number() over (order by f) = 1")
+
+
+CHAINS = {
+    # what the outer query drops isn't wanted along a chain of three, by whatever names
+    "with a as (select customer_id, first_name from customers), b as (select customer_id, first_name as n from a), c as (select customer_id, n as shown from b) select customer_id, shown from c": ({"first_name", "n", "shown"}, "with a as (select customer_id from {{ ref('customers') }}), b as (select customer_id from a), c as (select customer_id from b) select customer_id from c\n"),
+    # a diamond: one side still filters by the name, so the common query keeps it
+    "with a as (select customer_id, first_name, last_name from customers), b as (select customer_id, first_name, last_name from a), c as (select customer_id from a where last_name > 'M') select b.customer_id, b.first_name, b.last_name from b join c on b.customer_id = c.customer_id": ({"first_name", "last_name"}, "with a as (select customer_id, last_name from {{ ref('customers') }}), b as (select customer_id from a), c as (select customer_id from a where last_name > 'M') select b.customer_id from b join c on b.customer_id = c.customer_id\n"),
+    # the middle query filters by what the outer one drops
+    "with a as (select customer_id, first_name from customers), b as (select customer_id, first_name from a where first_name > 'M') select customer_id, first_name from b": ({"first_name"}, "with a as (select customer_id, first_name from {{ ref('customers') }}), b as (select customer_id from a where first_name > 'M') select customer_id from b\n"),
+    # read by a star: nothing goes above it
+    "with a as (select customer_id, first_name from customers), b as (select * from a) select customer_id, first_name from b": (set(), "with a as (select customer_id, first_name from {{ ref('customers') }}), b as (select * from a) select customer_id from b\n"),
+    # distinct rows would change, and USING names its column
+    "with a as (select distinct customer_id, first_name from customers), b as (select customer_id, first_name, last_name from customers) select a.customer_id, a.first_name from a join b using (customer_id)": ({"first_name"}, "with a as (select distinct customer_id, first_name from {{ ref('customers') }}), b as (select customer_id, last_name from {{ ref('customers') }}) select a.customer_id from a join b using (customer_id)\n"),
+}
+
+
+@pytest.mark.parametrize("sql", list(CHAINS))
+def test_repair_prunes_from_the_last_query_back(spark, sql):
+    done = repaired(spark, sql)
+    pruned, text = CHAINS[sql]
+    assert done["repaired_sql"] == text and set(done["repair"]["pruned_intermediate_outputs"]) | {"shown"} >= pruned
+
+
+@pytest.mark.parametrize("sql", ["with a as (select first_name from customers), b as (select customer_id from customers) select b.customer_id, a.first_name from b cross join a", "select first_name, customer_id, count(*) as n from customers group by all", "select first_name, customer_id from customers order by all"])
+def test_repair_refuses_what_would_empty_or_regroup(spark, sql):
+    with pytest.raises(repair.RepairError):
+        repaired(spark, sql)

@@ -12,7 +12,7 @@ from .functions.values import plain
 from .operators import admission, contract, impact, provenance, runtime, score
 from .plans import governance, repair, schema_gate
 from .session import session
-from .sources import config, sinks
+from .sources import config, sinks, texts
 
 PASSED, BLOCKED, ERROR = 0, 1, impact.EXIT_ERROR
 
@@ -70,8 +70,9 @@ def _run(args: argparse.Namespace) -> tuple[dict[str, Any], int]:
         report = provenance.verify(spark, args.run)
     else:
         tasks = [t["id"] for w in config.load_benchmark(args.benchmark) for t in w["tasks"]]
-        there = {(t, m): p for t in tasks for m in args.modes if (p := Path(args.candidates) / f"{t}__{m}.sql").is_file()}
-        found = admission.outcomes(spark, args.benchmark, {k: text(p) for k, p in there.items()} | {("", m): "" for m in args.modes}, config.load_governance_policy(args.policy))
+        stored = texts.candidates(texts.whole_texts(spark, args.candidates), spark.createDataFrame([(t,) for t in tasks], "task_id string"), args.modes)
+        there = {(r["task_id"], r["mode"]): r["sql"] or "" for r in stored.where("state <> 'missing'").collect()}  # as many as the benchmark has tasks
+        found = admission.outcomes(spark, args.benchmark, there | {("", m): "" for m in args.modes}, config.load_governance_policy(args.policy))
         report = {"status": "PASS", "rollups": [r.asDict() for r in score.rollups(found).orderBy("level", "mode", "gate", "world").collect()]}
     return report, _verdict(report)
 

@@ -1,12 +1,14 @@
-"""Result contracts: declarative checks over a result, as one aggregate pass plus a grouped pass per value count."""
+"""Result contracts: declarative checks over a result, counted while it is written or in one aggregate pass, plus a grouped pass per value count."""
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass, field
 from typing import Any
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions.values import is_number, number, plain, spelled
 from .positions import with_position
@@ -53,13 +55,18 @@ class Contract:
         return c
 
 
-def metrics(df: DataFrame, contract: Contract) -> dict[str, int]:
-    """All counts of the contract in one pass: rows, nulls, replaced defaults, distinct values (null is one), values out of range."""
-    flat = df.toDF(*(f"c{i}" for i in range(len(df.columns))))  # names may repeat
-    at = {}
-    for i, name in enumerate(df.columns):
-        at.setdefault(name.casefold(), i)
-    kinds = [f.dataType for f in df.schema.fields]
+def _places(columns: list[str]) -> dict[str, int]:
+    """The first place of each name, whatever its case."""
+    return {x.casefold(): i for i, x in reversed(list(enumerate(columns)))}
+
+
+def _flat(df: DataFrame) -> DataFrame:
+    return df.toDF(*(f"c{i}" for i in range(len(df.columns))))  # names may repeat
+
+
+def measures(df: DataFrame, contract: Contract) -> dict[str, Column]:
+    """Counts of the contract that one pass over c0, c1, ... gives without distinct values: rows, nulls, replaced defaults, values out of range."""
+    at, kinds = _places(df.columns), [f.dataType for f in df.schema.fields]
     wanted = {"rows": F.count(F.lit(1))}
     for name in contract.non_null_columns:
         if isinstance(name, str) and (i := at.get(name.casefold())) is not None:
@@ -70,13 +77,47 @@ def metrics(df: DataFrame, contract: Contract) -> dict[str, int]:
                 comparable = value is None or is_number(kinds[i]) == isinstance(value, (bool, int, float))
                 hit = (F.lit(False) if not comparable else number(F.col(f"c{i}"), kinds[i]) == F.lit(float(value)) if is_number(kinds[i]) and value is not None else F.col(f"c{i}").isNull() if value is None else F.col(f"c{i}").cast("string") == F.lit(str(value)))
                 wanted[f"defaults:{name}"] = F.count_if(hit)
-    for name in contract.unique_columns:
-        if isinstance(name, str) and (i := at.get(name.casefold())) is not None:
-            wanted[f"distinct:{name}"] = F.count_distinct(F.struct(f"c{i}"))
     for name, bounds in contract.numeric_ranges.items():
         if (i := at.get(name.casefold())) is not None:
             wanted[f"outside:{name}"] = F.count_if(_outside(f"c{i}", kinds[i], bounds))
-    row = flat.agg(*(e.alias(f"m{n}") for n, e in enumerate(wanted.values()))).first()
+    return wanted
+
+
+def _unique(df: DataFrame, contract: Contract) -> dict[str, int]:
+    """Names of columns that should be unique, with their places."""
+    at = _places(df.columns)
+    return {n: at[n.casefold()] for n in contract.unique_columns if isinstance(n, str) and n.casefold() in at}
+
+
+def watched(df: DataFrame, contract: Contract) -> tuple[DataFrame, Callable[[], dict[str, int]]]:
+    """df, whose next action counts measures() on its way, and a function that gives them then."""
+    seen, wanted = Observation(), measures(df, contract)
+    out = _flat(df).observe(seen, *(e.alias(f"m{n}") for n, e in enumerate(wanted.values()))).toDF(*df.columns)
+    return out, lambda: {k: seen.get[f"m{n}"] for n, k in enumerate(wanted)}
+
+
+def distinct_counts(df: DataFrame, places: dict[str, int]) -> dict[str, int]:
+    """How many values columns have, null being one: by one grouping over pairs of column and value, for all columns together."""
+    if not places:
+        return {}
+    flat, kinds = _flat(df), [f.dataType for f in df.schema.fields]
+
+    def shown(i: int) -> Column:
+        col, kind = F.col(f"c{i}"), kinds[i]
+        if isinstance(kind, (T.FloatType, T.DoubleType)):
+            col = col + F.lit(0.0).cast(kind)  # one zero
+        return F.to_json(F.struct(col.alias("v"))) if isinstance(kind, (T.ArrayType, T.MapType, T.StructType)) else F.base64(col) if isinstance(kind, T.BinaryType) else col.cast("string")
+
+    pairs = flat.select(F.explode(F.array(*(F.struct(F.lit(i).alias("at"), shown(i).alias("value")) for i in set(places.values())))).alias("p")).select("p.*")
+    found = {r["at"]: r["n"] for r in pairs.distinct().groupBy("at").agg(F.count(F.lit(1)).alias("n")).collect()}  # a row a column
+    return {f"distinct:{name}": found.get(i, 0) for name, i in places.items()}
+
+
+def metrics(df: DataFrame, contract: Contract) -> dict[str, int]:
+    """All counts of the contract in one pass: measures(), and distinct values (null is one)."""
+    wanted = measures(df, contract)
+    wanted |= {f"distinct:{name}": F.count_distinct(F.struct(f"c{i}")) for name, i in _unique(df, contract).items()}
+    row = _flat(df).agg(*(e.alias(f"m{n}") for n, e in enumerate(wanted.values()))).first()
     return dict(zip(wanted, row, strict=True))
 
 
@@ -118,8 +159,26 @@ def column_findings(columns: list[str], contract: Contract) -> list[dict[str, An
     return found
 
 
-def evaluate(df: DataFrame | None, contract: dict[str, Any] | Contract) -> dict[str, Any]:
-    """The gate's report. df None stands for a query that did not run: the gate is skipped."""
+def name_findings(outputs: DataFrame, required: DataFrame, keys: list[str], open_: DataFrame | None = None) -> DataFrame:
+    """As column_findings() for tables of results: keys, type, column (folded; of missing ones as required).
+
+    outputs: keys and column, a row an output; required: keys and column; open_: keys of results that may have other columns.
+    """
+    names = outputs.select(*keys, F.lower("column").alias("folded"))
+    wanted = required.select(*keys, F.col("column").alias("asked"), F.lower("column").alias("folded"))
+    found = [
+        names.groupBy(*keys, "folded").count().where("count > 1").select(*keys, F.lit("duplicate_output_columns").alias("type"), F.col("folded").alias("column")),
+        wanted.join(names.distinct(), [*keys, "folded"], "left_anti").select(*keys, F.lit("missing_required_columns").alias("type"), F.col("asked").alias("column")),
+    ]
+    extra = names.distinct().join(wanted.select(*keys, "folded").distinct(), [*keys, "folded"], "left_anti")
+    if open_ is not None:
+        extra = extra.join(open_.select(*keys).distinct(), keys, "left_anti")
+    found.append(extra.select(*keys, F.lit("unexpected_output_columns").alias("type"), F.col("folded").alias("column")))
+    return found[0].unionByName(found[1]).unionByName(found[2])
+
+
+def evaluate(df: DataFrame | None, contract: dict[str, Any] | Contract, seen: dict[str, int] | None = None) -> dict[str, Any]:
+    """The gate's report. df None stands for a query that did not run: the gate is skipped. seen: what watched() has counted while df was written."""
     c = contract if isinstance(contract, Contract) else Contract.of(contract)
     if df is None:
         return {"gate": "result_quality", "status": "SKIPPED", "contract_id": c.contract_id, "violations": [], "message": "The query did not run."}
@@ -128,12 +187,10 @@ def evaluate(df: DataFrame | None, contract: dict[str, Any] | Contract) -> dict[
     def violate(kind: str, action: str, **more) -> None:
         violations.append({"type": kind, **more, "allowed_actions": [action]})
 
-    folded = [x.casefold() for x in df.columns]
-    m = metrics(df, c)
+    m = seen | distinct_counts(df, _unique(df, c)) if seen is not None else metrics(df, c)
     if c.exact_row_count is not None and m["rows"] != c.exact_row_count:
         violate("row_count_mismatch", "preserve_one_row_per_entity", expected=c.exact_row_count, actual=m["rows"])
-    flat = df.toDF(*(f"c{i}" for i in range(len(df.columns))))
-    at = {x: i for i, x in reversed(list(enumerate(folded)))}
+    flat, at = _flat(df), _places(df.columns)
     nulls, unique, ranges, counts = {}, {}, {}, {}
     for name in c.non_null_columns:
         if f"nulls:{name}" not in m:

@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.values import criticality, short_name
+from . import stable
 
 MAX_HOPS, MAX_RESULTS = 3, 100
 
@@ -35,19 +38,55 @@ def assets(entities: DataFrame, source_name: str) -> DataFrame:
     return known.select("urn", "name", "type", "platform", "degree", criticality(F.col("tokens")).alias("criticality"), F.array_distinct("tokens").alias("classifications"), (F.lower(short_name(F.col("name"))) == source_name.rpartition(".")[2].casefold()).alias("is_representation"), path.alias("lineage_path"))
 
 
-def reachable(edges: DataFrame, sources: DataFrame, hops: int = MAX_HOPS) -> DataFrame:
+#: Out-edges from which a node is a hub, whose edges are dealt to PARTS tasks; a thousandth of all edges if that is more, so that there are a thousand at most.
+HUB, PARTS = 100_000, 64
+
+
+def _dealt(edges: DataFrame, hub: int) -> tuple[DataFrame, DataFrame]:
+    """src, dst, part of the edges, hubs' ones in parts; and the hubs (src)."""
+    total = edges.count()
+    hubs = stable.kept(edges.groupBy("src").count().where(F.col("count") >= max(hub, -(-total // 1000))).select("src"))
+    tagged = edges.join(F.broadcast(hubs.withColumn("_hub", F.lit(True))), "src", "left")
+    part = F.when(F.col("_hub"), F.pmod(F.xxhash64("dst"), F.lit(PARTS))).otherwise(0).cast("int")
+    return tagged.select("src", "dst", part.alias("part")), hubs
+
+
+def hops_from(edges: DataFrame, sources: DataFrame, hops: int = MAX_HOPS, hub: int = HUB) -> list[DataFrame]:
+    """For each hop the nodes met then: source, node, parent. Each hop is one join on the frontier, which carries no path.
+
+    Of the nodes of the hop before that lead to a node, the smallest is its parent. Nodes met earlier are left out, which also ends cycles.
+    """
+    dealt, hubs = _dealt(edges.select("src", "dst"), hub)
+    start = sources.select(F.col("node").alias("source"), "node", F.lit(None).cast("string").alias("parent")).distinct()
+    met = [stable.kept(start)]
+    for _ in range(hops):
+        seen = reduce(DataFrame.unionByName, [x.select("source", "node") for x in met])
+        front = met[-1].select("source", F.col("node").alias("src")).join(F.broadcast(hubs.withColumn("_hub", F.lit(True))), "src", "left")
+        parts = F.when(F.col("_hub"), F.sequence(F.lit(0), F.lit(PARTS - 1))).otherwise(F.array(F.lit(0)))
+        step = front.select("source", "src", F.explode(parts).alias("part")).join(dealt, ["src", "part"])
+        step = step.groupBy("source", F.col("dst").alias("node")).agg(F.min("src").alias("parent"))
+        met.append(stable.kept(step.join(seen, ["source", "node"], "left_anti")))
+    return met[1:]
+
+
+def reachable(edges: DataFrame, sources: DataFrame, hops: int = MAX_HOPS, limit: int | None = None, hub: int = HUB) -> DataFrame:
     """source, node, degree, path: nodes within `hops` of each source (column node) over edges (src, dst), by a shortest path.
 
-    Each hop is one join on the frontier, which carries its path; nodes met earlier are left out, which also ends cycles.
+    With a limit, each source's first nodes by degree and name. Paths are put together backwards from parents, for what is returned only.
     """
-    frontier = sources.select(F.col("node").alias("source"), "node", F.lit(0).alias("degree"), F.array("node").alias("path")).distinct()
-    met = frontier
-    for hop in range(1, hops + 1):
-        step = frontier.join(edges, frontier["node"] == edges["src"]).select("source", F.col("dst").alias("node"), F.lit(hop).alias("degree"), F.concat("path", F.array("dst")).alias("path"))
-        step = step.groupBy("source", "node", "degree").agg(F.min("path").alias("path"))  # of paths of one length the first
-        frontier = step.join(met.select("source", "node"), ["source", "node"], "left_anti").select("source", "node", "degree", "path")
-        met = met.unionByName(frontier)
-    return met.where("degree > 0")
+    met = hops_from(edges, sources, hops, hub)
+    found = reduce(DataFrame.unionByName, [x.withColumn("degree", F.lit(i + 1)) for i, x in enumerate(met)])
+    if limit is not None:
+        order = Window.partitionBy("source").orderBy("degree", "node")
+        found = stable.kept(found.withColumn("_at", F.row_number().over(order)).where(F.col("_at") <= limit).drop("_at"))
+    out = []
+    for degree in range(1, hops + 1):
+        own = found.where(F.col("degree") == degree).select("source", "node", "degree", "parent", F.array("node").alias("path"))
+        for back in range(degree - 2, -1, -1):
+            before = met[back].select("source", F.col("node").alias("parent"), F.col("parent").alias("_next"))
+            own = own.join(before, ["source", "parent"]).select("source", "node", "degree", F.col("_next").alias("parent"), F.concat(F.array("parent"), "path").alias("path"))
+        out.append(own.select("source", "node", "degree", F.concat(F.array("source"), "path").alias("path")))
+    return reduce(DataFrame.unionByName, out)
 
 
 def reachable_sql(edges: str, source: str, hops: int = MAX_HOPS) -> str:

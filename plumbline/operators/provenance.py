@@ -6,15 +6,20 @@ import hashlib
 import json
 import os
 import platform
+import re
 import stat
 import subprocess
 from importlib import metadata
 from pathlib import Path
 from typing import Any
+from urllib.parse import quote, unquote
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from . import stable
+
 MANIFEST = "manifest.json"
 
 
@@ -26,12 +31,53 @@ def digest(data: bytes) -> str:
     return hashlib.sha256(data).hexdigest()
 
 
-def file_digests(spark: SparkSession, folder: str) -> DataFrame:
-    """path (below the folder), sha256, bytes of every file but manifests; hashed where the files are read."""
-    root = Path(folder).resolve().as_uri() if "://" not in folder else folder
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(folder)
-    own = F.regexp_replace(F.regexp_replace("path", "^file:/+", "file:///"), f"^{root.rstrip('/')}/", "")
-    return files.select(own.alias("path"), F.sha2("content", 256).alias("sha256"), F.col("length").alias("bytes")).where(~F.col("path").rlike(r"(^|/)manifest\.json$"))
+#: Bytes that are read of a file at once.
+CHUNK = 1 << 20
+
+
+def chunked_digest(stream, chunk: int = CHUNK) -> tuple[str, int]:
+    """SHA-256 and length of a stream, read a chunk at a time."""
+    chain, size = hashlib.sha256(), 0
+    while data := stream.read(chunk):
+        chain.update(data)
+        size += len(data)
+    return chain.hexdigest(), size
+
+
+def _opened(path: str):
+    """A listed file as a stream, by Arrow's file systems."""
+    from pyarrow import fs
+
+    if path.startswith("file:"):
+        return fs.LocalFileSystem().open_input_stream(re.sub("^file:/+", "/", path), compression=None)
+    store, own = fs.FileSystem.from_uri(quote(path, safe=":/@"))
+    return store.open_input_stream(own, compression=None)
+
+
+def _digested(chunk: int):
+    def run(batches):
+        for batch in batches:
+            out = []
+            for path in batch.column("path").to_pylist():
+                with _opened(path) as stream:
+                    out.append(chunked_digest(stream, chunk))
+            yield pa.RecordBatch.from_arrays([batch.column("path"), pa.array([x for x, _ in out], pa.string()), pa.array([n for _, n in out], pa.int64())], ["path", "sha256", "bytes"])
+
+    return run
+
+
+def file_digests(spark: SparkSession, folder: str, chunk: int = CHUNK) -> DataFrame:
+    """path (below the folder), sha256, bytes of every file but manifests.
+
+    Spark lists the files, on the driver as for any read; a task streams each of its files through a digest, a chunk at a time, so that a file may be of any
+    size. Files are dealt by path. The folder's file system must be one that Arrow reads (local, HDFS, S3, GCS, Azure).
+    """
+    base = stable.address(folder).rstrip("/") + "/"
+    listed = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(folder).inputFiles()  # with empty ones, which a scan leaves out
+    named = [(p,) for p in map(unquote, listed) if p.rpartition("/")[2] != MANIFEST]
+    found = spark.createDataFrame(named, "path string").repartition("path").mapInArrow(_digested(chunk), "path string, sha256 string, bytes long")
+    own = F.regexp_replace("path", "^file:/+", "file:///")
+    return found.withColumn("path", F.when(F.startswith(own, F.lit(base)), F.substring(own, len(base) + 1, 1 << 20)).otherwise(own))
 
 
 def differences(expected: DataFrame, actual: DataFrame) -> DataFrame:

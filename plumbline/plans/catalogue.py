@@ -263,6 +263,31 @@ def result_compare_ordered(spark, d):
     return out.select("row_number", F.col("actual.a0").alias("actual_key"), F.col("wanted.b0").alias("wanted_key"))
 
 
+@_query("result_first_differences", "WITH a AS (SELECT row_number() OVER (ORDER BY l_orderkey, l_linenumber, l_extendedprice) AS row_number, l_orderkey, l_linenumber, l_extendedprice FROM lineitem), b AS (SELECT row_number() OVER (ORDER BY l_orderkey, l_linenumber, lineitem.l_extendedprice) AS row_number, l_orderkey, l_linenumber, CASE WHEN l_orderkey % 997 = 996 AND l_linenumber = 1 THEN l_extendedprice * 1.001 ELSE l_extendedprice * (1 + 1e-13) END AS l_extendedprice FROM lineitem) SELECT CAST(a.row_number AS BIGINT) AS row_number, a.l_orderkey, a.l_extendedprice AS actual, b.l_extendedprice AS wanted FROM a JOIN b USING (row_number) WHERE abs(a.l_extendedprice - b.l_extendedprice) > 1e-4 ORDER BY 1 LIMIT 3")
+def result_first_differences(spark, d):
+    own = _t(spark, d, "lineitem").select("l_orderkey", "l_linenumber", "l_extendedprice").orderBy("l_orderkey", "l_linenumber", "l_extendedprice")
+    moved = own.withColumn("l_extendedprice", F.when((F.col("l_orderkey") % 997 == 996) & (F.col("l_linenumber") == 1), F.col("l_extendedprice") * 1.001).otherwise(F.col("l_extendedprice") * (1 + 1e-13)))
+    out = compare_.first_differences(moved, own)  # nearly all rows differ, few beyond the tolerance
+    return out.select("row_number", F.col("actual.a0").alias("l_orderkey"), F.col("wanted.b2").alias("actual"), F.col("actual.a2").alias("wanted"))
+
+
+_WATCHED = {"contract_id": "orders", "required_columns": ["o_orderkey"], "non_null_columns": ["o_custkey", "o_totalprice"], "null_defaults": {"o_custkey": {"value": 1, "expected_replacements": 9}}, "unique_columns": ["o_orderkey", "o_custkey", "o_totalprice"], "numeric_ranges": {"o_totalprice": {"min": 1000, "max": 400000}}}
+
+
+@_query("contract_observed", """WITH o AS (SELECT o_orderkey, o_custkey, o_totalprice FROM orders WHERE o_totalprice > 2000) SELECT * FROM (SELECT 'rows' AS measure, CAST(count(*) AS BIGINT) AS amount FROM o UNION ALL SELECT 'nulls:o_custkey', count(*) - count(o_custkey) FROM o UNION ALL SELECT 'nulls:o_totalprice', count(*) - count(o_totalprice) FROM o UNION ALL SELECT 'defaults:o_custkey', count(*) FILTER (WHERE o_custkey = 1) FROM o
+ UNION ALL SELECT 'outside:o_totalprice', count(*) FILTER (WHERE o_totalprice < 1000 OR o_totalprice > 400000) FROM o UNION ALL SELECT 'distinct:o_orderkey', count(DISTINCT o_orderkey) FROM o UNION ALL SELECT 'distinct:o_custkey', count(DISTINCT o_custkey) FROM o UNION ALL SELECT 'distinct:o_totalprice', count(DISTINCT o_totalprice) FROM o)""")
+def contract_observed(spark, d):
+    """Counts taken while a candidate's result is written, and one grouping for all unique columns."""
+    from ..operators import runtime
+    from ..session import isolated
+
+    own, rules = isolated(spark), contract.Contract.of(_WATCHED)
+    own.read.parquet(f"{d}/orders.parquet").createOrReplaceTempView("orders")
+    ran = runtime.execute(own, "select o_orderkey, o_custkey, o_totalprice from orders where o_totalprice > 2000", rules)
+    found = ran.seen | contract.distinct_counts(ran.result, {n: i for i, n in enumerate(ran.result.columns)})
+    return spark.createDataFrame(list(found.items()), "measure string, amount long")
+
+
 @_query("values_close", "SELECT l_orderkey, l_linenumber, abs(l_extendedprice - x) <= greatest(1e-9 * greatest(abs(l_extendedprice), abs(x)), 1e-6) AS is_close FROM (SELECT l_orderkey, l_linenumber, l_extendedprice, l_extendedprice + CASE l_linenumber % 3 WHEN 0 THEN 1e-7 WHEN 1 THEN 0.01 ELSE 0.0 END AS x FROM lineitem)")
 def values_close(spark, d):
     n = F.col("l_linenumber") % 3
@@ -369,6 +394,20 @@ def path_closure_3hop(spark, d):
     return found.select("node", F.col("degree").cast("long").alias("degree"), F.array_join("path", ">").alias("path"))
 
 
+@_query("lineage_paths_limited", f"""WITH RECURSIVE e AS ({_EDGES_SQL} UNION ALL SELECT 'o' || o_orderkey, 'r' || o_custkey % 5 FROM orders), s AS (SELECT DISTINCT src FROM e WHERE src LIKE 'r%' OR src LIKE 'n%'),
+x(source, node, degree) AS (SELECT src, src, 0 FROM s UNION SELECT x.source, e.dst, x.degree + 1 FROM x JOIN e ON e.src = x.node WHERE x.degree < 3),
+m AS (SELECT source, node, min(degree) AS degree FROM x GROUP BY 1, 2), p AS (SELECT m.source, m.node, m.degree, min(b.node) AS parent FROM m JOIN e ON e.dst = m.node JOIN m b ON b.source = m.source AND b.node = e.src AND b.degree = m.degree - 1 WHERE m.degree > 0 GROUP BY 1, 2, 3),
+l AS (SELECT *, row_number() OVER (PARTITION BY source ORDER BY degree, node) AS place FROM p)
+SELECT l.source, l.node, CAST(l.degree AS BIGINT) AS degree, l.source || CASE WHEN l.degree = 3 THEN '>' || g.parent ELSE '' END || CASE WHEN l.degree > 1 THEN '>' || l.parent ELSE '' END || '>' || l.node AS path FROM l LEFT JOIN p g ON g.source = l.source AND g.node = l.parent AND l.degree > 1 WHERE place <= 100""")
+def lineage_paths_limited(spark, d):
+    """Many sources, edges that lead back, and at most a hundred results a source."""
+    back = _t(spark, d, "orders").select(F.concat(F.lit("o"), F.col("o_orderkey").cast("string")).alias("src"), F.concat(F.lit("r"), (F.col("o_custkey") % 5).cast("string")).alias("dst"))
+    edges = _edges(spark, d).unionByName(back)
+    sources = edges.where("src like 'r%' or src like 'n%'").select(F.col("src").alias("node")).distinct()
+    found = graph.reachable(edges, sources, limit=graph.MAX_RESULTS)
+    return found.select("source", "node", F.col("degree").cast("long").alias("degree"), F.array_join("path", ">").alias("path"))
+
+
 @_query("downstream_assets", """WITH e AS (SELECT CASE WHEN p_partkey % 11 <> 0 THEN 'u' || p_partkey END AS urn, CASE WHEN p_partkey % 13 <> 0 THEN 'db.' || CASE WHEN p_size % 5 = 0 THEN upper(p_brand) ELSE p_brand END END AS name, p_size, p_partkey FROM part)
 SELECT urn, name, CASE p_size % 3 WHEN 0 THEN 'HIGH' WHEN 1 THEN 'LOW' END AS criticality, lower(split_part(name, '.', -1)) = lower('Brand#12') AS is_representation, CASE WHEN p_partkey % 4 = 0 THEN '' WHEN p_partkey % 6 = 0 THEN 's' ELSE 's>' || urn END AS path FROM e WHERE urn IS NOT NULL AND name IS NOT NULL""")
 def downstream_assets(spark, d):
@@ -467,6 +506,53 @@ def schema_gate_live_report(spark, d):
     return spark.createDataFrame([(x["column"], ",".join(x["reasons"])) for x in report["invalid_details"]], "column_name string, reasons string")
 
 
+# Candidates derived from parts: a dozen different texts over customer, by the size of the part.
+_TEXTS = {0: "SELECT c_custkey, c_email FROM customer QUALIFY row_number() OVER (ORDER BY c_tier) <= {n}", 1: "WITH t AS (SELECT c_custkey, c_name AS Label FROM customer) SELECT c_custkey, Label, label FROM t WHERE c_custkey > {n}", 2: "SELECT upper(c_name) || c_mktsegment AS label, c_custkey FROM customer WHERE c_acctbal > {n}", 3: "SELECT * EXCLUDE (c_acctbal, c_mktsegment) FROM customer LIMIT {n}"}
+
+
+def _texts(spark, d) -> DataFrame:
+    kind, n = F.col("p_size") % 4, (F.col("p_size") % 3).cast("string")
+    sql = F.coalesce(*(F.when(kind == k, F.replace(F.lit(t), F.lit("{n}"), n)) for k, t in _TEXTS.items()))
+    return _t(spark, d, "part").select("p_partkey", sql.alias("sql"))
+
+
+@_query("schema_gate_table", "SELECT p_partkey, x.column_name, 'not_in_context_schema' AS reason FROM part CROSS JOIN (VALUES ('c_email'), ('c_tier')) x(column_name) WHERE p_size % 4 = 0")
+def schema_gate_table(spark, d):
+    from . import analysis
+
+    return analysis.schema_findings(_texts(spark, d), _CUSTOMER_CONTEXT)
+
+
+_PAIRS_SQL = "SELECT p_partkey, x.* EXCLUDE (kind) FROM part JOIN (VALUES (1, 1, 'c_custkey', 'c_custkey'), (1, 2, 'Label', 'c_name'), (1, 3, 'label', 'c_name'), (2, 1, 'label', 'c_name'), (2, 1, 'label', 'c_mktsegment'), (2, 2, 'c_custkey', 'c_custkey'), (3, 1, 'c_custkey', 'c_custkey'), (3, 2, 'c_name', 'c_name'), (3, 3, 'c_nationkey', 'c_nationkey')) x(kind, position, output_column, source_column) ON x.kind = p_size % 4"
+
+
+@_query("lineage_table", _PAIRS_SQL)
+def lineage_table(spark, d):
+    from . import analysis
+
+    return analysis.lineage_pairs(_texts(spark, d), _CUSTOMER_CONTEXT).where("not unresolved").drop("unresolved")
+
+
+@_query("governance_table", f"SELECT p_partkey, position, output_column, source_column, 'PII' AS classification FROM ({_PAIRS_SQL}) WHERE source_column = 'c_name'")
+def governance_table(spark, d):
+    from . import analysis
+
+    pairs = analysis.lineage_pairs(_texts(spark, d), _CUSTOMER_CONTEXT).where("not unresolved").drop("unresolved")
+    return analysis.violations(pairs, _CUSTOMER_CONTEXT, _GOVERNANCE_POLICY)
+
+
+@_query("column_contract_table", f"""WITH o AS (SELECT DISTINCT p_partkey, position, lower(output_column) AS name FROM ({_PAIRS_SQL})), r AS (SELECT DISTINCT p_partkey, x.name FROM o CROSS JOIN (VALUES ('C_CUSTKEY'), ('Label')) x(name))
+SELECT p_partkey, 'duplicate_output_columns' AS type, name AS "column" FROM o GROUP BY ALL HAVING count(*) > 1 UNION ALL SELECT r.p_partkey, 'missing_required_columns', r.name FROM r WHERE NOT EXISTS (SELECT 1 FROM o WHERE o.p_partkey = r.p_partkey AND o.name = lower(r.name))
+UNION ALL SELECT DISTINCT p_partkey, 'unexpected_output_columns', name FROM o WHERE name NOT IN ('c_custkey', 'label') AND p_partkey % 2 = 0""")
+def column_contract_table(spark, d):
+    from . import analysis
+
+    outputs = analysis.lineage_pairs(_texts(spark, d), _CUSTOMER_CONTEXT).where("not unresolved").select("p_partkey", "position", F.col("output_column").alias("column")).distinct()
+    tasks = outputs.select("p_partkey").distinct()
+    required = tasks.withColumn("column", F.explode(F.array(F.lit("C_CUSTKEY"), F.lit("Label"))))
+    return contract.name_findings(outputs, required, ["p_partkey"], tasks.where("p_partkey % 2 <> 0"))
+
+
 # --- provenance, memory, sets ---------------------------------------------------------------------------------------
 
 
@@ -501,6 +587,99 @@ def memory_append(spark, d):
     return log.unionByName(memory.absent(entries, log).select("url", "description"))
 
 
+@_query("append_log_race", f"WITH e AS ({_ENTRIES_SQL}) SELECT url, min(description) AS description FROM e GROUP BY url, task, note")
+def append_log_race(spark, d):
+    """Two appenders at once give the same entries to a new log; each entry is there once."""
+    from concurrent.futures import ThreadPoolExecutor
+
+    from ..operators import stable
+    from ..sources.log import AppendLog
+
+    key = F.col("c_custkey")
+    note = F.concat(F.lit("n"), (key % 60).cast("string"))
+    text = F.concat(F.lit("Run: r"), key.cast("string"), F.lit("\nTask: "), "c_mktsegment", F.lit("\nNote: "), note)
+    entries = _t(spark, d, "customer").select(F.concat(F.lit("u"), F.col("c_nationkey").cast("string")).alias("url"), F.col("c_mktsegment").alias("task"), note.alias("note"), text.alias("description"))
+    log = AppendLog(spark, stable.new_folder(spark, "append-log"))
+    with ThreadPoolExecutor(2) as pool:
+        list(pool.map(lambda _: log.append(entries), range(2)))
+    return log.read()
+
+
+@_query("paged_fields", "SELECT CAST(p_partkey AS BIGINT) AS field_id, p_name AS field_path, p_brand AS native_type, CAST(p_size AS BIGINT) AS size FROM part")
+def paged_fields(spark, d):
+    """The parts as a service's pages of fields, read back through the registered source by page ranges."""
+    from ..operators import stable
+    from ..sources import paged
+
+    size, folder = 100, stable.new_folder(spark, "pages")
+    rows = _t(spark, d, "part").select(F.col("p_partkey").alias("field_id"), F.col("p_name").alias("field_path"), F.col("p_brand").alias("native_type"), F.col("p_size").cast("long").alias("size"))
+    from ..operators.positions import with_position
+
+    placed = with_position(rows.orderBy("field_id"), "at").withColumn("at", F.col("at") - 1)
+    total = placed.count()
+    lines = placed.select("at", F.floor(F.col("at") / size).cast("int").alias("page"), F.to_json(F.struct("at", "field_id", "field_path", "native_type", "size")).alias("value"))
+    lines.repartition("page").select("page", "value").write.mode("append").partitionBy("page").text(folder)
+
+    def fetch(offset: int, limit: int) -> dict:
+        import json
+
+        from pyarrow import fs
+
+        store, own = fs.FileSystem.from_uri(folder)
+        found = []
+        for info in store.get_file_info(fs.FileSelector(f"{own}/page={offset // size}", allow_not_found=True)):
+            if info.base_name.startswith("part-"):
+                with store.open_input_stream(info.path, compression=None) as stream:
+                    found += [json.loads(x) for x in stream.read().decode().splitlines()]
+        wanted = sorted((r for r in found if offset <= r["at"] < offset + limit), key=lambda r: r["at"])
+        return {"fields": wanted, "offset": offset, "totalFields": total}
+
+    spark.dataSource.register(paged.paged("plumbline_pages", fetch, "field_id long, field_path string, native_type string, size long", page=size, pages=4))
+    return spark.read.format("plumbline_pages").load()
+
+
+_GRID_SQL = "SELECT 't' || p_partkey AS task_id, m.mode, p_partkey, p_size FROM part CROSS JOIN (VALUES ('blind'), ('context')) m(mode) WHERE p_size <= 10"
+
+
+@_query("stored_candidates", f"SELECT task_id, mode, CASE WHEN p_partkey % 5 = 0 THEN 'missing' WHEN p_partkey % 7 = 0 AND mode = 'blind' THEN 'empty' ELSE 'present' END AS state, CASE WHEN p_partkey % 5 <> 0 AND NOT (p_partkey % 7 = 0 AND mode = 'blind') THEN 'select ' || p_size || ' as n' END AS sql FROM ({_GRID_SQL})")
+def stored_candidates(spark, d):
+    """Candidates stored as one file each, read as a table against the grid of tasks; missing and empty ones stay."""
+    from ..operators import stable
+    from ..sources import texts
+
+    folder, key = stable.new_folder(spark, "candidates"), F.col("p_partkey")
+    own = _t(spark, d, "part").where("p_size <= 10")
+    tasks = own.select(F.concat(F.lit("t"), key.cast("string")).alias("task_id"))
+    files = own.where(key % 5 != 0).withColumn("mode", F.explode(F.array(F.lit("blind"), F.lit("context"))))
+    name = F.concat(F.lit("t"), key.cast("string"), F.lit("__"), "mode", F.lit(".sql"))
+    text = F.when((key % 7 == 0) & (F.col("mode") == "blind"), F.lit(" \n")).otherwise(F.concat(F.lit("select "), F.col("p_size").cast("string"), F.lit(" as n")))
+
+    def write(batches):
+        import pyarrow as pa
+        from pyarrow import fs
+
+        for batch in batches:
+            for n, t in zip(*(batch.column(c).to_pylist() for c in ("name", "text")), strict=True):
+                store, to = fs.FileSystem.from_uri(folder)
+                with store.open_output_stream(f"{to}/{n}", compression=None) as out:
+                    out.write(t.encode())
+            yield pa.RecordBatch.from_arrays([batch.column("name")], ["name"])
+
+    files.select(name.alias("name"), text.alias("text")).mapInArrow(write, "name string").count()
+    return texts.candidates(texts.whole_texts(spark, folder), tasks, ["blind", "context"]).select("task_id", "mode", "state", "sql")
+
+
+@_query("file_digests", "SELECT 'n_nationkey=' || n_nationkey AS folder, sha256(repeat(n_name || '-', 20000) || chr(10)) AS sha256, CAST(20000 * (length(n_name) + 1) + 1 AS BIGINT) AS bytes FROM nation")
+def file_digests(spark, d):
+    """A file a nation, of several chunks, digested where it is read."""
+    from ..operators import stable
+
+    folder = stable.new_folder(spark, "files")
+    _t(spark, d, "nation").select("n_nationkey", F.repeat(F.concat("n_name", F.lit("-")), F.lit(20000)).alias("value")).repartition("n_nationkey").write.mode("append").partitionBy("n_nationkey").text(folder)
+    found = provenance.file_digests(spark, folder, chunk=1 << 16).where(F.col("path").rlike(r"(^|/)part-"))
+    return found.select(F.substring_index("path", "/", 1).alias("folder"), "sha256", "bytes")
+
+
 @_query("tag_ensure", "WITH have AS (SELECT DISTINCT 'T' || p_size AS tag, 'old' AS description FROM part WHERE p_size % 3 = 0) SELECT * FROM have UNION ALL SELECT 'T' || p_size, min(p_brand) FROM part WHERE 'T' || p_size NOT IN (SELECT tag FROM have) GROUP BY 1")
 def tag_ensure(spark, d):
     tag = F.concat(F.lit("T"), F.col("p_size").cast("string")).alias("tag")

@@ -58,7 +58,7 @@ def field_tokens(field: dict[str, Any]) -> set[str]:
 def violations(pairs: DataFrame, tagged: DataFrame, denied: list[str]) -> DataFrame:
     """output_column, source_column, classification: lineage pairs whose source holds a denied classification."""
     bad = tagged.where(F.lower("token").isin([x.casefold() for x in denied])).select(F.lower("column_name").alias("_column"), F.col("token").alias("classification"))
-    return pairs.join(bad, F.lower("source_column") == F.col("_column")).select("output_column", "source_column", "classification")
+    return pairs.join(bad, F.lower("source_column") == F.col("_column")).select(*pairs.columns, "classification")
 
 
 def allowed_actions(found: DataFrame, by_class: dict[str, list[str]]) -> DataFrame:

@@ -14,9 +14,12 @@ SETTINGS = {
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
 }
 
+#: Of the application as a whole: checkpoints go when nothing refers to them any more.
+APPLICATION = {"spark.cleaner.referenceTracking.cleanCheckpoints": "true"}
+
 
 def session(name: str = "plumbline", master: str | None = None, **settings: str) -> SparkSession:
-    builder = SparkSession.builder.appName(name).config(map=SETTINGS | settings)
+    builder = SparkSession.builder.appName(name).config(map=APPLICATION | SETTINGS | settings)
     return (builder.master(master) if master else builder).getOrCreate()
 
 

@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import argparse
+import datetime
+import importlib
 import json
 import sys
 from pathlib import Path
@@ -35,10 +37,23 @@ def _parser() -> argparse.ArgumentParser:
     command("result", "a contract over a query's result", "sql", "contract", "tables")
     command("admit", "schema, governance, one projection repair, impact", "sql", "context", "policy", "impact-policy").add_argument("--task", default="")
     command("verify", "a sealed run's manifest", "run")
+    for name, text, files in (("assure", "blind and grounded candidates of one task, all gates, one repair, a sealed run", ("task-file", "context", "policy", "contract", "tables", "runs")), ("benchmark", "all tasks of a benchmark in all modes, and the published score", ("benchmark", "policy", "runs"))):
+        p = command(name, text, *files)
+        p.add_argument("--generate", required=True, help="MODULE:FUNCTION that answers (task, system prompt) with SQL")
+        p.add_argument("--repair", help="MODULE:FUNCTION that mends (sql, failure report, context, task); violating projections are dropped without it")
+        p.add_argument("--run-id", default=datetime.datetime.now(datetime.UTC).strftime("%Y%m%dT%H%M%SZ"))
+        if name == "benchmark":
+            p.add_argument("--workers", type=int, default=3)
     command("score", "stored candidates TASK__MODE.sql of a benchmark", "benchmark", "candidates", "policy").add_argument("--modes", nargs="+", default=["blind", "context", "assurance"])
     return out
 
 
+def _named(what: str):
+    """A function by MODULE:FUNCTION."""
+    module, _, name = what.partition(":")
+    return getattr(importlib.import_module(module), name)
+
+
 def _verdict(report: dict[str, Any]) -> int:
     return PASSED if report["status"] == "PASS" else BLOCKED
 
@@ -64,8 +79,16 @@ def _run(args: argparse.Namespace) -> tuple[dict[str, Any], int]:
         report = {"status": "PASS" if ran.report["status"] == found["status"] == "PASS" else "FAIL", "runtime": ran.report, "result": found}
     elif args.command == "admit":
         policy = config.load_governance_policy(args.policy)
-        report = admission.admit(spark, text(args.sql), config.load_context(args.context, need_urn=True), policy, config.load_impact_policy(args.impact_policy), args.task, admission.projection_repair(spark, policy))
+        report = admission.admit(spark, text(args.sql), config.load_context(args.context, need_urn=True), policy, config.load_impact_policy(args.impact_policy), args.task, admission.projection_repair(spark, policy), str(Path(args.sql).resolve()))
         return report, report["exit_code"]
+    elif args.command in ("assure", "benchmark"):
+        policy = config.load_governance_policy(args.policy)
+        generate, repair_ = _named(args.generate), _named(args.repair) if args.repair else admission.projection_repair(spark, policy)
+        if args.command == "benchmark":
+            found = admission.benchmark_run(spark, args.benchmark, generate, repair_, policy, args.runs, args.run_id, args.workers)
+            return {"status": "PASS", "run_id": found["run_id"], "tasks": found["tasks"], "ready": found["ready"], "repairs": found["repairs"]}, PASSED
+        config.parquet_views(spark, args.tables, [p.name.removesuffix(".parquet") for p in sorted(Path(args.tables).glob("*.parquet"))])
+        report = admission.assurance_run(spark, args.runs, args.run_id, text(args.task_file).strip(), config.load_context(args.context), policy, config.load_contract(args.contract), generate, repair_)
     elif args.command == "verify":
         report = provenance.verify(spark, args.run)
     else:

@@ -159,7 +159,9 @@ def test_admission(spark):
 
     assert admission.admit(spark, "select first_name from customers", CONTEXT, GOVERNANCE, POLICY, "t", broken)["repair"]["status"] == "ERROR"
     none = admission.admit(spark, "select first_name from customers", CONTEXT, GOVERNANCE | {"allowed_actions_by_classification": {}}, POLICY, "t", fix)
-    assert none["repair"]["status"] == "BLOCKED_NO_ALLOWED_REPAIR"
+    assert none["repair"]["status"] == "BLOCKED_NO_ALLOWED_REPAIR" and "repair" in none["reason"] and none["candidate_file"] is None
+    assert good["reason"] == good["gates"]["downstream_impact"]["message"] and good["gates"]["final_schema"]["status"] == "PASS"
+    assert admission.admit(spark, "select customer_id from customers", CONTEXT, GOVERNANCE, POLICY, "t", None, "a.sql")["candidate_file"] == "a.sql"
 
 
 def test_assurance_run(spark, tmp_path):
@@ -298,3 +300,53 @@ def test_streaming_counts(spark, tmp_path):
     q.processAllAvailable()
     q.stop()
     assert sorted((r["row_count"], r["null_count"]) for r in spark.table("counts_out").collect()) == [(1, 0), (2, 1)]
+
+
+ANSWERS = """
+def answer(task, system):
+    return "select customer_id from customers" if "customer_id" in system else "```sql\\nselect nobody from customers\\n```"
+
+def mend(sql, report, context, task):
+    raise RuntimeError("away")
+"""
+
+
+def test_command_lines_of_runs(spark, tmp_path, capsys, monkeypatch):
+    """A whole run of one task, and a whole benchmark, with answers by a named function."""
+    from plumbline.__main__ import main
+
+    (tmp_path / "answers.py").write_text(ANSWERS)
+    monkeypatch.syspath_prepend(str(tmp_path))
+
+    def put(name, value):
+        (tmp_path / name).write_text(value if isinstance(value, str) else json.dumps(value))
+        return str(tmp_path / name)
+
+    spark.createDataFrame([(1, "a", 2.0)], "customer_id int, first_name string, customer_lifetime_value double").write.parquet(str(tmp_path / "tables" / "customers.parquet"))
+    files = {"context": put("context.json", CONTEXT), "policy": put("policy.json", GOVERNANCE), "contract": put("contract.json", {"contract_id": "c", "required_columns": ["customer_id"], "exact_row_count": 1}), "task-file": put("task.txt", "all customers\n"), "tables": str(tmp_path / "tables"), "runs": str(tmp_path / "runs")}
+    words = ["assure", *(w for k, v in files.items() for w in (f"--{k}", v)), "--generate", "answers:answer", "--run-id", "one"]
+    assert main(words) == 0
+    report = json.loads(capsys.readouterr().out)
+    assert report["status"] == "PASS" and report["candidates"]["blind"][0]["status"] == "FAIL" and report["repair"]["status"] == "NOT_NEEDED"
+    assert main(["verify", "--run", str(tmp_path / "runs" / "one")]) == 0
+    assert main(words) == 2  # a run's name is taken once
+    capsys.readouterr()
+    words = ["benchmark", "--benchmark", str(benchmark_files(tmp_path)), "--policy", files["policy"], "--runs", str(tmp_path / "scores"), "--generate", "answers:answer", "--repair", "answers:mend", "--run-id", "two", "--workers", "2"]
+    assert main(words) == 0
+    report = json.loads(capsys.readouterr().out)
+    assert report["run_id"] == "two" and set(report["ready"]) == {"blind", "context", "assurance"}
+    assert (tmp_path / "scores" / "two" / "report.json").exists() and (tmp_path / "scores" / "summary.md").exists()
+
+
+def test_one_bounded_repair():
+    failed = {"violations": [{"allowed_actions": ["exclude"]}]}
+    ok, bad = [{"status": "PASS"}], [{"status": "PASS"}, None]
+    run = lambda report, repair, gates=lambda sql: ok: admission.bounded_repair("x", report, {}, "t", repair, gates)
+    assert run(None, lambda *a: "y")[0]["status"] == "NOT_NEEDED"
+    assert run(failed, None) == ({"bounded": True, "max_attempts": 1, "attempts": 0, "status": "NOT_ATTEMPTED"}, None, None)
+    for forbidden in ({"violations": []}, {"violations": [{"allowed_actions": []}]}):
+        assert run(forbidden, lambda *a: "y")[0]["status"] == "BLOCKED_NO_ALLOWED_REPAIR"
+    assert run(failed, lambda *a: "```sql\ny\n```")[1:] == ("y", ok) and run(failed, lambda *a: "y")[0]["status"] == "PASS"
+    assert run(failed, lambda *a: "y", lambda sql: bad)[0]["status"] == "FAIL"
+    record, fixed, gates = run(failed, lambda *a: 1 / 0)
+    assert (record["attempts"], record["status"], record["error_type"], fixed, gates) == (1, "ERROR", "ZeroDivisionError", None, None)

@@ -2,8 +2,12 @@
 
 Detected are e-mail addresses, IPv4 and IPv6 addresses, payment card numbers whose check digit holds, phone numbers (bare
 digits only after a word such as phone), US social security numbers, IBANs whose check digits hold, access keys, assigned
-tokens and passwords, and names after a form of address or a label such as Name. A name's parts, wherever else in its
-document they stand with a capital, are mentions of it. Names without any title or label in their document are not found.
+tokens and passwords, and names after forms of address (one or several) or a label such as Name. A name has any number of
+parts, initials and particles (von der, de la), between any blanks; after its title it may stand on the next line. A name's
+parts, wherever else in its document they stand with a capital, are mentions of it, also with an ending of Russian or German
+cases, which the surrogate keeps. Parts that are everyday words (COMMON) are mentions only next to another part or, if no
+article stands before them, inside a sentence; a family name also where a sentence begins. Particles stay; an initial becomes another. Names without any title or label in
+their document are not found.
 
 An entity's canonical form (digits of a number, small letters of an address or a name's part) is mapped by a keyed
 permutation of all forms of the same pattern, digits to digits and letters to letters; the surface gets it back
@@ -49,6 +53,11 @@ CROWDED = 20
 MALE = ["Mr", "Mister", "Herr", "Monsieur", "Señor", "Sr", "Signor", "г-н", "господин", "κύριος"]
 FEMALE = ["Mrs", "Ms", "Miss", "Frau", "Madame", "Mme", "Mlle", "Señora", "Sra", "Signora", "г-жа", "госпожа", "κυρία"]
 OPEN = ["Dr", "Prof", "Professor", "Mx"]
+#: Words between a name's parts that are none.
+PARTICLES = ["von", "van", "der", "den", "de", "del", "della", "di", "da", "dos", "das", "do", "du", "la", "las", "los", "le", "ten", "ter", "zu", "zum", "zur", "vom", "al", "el", "bin", "ibn", "bint", "af", "av", "y", "e", "i", "san", "st", "фон", "де", "ван", "дер"]
+#: Names that are everyday words, and what stands before such a word where it is one.
+COMMON = set("will mark may grace hope faith joy rose art bill drew grant chase pat rich jack frank april june august dawn summer autumn winter page king baker cook young long hall hill wood woods stone rivers field fields church bishop price rice bush bird fox wolf lane street law day sunday gates banks wells brown black white green gray grey best love short small little strong sharp moody power parks park bell ball carter mason miller smart wise good noble case chance miles max van guy penny ruby crystal amber ivy lily daisy iris violet olive heather holly sky star stern klein gross lang jung vogel fuchs stein berg baum brand kaiser richter".split())
+ARTICLES = set("the a an this that these those each every no any some my your his its our their which what der die das den dem des ein eine einen einem einer le la les un une el los las una uno il lo gli".split())
 LABELS = ["Name", "Full name", "Nombre", "Nom", "Имя", "Όνομα"]
 PHONES = ["phone", "telephone", "tel", "mobile", "cell", "fax", "whatsapp"]
 SYLLABLES = {
@@ -66,9 +75,12 @@ CLASSES = [("0.0.0.0", 24), ("10.0.0.0", 24), ("100.64.0.0", 22), ("127.0.0.0",
 _CLASSES = [(int(ipaddress.IPv4Address(a)), 1 << bits) for a, bits in CLASSES]
 _TITLES = "|".join(map(re.escape, sorted(MALE + FEMALE + OPEN, key=len, reverse=True)))
 _LABELS, _PHONES = "|".join(LABELS), "|".join(PHONES)
-_NAME = r"[A-ZÀ-ÖØ-ÞΑ-ΩА-Я][\w'’-]*\w"
+_UPPER = "".join(chr(c) for c in [*range(0x41, 0x5B), *range(0xC0, 0x250), *range(0x370, 0x530)] if chr(c).isupper())
+_BLANKS = r"[^\S\n]+"
+_UNIT = rf"(?:(?:{'|'.join(sorted(PARTICLES, key=len, reverse=True))}){_BLANKS}){{0,3}}(?:[dD]['’])?(?:(?:[{_UPPER}]\.)+|[{_UPPER}][\w'’-]*\w(?![\w'’-]|[^\S\n]?:)|[{_UPPER}](?={_BLANKS}[{_UPPER}][\w'’-]))"
+_NAME = rf"{_UNIT}(?:{_BLANKS}{_UNIT})*"
 _PATTERNS = [
-    ("email", r"(?<![\w.+-])[A-Za-z0-9][\w.+%-]*@(?:[A-Za-z0-9-]+\.)+[A-Za-z]{2,24}"),
+    ("email", r"(?<![\w.+-])[^\W_][\w.+%-]*@(?:[^\W_](?:[\w-]*[^\W_])?\.)+[^\W\d_]{2,24}"),
     ("access", r"(?<![A-Za-z0-9])(?:AKIA|ASIA)[A-Z0-9]{16}(?![A-Za-z0-9])"),
     ("secret", r"(?i:(?<![a-z])(?:token|secret|api[_-]?key|password|passwd|pwd)\s*[=:]\s*[\"']?)(?P<secret>[A-Za-z0-9_+/.~-]{6,})"),
     ("iban", r"(?<![A-Za-z0-9])[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,4})?(?![A-Za-z0-9])"),
@@ -78,7 +90,7 @@ _PATTERNS = [
     ("card", r"(?<![\w.-])[3-6](?:[ -]?\d){12,18}(?![\w-])"),
     ("phone", r"(?<![\w.])(?:\+\d{1,3}[ .-]?)?(?:\(\d{2,4}\) ?|\d{2,4}[ .-])\d{3,4}[ .-]\d{3,4}(?![\w-])|(?<![\w.])\+\d{1,3}(?:[ .-]?\d){7,12}(?![\w-])"),
     ("bare", rf"(?<![A-Za-z])(?i:{_PHONES})(?:\.|:| no\.?)?:? {{0,2}}(?P<number>\d{{7,12}})(?![\w-])"),
-    ("name", rf"(?<!\w)(?:(?P<title>{_TITLES})\.? +|(?:{_LABELS}): ?)(?P<name>{_NAME}(?: {_NAME}){{0,2}})"),
+    ("name", rf"(?<!\w)(?:(?P<title>(?:{_TITLES})(?:\.?\s+(?:{_TITLES})(?!\w))*)\.?\s+|(?:{_LABELS}){_BLANKS.replace('+', '*')}:{_BLANKS.replace('+', '*')})(?P<name>{_NAME})"),
 ]
 _ENTITY = re.compile("|".join(f"(?P<t_{t}>{p})" for t, p in _PATTERNS))
 _GROUP = {"secret": "secret", "bare": "number"}
@@ -86,6 +98,8 @@ _GROUP = {"secret": "secret", "bare": "number"}
 _HINT = re.compile(rf"[0-9@]|::|(?<!\w)(?:{_TITLES}|{_LABELS})(?!\w)|(?i:token|secret|key|passw|pwd)")
 _WORD = re.compile(r"[^\W\d_][\w'’]*")
 _OWN = re.compile(r"['’]s$", re.I)
+#: A name's parts: what stands between blanks, hyphens, the stops of initials, and after an elided particle.
+_PIECE = re.compile(r"(?:(?<![\w'’])[dD]['’])?([^\s.-]+)")
 
 
 def _number(key: bytes, *parts: object) -> int:
@@ -169,8 +183,21 @@ def script(word: str) -> str:
     return "cyrillic" if re.search("[А-Яа-яЁё]", word) else "greek" if re.search("[Α-Ωα-ωά-ώ]", word) else "latin"
 
 
-def gender(title: str) -> str:
-    return "m" if title in MALE else "f" if title in FEMALE else ""
+def gender(titles: str) -> str:
+    """That of the first title that has one."""
+    return next((sex for t in re.findall(_TITLES, titles) for sex, own in (("m", MALE), ("f", FEMALE)) if t in own), "")
+
+
+# Endings of Russian cases by a name's last letters, how many letters they replace, and the ending of a German or English one.
+CASES = [(("ий", "ый", "ой"), 2, ["ого", "ому", "им", "ым", "ом", "ая", "ую", "ой"]), (("й",), 1, ["я", "ю", "ем", "е"]), (("а",), 1, ["ы", "е", "у", "ой", "ою"]), (("я",), 1, ["и", "е", "ю", "ей"]), ((*"бвгджзклмнпрстфхцчшщ",), 0, ["а", "у", "ым", "ом", "е", "ой", "ы", "ых", "ам", "ами"])]
+GENITIVE = "s"
+
+
+def bent_forms(part: str) -> dict[str, tuple[int, str]]:
+    """Other forms of a name's part: how many of its last letters they replace, and by what."""
+    if script(part) == "cyrillic" and len(part) > 2:
+        return {part[: len(part) - cut] + e: (cut, e) for ends, cut, endings in CASES if part.endswith(ends) for e in endings}
+    return {part + GENITIVE: (0, GENITIVE)} if script(part) == "latin" and len(part) > 3 and not part.endswith(("s", "x", "z", "ß")) else {}
 
 
 def canonical(kind: str, surface: str) -> str:
@@ -188,7 +215,7 @@ def surrogate(kind: str, canon: str, key: bytes, attempt: int = 0, sex: str = ""
     """The surrogate of a canonical form; names are in small letters."""
     tweak = f"{kind}:{attempt}"
     if kind == "email":
-        local, _, domain = canon.rpartition("@")
+        local, _, domain = "".join(c if c.isascii() else "abcdefghijklmnopqrstuvwxyz"[ord(c) % 26] for c in canon).rpartition("@")
         host = ".".join(domain.split(".")[:-2]) if domain.endswith((".example.com", ".example.org", ".example.net")) else domain.rpartition(".")[0]
         moved = reformed(f"{local}@{host}", key, tweak) if host else reformed(local, key, tweak) + "@"
         tail = domain.rpartition(".")[2]
@@ -243,6 +270,16 @@ def dressed(kind: str, surface: str, new: str) -> str:
     return new
 
 
+def bent(surface: str, canon: str, new: str) -> str:
+    """A name's surrogate in the form that the surface has: an initial, or with the ending of its case."""
+    if len(canon) == 1:
+        return new[0]
+    if surface.casefold() == canon:
+        return new
+    cut, ending = bent_forms(canon)[surface.casefold()]
+    return (new[:-cut] if cut and new[-1] in "аяийыо" else new) + ending
+
+
 def _found(m: re.Match) -> tuple[int, int, str, str] | None:
     """(start, end, kind, canonical form) of a match that isn't a name, or None if it isn't what it looks like."""
     kind = m.lastgroup[2:] if m.lastgroup.startswith("t_") else next(t for t, _ in _PATTERNS if m.group(f"t_{t}") is not None)
@@ -263,10 +300,40 @@ def _found(m: re.Match) -> tuple[int, int, str, str] | None:
     return a, b, kind, canonical(kind, surface)
 
 
+def _mentions(text: str, taken: list[tuple[int, int, str, str]], parts: dict[str, str], family: set[str]) -> list[tuple[int, int, str, str]]:
+    """Where known parts of names stand elsewhere. taken: entities in order; family: parts that have stood last in a name."""
+    forms = {f: p for p in parts for f in bent_forms(p)} | {p: p for p in parts}
+    out, unsure, at = [], [], 0
+    for m in _WORD.finditer(text):
+        a, word = m.start(), _OWN.sub("", m.group()).rstrip("'’")
+        while at < len(taken) and taken[at][1] <= a:
+            at += 1
+        if not word or not word[0].isupper() or (part := forms.get(word.casefold())) is None or at < len(taken) and taken[at][0] < m.end():
+            continue
+        (unsure if part in COMMON else out).append((a, a + len(word), "name", part))
+    if unsure:
+        names = [(x[0], x[1]) for x in (*taken, *out, *unsure) if x[2] == "name"]
+        begins, ends = {a for a, _ in names}, {b for _, b in names}
+        judged, seen = [], set()
+        for x in unsure:
+            before, after = text[max(0, x[0] - 80) : x[0]], text[x[1] : x[1] + 9]
+            gap = len(after) - len(after.lstrip(" \t\xa0"))
+            near = gap > 0 and x[1] + gap in begins or x[0] - (len(before) - len(before.rstrip(" \t\xa0"))) in ends and before[-1:].isspace()
+            last = before.split()[-1:] or [""]
+            article = last[0].casefold().strip("(,") in ARTICLES
+            inside = bool(last[0]) and last[0][-1] not in ".!?…:;\"“”«»" and "\n" not in before[len(before.rstrip()) :]
+            if inside and not article and not near:
+                seen.add(x[3])
+            judged.append((x, near or not article and (inside or x[3] in family), article))
+        out += [x for x, sure, article in judged if sure or x[3] in seen and not article]
+    return out
+
+
 def entities(text: str) -> list[tuple[int, int, str, str, str, str]]:
     """(start, end, kind, surface, canonical form, gender) of each entity in order; a name's parts are entities of their own."""
     found: list[tuple[int, int, str, str]] = []
     sexes: dict[str, str] = {}
+    family: set[str] = set()
     if not _HINT.search(text):
         return []
     for m in _ENTITY.finditer(text):
@@ -274,21 +341,21 @@ def entities(text: str) -> list[tuple[int, int, str, str, str, str]]:
             if one := _found(m):
                 found.append(one)
             continue
-        parts = [(p.start(), p.start() + len(_OWN.sub("", p.group()))) for p in re.compile(r"[^ -]+").finditer(text, *m.span("name"))]
+        parts = []
+        for p in _PIECE.finditer(text, *m.span("name")):
+            word = _OWN.sub("", p.group(1)).rstrip("'’")
+            if word[:1].isupper():
+                parts.append((p.start(1), p.start(1) + len(word)))
+        sex = gender(m.group("title") or "")
         for i, (a, b) in enumerate(parts):
             part = text[a:b].casefold()
-            sex = gender(m.group("title") or "") if i < len(parts) - 1 else ""  # the last part is a family name
-            sexes[part] = sexes.get(part) or sex
+            if b - a > 1:
+                sexes[part] = sexes.get(part) or (sex if i < len(parts) - 1 else "")
+                if i == len(parts) - 1:
+                    family.add(part)
             found.append((a, b, "name", part))
     if sexes:  # other mentions of the same people
-        taken, at, more = found, 0, []
-        for m in _WORD.finditer(text):
-            a, word = m.start(), _OWN.sub("", m.group())
-            while at < len(taken) and taken[at][1] <= a:
-                at += 1
-            if word[0].isupper() and (part := word.casefold()) in sexes and not (at < len(taken) and taken[at][0] < m.end()):
-                more.append((a, a + len(word), "name", part))
-        found = sorted(found + more)
+        found = sorted(found + _mentions(text, found, sexes, family))
     return [(a, b, kind, text[a:b], canon, sexes.get(canon, "") if kind == "name" else "") for a, b, kind, canon in found]
 
 
@@ -303,7 +370,7 @@ def replaced(text: str, key: bytes, told: dict[tuple[str, str], tuple[int, str]]
             new = memo[kind, canon, attempt, sex] = surrogate(kind, canon, key, attempt, sex)
             if len(memo) > 100_000:
                 memo.clear()
-        out += [text[at:a], dressed(kind, surface, new)]
+        out += [text[at:a], dressed(kind, surface, bent(surface, canon, new) if kind == "name" else new)]
         at = b
     return "".join(out) + text[at:], len(found)
 

@@ -508,3 +508,41 @@ def test_scratch_is_in_the_shared_folder(spark):
     df = common.stored(spark.range(3).toDF("x"), "t")
     assert all(f.startswith(common.shared_dir(spark)) for f in df.inputFiles())
     common.drop_scratch(spark, df)
+
+
+NAMES = {
+    # text: what must be gone, what must stay
+    "Mr. J. Smith called. Smith left.": (["Smith", "J."], ["Mr.", "called"]),
+    "Frau von der Leyen kam. Leyen ging.": (["Leyen"], ["Frau von der "]),
+    "Mr John  Smith came": (["John", "Smith"], ["Mr ", "  "]),
+    "Prof. Dr. Hans Müller sagte. Müller.": (["Hans", "Müller"], ["Prof. Dr. "]),
+    "Ms.\nKim said": (["Kim"], ["Ms.\n"]),
+    "josé.garcía@exämple.com x": (["josé", "garcía", "exämple"], ["@", " x"]),
+    "г-н Петров пришёл. Петрову сказали о Петровой.": (["Петров"], ["г-н", "сказали о"]),
+    "Sr. Juan Carlos García López Martín vino. Martín habló.": (["Juan", "Carlos", "García", "López", "Martín"], ["Sr.", "vino", "habló"]),
+    "Mr. Will Page came. Will you read the Page? Then Will Page left with Page.": (["Will Page", "with Page"], ["Will you read the Page?"]),
+    "Dr. Anna-Maria d'Arc and Mr. J.R.R. Tolkien met. Tolkien's book; Arc.": (["Anna", "Maria", "Arc", "Tolkien", "J.R.R."], ["'s book", " d'"]),
+    "Name: John Smith Phone: 555": (["John", "Smith"], ["Phone: 555"]),
+    "Name: Ann O'Neil\nEmail: none": (["Ann", "O'Neil"], ["\nEmail: none"]),
+    "Mrs. Łucja Šimková spoke; Šimková left.": (["Łucja", "Šimková"], ["Mrs."]),
+    "Herr Müller und Müllers Hund. господин Достоевский; Достоевского.": (["Müller", "Достоевск"], ["Herr", "Hund", "господин"]),
+    "Mr. and Mrs. Brown went. The brown dog. Brown barked.": (["Mrs. Brown", ". Brown"], ["brown dog", "Mr. and"]),
+}
+
+
+@pytest.mark.parametrize("text", list(NAMES))
+def test_shapes_of_names(text):
+    out, n = surrogates.replaced(text, b"k" * 32)
+    gone, kept = NAMES[text]
+    assert n and not [g for g in gone if g in out] and all(k in out for k in kept)
+
+
+def test_no_names():
+    for text in ("Miss the bus", "Name: \nAge: 5", "Dear sir, Herr is a word. Mr.", "Mr. smith", "I think Will you May"):
+        assert surrogates.replaced(text, b"k" * 32) == (text, 0)
+
+
+def test_cases_of_a_name_keep_their_ending():
+    out, _ = surrogates.replaced("г-жа Анна Петрова, Анны Петровой, Анне; Достоевский. господин Достоевский, Достоевскому", b"k" * 32)
+    first = re.match(r"г-жа (\w+) (\w+), (\w+)ы (\w+), (\w+)е; (\w+)\. господин (\w+), (\w+)ому", out)
+    assert first and first[1][:-1] == first[3] == first[5] and first[6] == first[7]

@@ -44,7 +44,7 @@ def chunked_digest(stream, chunk: int = CHUNK) -> tuple[str, int]:
     return chain.hexdigest(), size
 
 
-def _opened(path: str):
+def opened(path: str):
     """A listed file as a stream, by Arrow's file systems."""
     from pyarrow import fs
 
@@ -59,7 +59,7 @@ def _digested(chunk: int):
         for batch in batches:
             out = []
             for path in batch.column("path").to_pylist():
-                with _opened(path) as stream:
+                with opened(path) as stream:
                     out.append(chunked_digest(stream, chunk))
             yield pa.RecordBatch.from_arrays([batch.column("path"), pa.array([x for x, _ in out], pa.string()), pa.array([n for _, n in out], pa.int64())], ["path", "sha256", "bytes"])
 

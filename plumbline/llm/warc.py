@@ -5,21 +5,23 @@ Spark's text writer, which puts raw bytes to any store that Spark writes to and
 line separator is an empty skippable frame, which every reader of Zstandard skips. Of records with equal
 payloads of at least `least` bytes, that with the smallest page_id is a response and the others revisit it.
 
-Reading: frames are found by walking their block headers, so that each is decoded alone with the archive's
-dictionary. A record's version line, headers, Content-Length, end, payload length and, for responses, its
+Reading: an archive is streamed a chunk at a time, where Arrow reads its file system (local, HDFS, S3, GCS, Azure), so that
+a reader holds one frame and one chunk, however long the archive. Frames are found by walking their block headers, so that
+each is decoded alone with the archive's dictionary. A record's version line, headers, Content-Length, end, payload length and, for responses, its
 digest are checked; a fault raises ValueError with the archive and the offset.
 
 Defined results: null html is an empty payload; a null url is written as the record's own id; control characters
 and blanks in a url are percent-encoded. Rows without a page_id are written and read as null and are a response
 only where no equal payload has an id. Repeated rows of the response's page_id are responses too. Extra columns
-are ignored. An empty table gives no records. An archive is read whole by one task, so its size, which follows
-spark.sql.files.maxPartitionBytes when writing, bounds the reader's memory.
+are ignored. An empty table gives no records. An archive is as large as what its task wrote: of one split of the input, or,
+where more than BROADCAST_ROWS payloads repeat, of one shuffled partition.
 """
 
 from __future__ import annotations
 
 import base64
 import hashlib
+import io
 import struct
 
 import pyarrow as pa
@@ -27,6 +29,7 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators import provenance, stable
 from . import common
 
 DATE = "2024-01-01T00:00:00Z"
@@ -37,6 +40,8 @@ BETWEEN = struct.pack("<II", SKIPPABLE, 0)
 LEVEL, DICT_BYTES, SAMPLES, SAMPLE_BYTES = 6, 65_536, 256, 32_768
 #: Rows of the table of repeated payloads up to which it is broadcast (about 80 bytes each).
 BROADCAST_ROWS = 100_000
+#: Bytes that are read at once, and the file systems that are read so; of others Spark reads archives whole, up to 2 GB each.
+CHUNK, STREAMED = 1 << 20, ("file", "hdfs", "s3", "s3a", "gs", "gcs", "abfs", "abfss")
 
 
 def train(samples: list[bytes]) -> bytes:
@@ -115,10 +120,14 @@ def write_archives(pages: DataFrame, path: str, *, id_col: str = "page_id", url_
     return path
 
 
+class Truncated(ValueError):
+    """A frame whose end isn't there."""
+
+
 def frame_end(data: memoryview, at: int) -> int:
     """The end of the frame that begins at `at`, by its header and block headers."""
     if at + 4 > len(data):
-        raise ValueError("truncated frame")
+        raise Truncated("truncated frame")
     (magic,) = struct.unpack_from("<I", data, at)
     if SKIPPABLE <= magic <= SKIPPABLE + 15:
         end = at + 8 + struct.unpack_from("<I", data, at + 4)[0] if at + 8 <= len(data) else len(data) + 1
@@ -126,7 +135,7 @@ def frame_end(data: memoryview, at: int) -> int:
         checked, end, last = data[at + 4] >> 2 & 1, at + zstandard.frame_header_size(bytes(data[at : at + 18])), 0
         while not last:
             if end + 3 > len(data):
-                raise ValueError("truncated frame")
+                raise Truncated("truncated frame")
             head = int.from_bytes(data[end : end + 3], "little")
             last, kind = head & 1, head >> 1 & 3
             if kind == 3:
@@ -136,7 +145,7 @@ def frame_end(data: memoryview, at: int) -> int:
     else:
         raise ValueError(f"no frame: magic {magic:#x}")
     if end > len(data):
-        raise ValueError("truncated frame")
+        raise Truncated("truncated frame")
     return end
 
 
@@ -181,41 +190,63 @@ def unpacked(raw: bytes) -> dict:
     return {"page_id": _page(fields["warc-record-id"]), "url": fields.get("warc-target-uri"), "payload": payload if kind == "response" else None, "payload_bytes": int(sizes[0]), "payload_digest": digest, "record_type": kind, "refers_to": refers}
 
 
-def records(data: bytes):
+def frames(source: bytes | io.IOBase):
+    """(offset, frame) of an archive; what is read at once grows with the frame that it is for."""
+    stream, held, base, at, ended = io.BytesIO(source) if isinstance(source, bytes) else source, b"", 0, 0, False
+    while True:
+        if at < len(held):
+            try:
+                end = frame_end(memoryview(held), at)
+            except (ValueError, zstandard.ZstdError) as e:
+                short = isinstance(e, Truncated) or len(held) - at < 18  # of a header there may be only a part
+                if ended or not short:
+                    raise ValueError(f"at byte {base + at}: {e}") from e
+            else:
+                yield base + at, held[at:end]
+                at = end
+                continue
+        elif ended:
+            return
+        data = stream.read(max(CHUNK, len(held) - at))
+        ended, held, base, at = not data, held[at:] + data, base + at, 0
+
+
+def records(source: bytes | io.IOBase):
     """The records of one archive."""
-    view, at, codec, first = memoryview(data), 0, zstandard.ZstdDecompressor(), True
-    while at < len(view):
+    codec, first = zstandard.ZstdDecompressor(), True
+    for at, frame in frames(source):
         try:
-            end = frame_end(view, at)
-            (magic,) = struct.unpack_from("<I", view, at)
+            (magic,) = struct.unpack_from("<I", frame)
             if magic == FRAME:
-                yield unpacked(codec.decompress(bytes(view[at:end])))
-            elif magic == DICTIONARY and first and end > at + 8:
-                own = bytes(view[at + 8 : end])
+                yield unpacked(codec.decompress(frame))
+            elif magic == DICTIONARY and first and len(frame) > 8:
+                own = frame[8:]
                 if own[:4] == struct.pack("<I", FRAME):
                     own = zstandard.ZstdDecompressor().decompress(own)
                 codec = zstandard.ZstdDecompressor(dict_data=zstandard.ZstdCompressionDict(own))
         except (ValueError, zstandard.ZstdError, UnicodeDecodeError) as e:
             raise ValueError(f"at byte {at}: {e}") from e
-        at, first = end, False
+        first = False
 
 
 SCHEMA = "page_id long, url string, payload binary, payload_bytes long, payload_digest string, record_type string, refers_to long"
 _TYPES = pa.schema([("page_id", pa.int64()), ("url", pa.string()), ("payload", pa.binary()), ("payload_bytes", pa.int64()), ("payload_digest", pa.string()), ("record_type", pa.string()), ("refers_to", pa.int64())])
 
 
-def _read(with_payload: bool, rows: int = 256):
+def _read(with_payload: bool, streamed: bool, rows: int = 256):
     @common.tidy
     def run(batches):
         for batch in batches:
-            for path, data in zip(batch.column("path").to_pylist(), batch.column("content"), strict=True):
-                held = []
+            for i, path in enumerate(batch.column("path").to_pylist()):
+                held, size = [], 0
                 try:
-                    for r in records(data.as_py()):
-                        held.append(r if with_payload else r | {"payload": None})
-                        if len(held) == rows:
-                            yield pa.RecordBatch.from_pylist(held, _TYPES)
-                            held = []
+                    with provenance.opened(path) if streamed else io.BytesIO(batch.column("content")[i].as_py()) as source:
+                        for r in records(source):
+                            held.append(r if with_payload else r | {"payload": None})
+                            size += len(held[-1]["payload"] or b"")
+                            if len(held) == rows or size > 8 * CHUNK:
+                                yield pa.RecordBatch.from_pylist(held, _TYPES)
+                                held, size = [], 0
                 except ValueError as e:
                     raise ValueError(f"{path} {e}") from e
                 yield pa.RecordBatch.from_pylist(held, _TYPES)
@@ -226,7 +257,9 @@ def _read(with_payload: bool, rows: int = 256):
 def read_archives(spark: SparkSession, path: str, with_payload: bool = True) -> DataFrame:
     """The records of all *.warc.zst below path."""
     common.arrow_batches(spark)
-    return spark.read.format("binaryFile").option("pathGlobFilter", "*.warc.zst").load(path).select("path", "content").mapInArrow(_read(with_payload), SCHEMA)
+    streamed = stable.address(path).partition(":")[0] in STREAMED
+    found = spark.read.format("binaryFile").option("pathGlobFilter", "*.warc.zst").load(path)
+    return found.select("path", *([] if streamed else ["content"])).mapInArrow(_read(with_payload, streamed), SCHEMA)
 
 
 def op3_warc(spark: SparkSession, sf_dir: str) -> DataFrame:

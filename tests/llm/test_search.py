@@ -2,6 +2,7 @@
 
 import base64
 import hashlib
+import io
 
 import duckdb
 import numpy as np
@@ -151,6 +152,37 @@ def test_warc_small_payloads_are_all_responses(spark):
     assert got == {1: "response", 2: "response", 3: "response", 4: "revisit"}
 
 
+def test_warc_streams_an_archive_in_chunks(monkeypatch):
+    """Frames across chunks, one larger than many chunks; the same faults at the same bytes as of a whole archive."""
+    dictionary = warc.train([b"WARC/1.1 some header text with words %d" % i * 9 for i in range(400)])
+    codec = zstandard.ZstdCompressor(dict_data=zstandard.ZstdCompressionDict(dictionary), write_checksum=True)
+    payloads = [b"", b"x", np.random.default_rng(1).bytes(300_000), b"end" * 50]
+    frames = [codec.compress(warc.record(i, f"u{i}", p, base64.b32encode(hashlib.sha1(p).digest()).decode(), None, False)) for i, p in enumerate(payloads)]
+    archive = warc.dictionary_frame(dictionary) + warc.BETWEEN + warc.BETWEEN.join(frames) + warc.BETWEEN
+
+    class Counted(io.BytesIO):
+        most = 0
+
+        def read(self, n=-1):
+            assert n > 0
+            got = super().read(n)
+            self.most = max(self.most, len(got))
+            return got
+
+    for chunk in (1, 7, 1000, 1 << 20):
+        monkeypatch.setattr(warc, "CHUNK", chunk)
+        source = Counted(archive)
+        assert [r["payload"] for r in warc.records(source)] == payloads and source.most <= max(chunk, 2 * max(map(len, [*frames, dictionary])))
+        for bad in (archive[:-12], archive[:5000], archive[: len(archive) // 2], b"junk" + archive):
+            with pytest.raises(ValueError) as small:
+                list(warc.records(Counted(bad)))
+            monkeypatch.setattr(warc, "CHUNK", 1 << 24)
+            with pytest.raises(ValueError) as whole:
+                list(warc.records(bad))
+            monkeypatch.setattr(warc, "CHUNK", chunk)
+            assert str(small.value) == str(whole.value)
+
+
 def test_warc_reader_uses_the_dictionary_and_checks():
     dictionary = warc.train([b"WARC/1.1 some header text with words %d" % i * 9 for i in range(400)])
     codec = zstandard.ZstdCompressor(dict_data=zstandard.ZstdCompressionDict(dictionary))

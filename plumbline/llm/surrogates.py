@@ -454,13 +454,14 @@ def replace_pii(df: DataFrame, *, text_col: str = "text", key: str | None = None
     rest = [c for c in df.columns if c not in (text_col, "n_entities")]
     key_col, told_col = common.private(df, "text_key", "told")
     keyed = df.select(*rest, text.alias(text_col), F.xxhash64(text).alias(key_col))
-    if told.limit(1).count():
+    is_told = bool(told.limit(1).count())
+    if is_told:
         named = told.select(F.col("text_key").alias(key_col), F.col("told").alias(told_col), "rows")
         some = common.hot_split(keyed.where(F.col(text_col).isNotNull()), named, [key_col], [told_col], df.count())
         keyed = some.unionByName(keyed.where(F.col(text_col).isNull()), allowMissingColumns=True)
     else:
         keyed = keyed.withColumn(told_col, F.lit(None).cast(dict(told.dtypes)["told"]))
-    common.drop_since(spark, mark, told)
+    common.drop_since(spark, mark, *([told] if is_told else []))
     out = [c for c in df.columns if c != "n_entities"] + ["n_entities"]
     kept = {f.name: f for f in df.schema.fields} | {text_col: StructField(text_col, StringType()), "n_entities": StructField("n_entities", LongType())}
     return keyed.drop(key_col).mapInArrow(_rewrite(secret, text_col, told_col, out), StructType([kept[c] for c in out]))

@@ -41,17 +41,16 @@ class Placed:
 
     def first(self, issues: int) -> DataFrame:
         """The first differences by place. Blocks are looked into in their order, each time four times as many, until there are enough."""
-        after, many = -1, BLOCKS
-        found = None
-        while True:
+        after, many, found, schema = -1, BLOCKS, [], None
+        while len(found) < issues:
             some = [r["block"] for r in self.blocks.where(F.col("block") > after).orderBy("block").limit(many).collect()]
-            if not some:
-                return found if found is not None else self.differences(F.lit(False))
-            more = self.differences(F.col("block").isin(some))
-            found = stable.kept((found.unionByName(more) if found is not None else more).orderBy("row_number").limit(issues))
-            if len(some) < many or found.count() >= issues:
-                return found
+            if some:
+                more = self.differences(F.col("block").isin(some)).orderBy("row_number").limit(issues - len(found))
+                found, schema = found + more.collect(), more.schema
+            if len(some) < many:
+                break
             after, many = some[-1], min(4 * many, 4096)
+        return self.blocks.sparkSession.createDataFrame(found, schema or self.differences(F.lit(False)).schema)
 
 
 def row_differences(candidate: DataFrame, expected: DataFrame) -> DataFrame:

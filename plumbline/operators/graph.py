@@ -42,13 +42,11 @@ def assets(entities: DataFrame, source_name: str) -> DataFrame:
 HUB, PARTS = 100_000, 64
 
 
-def _dealt(edges: DataFrame, hub: int) -> tuple[DataFrame, DataFrame]:
-    """src, dst, part of the edges, hubs' ones in parts; and the hubs (src)."""
-    total = edges.count()
-    hubs = stable.kept(edges.groupBy("src").count().where(F.col("count") >= max(hub, -(-total // 1000))).select("src"))
-    tagged = edges.join(F.broadcast(hubs.withColumn("_hub", F.lit(True))), "src", "left")
-    part = F.when(F.col("_hub"), F.pmod(F.xxhash64("dst"), F.lit(PARTS))).otherwise(0).cast("int")
-    return tagged.select("src", "dst", part.alias("part")), hubs
+def _hubs(edges: DataFrame, hub: int) -> DataFrame | None:
+    """The hubs (src), a thousand at most; None if there are none."""
+    least = max(hub, -(-edges.count() // 1000))
+    found = [(r["src"],) for r in edges.groupBy("src").count().where(F.col("count") >= least).select("src").collect()]
+    return edges.sparkSession.createDataFrame(found, edges.select("src").schema).withColumn("_hub", F.lit(True)) if found else None
 
 
 def hops_from(edges: DataFrame, sources: DataFrame, hops: int = MAX_HOPS, hub: int = HUB) -> list[DataFrame]:
@@ -56,16 +54,21 @@ def hops_from(edges: DataFrame, sources: DataFrame, hops: int = MAX_HOPS, hub: i
 
     Of the nodes of the hop before that lead to a node, the smallest is its parent. Nodes met earlier are left out, which also ends cycles.
     """
-    dealt, hubs = _dealt(edges.select("src", "dst"), hub)
-    start = sources.select(F.col("node").alias("source"), "node", F.lit(None).cast("string").alias("parent")).distinct()
-    met = [stable.kept(start)]
-    for _ in range(hops):
+    edges, keys = edges.select("src", "dst"), ["src"]
+    hubs = _hubs(edges, hub)
+    if hubs is not None:  # a hub's edges are dealt to PARTS tasks
+        keys.append("part")
+        edges = edges.join(F.broadcast(hubs), "src", "left").select("src", "dst", F.when(F.col("_hub"), F.pmod(F.xxhash64("dst"), F.lit(PARTS))).otherwise(0).cast("int").alias("part"))
+    met = [sources.select(F.col("node").alias("source"), "node", F.lit(None).cast("string").alias("parent")).distinct()]
+    for hop in range(hops):
         seen = reduce(DataFrame.unionByName, [x.select("source", "node") for x in met])
-        front = met[-1].select("source", F.col("node").alias("src")).join(F.broadcast(hubs.withColumn("_hub", F.lit(True))), "src", "left")
-        parts = F.when(F.col("_hub"), F.sequence(F.lit(0), F.lit(PARTS - 1))).otherwise(F.array(F.lit(0)))
-        step = front.select("source", "src", F.explode(parts).alias("part")).join(dealt, ["src", "part"])
-        step = step.groupBy("source", F.col("dst").alias("node")).agg(F.min("src").alias("parent"))
-        met.append(stable.kept(step.join(seen, ["source", "node"], "left_anti")))
+        front = met[-1].select("source", F.col("node").alias("src"))
+        if hubs is not None:
+            parts = F.when(F.col("_hub"), F.sequence(F.lit(0), F.lit(PARTS - 1))).otherwise(F.array(F.lit(0)))
+            front = front.join(F.broadcast(hubs), "src", "left").select("source", "src", F.explode(parts).alias("part"))
+        step = front.join(edges, keys).groupBy("source", F.col("dst").alias("node")).agg(F.min("src").alias("parent"))
+        step = step.join(seen, ["source", "node"], "left_anti")
+        met.append(stable.kept(step) if hop < hops - 1 else step)
     return met[1:]
 
 

@@ -6,7 +6,7 @@ import datetime
 import time
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 READS = 5
@@ -16,11 +16,31 @@ def description(run_id: str, task: str, note: str, at: datetime.datetime) -> str
     return f"Run: {run_id}\nTask: {task}\nNote: {note}\nGenerated: {at.astimezone(datetime.UTC).isoformat(timespec='seconds')}"
 
 
+def _after(text: str, mark: str, most: str) -> Column:
+    """What follows each occurrence of a mark (which can't overlap itself), up to `most` characters."""
+    n = F.size(F.split(text, mark, -1)) - 1
+    return F.when(n > 0, F.transform(F.sequence(F.lit(1), n), lambda i: F.left(F.call_function("substring_index", F.col(text), F.lit(mark), -i), F.col(most))))
+
+
+def _starts(texts: str, lengths: str) -> Column:
+    """The distinct beginnings of texts that have one of the lengths."""
+    cut = F.transform(lengths, lambda n: F.transform(F.filter(texts, lambda x: F.length(x) >= n), lambda x: F.left(x, n)))
+    return F.explode(F.array_distinct(F.flatten(cut)))
+
+
 def absent(entries: DataFrame, log: DataFrame) -> DataFrame:
-    """The entries (url, task, note) that no element of the log (url, description) already holds."""
-    own = log.select(F.col("url").alias("_url"), F.col("description").alias("_held"))
-    held = F.contains("_held", F.concat(F.lit("Task: "), "task")) & F.contains("_held", F.concat(F.lit("Note: "), "note"))
-    return entries.join(own, (F.col("url") == F.col("_url")) & held, "left_anti")
+    """The entries (url, task, note) that no element of the log (url, description) already holds.
+
+    An element holds an entry if its description contains `Task: ` and the task, and `Note: ` and the note. So what follows
+    these marks begins with them, and beginnings of the lengths that tasks and notes have are equi-joined with them.
+    """
+    tasks = entries.groupBy(F.col("url").alias("_url"), F.col("task").alias("_task")).agg(F.collect_set(F.length("note")).alias("_sizes"))
+    most = entries.agg(F.collect_set(F.length("task")).alias("_lengths"), F.max(F.length("task")).alias("_longest"), F.max(F.length("note")).alias("_most"))
+    own = log.select(F.col("url").alias("_url"), F.col("description").alias("_held")).crossJoin(F.broadcast(most))
+    own = own.select("_url", "_lengths", _after("_held", "Task: ", "_longest").alias("_tasks"), _after("_held", "Note: ", "_most").alias("_notes"))
+    own = own.select("_url", "_notes", _starts("_tasks", "_lengths").alias("_task")).join(tasks, ["_url", "_task"])
+    own = own.select("_url", "_task", _starts("_notes", "_sizes").alias("_note")).distinct()
+    return entries.join(own, (F.col("url") == F.col("_url")) & (F.col("task") == F.col("_task")) & (F.col("note") == F.col("_note")), "left_anti")
 
 
 def append(entries: DataFrame, read: Callable[[], DataFrame], write: Callable[[DataFrame], None], pause: float = 0.2) -> str:

@@ -1,8 +1,12 @@
 """Contracts, comparison, routing, scoring, graphs, provenance, memory and admission."""
 
+import contextlib
 import datetime
 import decimal
+import io
 import json
+import random
+import re
 
 import pytest
 
@@ -221,6 +225,32 @@ def test_contract_lists_few_of_many_unexpected_values(spark):
     assert found["type"] == "value_count_mismatch" and found["unexpected_values"] == 4999 and len(found["actual"]) == 1 + contract.UNEXPECTED
 
 
+def test_absent_entries_are_found_by_equal_keys(spark):
+    rng = random.Random(5)
+    bits = ["Task: ", "Note: ", "a", "b", "ä", "", "\n", "a.b"]
+
+    def some(n):
+        return None if rng.random() < 0.1 else "".join(rng.choice(bits) for _ in range(rng.randint(0, n)))
+
+    entries = [(rng.choice(["u", "v", None]), some(2), some(2), i) for i in range(300)]
+    log = [(rng.choice(["u", "v", None]), some(9)) for _ in range(40)]
+
+    def held(url, task, note):
+        return None not in (url, task, note) and any(u == url and d is not None and f"Task: {task}" in d and f"Note: {note}" in d for u, d in log)
+
+    df = spark.createDataFrame(entries, "url string, task string, note string, i int")
+    got = memory.absent(df, spark.createDataFrame(log, "url string, description string"))
+    want = [e for e in entries if not held(*e[:3])]
+    assert got.columns == df.columns and sorted(got.collect(), key=lambda r: r["i"]) == want and 50 < len(want) < 290
+    assert memory.absent(df.limit(0), spark.createDataFrame(log, "url string, description string")).count() == 0
+    shown = io.StringIO()
+    with contextlib.redirect_stdout(shown):
+        got.explain()
+    assert "NestedLoop" not in re.sub(r"BroadcastNestedLoopJoin BuildRight, Cross", "", shown.getvalue())
+    anti = next(x for x in shown.getvalue().splitlines() if "LeftAnti" in x)
+    assert all(f"{k}#" in anti for k in ("task", "_task", "note", "_note"))  # before: url alone, and every pair of a url compared
+
+
 def test_assurance_run_writes_back(spark, tmp_path):
     spark.createDataFrame([(1, 12.5)], "customer_id int, customer_lifetime_value double").createOrReplaceTempView("customers")
     log = []

@@ -1,29 +1,32 @@
 """Quality classifier: an interpolated modified Kneser-Ney trigram model of trusted text, as sharded tables.
 
-Training counts the trigrams of the documents that labels call good, by hash of doc_id: of each language half of
-them up to about `least` documents, beyond that the `share`, so that what is counted grows with the input. The
-others set the thresholds. Counts, continuation counts, contexts and probabilities are tables sharded by n-gram and
+Training counts the trigrams of all documents that labels call good, in two halves by hash of doc_id, each a model of
+its own. A trusted document's cost is that by the half which doesn't hold it, so all of them set the thresholds;
+other documents' cost is the mean of both. Both halves' weights lie in one table and meet a text in one join. (Callers
+who name a `share` or a number up to which it is half, `least`, get one model of that part of each language's trusted
+documents; the others set the thresholds.) Counts, continuation counts, contexts and probabilities are tables sharded by n-gram and
 joined by n-gram; their hot n-grams (frequent words and contexts) leave the shuffled joins.
 
 The log probability of a text then is a sum of one weight for each of its n-grams of one to three words: an n-gram
 of the table corrects what its lower orders and contexts have added, one that isn't there adds nothing. So a
 document's perplexity is one join of its n-grams to the table of weights and a sum by document. Two tables of fixed
-size save most of that join's rows, whatever the model's size: a bit filter of the n-grams that are in the table, and for
+size save join rows, fewer the larger the model: a bit filter of the n-grams that are in the table, and for
 each of 2^22 slots the weight of its most counted n-gram. Neither changes a result. All n-grams that pass the
 filter and aren't in a slot go through the join.
 
 N-grams are 64-bit hashes of words, which hold the word's shape: an unseen word costs by the share that its
 shape has among words seen once. Languages with fewer than `MODEL_DOCS` trusted documents share a model of these and
-of a part of all other trusted documents; each other language has its own, however large the rest is.
+of all other trusted documents (of a part of those with a `share`); each other language has its own, however large the rest is.
 
 Every whole document is scored, with an end after its last token. Its perplexity is the exponential of the mean cost
 of tokens and end; for the decision the mean is drawn towards the trusted one by `prior` tokens, since short texts say
-little. The threshold is, by language, the `quantile` of that score, up to 1/1024, over all trusted documents that were not
-trained on, plus `slack`; documents above it are rejected. Mean and threshold are a language's own from `OWN_DOCS` such
+little. The threshold is, by language, the `quantile` of that score, up to 1/1024, over all trusted documents that their
+model hasn't seen, plus `slack`; documents above it are rejected. Mean and threshold are a language's own from `OWN_DOCS` such
 documents on.
 
 Defined results: null or empty texts have 0 tokens, no perplexity, and are rejected; null languages use the
-shared model; repeated rows are scored alike; a doc_id that labels call both good and bad is not trusted. Without
+shared model; repeated rows are scored alike; where one half has no document of a model, the other alone gives the costs and
+its own documents set no threshold; a doc_id that labels call both good and bad is not trusted. Without
 trusted documents nothing can be judged and every document with tokens is kept. Scores equal to the threshold are kept.
 Extra columns are ignored, whatever their names. An empty table gives no rows.
 """
@@ -32,7 +35,7 @@ from __future__ import annotations
 
 import re
 import uuid
-from itertools import islice
+from itertools import islice, pairwise
 
 import numpy as np
 import pyarrow as pa
@@ -43,9 +46,9 @@ from pyspark.sql import functions as F
 
 from . import common
 
-#: Part of a language's trusted documents that is trained on, and the number up to which it is half of them.
+#: For a model of a part: the part of a language's trusted documents, and the number up to which it is half of them.
 SHARE, LEAST, SHARED = 0.0625, 400, ""
-#: Part of these that other languages give to the shared model.
+#: Part of these that other languages give to its shared model.
 SHARED_PART = 0.125
 QUANTILE, SLACK, PRIOR = 0.99, 0.1, 20.0
 #: Held-out trusted documents a language needs for a threshold of its own, and trusted ones for a model of its own.
@@ -223,26 +226,53 @@ def train(trusted: DataFrame, seeds: dict[int, int]) -> tuple[DataFrame, dict[in
     return w3.unionByName(lower), {m: np.log(np.where(p > 0, p, 1.0)) for m, p in unseen.items()}
 
 
+#: Entries of a fixed table that come to the driver as one row.
+PACKED = 1 << 16
+
+
+def _pack(types: dict[str, str]):
+    @common.tidy
+    def run(batches):
+        whole = pa.Table.from_batches(list(batches)).sort_by("block")  # a task's blocks, of bounded size
+        block = whole.column("block").to_numpy()
+        cuts = [0, *(np.flatnonzero(np.diff(block)) + 1).tolist(), len(block)] if len(block) else [0]
+        for i, j in pairwise(cuts):
+            yield pa.RecordBatch.from_arrays([pa.array([whole.column(c)[i:j].to_numpy().astype(t).tobytes()], pa.binary()) for c, t in types.items()], list(types))
+
+    return run
+
+
+def _packed(entries: DataFrame, at: str, types: dict[str, str]):
+    """Arrays of a table's columns, a block of entries at a time, so that the driver holds little beside what it makes of them."""
+    blocks = entries.withColumn("block", F.floor(F.col(at) / PACKED).cast("int")).repartition("block")
+    rows = common.stored(blocks.select("block", *types).mapInArrow(_pack(types), ", ".join(f"{c} binary" for c in types)), "kn-packed")
+    for r in rows.toLocalIterator():
+        yield [np.frombuffer(r[c], t) for c, t in types.items()]
+
+
 def bit_filter(weights: DataFrame) -> np.ndarray:
     """Two bits of 2^FILTER_BITS are set for each key: whatever the number of keys, FILTER_BITS bounds what is collected."""
     two = F.explode(F.array(F.shiftrightunsigned("key", 64 - FILTER_BITS), F.col("key").bitwiseAND((1 << FILTER_BITS) - 1)))
-    bits = weights.select(two.alias("at")).groupBy(F.shiftright("at", 6).alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, cast(at & 63 as int))")).alias("bits")).toArrow()
+    bits = weights.select(two.alias("at")).groupBy(F.shiftright("at", 6).alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, cast(at & 63 as int))")).alias("bits"))
     out = np.zeros(1 << (FILTER_BITS - 6), np.uint64)
-    out[bits.column("word").to_numpy()] = bits.column("bits").to_numpy().view(np.uint64)
+    for word, own in _packed(bits, "word", {"word": "<i8", "bits": "<i8"}):
+        out[word] = own.view(np.uint64)
     return out
 
 
-def frequent(weights: DataFrame) -> tuple[np.ndarray, np.ndarray]:
-    """For each of 2^SLOT_BITS slots the key of the highest count, and its weight."""
+def frequent(weights: DataFrame, names: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """For each of 2^SLOT_BITS slots the key of the highest count, and its weights by model's half."""
     slot = F.shiftrightunsigned("key", 24).bitwiseAND((1 << SLOT_BITS) - 1)
-    top = weights.groupBy(slot.alias("slot")).agg(F.max(F.struct("c", "key", "weight")).alias("top")).select("slot", "top.key", "top.weight").toArrow()
-    key, weight = np.zeros(1 << SLOT_BITS, np.uint64), np.zeros(1 << SLOT_BITS, np.float32)
-    at = top.column("slot").to_numpy()
-    key[at], weight[at] = top.column("key").to_numpy().view(np.uint64), top.column("weight").to_numpy()
+    top = weights.groupBy(slot.alias("slot")).agg(F.max(F.struct("c", "key", *names)).alias("top")).select("slot", "top.key", *(f"top.{x}" for x in names))
+    key, weight = np.zeros(1 << SLOT_BITS, np.uint64), np.zeros((len(names), 1 << SLOT_BITS), np.float32)
+    for at, own, *rest in _packed(top, "slot", {"slot": "<i8", "key": "<i8"} | dict.fromkeys(names, "<f4")):
+        key[at] = own.view(np.uint64)
+        for j, w in enumerate(rest):
+            weight[j, at] = w
     return key, weight
 
 
-def _score(sent, seeds: dict[int, int], unseen: dict[int, np.ndarray], call: str):
+def _score(sent, seeds: dict[int, int], unseen: list[dict[int, np.ndarray]], call: str):
     high, low, word = np.uint64(64 - FILTER_BITS), np.uint64((1 << FILTER_BITS) - 1), np.uint64(6)
 
     @common.tidy
@@ -259,15 +289,18 @@ def _score(sent, seeds: dict[int, int], unseen: dict[int, np.ndarray], call: str
         for batch in batches:
             model = batch.column("model").to_numpy()
             n, at, k1 = ngrams(batch.column("text"), np.array([seeds.get(int(m), 0) for m in model], np.uint64))
-            costs = np.zeros((len(model), 8))
-            for m in np.unique(model):
-                costs[model == m] = unseen.get(int(m), 0.0)
-            total, left = np.bincount(at, costs[at, (k1 & np.uint64(7)).astype(np.int64)], len(n)), []
+            total, left, kind = [], [], (k1 & np.uint64(7)).astype(np.int64)
+            for half in unseen:
+                costs = np.zeros((len(model), 8))
+                for m in np.unique(model):
+                    costs[model == m] = half.get(int(m), 0.0)
+                total.append(np.bincount(at, costs[at, kind], len(n)))
 
             def add(here: np.ndarray, key: np.ndarray, at=at, n=n, total=total, left=left) -> None:
                 slot = (key >> np.uint64(24) & np.uint64((1 << SLOT_BITS) - 1)).astype(np.int64)
                 hit, doc = slot_key[slot] == key, at[here]
-                total += np.bincount(doc[hit], slot_weight[slot[hit]], len(n))
+                for own, weight in zip(total, slot_weight, strict=True):
+                    own += np.bincount(doc[hit], weight[slot[hit]], len(n))
                 left.append((doc[~hit], key[~hit]))
 
             # an n-gram can be in the table only if those of its first and of its last words are
@@ -289,7 +322,7 @@ def _score(sent, seeds: dict[int, int], unseen: dict[int, np.ndarray], call: str
             order = np.argsort(doc, kind="stable")
             offsets = np.searchsorted(doc[order], np.arange(len(n) + 1)).astype(np.int32)
             rest = pa.ListArray.from_arrays(pa.array(offsets), pa.array(key[order].view(np.int64)))
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("row", "doc_id", "row_key", "lang")), pa.array(n, pa.int64()), pa.array(-total), rest], ["row", "doc_id", "row_key", "lang", "n_tokens", "cost", "rest"])
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("row", "doc_id", "row_key", "lang", "model")), pa.array(n, pa.int64()), *(pa.array(-x) for x in total), rest], ["row", "doc_id", "row_key", "lang", "model", "n_tokens", *(f"cost{j}" for j in range(len(total))), "rest"])
 
     return run
 
@@ -299,43 +332,90 @@ def row_key() -> Column:
     return F.xxhash64(F.col("doc_id").cast("long"), F.col("text").cast("string")).alias("row_key")
 
 
-def _summed(scores: DataFrame, weights: DataFrame) -> DataFrame:
-    """scores with the weights of the n-grams in `rest` taken off their cost. Adaptive execution splits the partition of an n-gram that many texts hold."""
+def _summed(scores: DataFrame, weights: DataFrame, halves: int) -> DataFrame:
+    """scores with the weights of the n-grams in `rest` taken off their costs. Adaptive execution splits the partition of an n-gram that many texts hold."""
     rest = scores.select("row", F.explode("rest").alias("key"))
-    more = rest.join(weights.select("key", "weight"), "key").groupBy("row").agg(F.sum("weight").alias("more"))
+    more = rest.join(weights.drop("c"), "key").groupBy("row").agg(*(F.sum(f"w{j}").alias(f"more{j}") for j in range(halves)))
     out = scores.drop("rest").join(more, "row", "left")
-    return out.withColumn("cost", F.col("cost") - F.coalesce("more", F.lit(0.0))).drop("more", "row")
+    return out.withColumns({f"cost{j}": F.col(f"cost{j}") - F.coalesce(f"more{j}", F.lit(0.0)) for j in range(halves)}).drop("row", *(f"more{j}" for j in range(halves)))
 
 
-def scored(docs: DataFrame, labels: DataFrame, *, share: float = SHARE, least: int = LEAST) -> tuple[DataFrame, DataFrame]:
-    """A stored table doc_id, row_key, lang, n_tokens, cost of all docs; and the held-out trusted doc_ids."""
-    spark = docs.sparkSession
-    common.arrow_batches(spark, BATCH)
-    mark = common.mark()
+def _trusted(docs: DataFrame, labels: DataFrame) -> tuple[DataFrame, DataFrame, dict[str, int]]:
+    """doc_id, row_key, lang, text of docs; the stored doc_id, lang, place of trusted ones; and how many of these a language has."""
+    common.arrow_batches(docs.sparkSession, BATCH)
     good = labels.where("quality is not null and doc_id is not null").groupBy("doc_id").agg(F.min("quality").alias("q")).where("q = 1").select(F.col("doc_id").cast("long").alias("doc_id"))
     own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), row_key(), F.coalesce(F.col("lang").cast("string"), F.lit(SHARED)).alias("lang"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    trusted = common.stored(own.select("doc_id", "lang").distinct().join(good, "doc_id"), "trusted")
-    # a row a language: its model, and the places of documents trained on
-    sizes = {r["lang"]: r["n"] for r in trusted.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()}
+    found = own.select("doc_id", "lang").distinct().join(good, "doc_id").withColumn("place", F.pmod(F.xxhash64("doc_id", F.lit("train")), F.lit(PLACES)))
+    trusted = common.stored(found, "trusted")
+    return own, trusted, {r["lang"]: r["n"] for r in trusted.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()}
+
+
+def _costs(own: DataFrame, parts: list[DataFrame], langs: list[str], models: dict[str, int]) -> tuple[DataFrame, list[set[int]]]:
+    """A stored table doc_id, row_key, lang, model, n_tokens and a cost by each part's models; and the models that each part has."""
+    spark, mark = own.sparkSession, common.mark()
+    seeds = {i: seed_of(x) for x, i in models.items()}
+    fits = [train(own.select("doc_id", "lang", "text").join(part, ["doc_id", "lang"]).select("model", "text"), seeds) for part in parts]
+    names, unseen = [f"w{j}" for j in range(len(fits))], [u for _, u in fits]
+    weights = fits[0][0].withColumnRenamed("weight", "w0")
+    if len(fits) > 1:
+        none = F.lit(0.0).cast("float")
+        sides = [w.select("key", "c", *(F.col("weight").alias(x) if x == names[j] else none.alias(x) for x in names)) for j, (w, _) in enumerate(fits)]
+        both = sides[0].unionByName(sides[1]).groupBy("key").agg(F.max("c").alias("c"), *(F.sum(x).cast("float").alias(x) for x in names))
+        weights = common.stored(both, "kn-weights")
+        common.drop_since(spark, mark, weights)
+    sent = spark.sparkContext.broadcast((bit_filter(weights), *frequent(weights, names)))
+    named = own.withColumn("row", F.monotonically_increasing_id()).withColumn("model", _model_of(langs, models))
+    schema = f"row long, doc_id long, row_key long, lang string, model int, n_tokens long, {', '.join(f'cost{j} double' for j in range(len(fits)))}, rest array<long>"
+    begun = common.stored(named.select("row", "doc_id", "row_key", "lang", "model", "text").mapInArrow(_score(sent, seeds, unseen, uuid.uuid4().hex), schema), "scores-begun")
+    sent.destroy()  # workers keep it in files
+    scores = common.stored(_summed(begun, weights, len(fits)), "scores")
+    common.drop_since(spark, mark, scores)
+    return scores, [set(u) for u in unseen]
+
+
+def _owners(sizes: dict[str, int]) -> tuple[list[str], dict[str, int]]:
+    """The languages with models of their own, and all models by language."""
     langs = sorted(x for x, n in sizes.items() if n >= MODEL_DOCS and x != SHARED)
-    models = {SHARED: 0} | {x: i + 1 for i, x in enumerate(langs)}
+    return langs, {SHARED: 0} | {x: i + 1 for i, x in enumerate(langs)}
+
+
+def scored(docs: DataFrame, labels: DataFrame, *, share: float = SHARE, least: int = LEAST) -> tuple[DataFrame, DataFrame]:
+    """By models of a part: a stored table doc_id, row_key, lang, n_tokens, cost of all docs; and the held-out trusted doc_ids."""
+    spark, mark = docs.sparkSession, common.mark()
+    own, trusted, sizes = _trusted(docs, labels)
+    langs, models = _owners(sizes)
+    # a row a language: its model, and the places of documents trained on
     places = {x: int(PLACES * max(share, min(0.5, least / n))) for x, n in sizes.items()}
     table = spark.createDataFrame([(x, models.get(x, 0), places[x]) for x in sizes], "lang string, model int, places int")
-    pool = trusted.join(F.broadcast(table), "lang").withColumn("place", F.pmod(F.xxhash64("doc_id", F.lit("train")), F.lit(PLACES))).where("place < places")
+    pool = trusted.join(F.broadcast(table), "lang").where("place < places")
     chosen = pool.select("doc_id", "lang", "model")
     if langs and own.where(~F.col("lang").isin(langs)).limit(1).count():  # some documents need the shared model
         chosen = chosen.unionByName(pool.where(F.col("place") < F.col("places") * SHARED_PART).where("model > 0").select("doc_id", "lang", F.lit(0).alias("model")))
     chosen = common.stored(chosen, "trained-on")
-    seeds = {i: seed_of(x) for x, i in models.items()}
-    weights, unseen = train(own.select("doc_id", "lang", "text").join(chosen, ["doc_id", "lang"]).select("model", "text"), seeds)
-    sent = spark.sparkContext.broadcast((bit_filter(weights), *frequent(weights)))
-    named = own.withColumn("row", F.monotonically_increasing_id()).withColumn("model", _model_of(langs, models))
-    found = named.select("row", "doc_id", "row_key", "lang", "model", "text").mapInArrow(_score(sent, seeds, unseen, uuid.uuid4().hex), "row long, doc_id long, row_key long, lang string, n_tokens long, cost double, rest array<long>")
-    begun = common.stored(found, "scores-begun")
-    sent.destroy()  # workers keep it in files
-    scores = common.stored(_summed(begun, weights), "scores")
+    scores, _ = _costs(own, [chosen], langs, models)
     held = common.stored(trusted.select("doc_id").join(chosen.select("doc_id").distinct(), "doc_id", "left_anti").distinct(), "held-out")
     common.drop_since(spark, mark, scores, held)
+    return scores.select("doc_id", "row_key", "lang", "n_tokens", F.col("cost0").alias("cost")), held
+
+
+def cross_scored(docs: DataFrame, labels: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """By models of both halves of all trusted documents: tables as of scored(); all trusted doc_ids whose costs are by the other half."""
+    spark, mark = docs.sparkSession, common.mark()
+    own, trusted, sizes = _trusted(docs, labels)
+    langs, models = _owners(sizes)
+    halved = trusted.withColumn("model", _model_of(langs, models)).withColumn("half", (F.col("place") >= PLACES // 2).cast("int"))
+    counted = halved.select("doc_id", "lang", "model", "half")
+    if langs and own.where(~F.col("lang").isin(langs)).limit(1).count():  # some documents need the shared model
+        counted = counted.unionByName(counted.where("model > 0").withColumn("model", F.lit(0)))
+    costs, (first, second) = _costs(own, [counted.where(F.col("half") == j).drop("half") for j in (0, 1)], langs, models)
+    there = [F.col("model").isin(sorted(x)) if x else F.lit(False) for x in (first, second)]
+    other = (F.col("half") == 0) & there[1] | (F.col("half") == 1) & there[0]
+    cost = F.when(other, F.when(F.col("half") == 0, F.col("cost1")).otherwise(F.col("cost0")))
+    cost = cost.when(there[0] & there[1], (F.col("cost0") + F.col("cost1")) / 2).otherwise(F.when(there[0], F.col("cost0")).otherwise(F.col("cost1")))
+    scores = costs.join(halved.select("doc_id", "lang", "half"), ["doc_id", "lang"], "left")
+    scores = common.stored(scores.select("doc_id", "row_key", "lang", "n_tokens", cost.alias("cost")), "scores")
+    held = common.stored(halved.where(other).select("doc_id").distinct(), "held-out")
+    common.drop_since(spark, mark, scores, held)
     return scores, held
 
 
@@ -353,10 +433,13 @@ def _limits(rows: DataFrame, quantile: float, keys: list[str]) -> DataFrame:
     return upto.where(F.col("upto") >= quantile * F.col("of")).groupBy(*keys).agg(((F.min("step") + 1) / STEPS).alias("limit"))
 
 
-def classify(docs: DataFrame, labels: DataFrame, *, share: float = SHARE, least: int = LEAST, quantile: float = QUANTILE, slack: float = SLACK, prior: float = PRIOR) -> DataFrame:
+def classify(docs: DataFrame, labels: DataFrame, *, share: float | None = None, least: int | None = None, quantile: float = QUANTILE, slack: float = SLACK, prior: float = PRIOR) -> DataFrame:
     """Per document: doc_id, lang, n_tokens, perplexity, score, threshold, keep, row_key."""
     spark = docs.sparkSession
-    scores, held = scored(docs, labels, share=share, least=least)
+    if share is None and least is None:
+        scores, held = cross_scored(docs, labels)
+    else:
+        scores, held = scored(docs, labels, share=SHARE if share is None else share, least=LEAST if least is None else least)
     mark = common.mark()
     rest = scores.join(held, "doc_id", "left_semi").where("n_tokens > 0")
     tokens = F.col("n_tokens") + 1

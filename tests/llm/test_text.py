@@ -432,6 +432,34 @@ def test_kneser_ney_equals_brute_force(spark, monkeypatch, bits):
     assert np.allclose([g[2] for g in got], [w[2] for w in want], rtol=2e-6, atol=1e-3)  # weights are 32-bit floats
 
 
+@pytest.mark.parametrize("bits", [(27, 20), (8, 3)])
+def test_all_trusted_documents_are_counted_and_set_thresholds(spark, monkeypatch, bits):
+    monkeypatch.setattr(kneser_ney, "FILTER_BITS", bits[0])
+    monkeypatch.setattr(kneser_ney, "SLOT_BITS", bits[1])
+    docs = lm_documents(spark).where("doc_id is not null and doc_id <> 1")
+    labels = spark.createDataFrame([(i, 1) for i in range(40)], "doc_id long, quality int")
+    scores, held = kneser_ney.cross_scored(docs, labels)
+    texts = {r["doc_id"]: r["text"] or "" for r in docs.collect()}
+    trusted = {i for i in texts if i < 40}
+    assert {r[0] for r in held.collect()} == trusted
+    place = {r[0]: r[1] for r in docs.selectExpr("doc_id", f"pmod(xxhash64(doc_id, 'train'), {kneser_ney.PLACES})").collect()}
+    half = {i: int(place[i] >= kneser_ney.PLACES // 2) for i in trusted}
+    by = [brute_kneser_ney([texts[i] for i in trusted if half[i] == j]) for j in (0, 1)]
+    want = {i: by[1 - half[i]](t) if i in trusted else (by[0](t) + by[1](t)) / 2 for i, t in texts.items()}
+    got = {r["doc_id"]: r["cost"] for r in scores.collect()}
+    assert got.keys() == want.keys() and {*half.values()} == {0, 1}
+    assert all(np.isclose(got[i], want[i], rtol=2e-6, atol=1e-3) for i in want)
+
+
+def test_classifier_counts_all_trusted_documents_of_a_large_language(spark):
+    docs = spark.range(3000).selectExpr("id as doc_id", "concat('word ', id % 7) as text", "'en' as lang")
+    _, held = kneser_ney.cross_scored(docs, docs.selectExpr("doc_id", "1 as quality"))
+    assert held.count() == 3000
+    # one trusted document: the half without it has no model, and nothing sets a threshold
+    few = kneser_ney.classify(docs, spark.createDataFrame([(5, 1)], "doc_id long, quality int"))
+    assert few.where("keep and threshold is null").count() == 3000
+
+
 def test_hashes_are_those_of_spark(spark):
     rows = [(r["a"], r["b"], r["h"]) for r in spark.range(-50, 50).selectExpr("id * 7777777777777 as a", "id - 3 as b").selectExpr("*", "xxhash64(a, b) as h").collect()]
     a, b, h = (np.array(c, np.int64).view(np.uint64) for c in zip(*rows))

@@ -460,6 +460,18 @@ def test_classifier_counts_all_trusted_documents_of_a_large_language(spark):
     assert few.where("keep and threshold is null").count() == 3000
 
 
+def test_pipeline_judges_by_all_trusted_documents(spark, tmp_path, monkeypatch):
+    import corpus_pipeline
+
+    docs = spark.createDataFrame([(i, " ".join(f"w{j % 7}" for j in range(i, i + 12)), "en", "s", 0) for i in range(40)] + [(99, "%% @@ zz9 ## qq", "en", "s", 0)], "doc_id long, text string, lang string, source string, n_chars long")
+    docs.selectExpr("doc_id", "1 as quality").where("doc_id < 40").write.parquet(f"{tmp_path}/labels.parquet")
+    monkeypatch.setattr(kneser_ney, "scored", None)  # a model of a part, as before
+    seen, cross = [], kneser_ney.cross_scored
+    monkeypatch.setattr(kneser_ney, "cross_scored", lambda *a: seen.append(cross(*a)) or seen[-1])
+    kept = {r["doc_id"] for r in corpus_pipeline.quality(spark, docs, str(tmp_path)).collect()}
+    assert kept == set(range(40)) and {r[0] for r in seen[0][1].collect()} == set(range(40))
+
+
 def test_hashes_are_those_of_spark(spark):
     rows = [(r["a"], r["b"], r["h"]) for r in spark.range(-50, 50).selectExpr("id * 7777777777777 as a", "id - 3 as b").selectExpr("*", "xxhash64(a, b) as h").collect()]
     a, b, h = (np.array(c, np.int64).view(np.uint64) for c in zip(*rows))

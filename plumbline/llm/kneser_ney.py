@@ -33,14 +33,16 @@ Extra columns are ignored, whatever their names. An empty table gives no rows.
 
 from __future__ import annotations
 
+import functools
 import re
 import uuid
-from itertools import islice, pairwise
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -55,7 +57,13 @@ QUANTILE, SLACK, PRIOR = 0.99, 0.1, 20.0
 OWN_DOCS, MODEL_DOCS = 20, 20
 #: Steps of a score in which thresholds are found.
 STEPS = 1024
-#: Sizes of the filter (8 MB) and of the table of frequent n-grams (48 MB).
+#: Parts into which the shards are dealt at most, the places in texts from which there is one more, and those of a shard.
+PARTS, PART, SHARD = 12, 1_500_000, 400_000
+#: Places from which a middle word, or a context, is dealt over all shards.
+HOT = 1_000_000
+#: The number, in a row, of a document that isn't scored.
+NOWHERE = 0xFFFF
+#: Sizes of tables that scoring had before; nothing reads them now, but callers may set them.
 FILTER_BITS, SLOT_BITS = 26, 22
 #: Megabytes of text that a worker gets at once.
 BATCH = 4
@@ -142,204 +150,419 @@ class Ngrams:
         return n, at, hash_long(y, seeds[at]) & ~np.uint64(7) | y & np.uint64(7)
 
 
-def _emit_trigrams(seeds: dict[int, int], call: str):
+def discounts(counts: dict[int, int]) -> list[float]:
+    """Of counts 1, 2 and 3 or more, from how many n-grams occur once to four times."""
+    n = [0.0] + [float(counts.get(i, 0)) for i in (1, 2, 3, 4)]
+    y = n[1] / (n[1] + 2 * n[2]) if n[1] else 0.5
+    return [min(max(i - (i + 1) * y * n[i + 1] / n[i], 0.1), i) if n[i] else 0.5 * i for i in (1, 2, 3)]
+
+
+def _joined_bytes(column: pa.ChunkedArray, kind: str) -> np.ndarray:
+    return np.frombuffer(b"".join(column.to_pylist()), kind)
+
+
+def _binaries(values: np.ndarray, cuts: np.ndarray) -> pa.Array:
+    """The bytes of values from each cut to the next."""
+    values = np.ascontiguousarray(values)
+    return pa.Array.from_buffers(pa.binary(), len(cuts) - 1, [None, pa.py_buffer((cuts * values.itemsize).astype(np.int32)), pa.py_buffer(values)])
+
+
+def _firsts(ordered: np.ndarray) -> np.ndarray:
+    """Where a new value begins."""
+    return np.flatnonzero(np.r_[True, ordered[1:] != ordered[:-1]]) if len(ordered) else np.zeros(0, np.int64)
+
+
+_BLOCK = "block long, doc_id array<long>, row_key array<long>, lang array<string>, model array<int>, half array<int>, scored array<boolean>, n array<long>, places long, words binary, owners binary, codes binary"
+
+
+_READ = ["block", "half", "scored", "n", "words", "owners", "codes"]
+
+
+def _emit_blocks(seeds: dict[int, int], call: str):
+    """A row for each batch of texts: its distinct words (keys, and the models they belong to) and, for all places in a row, their codes."""
+
     @common.tidy
     def run(batches):
-        ngrams = common.worker_state(call, Ngrams)
+        ngrams, number = common.worker_state(call, Ngrams), TaskContext.get().partitionId() << 32
         for batch in batches:
+            if not len(batch):
+                continue
             model = batch.column("model").to_numpy()
-            _, at, k1 = ngrams(batch.column("text"), np.array([seeds[int(m)] for m in model], np.uint64))
-            own = np.flatnonzero(at[:-2] == at[2:])
-            _, first, count = np.unique(joined(joined(k1[own], k1[own + 1]), k1[own + 2]), return_index=True, return_counts=True)
-            own = own[first]
-            yield pa.RecordBatch.from_arrays([pa.array(model[at[own]], pa.int32()), *(pa.array(k1[own + i].view(np.int64)) for i in range(3)), pa.array(count, pa.int64())], ["model", "u", "v", "w", "c"])
+            n, at, k1 = ngrams(batch.column("text"), np.array([seeds[int(m)] for m in model], np.uint64))
+            coded = pa.array(k1).dictionary_encode()
+            words, codes = coded.dictionary.to_numpy(), coded.indices.to_numpy()
+            owners = np.zeros(len(words), np.int32)
+            owners[codes] = model[at]
+            lists = [pa.array([batch.column(c).to_pylist()], pa.list_(t)) for c, t in (("doc_id", pa.int64()), ("row_key", pa.int64()), ("lang", pa.string()), ("model", pa.int32()), ("half", pa.int32()), ("scored", pa.bool_()))]
+            codes = codes.astype(np.uint16 if len(words) <= 1 << 16 else np.uint32)
+            yield pa.RecordBatch.from_arrays([pa.array([number]), *lists, pa.array([n], pa.list_(pa.int64())), pa.array([len(codes)], pa.int64()), *(pa.array([x.tobytes()], pa.binary()) for x in (words, owners, codes))], [x.split()[0] for x in _BLOCK.split(", ")])
+            number += 1
 
     return run
 
 
-def discounts(counts: dict[int, int]) -> list[float]:
-    """Of counts 1, 2 and 3 or more, from how many n-grams occur once to four times."""
-    n = [0.0] + [float(counts.get(i, 0)) for i in (1, 2, 3, 4)]
-    y = n[1] / (n[1] + 2 * n[2]) if n[1] else 0.5
-    return [min(max(i - (i + 1) * y * n[i + 1] / n[i], 0.1), i) if n[i] else 0.5 * i for i in (1, 2, 3)]
+class _Block:
+    """Of a stored block: the codes u, v, w of the words of each place that ends a trigram, and the place's document."""
+
+    def __init__(self, row: dict, hot: tuple[np.ndarray, np.ndarray]):
+        self.words, self.owners = np.frombuffer(row["words"], np.uint64), np.frombuffer(row["owners"], np.int32)
+        codes = np.frombuffer(row["codes"], np.uint32 if len(self.words) > 1 << 16 else np.uint16)
+        at = np.repeat(np.arange(len(row["n"])), np.array(row["n"], np.int64) + 3)
+        own = np.flatnonzero(at[:-2] == at[2:])
+        self.u, self.v, self.w, self.doc = codes[own], codes[own + 1], codes[own + 2], at[own]
+        self.half = np.array([-1 if h is None else h for h in row["half"]], np.int8)
+        self.scored = np.array(row["scored"], bool)
+        self.hot, self.hot_word = hot, np.isin(self.words, hot[0])
+        self.hot_at = np.flatnonzero(self.hot_word[self.v]) if self.hot_word.any() else np.zeros(0, np.int64)
+
+    def shards(self, number: int) -> tuple[np.ndarray, np.ndarray]:
+        """Each place's shard: by its middle word; where that is hot, by its context; where that is hot too, by its trigram. And which of these it is."""
+        to = lambda key: (key >> np.uint64(20)) % np.uint64(number)
+        shard, level = to(self.words)[self.v].astype(np.int64), np.zeros(len(self.v), np.int8)
+        if len(self.hot_at):
+            here = self.hot_at
+            uv = joined(self.words[self.u[here]], self.words[self.v[here]])
+            shard[here], level[here] = to(uv), 1
+            own = np.isin(uv, self.hot[1])
+            here, uv = here[own], uv[own]
+            shard[here], level[here] = to(joined(uv, self.words[self.w[here]])), 2
+        return shard, level
+
+    def pairs(self) -> tuple[np.ndarray, np.ndarray]:
+        """The distinct keys of bigrams of a hot word and its follower, and which of them each place of hot_at has."""
+        return np.unique(joined(self.words[self.v[self.hot_at]], self.words[self.w[self.hot_at]]), return_inverse=True)
+
+
+def _emit_hot(least: int):
+    """Words in the middle and contexts with their number of places in a block, from `least` on."""
+
+    @common.tidy
+    def run(batches):
+        for batch in batches:
+            for row in batch.to_pylist():
+                block = _Block(row, (np.zeros(0, np.uint64),) * 2)
+                n = np.bincount(block.v, minlength=len(block.words))
+                many = np.flatnonzero(n >= least)
+                here = np.flatnonzero((n >= least)[block.v])
+                uv, m = np.unique(joined(block.words[block.u[here]], block.words[block.v[here]]), return_counts=True)
+                key, count = np.r_[block.words[many], uv[m >= least]], np.r_[n[many], m[m >= least]]
+                order = np.r_[np.ones(len(many), np.int32), np.full(len(key) - len(many), 2, np.int32)]
+                yield pa.RecordBatch.from_arrays([pa.array(order), pa.array(key.view(np.int64)), pa.array(count, pa.int64())], ["words", "key", "n"])
+
+    return run
+
+
+def _hot(blocks: DataFrame, places: int, number: int) -> tuple[np.ndarray, np.ndarray]:
+    """Keys of all middle words and contexts with HOT places or more (and some from half of that on): few, whatever the input."""
+    found: dict[int, list[int]] = {1: [], 2: []}
+    if places >= HOT:
+        # one with HOT places has half of them in blocks where it has HOT / (2 * number) or more
+        rows = blocks.select(*_READ).mapInArrow(_emit_hot(max(1, HOT // (2 * number))), "words int, key long, n long").groupBy("words", "key").agg(F.sum("n").alias("n"))
+        for r in rows.where(F.col("n") >= HOT // 2).collect():
+            found[r["words"]].append(r["key"])
+    return tuple(np.sort(np.array(found[i], np.int64).view(np.uint64)) for i in (1, 2))
 
 
-def _contexts(counts: DataFrame, context: str, label: str) -> tuple[DataFrame, DataFrame]:
-    """counts with d, their discount; and, stored, each context's total, what discounts take of it, and its number of n-grams `rows`."""
-    of: dict[int, dict[int, int]] = {}
-    for r in counts.groupBy("model", F.least("c", F.lit(5)).alias("c")).agg(F.count(F.lit(1)).alias("n")).collect():  # five rows a model
-        of.setdefault(r["model"], {})[int(r["c"])] = r["n"]
-    table = counts.sparkSession.createDataFrame([(m, *map(float, discounts(n))) for m, n in of.items()], "model int, d1 double, d2 double, d3 double")
-    d = F.when(F.col("c") == 1, F.col("d1")).when(F.col("c") == 2, F.col("d2")).otherwise(F.col("d3"))
-    c = counts.join(F.broadcast(table), "model").withColumn("d", d).drop("d1", "d2", "d3")
-    return c, common.stored(c.groupBy(context).agg(F.sum("c").alias("total"), F.sum("d").alias("taken"), F.count(F.lit(1)).alias("rows")), label)
+_COUNTED = {"u": "u8", "v": "u8", "w": "u8", "model": "i4", "level": "i1", "c0": "u4", "c1": "u4"}
+_SCORED = _COUNTED | {"l0": "f4", "l1": "f4", "n": "u4"}
 
 
-def train(trusted: DataFrame, seeds: dict[int, int]) -> tuple[DataFrame, dict[int, np.ndarray]]:
-    """From trusted (model, text): the stored weights (key, weight, c), and by model the cost of an unseen word of each shape.
+def _emit_ngrams(part: int, parts: int, shards: int, hot: tuple[np.ndarray, np.ndarray], lower=None):
+    """For each block and shard of this part a row of its distinct trigrams with their counts in both halves.
 
-    The c of a weight is the count by which frequent ones are told. Models are few, one for each language.
+    Only trusted texts; or, with lower() (logarithms of lower probabilities at each place), all, and the documents that hold them.
     """
-    spark = trusted.sparkSession
-    mark = common.mark()
-    raw = trusted.mapInArrow(_emit_trigrams(seeds, uuid.uuid4().hex), "model int, u long, v long, w long, c long")
-    t3 = common.stored(raw.groupBy("model", "u", "v", "w").agg(F.sum("c").cast("int").alias("c")), "kn-trigrams")
-    t2 = common.stored(t3.groupBy("model", "v", "w").agg(F.count(F.lit(1)).cast("int").alias("c")), "kn-bigrams")
-    t1 = common.stored(t2.groupBy("model", "w").agg(F.count(F.lit(1)).cast("int").alias("c")), "kn-words")
-    n3, n2 = (t.count() for t in (t3, t2))
-    own, rest = (F.col("c") - F.col("d")) / F.col("total"), F.col("taken") / F.col("total")
-    back = F.log(rest).cast("float").alias("back")
-
-    c1, x0 = _contexts(t1, "model", "kn-contexts")
-    kinds = t1.withColumn("shape", F.col("w").bitwiseAND(7)).where("shape > 0").groupBy("model", "shape").agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("c") == 1).alias("once")).collect()
-    unseen = {}
-    for r in x0.collect():  # a row a model
-        once, kind = np.ones(8), np.ones(8)
-        for k in kinds:
-            if k["model"] == r["model"]:
-                once[k["shape"]], kind[k["shape"]] = k["once"] + 1, k["n"] + 1
-        once[0] = 0.0
-        unseen[r["model"]] = r["taken"] / r["total"] * once / once.sum() / kind
-    base = spark.createDataFrame([(m, s, float(p[s])) for m, p in unseen.items() for s in range(8)], "model int, shape long, unseen double")
-    p1 = c1.join(F.broadcast(x0.drop("rows")), "model").withColumn("shape", F.col("w").bitwiseAND(7)).join(F.broadcast(base), ["model", "shape"])
-    p1 = common.stored(p1.select("w", "c", F.log(own + F.col("unseen")).alias("p"), F.when(F.col("shape") > 0, F.log("unseen")).otherwise(0.0).alias("base")), "kn-p1")
-
-    c2, x1 = _contexts(t2, "v", "kn-contexts")
-    p2 = common.hot_split(c2.select("v", "w", "c", "d"), x1, ["v"], ["total", "taken"], n2).select(F.xxhash64("v", "w").alias("vw"), "w", "c", own.alias("own"), rest.alias("rest"))
-    p2 = common.hot_split(p2, p1.select("w", F.col("c").alias("rows"), F.col("p").alias("lower")), ["w"], ["lower"], n2)
-    p2 = common.stored(p2.select("vw", "c", F.log(F.col("own") + F.col("rest") * F.exp("lower")).alias("p"), (F.log("rest") + F.col("lower")).alias("without")), "kn-p2")
-
-    common.drop_since(spark, mark, t3, p1, p2, x1)
-    uv = F.xxhash64("u", "v")
-    c3, x2 = _contexts(t3.select("model", uv.alias("uv"), F.xxhash64("v", "w").alias("vw"), F.xxhash64(uv, "w").alias("key"), "c"), "uv", "kn-contexts")
-    p3 = common.hot_split(c3.select("uv", "vw", "key", "c", "d"), x2, ["uv"], ["total", "taken"], n3).select("vw", "key", "c", own.alias("own"), rest.alias("rest"))
-    p3 = common.hot_split(p3, p2.select("vw", F.col("c").alias("rows"), F.col("p").alias("lower")), ["vw"], ["lower"], n3)
-    w3 = common.stored(p3.select("key", (F.log(F.col("own") + F.col("rest") * F.exp("lower")) - F.log("rest") - F.col("lower")).cast("float").alias("weight"), "c"), "kn-weights")
-    common.drop_since(spark, mark, w3, p1, p2, x1, x2)
-
-    zero, met = F.lit(0.0), F.col("total").cast("int").alias("met")
-    w2 = p2.select(F.col("vw").alias("key"), (F.col("p") - F.col("without")).alias("weight"), "c").join(x2.select(F.col("uv").alias("key"), back, met), "key", "full")
-    w1 = p1.select(F.col("w").alias("key"), (F.col("p") - F.col("base")).alias("weight"), "c").join(x1.select(F.col("v").alias("key"), back, met), "key", "full")
-    lower = w1.unionByName(w2).select("key", (F.coalesce("weight", zero) + F.coalesce("back", zero)).cast("float").alias("weight"), F.greatest("c", "met").alias("c"))
-    lower = common.stored(lower, "kn-weights")
-    common.drop_since(spark, mark, w3, lower)
-    return w3.unionByName(lower), {m: np.log(np.where(p > 0, p, 1.0)) for m, p in unseen.items()}
-
-
-#: Entries of a fixed table that come to the driver as one row.
-PACKED = 1 << 16
-
-
-def _pack(types: dict[str, str]):
+    types = _SCORED if lower else _COUNTED
+
     @common.tidy
     def run(batches):
-        whole = pa.Table.from_batches(list(batches)).sort_by("block")  # a task's blocks, of bounded size
-        block = whole.column("block").to_numpy()
-        cuts = [0, *(np.flatnonzero(np.diff(block)) + 1).tolist(), len(block)] if len(block) else [0]
-        for i, j in pairwise(cuts):
-            yield pa.RecordBatch.from_arrays([pa.array([whole.column(c)[i:j].to_numpy().astype(t).tobytes()], pa.binary()) for c, t in types.items()], list(types))
+        for batch in batches:
+            for row in batch.to_pylist():
+                block = _Block(row, hot)
+                shard, level = block.shards(shards)
+                mine = shard % parts == part
+                if not lower:
+                    mine &= block.half[block.doc] >= 0
+                mine = np.flatnonzero(mine)
+                if not len(mine):
+                    continue
+                u, v, w = (x[mine].astype(np.uint64) for x in (block.u, block.v, block.w))
+                if len(block.words) < 1 << 21:
+                    key = v << np.uint64(42) | u << np.uint64(21) | w
+                else:
+                    key = joined(joined(block.words[u], block.words[v]), block.words[w])
+                order = np.argsort(key)
+                order = order[np.argsort((shard[mine[order]] // parts).astype(np.min_scalar_type(shards)), kind="stable")]
+                key, mine = key[order], mine[order]
+                begin = _firsts(key)  # a trigram has one shard
+                first, half = mine[begin], block.half[block.doc[mine]]
+                out = {x: block.words[getattr(block, x)[first]] for x in "uvw"} | {"model": block.owners[block.w[first]], "level": level[first]}
+                out |= {f"c{j}": np.add.reduceat(half == j, begin, dtype=np.uint32) for j in (0, 1)}
+                cuts = np.r_[_firsts(shard[first]), len(first)]
+                columns = [pa.array(shard[first[cuts[:-1]]], pa.int64())]
+                names = ["shard", *types]
+                if lower:
+                    out |= {f"l{j}": x[first] for j, x in enumerate(lower(block, row))} | {"n": np.diff(np.r_[begin, len(mine)])}
+                columns += [_binaries(out[x].astype(t), cuts) for x, t in types.items()]
+                if lower:
+                    names += ["docs", "block"]
+                    columns += [_binaries(np.where(block.scored[block.doc[mine]], block.doc[mine], NOWHERE).astype("u2"), np.r_[begin, len(mine)][cuts]), pa.array(np.full(len(cuts) - 1, row["block"]), pa.int64())]
+                yield pa.RecordBatch.from_arrays(columns, names)
 
     return run
 
 
-def _packed(entries: DataFrame, at: str, types: dict[str, str]):
-    """Arrays of a table's columns, a block of entries at a time, so that the driver holds little beside what it makes of them."""
-    blocks = entries.withColumn("block", F.floor(F.col(at) / PACKED).cast("int")).repartition("block")
-    rows = common.stored(blocks.select("block", *types).mapInArrow(_pack(types), ", ".join(f"{c} binary" for c in types)), "kn-packed")
-    for r in rows.toLocalIterator():
-        yield [np.frombuffer(r[c], t) for c, t in types.items()]
-
+def _schema(types: dict[str, str]) -> str:
+    return "shard long, " + ", ".join(f"{x} binary" for x in types)
+
+
+_COUNTS = {"kind": pa.int32(), "model": pa.int32(), "x": pa.int64(), "y": pa.int64(), "c0": pa.int64(), "c1": pa.int64()}
+#: Kinds of counts: of contexts before a word; of words before a bigram of a hot word; how many trigrams, and bigrams, have a count; of a hot context.
+WORDS, PAIRS, OF3, OF2, CONTEXTS = range(5)
+
+
+def _count_shard(table: pa.Table) -> pa.Table:
+    """Counts that go beyond a shard."""
+    own = {x: _joined_bytes(table.column(x), t) for x, t in _COUNTED.items()}
+    uv = joined(own["u"], own["v"])
+    _, first, inverse = np.unique(joined(uv, own["w"]), return_index=True, return_inverse=True)
+    c = [np.bincount(inverse, own[f"c{j}"], len(first)).astype(np.int64) for j in (0, 1)]
+    uv, v, w, model, level = (x[first] for x in (uv, own["v"], own["w"], own["model"], own["level"]))
+    out: list[list[np.ndarray]] = []
+
+    def add(kind: int, model: np.ndarray, x: np.ndarray, y: np.ndarray | int, c0: np.ndarray, c1: np.ndarray) -> None:
+        out.append([np.full(len(x), kind), model, x.view(np.int64), np.zeros(len(x), np.int64) + (y.view(np.int64) if isinstance(y, np.ndarray) else y), c0, c1])
+
+    def of_counts(kind: int, model: np.ndarray, counts: list[np.ndarray]) -> None:
+        for m in np.unique(model):
+            n = [np.bincount(np.minimum(x[model == m], 5), minlength=6)[1:] for x in counts]
+            add(kind, np.full(5, m), np.arange(1, 6), 0, *n)
+
+    of_counts(OF3, model, c)
+    own_context = np.flatnonzero(level == 2)
+    if len(own_context):
+        key, first, inverse = np.unique(uv[own_context], return_index=True, return_inverse=True)
+        add(CONTEXTS, model[own_context][first], key, 0, *(np.bincount(inverse, x[own_context], len(key)).astype(np.int64) for x in c))
+        for i in (1, 2, 3):
+            add(CONTEXTS, model[own_context][first], key, i, *(np.bincount(inverse, np.minimum(x[own_context], 3) == i, len(key)).astype(np.int64) for x in c))
+    _, first, inverse = np.unique(joined(v, w), return_index=True, return_inverse=True)
+    c = [np.bincount(inverse, x > 0, len(first)).astype(np.int64) for x in c]
+    v, w, model, level = (x[first] for x in (v, w, model, level))
+    whole, split = np.flatnonzero(level == 0), np.flatnonzero(level > 0)
+    of_counts(OF2, model[whole], [x[whole] for x in c])
+    key, first, inverse = np.unique(w[whole], return_index=True, return_inverse=True)
+    add(WORDS, model[whole][first], key, 0, *(np.bincount(inverse, x[whole] > 0, len(key)).astype(np.int64) for x in c))
+    add(PAIRS, model[split], v[split], w[split], *(x[split] for x in c))
+    return pa.table([pa.array(np.concatenate(x), t) for x, t in zip(zip(*out, strict=True), _COUNTS.values(), strict=True)], list(_COUNTS))
+
+
+def _rated(c: np.ndarray, of: np.ndarray, n: int, d: np.ndarray, known=None) -> tuple[np.ndarray, np.ndarray]:
+    """Of counts c with contexts `of` and their discounts: the discounted share of each, and of each context what is left to lower orders."""
+    total, taken = np.bincount(of, c, n), np.bincount(of, d, n)
+    if known:
+        at, total[at], taken[at] = known[0], known[1], known[2]
+    some = np.maximum(total, 1)
+    return (c - d) / some[of], np.where(total > 0, taken / some, 1.0)
+
+
+def _score_shard(d2: np.ndarray, d3: np.ndarray, contexts: tuple):
+    """By block the cost of each document's places in a shard; d2 and d3: discounts by half, model and count."""
+    hot_key, hot_total, hot_taken = contexts
+
+    def run(table: pa.Table) -> pa.Table:
+        own = {x: _joined_bytes(table.column(x), t) for x, t in _SCORED.items()}
+        uv = joined(own["u"], own["v"])
+        _, first, at = np.unique(joined(uv, own["w"]), return_index=True, return_inverse=True)
+        model, level, v = (own[x][first] for x in ("model", "level", "v"))
+        context, uv = np.unique(uv[first], return_inverse=True)
+        _, second, vw = np.unique(joined(v, own["w"][first]), return_index=True, return_inverse=True)
+        words, of_word = np.unique(v[second], return_inverse=True)
+        known = np.flatnonzero(np.isin(context, hot_key))
+        place = np.searchsorted(hot_key, context[known])
+        lengths = np.array([len(x) for x in table.column("u").to_pylist()]) // 8
+        row = np.repeat(np.arange(len(lengths)), lengths)
+        docs = np.repeat(row, own["n"]) << 16 | _joined_bytes(table.column("docs"), "u2")
+        key, to = np.unique(docs, return_inverse=True)
+        keep, costs = key & NOWHERE != NOWHERE, []
+        for j in (0, 1):
+            c = np.bincount(at, own[f"c{j}"], len(first)).astype(np.int64)
+            share3, left3 = _rated(c, uv, len(context), d3[j, model, np.minimum(c, 3)], (known, hot_total[j][place], hot_taken[j][place]))
+            c = np.bincount(vw, c > 0, len(second)).astype(np.int64)
+            share2, left2 = _rated(c, of_word, len(words), d2[j, model[second], np.minimum(c, 3)])
+            lower = np.exp(own[f"l{j}"][first[second]].astype(np.float64))
+            p2 = np.where(level[second] > 0, lower, share2 + left2[of_word] * lower)
+            cost = -np.log(share3 + left3[uv] * p2[vw])
+            costs.append(np.bincount(to, np.repeat(cost[at], own["n"]), len(key))[keep].astype(np.float32))
+        row = key[keep] >> 16
+        begin = np.searchsorted(row, np.arange(len(lengths) + 1))
+        return pa.table([table.column("block").combine_chunks(), _binaries((key[keep] & NOWHERE).astype("u2"), begin), *(_binaries(x, begin) for x in costs)], ["block", "docs", "cost0", "cost1"])
 
-def bit_filter(weights: DataFrame) -> np.ndarray:
-    """Two bits of 2^FILTER_BITS are set for each key: whatever the number of keys, FILTER_BITS bounds what is collected."""
-    two = F.explode(F.array(F.shiftrightunsigned("key", 64 - FILTER_BITS), F.col("key").bitwiseAND((1 << FILTER_BITS) - 1)))
-    bits = weights.select(two.alias("at")).groupBy(F.shiftright("at", 6).alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, cast(at & 63 as int))")).alias("bits"))
-    out = np.zeros(1 << (FILTER_BITS - 6), np.uint64)
-    for word, own in _packed(bits, "word", {"word": "<i8", "bits": "<i8"}):
-        out[word] = own.view(np.uint64)
-    return out
+    return run
 
 
-def frequent(weights: DataFrame, names: list[str]) -> tuple[np.ndarray, np.ndarray]:
-    """For each of 2^SLOT_BITS slots the key of the highest count, and its weights by model's half."""
-    slot = F.shiftrightunsigned("key", 24).bitwiseAND((1 << SLOT_BITS) - 1)
-    top = weights.groupBy(slot.alias("slot")).agg(F.max(F.struct("c", "key", *names)).alias("top")).select("slot", "top.key", *(f"top.{x}" for x in names))
-    key, weight = np.zeros(1 << SLOT_BITS, np.uint64), np.zeros((len(names), 1 << SLOT_BITS), np.float32)
-    for at, own, *rest in _packed(top, "slot", {"slot": "<i8", "key": "<i8"} | dict.fromkeys(names, "<f4")):
-        key[at] = own.view(np.uint64)
-        for j, w in enumerate(rest):
-            weight[j, at] = w
-    return key, weight
+def _sum_block(table: pa.Table) -> pa.Table:
+    docs = _joined_bytes(table.column("docs"), "u2")
+    own = np.unique(docs)
+    sums = [np.bincount(docs, _joined_bytes(table.column(f"cost{j}"), "f4").astype(np.float64), int(own[-1]) + 1)[own] if len(own) else np.zeros(0) for j in (0, 1)]
+    return pa.table([pa.array(np.full(len(own), table.column("block")[0].as_py()), pa.int64()), pa.array(own, pa.int32()), *(pa.array(x) for x in sums)], ["block", "doc", "cost0", "cost1"])
 
 
-def _score(sent, seeds: dict[int, int], unseen: list[dict[int, np.ndarray]], call: str):
-    high, low, word = np.uint64(64 - FILTER_BITS), np.uint64((1 << FILTER_BITS) - 1), np.uint64(6)
+def _emit_keys(hot: tuple[np.ndarray, np.ndarray]):
+    """The words of a block and its bigrams of hot words, numbered."""
 
     @common.tidy
     def run(batches):
-        bits, slot_key, slot_weight = sent.value
-        ngrams = common.worker_state(call, Ngrams)
-
-        def passing(k: np.ndarray) -> np.ndarray:
-            a = k >> high
-            found = np.flatnonzero(bits[a >> word] >> (a & np.uint64(63)) & np.uint64(1))
-            b = k[found] & low
-            return found[(bits[b >> word] >> (b & np.uint64(63)) & np.uint64(1)).astype(bool)]
-
         for batch in batches:
-            model = batch.column("model").to_numpy()
-            n, at, k1 = ngrams(batch.column("text"), np.array([seeds.get(int(m), 0) for m in model], np.uint64))
-            total, left, kind = [], [], (k1 & np.uint64(7)).astype(np.int64)
-            for half in unseen:
-                costs = np.zeros((len(model), 8))
-                for m in np.unique(model):
-                    costs[model == m] = half.get(int(m), 0.0)
-                total.append(np.bincount(at, costs[at, kind], len(n)))
-
-            def add(here: np.ndarray, key: np.ndarray, at=at, n=n, total=total, left=left) -> None:
-                slot = (key >> np.uint64(24) & np.uint64((1 << SLOT_BITS) - 1)).astype(np.int64)
-                hit, doc = slot_key[slot] == key, at[here]
-                for own, weight in zip(total, slot_weight, strict=True):
-                    own += np.bincount(doc[hit], weight[slot[hit]], len(n))
-                left.append((doc[~hit], key[~hit]))
-
-            # an n-gram can be in the table only if those of its first and of its last words are
-            in1, in2, k2 = np.zeros(len(k1), bool), np.zeros(len(k1), bool), np.zeros(len(k1), np.uint64)
-            in1[passing(k1)] = True
-            here = np.flatnonzero(in1[1:] & (at[1:] == at[:-1])) + 1  # a text's first start is a context only together with the second
-            add(here, k1[here])
-            here = np.flatnonzero(in1[:-1] & in1[1:] & (at[:-1] == at[1:]))
-            key = joined(k1[here], k1[here + 1])
-            own = passing(key)
-            here, key = here[own], key[own]
-            in2[here], k2[here] = True, key
-            add(here, key)
-            here = np.flatnonzero(in2[:-1] & in2[1:])
-            key = joined(k2[here], k1[here + 2]) if len(here) else k2[:0]
-            own = passing(key)
-            add(here[own], key[own])
-            doc, key = (np.concatenate(x) for x in zip(*left, strict=True))
-            order = np.argsort(doc, kind="stable")
-            offsets = np.searchsorted(doc[order], np.arange(len(n) + 1)).astype(np.int32)
-            rest = pa.ListArray.from_arrays(pa.array(offsets), pa.array(key[order].view(np.int64)))
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("row", "doc_id", "row_key", "lang", "model")), pa.array(n, pa.int64()), *(pa.array(-x) for x in total), rest], ["row", "doc_id", "row_key", "lang", "model", "n_tokens", *(f"cost{j}" for j in range(len(total))), "rest"])
+            for row in batch.to_pylist():
+                block = _Block(row, hot)
+                keys = np.r_[block.words, block.pairs()[0]] if len(block.hot_at) else block.words
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(keys), row["block"]), pa.int64()), pa.array(np.arange(len(keys)), pa.int32()), pa.array(keys.view(np.int64))], ["block", "at", "key"])
 
     return run
 
 
+def _gather(table: pa.Table) -> pa.Table:
+    return pa.table([table.column("block")[:1], *(pa.array([table.column(c).to_numpy().astype(t).tobytes()], pa.binary()) for c, t in (("at", "i4"), ("l0", "f4"), ("l1", "f4")))], ["block", "at", "l0", "l1"])
+
+
+def _lower(unseen: np.ndarray, left: tuple):
+    """At each place of a block the logarithm, by half, of its word's probability; after a hot word, that of the bigram."""
+    hot_word, hot_left = left
+
+    def lower(block: _Block, row: dict) -> list[np.ndarray]:
+        at = np.frombuffer(row["at"] or b"", np.int32)
+        pairs, pair = block.pairs() if len(block.hot_at) else (np.zeros(0, np.uint64), None)
+        out = []
+        for j in (0, 1):
+            found = np.full(len(block.words) + len(pairs), np.nan, np.float64)
+            found[at] = np.frombuffer(row[f"l{j}"] or b"", np.float32)
+            known = found[: len(block.words)]
+            of_word = np.where(np.isnan(known), unseen[j, block.owners, (block.words & np.uint64(7)).astype(np.int64)], known)
+            own = of_word[block.w]
+            if len(block.hot_at):
+                own_pair = found[len(block.words) :][pair]
+                back = hot_left[j][np.searchsorted(hot_word, block.words[block.v[block.hot_at]])]
+                own[block.hot_at] = np.where(np.isnan(own_pair), back + own[block.hot_at], own_pair)
+            out.append(own)
+        return out
+
+    return lower
+
+
+def _discount(c: str, names: list[str]) -> Column:
+    return F.when(F.col(c) == 1, F.col(names[0])).when(F.col(c) == 2, F.col(names[1])).when(F.col(c) > 2, F.col(names[2])).otherwise(0.0)
+
+
+def _classes(c: str) -> list[Column]:
+    """A count's sum, and how often it is 1, 2, 3, 4 and more."""
+    return [F.sum(c).alias(f"{c}_total"), *(F.count_if(F.least(F.col(c), F.lit(5)) == i).alias(f"{c}_{i}") for i in range(1, 6))]
+
+
+def _costs(texts: DataFrame, models: dict[str, int]) -> tuple[DataFrame, list[set[int]]]:
+    """Of texts (doc_id, row_key, lang, text, model, half, scored) a stored table of those to be scored, with n_tokens and a cost by each half; and the models that each half has.
+
+    Texts are stored as words once. Trigrams then are counted, and scored, a part of all shards at a time, so that only a part is in shuffles at once.
+    """
+    spark, mark = texts.sparkSession, common.mark()
+    seeds, size = {i: seed_of(x) for x, i in models.items()}, max(models.values()) + 1
+    blocks = common.stored(texts.mapInArrow(_emit_blocks(seeds, uuid.uuid4().hex), _BLOCK), "kn-blocks")
+    found = blocks.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum("places"), F.lit(0)).alias("places")).first()
+    hot = _hot(blocks, found["places"], max(1, found["n"]))
+    parts = min(PARTS, -(-found["places"] // PART) or 1)
+    shards = parts * max(1, -(-found["places"] // (SHARD * parts)))
+
+    # counts
+    counted, fewer = [], -(-parts // 2)  # counting moves less
+    for i in range(fewer):
+        rows = blocks.select(*_READ).mapInArrow(_emit_ngrams(i, fewer, shards, hot), _schema(_COUNTED))
+        rows = rows.groupBy("shard").applyInArrow(_count_shard, "kind int, model int, x long, y long, c0 long, c1 long")
+        counted.append(common.stored(rows.groupBy("kind", "model", "x", "y").agg(F.sum("c0").alias("c0"), F.sum("c1").alias("c1")), "kn-counts"))
+    counts = counted[0]
+    if fewer > 1:
+        counts = functools.reduce(DataFrame.unionByName, counted).groupBy("kind", "model", "x", "y").agg(F.sum("c0").alias("c0"), F.sum("c1").alias("c1"))
+        counts = common.stored(counts, "kn-counts")
+        common.drop_since(spark, mark, blocks, counts)
+    pairs = counts.where(F.col("kind") == PAIRS).select("model", F.col("x").alias("v"), F.col("y").alias("w"), "c0", "c1")
+    words = counts.where(F.col("kind") == WORDS).select("model", F.col("x").alias("w"), "c0", "c1")
+    if len(hot[0]):
+        words = words.unionByName(pairs.groupBy("model", "w").agg(*(F.count_if(F.col(c) > 0).alias(c) for c in ("c0", "c1")))).groupBy("model", "w").agg(F.sum("c0").alias("c0"), F.sum("c1").alias("c1"))
+
+    # discounts, by half, model and count, and costs of unseen words: a few rows a model
+    of = np.zeros((3, 2, size, 6))
+    for r in counts.where(F.col("kind").isin(OF2, OF3)).collect():
+        of[int(r["kind"] == OF3), :, r["model"], r["x"]] += r["c0"], r["c1"]
+    hot_words = pairs.groupBy("model", "v").agg(*_classes("c0"), *_classes("c1")).collect() if len(hot[0]) else []
+    for r in hot_words:
+        for j in (0, 1):
+            of[0, j, r["model"], 1:] += [r[f"c{j}_{i}"] for i in range(1, 6)]
+    once, kind, total = np.ones((2, size, 8)), np.ones((2, size, 8)), np.zeros((2, size))
+    for r in words.groupBy("model", F.col("w").bitwiseAND(7).alias("shape")).agg(*_classes("c0"), *_classes("c1")).collect():
+        for j in (0, 1):
+            own = [r[f"c{j}_{i}"] for i in range(1, 6)]
+            of[2, j, r["model"], 1:] += own
+            total[j, r["model"]] += r[f"c{j}_total"]
+            if r["shape"]:
+                once[j, r["model"], r["shape"]] += own[0]
+                kind[j, r["model"], r["shape"]] += sum(own)
+    d2, d3, d1 = (np.array([[[0.0, *discounts(dict(enumerate(of[i, j, m])))] for m in range(size)] for j in (0, 1)]) for i in range(3))
+    once[:, :, 0] = 0.0
+    taken = (d1[:, :, 1:] * np.stack([of[2, :, :, 1], of[2, :, :, 2], of[2, :, :, 3:].sum(-1)], -1)).sum(-1)
+    unseen = (taken / np.maximum(total, 1))[:, :, None] * once / once.sum(-1)[:, :, None] / kind
+    log_unseen = np.log(np.where(unseen > 0, unseen, 1.0))
+
+    # words' probabilities, and those of bigrams of hot words, at the blocks that hold them
+    per_half = [f"{x}_{j}" for j in (0, 1) for x in ("total", "unseen", "one", "two", "more")]
+    table = [(m, s, *(float(x) for j in (0, 1) for x in (max(total[j, m], 1), unseen[j, m, s], *d1[j, m, 1:]))) for m in range(size) for s in range(8)]
+    table = spark.createDataFrame(table, "model int, shape long, " + ", ".join(f"{x} double" for x in per_half))
+    own = words.withColumn("shape", F.col("w").bitwiseAND(7)).join(F.broadcast(table), ["model", "shape"])
+    logs = [F.coalesce(F.log((F.col(f"c{j}") - _discount(f"c{j}", [f"one_{j}", f"two_{j}", f"more_{j}"])) / F.col(f"total_{j}") + F.col(f"unseen_{j}")), F.lit(0.0)).alias(f"l{j}") for j in (0, 1)]
+    lowers = p1 = common.stored(own.select(F.col("w").alias("key"), *logs), "kn-words")
+    hot_left = [np.zeros(len(hot[0])) for _ in (0, 1)]
+    if hot_words:
+        rows = []
+        for r in hot_words:
+            row = [r["v"]]
+            for j in (0, 1):
+                d, n = d2[j, r["model"], 1:], r[f"c{j}_total"]
+                left = float(d[0] * r[f"c{j}_1"] + d[1] * r[f"c{j}_2"] + d[2] * sum(r[f"c{j}_{i}"] for i in (3, 4, 5))) / n if n else 1.0
+                hot_left[j][np.searchsorted(hot[0], np.int64(r["v"]).astype(np.uint64))] = np.log(left)
+                row += [float(max(n, 1)), left, *map(float, d)]
+            rows.append(tuple(row))
+        table = spark.createDataFrame(rows, "v long, " + ", ".join(f"{x} double" for x in per_half))
+        own = pairs.join(F.broadcast(table), "v").join(p1.withColumnRenamed("key", "w"), "w")
+        logs = [F.log((F.col(f"c{j}") - _discount(f"c{j}", [f"one_{j}", f"two_{j}", f"more_{j}"])) / F.col(f"total_{j}") + F.col(f"unseen_{j}") * F.exp(f"l{j}")).alias(f"l{j}") for j in (0, 1)]
+        lowers = lowers.unionByName(own.select(F.xxhash64("v", "w").alias("key"), *logs))
+    contexts = {}
+    for r in counts.where(F.col("kind") == CONTEXTS).collect() if len(hot[1]) else []:
+        for j in (0, 1):
+            own = contexts.setdefault(r["x"], np.zeros((2, 2)))
+            own[j] += (r[f"c{j}"], 0) if r["y"] == 0 else (0, d3[j, r["model"], r["y"]] * r[f"c{j}"])
+    hot_totals = np.array([contexts.get(int(x), np.zeros((2, 2))) for x in hot[1].view(np.int64)]).reshape(-1, 2, 2)
+    at = blocks.select(*_READ).mapInArrow(_emit_keys(hot), "block long, at int, key long").join(lowers, "key").select("block", "at", "l0", "l1")
+    at = common.stored(at.groupBy("block").applyInArrow(_gather, "block long, at binary, l0 binary, l1 binary"), "kn-lower")
+    common.drop_since(spark, mark, blocks, at)
+    blocks = common.stored(blocks.join(at, "block", "left"), "kn-blocks")
+    common.drop_since(spark, mark, blocks)
+
+    # costs
+    score = _score_shard(d2, d3, (hot[1], hot_totals[:, :, 0].T, hot_totals[:, :, 1].T))
+    lower, costs = _lower(log_unseen, (hot[0], hot_left)), []
+    for i in range(parts):
+        rows = blocks.select(*_READ, "at", "l0", "l1").mapInArrow(_emit_ngrams(i, parts, shards, hot, lower), _schema(_SCORED) + ", docs binary, block long")
+        rows = rows.groupBy("shard").applyInArrow(score, "block long, docs binary, cost0 binary, cost1 binary")
+        costs.append(common.stored(rows.groupBy("block").applyInArrow(_sum_block, "block long, doc int, cost0 double, cost1 double"), "kn-costs"))
+    costs = functools.reduce(DataFrame.unionByName, costs).groupBy("block", "doc").agg(F.sum("cost0").alias("cost0"), F.sum("cost1").alias("cost1"))
+    each = blocks.select("block", F.posexplode(F.arrays_zip("doc_id", "row_key", "lang", "model", "half", "scored", F.col("n").alias("n_tokens"))).alias("doc", "own")).select("block", "doc", "own.*").where("scored")
+    scores = common.stored(each.join(costs, ["block", "doc"]).drop("block", "doc", "scored"), "scores")
+    common.drop_since(spark, mark, scores)
+    return scores, [{m for m in range(size) if total[j, m] > 0} for j in (0, 1)]
+
+
 def row_key() -> Column:
     """Identifies a document where doc_id may be null or repeated."""
     return F.xxhash64(F.col("doc_id").cast("long"), F.col("text").cast("string")).alias("row_key")
 
 
-def _summed(scores: DataFrame, weights: DataFrame, halves: int) -> DataFrame:
-    """scores with the weights of the n-grams in `rest` taken off their costs. Adaptive execution splits the partition of an n-gram that many texts hold."""
-    rest = scores.select("row", F.explode("rest").alias("key"))
-    more = rest.join(weights.drop("c"), "key").groupBy("row").agg(*(F.sum(f"w{j}").alias(f"more{j}") for j in range(halves)))
-    out = scores.drop("rest").join(more, "row", "left")
-    return out.withColumns({f"cost{j}": F.col(f"cost{j}") - F.coalesce(f"more{j}", F.lit(0.0)) for j in range(halves)}).drop("row", *(f"more{j}" for j in range(halves)))
-
-
 def _trusted(docs: DataFrame, labels: DataFrame) -> tuple[DataFrame, DataFrame, dict[str, int]]:
     """doc_id, row_key, lang, text of docs; the stored doc_id, lang, place of trusted ones; and how many of these a language has."""
     common.arrow_batches(docs.sparkSession, BATCH)
@@ -350,35 +573,20 @@ def _trusted(docs: DataFrame, labels: DataFrame) -> tuple[DataFrame, DataFrame,
     return own, trusted, {r["lang"]: r["n"] for r in trusted.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()}
 
 
-def _costs(own: DataFrame, parts: list[DataFrame], langs: list[str], models: dict[str, int]) -> tuple[DataFrame, list[set[int]]]:
-    """A stored table doc_id, row_key, lang, model, n_tokens and a cost by each part's models; and the models that each part has."""
-    spark, mark = own.sparkSession, common.mark()
-    seeds = {i: seed_of(x) for x, i in models.items()}
-    fits = [train(own.select("doc_id", "lang", "text").join(part, ["doc_id", "lang"]).select("model", "text"), seeds) for part in parts]
-    names, unseen = [f"w{j}" for j in range(len(fits))], [u for _, u in fits]
-    weights = fits[0][0].withColumnRenamed("weight", "w0")
-    if len(fits) > 1:
-        none = F.lit(0.0).cast("float")
-        sides = [w.select("key", "c", *(F.col("weight").alias(x) if x == names[j] else none.alias(x) for x in names)) for j, (w, _) in enumerate(fits)]
-        both = sides[0].unionByName(sides[1]).groupBy("key").agg(F.max("c").alias("c"), *(F.sum(x).cast("float").alias(x) for x in names))
-        weights = common.stored(both, "kn-weights")
-        common.drop_since(spark, mark, weights)
-    sent = spark.sparkContext.broadcast((bit_filter(weights), *frequent(weights, names)))
-    named = own.withColumn("row", F.monotonically_increasing_id()).withColumn("model", _model_of(langs, models))
-    schema = f"row long, doc_id long, row_key long, lang string, model int, n_tokens long, {', '.join(f'cost{j} double' for j in range(len(fits)))}, rest array<long>"
-    begun = common.stored(named.select("row", "doc_id", "row_key", "lang", "model", "text").mapInArrow(_score(sent, seeds, unseen, uuid.uuid4().hex), schema), "scores-begun")
-    sent.destroy()  # workers keep it in files
-    scores = common.stored(_summed(begun, weights, len(fits)), "scores")
-    common.drop_since(spark, mark, scores)
-    return scores, [set(u) for u in unseen]
-
-
 def _owners(sizes: dict[str, int]) -> tuple[list[str], dict[str, int]]:
     """The languages with models of their own, and all models by language."""
     langs = sorted(x for x, n in sizes.items() if n >= MODEL_DOCS and x != SHARED)
     return langs, {SHARED: 0} | {x: i + 1 for i, x in enumerate(langs)}
 
 
+def _texts(own: DataFrame, counted: DataFrame, langs: list[str], models: dict[str, int], shared: DataFrame | None) -> DataFrame:
+    """What _costs() takes; `counted` (doc_id, lang, half) are counted, and `shared` of them for the shared model too."""
+    texts = own.withColumn("model", _model_of(langs, models)).join(counted, ["doc_id", "lang"], "left").withColumn("scored", F.lit(True))
+    if shared is not None:
+        texts = texts.unionByName(own.join(shared, ["doc_id", "lang"]).withColumn("model", F.lit(0)).withColumn("scored", F.lit(False)))
+    return texts.select("doc_id", "row_key", "lang", "text", "model", "half", "scored")
+
+
 def scored(docs: DataFrame, labels: DataFrame, *, share: float = SHARE, least: int = LEAST) -> tuple[DataFrame, DataFrame]:
     """By models of a part: a stored table doc_id, row_key, lang, n_tokens, cost of all docs; and the held-out trusted doc_ids."""
     spark, mark = docs.sparkSession, common.mark()
@@ -388,11 +596,11 @@ def scored(docs: DataFrame, labels: DataFrame, *, share: float = SHARE, least: i
     places = {x: int(PLACES * max(share, min(0.5, least / n))) for x, n in sizes.items()}
     table = spark.createDataFrame([(x, models.get(x, 0), places[x]) for x in sizes], "lang string, model int, places int")
     pool = trusted.join(F.broadcast(table), "lang").where("place < places")
-    chosen = pool.select("doc_id", "lang", "model")
+    chosen = common.stored(pool.select("doc_id", "lang", F.lit(0).alias("half"), (F.col("place") < F.col("places") * SHARED_PART).alias("shared"), "model"), "trained-on")
+    shared = None
     if langs and own.where(~F.col("lang").isin(langs)).limit(1).count():  # some documents need the shared model
-        chosen = chosen.unionByName(pool.where(F.col("place") < F.col("places") * SHARED_PART).where("model > 0").select("doc_id", "lang", F.lit(0).alias("model")))
-    chosen = common.stored(chosen, "trained-on")
-    scores, _ = _costs(own, [chosen], langs, models)
+        shared = chosen.where("shared and model > 0").select("doc_id", "lang", "half")
+    scores, _ = _costs(_texts(own, chosen.select("doc_id", "lang", "half"), langs, models, shared), models)
     held = common.stored(trusted.select("doc_id").join(chosen.select("doc_id").distinct(), "doc_id", "left_anti").distinct(), "held-out")
     common.drop_since(spark, mark, scores, held)
     return scores.select("doc_id", "row_key", "lang", "n_tokens", F.col("cost0").alias("cost")), held
@@ -404,16 +612,15 @@ def cross_scored(docs: DataFrame, labels: DataFrame) -> tuple[DataFrame, DataFra
     own, trusted, sizes = _trusted(docs, labels)
     langs, models = _owners(sizes)
     halved = trusted.withColumn("model", _model_of(langs, models)).withColumn("half", (F.col("place") >= PLACES // 2).cast("int"))
-    counted = halved.select("doc_id", "lang", "model", "half")
+    counted, shared = halved.select("doc_id", "lang", "half"), None
     if langs and own.where(~F.col("lang").isin(langs)).limit(1).count():  # some documents need the shared model
-        counted = counted.unionByName(counted.where("model > 0").withColumn("model", F.lit(0)))
-    costs, (first, second) = _costs(own, [counted.where(F.col("half") == j).drop("half") for j in (0, 1)], langs, models)
+        shared = halved.where("model > 0").select("doc_id", "lang", "half")
+    costs, (first, second) = _costs(_texts(own, counted, langs, models, shared), models)
     there = [F.col("model").isin(sorted(x)) if x else F.lit(False) for x in (first, second)]
     other = (F.col("half") == 0) & there[1] | (F.col("half") == 1) & there[0]
     cost = F.when(other, F.when(F.col("half") == 0, F.col("cost1")).otherwise(F.col("cost0")))
     cost = cost.when(there[0] & there[1], (F.col("cost0") + F.col("cost1")) / 2).otherwise(F.when(there[0], F.col("cost0")).otherwise(F.col("cost1")))
-    scores = costs.join(halved.select("doc_id", "lang", "half"), ["doc_id", "lang"], "left")
-    scores = common.stored(scores.select("doc_id", "row_key", "lang", "n_tokens", cost.alias("cost")), "scores")
+    scores = common.stored(costs.select("doc_id", "row_key", "lang", "n_tokens", cost.alias("cost")), "scores")
     held = common.stored(halved.where(other).select("doc_id").distinct(), "held-out")
     common.drop_since(spark, mark, scores, held)
     return scores, held

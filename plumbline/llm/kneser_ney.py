@@ -57,8 +57,9 @@ QUANTILE, SLACK, PRIOR = 0.99, 0.1, 20.0
 OWN_DOCS, MODEL_DOCS = 20, 20
 #: Steps of a score in which thresholds are found.
 STEPS = 1024
-#: Parts into which the shards are dealt at most, the places in texts from which there is one more, and those of a shard.
-PARTS, PART, SHARD = 12, 1_500_000, 400_000
+#: Parts into which the shards are dealt at most, the places in texts from which there is one more, and those of a shard
+#: and of a group of words.
+PARTS, PART, SHARD, GROUP = 12, 1_500_000, 600_000, 6_000_000
 #: Places from which a middle word, or a context, is dealt over all shards.
 HOT = 1_000_000
 #: The number, in a row, of a document that isn't scored.
@@ -201,36 +202,47 @@ def _emit_blocks(seeds: dict[int, int], call: str):
     return run
 
 
+def _to(keys: np.ndarray, number: int) -> np.ndarray:
+    """The shard of a key."""
+    return ((keys >> np.uint64(20)) % np.uint64(number)).astype(np.int64)
+
+
 class _Block:
-    """Of a stored block: the codes u, v, w of the words of each place that ends a trigram, and the place's document."""
+    """A stored block: its distinct words, and the codes of those at all places."""
 
     def __init__(self, row: dict, hot: tuple[np.ndarray, np.ndarray]):
         self.words, self.owners = np.frombuffer(row["words"], np.uint64), np.frombuffer(row["owners"], np.int32)
-        codes = np.frombuffer(row["codes"], np.uint32 if len(self.words) > 1 << 16 else np.uint16)
-        at = np.repeat(np.arange(len(row["n"])), np.array(row["n"], np.int64) + 3)
-        own = np.flatnonzero(at[:-2] == at[2:])
-        self.u, self.v, self.w, self.doc = codes[own], codes[own + 1], codes[own + 2], at[own]
+        self.codes = np.frombuffer(row["codes"], np.uint32 if len(self.words) > 1 << 16 else np.uint16)
+        n = np.array(row["n"], np.int64) + 3
+        self.ends = np.cumsum(n)
+        self.edges = np.r_[self.ends - n, self.ends - 1]
         self.half = np.array([-1 if h is None else h for h in row["half"]], np.int8)
         self.scored = np.array(row["scored"], bool)
         self.hot, self.hot_word = hot, np.isin(self.words, hot[0])
-        self.hot_at = np.flatnonzero(self.hot_word[self.v]) if self.hot_word.any() else np.zeros(0, np.int64)
-
-    def shards(self, number: int) -> tuple[np.ndarray, np.ndarray]:
-        """Each place's shard: by its middle word; where that is hot, by its context; where that is hot too, by its trigram. And which of these it is."""
-        to = lambda key: (key >> np.uint64(20)) % np.uint64(number)
-        shard, level = to(self.words)[self.v].astype(np.int64), np.zeros(len(self.v), np.int8)
-        if len(self.hot_at):
-            here = self.hot_at
-            uv = joined(self.words[self.u[here]], self.words[self.v[here]])
-            shard[here], level[here] = to(uv), 1
-            own = np.isin(uv, self.hot[1])
-            here, uv = here[own], uv[own]
-            shard[here], level[here] = to(joined(uv, self.words[self.w[here]])), 2
-        return shard, level
-
-    def pairs(self) -> tuple[np.ndarray, np.ndarray]:
-        """The distinct keys of bigrams of a hot word and its follower, and which of them each place of hot_at has."""
-        return np.unique(joined(self.words[self.v[self.hot_at]], self.words[self.w[self.hot_at]]), return_inverse=True)
+
+    def middle(self, chosen: np.ndarray) -> np.ndarray:
+        """Places of chosen words in the middle of a trigram."""
+        here = chosen[self.codes]
+        here[self.edges] = False
+        return np.flatnonzero(here)
+
+    def keys(self, places: np.ndarray) -> np.ndarray:
+        return self.words[self.codes[places]]
+
+    def part(self, part: int, parts: int, shards: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """The places of a part of the shards, their shards (by middle word; where that is hot, by context; where that is hot too, by trigram), and which of these it is."""
+        of_word = _to(self.words, shards)
+        own = self.middle((of_word % parts == part) & ~self.hot_word)
+        shard, level = of_word[self.codes[own]], np.zeros(len(own), np.int8)
+        if self.hot_word.any():
+            here = self.middle(self.hot_word)
+            uv = joined(self.keys(here - 1), self.keys(here))
+            to, of = _to(uv, shards), np.ones(len(here), np.int8)
+            split = np.flatnonzero(np.isin(uv, self.hot[1]))
+            to[split], of[split] = _to(joined(uv[split], self.keys(here[split] + 1)), shards), 2
+            mine = to % parts == part
+            own, shard, level = np.r_[own, here[mine]], np.r_[shard, to[mine]], np.r_[level, of[mine]]
+        return own, shard, level
 
 
 def _emit_hot(least: int):
@@ -241,10 +253,10 @@ def _emit_hot(least: int):
         for batch in batches:
             for row in batch.to_pylist():
                 block = _Block(row, (np.zeros(0, np.uint64),) * 2)
-                n = np.bincount(block.v, minlength=len(block.words))
+                n = np.bincount(block.codes[block.middle(np.ones(len(block.words), bool))], minlength=len(block.words))
                 many = np.flatnonzero(n >= least)
-                here = np.flatnonzero((n >= least)[block.v])
-                uv, m = np.unique(joined(block.words[block.u[here]], block.words[block.v[here]]), return_counts=True)
+                here = block.middle(n >= least)
+                uv, m = np.unique(joined(block.keys(here - 1), block.keys(here)), return_counts=True)
                 key, count = np.r_[block.words[many], uv[m >= least]], np.r_[n[many], m[m >= least]]
                 order = np.r_[np.ones(len(many), np.int32), np.full(len(key) - len(many), 2, np.int32)]
                 yield pa.RecordBatch.from_arrays([pa.array(order), pa.array(key.view(np.int64)), pa.array(count, pa.int64())], ["words", "key", "n"])
@@ -263,199 +275,213 @@ def _hot(blocks: DataFrame, places: int, number: int) -> tuple[np.ndarray, np.nd
     return tuple(np.sort(np.array(found[i], np.int64).view(np.uint64)) for i in (1, 2))
 
 
-_COUNTED = {"u": "u8", "v": "u8", "w": "u8", "model": "i4", "level": "i1", "c0": "u4", "c1": "u4"}
-_SCORED = _COUNTED | {"l0": "f4", "l1": "f4", "n": "u4"}
-
+_NGRAMS = {"u": "u8", "v": "u8", "w": "u8", "model": "i4", "level": "i1", "c0": "u4", "c1": "u4"}
+_NGRAM_ROW, _WITH_DOCS = "shard long, " + ", ".join(f"{x} binary" for x in _NGRAMS), ", n binary, docs binary, block long"
 
-def _emit_ngrams(part: int, parts: int, shards: int, hot: tuple[np.ndarray, np.ndarray], lower=None):
-    """For each block and shard of this part a row of its distinct trigrams with their counts in both halves.
 
-    Only trusted texts; or, with lower() (logarithms of lower probabilities at each place), all, and the documents that hold them.
-    """
-    types = _SCORED if lower else _COUNTED
+def _emit_ngrams(part: int, parts: int, shards: int, hot: tuple[np.ndarray, np.ndarray], with_docs: bool = False):
+    """For each block and shard of this part a row of its distinct trigrams with their counts in both halves; and, if asked for, the documents at their places."""
 
     @common.tidy
     def run(batches):
         for batch in batches:
             for row in batch.to_pylist():
                 block = _Block(row, hot)
-                shard, level = block.shards(shards)
-                mine = shard % parts == part
-                if not lower:
-                    mine &= block.half[block.doc] >= 0
-                mine = np.flatnonzero(mine)
-                if not len(mine):
+                own, shard, level = block.part(part, parts, shards)
+                if not len(own):
                     continue
-                u, v, w = (x[mine].astype(np.uint64) for x in (block.u, block.v, block.w))
+                u, v, w = (block.codes[own + i].astype(np.uint64) for i in (-1, 0, 1))
                 if len(block.words) < 1 << 21:
                     key = v << np.uint64(42) | u << np.uint64(21) | w
                 else:
                     key = joined(joined(block.words[u], block.words[v]), block.words[w])
                 order = np.argsort(key)
-                order = order[np.argsort((shard[mine[order]] // parts).astype(np.min_scalar_type(shards)), kind="stable")]
-                key, mine = key[order], mine[order]
+                order = order[np.argsort((shard[order] // parts).astype(np.min_scalar_type(shards)), kind="stable")]
+                key, own, shard, level = key[order], own[order], shard[order], level[order]
                 begin = _firsts(key)  # a trigram has one shard
-                first, half = mine[begin], block.half[block.doc[mine]]
-                out = {x: block.words[getattr(block, x)[first]] for x in "uvw"} | {"model": block.owners[block.w[first]], "level": level[first]}
+                first, docs = own[begin], np.searchsorted(block.ends, own, "right")
+                half = block.half[docs]
+                out = {"u": block.keys(first - 1), "v": block.keys(first), "w": block.keys(first + 1), "model": block.owners[block.codes[first]], "level": level[begin]}
                 out |= {f"c{j}": np.add.reduceat(half == j, begin, dtype=np.uint32) for j in (0, 1)}
-                cuts = np.r_[_firsts(shard[first]), len(first)]
-                columns = [pa.array(shard[first[cuts[:-1]]], pa.int64())]
-                names = ["shard", *types]
-                if lower:
-                    out |= {f"l{j}": x[first] for j, x in enumerate(lower(block, row))} | {"n": np.diff(np.r_[begin, len(mine)])}
-                columns += [_binaries(out[x].astype(t), cuts) for x, t in types.items()]
-                if lower:
-                    names += ["docs", "block"]
-                    columns += [_binaries(np.where(block.scored[block.doc[mine]], block.doc[mine], NOWHERE).astype("u2"), np.r_[begin, len(mine)][cuts]), pa.array(np.full(len(cuts) - 1, row["block"]), pa.int64())]
+                cuts = np.r_[_firsts(shard[begin]), len(begin)]
+                columns = [pa.array(shard[begin[cuts[:-1]]]), *(_binaries(out[x].astype(t), cuts) for x, t in _NGRAMS.items())]
+                names = ["shard", *_NGRAMS]
+                if with_docs:
+                    begin = np.r_[begin, len(own)]
+                    docs = np.where(block.scored[docs], docs, NOWHERE).astype("u2")
+                    columns += [_binaries(np.diff(begin).astype("u4"), cuts), _binaries(docs, begin[cuts]), pa.array(np.full(len(cuts) - 1, row["block"]), pa.int64())]
+                    names += ["n", "docs", "block"]
                 yield pa.RecordBatch.from_arrays(columns, names)
 
     return run
 
 
-def _schema(types: dict[str, str]) -> str:
-    return "shard long, " + ", ".join(f"{x} binary" for x in types)
-
-
-_COUNTS = {"kind": pa.int32(), "model": pa.int32(), "x": pa.int64(), "y": pa.int64(), "c0": pa.int64(), "c1": pa.int64()}
-#: Kinds of counts: of contexts before a word; of words before a bigram of a hot word; how many trigrams, and bigrams, have a count; of a hot context.
-WORDS, PAIRS, OF3, OF2, CONTEXTS = range(5)
-
-
-def _count_shard(table: pa.Table) -> pa.Table:
-    """Counts that go beyond a shard."""
-    own = {x: _joined_bytes(table.column(x), t) for x, t in _COUNTED.items()}
-    uv = joined(own["u"], own["v"])
-    _, first, inverse = np.unique(joined(uv, own["w"]), return_index=True, return_inverse=True)
-    c = [np.bincount(inverse, own[f"c{j}"], len(first)).astype(np.int64) for j in (0, 1)]
-    uv, v, w, model, level = (x[first] for x in (uv, own["v"], own["w"], own["model"], own["level"]))
-    out: list[list[np.ndarray]] = []
-
-    def add(kind: int, model: np.ndarray, x: np.ndarray, y: np.ndarray | int, c0: np.ndarray, c1: np.ndarray) -> None:
-        out.append([np.full(len(x), kind), model, x.view(np.int64), np.zeros(len(x), np.int64) + (y.view(np.int64) if isinstance(y, np.ndarray) else y), c0, c1])
-
-    def of_counts(kind: int, model: np.ndarray, counts: list[np.ndarray]) -> None:
-        for m in np.unique(model):
-            n = [np.bincount(np.minimum(x[model == m], 5), minlength=6)[1:] for x in counts]
-            add(kind, np.full(5, m), np.arange(1, 6), 0, *n)
-
-    of_counts(OF3, model, c)
-    own_context = np.flatnonzero(level == 2)
-    if len(own_context):
-        key, first, inverse = np.unique(uv[own_context], return_index=True, return_inverse=True)
-        add(CONTEXTS, model[own_context][first], key, 0, *(np.bincount(inverse, x[own_context], len(key)).astype(np.int64) for x in c))
-        for i in (1, 2, 3):
-            add(CONTEXTS, model[own_context][first], key, i, *(np.bincount(inverse, np.minimum(x[own_context], 3) == i, len(key)).astype(np.int64) for x in c))
-    _, first, inverse = np.unique(joined(v, w), return_index=True, return_inverse=True)
-    c = [np.bincount(inverse, x > 0, len(first)).astype(np.int64) for x in c]
-    v, w, model, level = (x[first] for x in (v, w, model, level))
-    whole, split = np.flatnonzero(level == 0), np.flatnonzero(level > 0)
-    of_counts(OF2, model[whole], [x[whole] for x in c])
-    key, first, inverse = np.unique(w[whole], return_index=True, return_inverse=True)
-    add(WORDS, model[whole][first], key, 0, *(np.bincount(inverse, x[whole] > 0, len(key)).astype(np.int64) for x in c))
-    add(PAIRS, model[split], v[split], w[split], *(x[split] for x in c))
-    return pa.table([pa.array(np.concatenate(x), t) for x, t in zip(zip(*out, strict=True), _COUNTS.values(), strict=True)], list(_COUNTS))
-
-
-def _rated(c: np.ndarray, of: np.ndarray, n: int, d: np.ndarray, known=None) -> tuple[np.ndarray, np.ndarray]:
-    """Of counts c with contexts `of` and their discounts: the discounted share of each, and of each context what is left to lower orders."""
-    total, taken = np.bincount(of, c, n), np.bincount(of, d, n)
-    if known:
-        at, total[at], taken[at] = known[0], known[1], known[2]
-    some = np.maximum(total, 1)
-    return (c - d) / some[of], np.where(total > 0, taken / some, 1.0)
+#: What shards and groups of words tell each other: a row of counts for each kind, group and shard.
+_TOLD = {"model": "i4", "x": "u8", "y": "u8", "c0": "u4", "c1": "u4"}
+_TOLD_ROW = "kind int, to long, shard long, " + ", ".join(f"{x} binary" for x in _TOLD)
+#: Kinds: for each word the contexts before it; for each bigram of a hot word the words before it; and, for the driver,
+#: how many trigrams, bigrams and words (by shape) have a count, and the same of each hot context and hot word.
+WORDS, PAIRS, OF3, OF2, OF1, CONTEXTS, HOT_WORDS = range(7)
 
 
-def _score_shard(d2: np.ndarray, d3: np.ndarray, contexts: tuple):
-    """By block the cost of each document's places in a shard; d2 and d3: discounts by half, model and count."""
-    hot_key, hot_total, hot_taken = contexts
+def _told(kind: int, shard: int, to: np.ndarray | int, model: np.ndarray, x: np.ndarray, y: np.ndarray | int, c: list[np.ndarray]) -> pa.Table:
+    """Rows by group, each in the order at hand."""
+    to = np.zeros(len(x), np.int64) + to
+    order = np.argsort(to, kind="stable")
+    cuts = np.r_[_firsts(to[order]), len(order)]
+    y = y if isinstance(y, np.ndarray) else np.full(len(x), y)
+    own = [pa.array(np.full(len(cuts) - 1, kind), pa.int32()), pa.array(to[order][cuts[:-1]], pa.int64()), pa.array(np.full(len(cuts) - 1, shard), pa.int64())]
+    return pa.table([*own, *(_binaries(z[order].astype(t), cuts) for z, t in zip((model, x, y, *c), _TOLD.values(), strict=True))], ["kind", "to", "shard", *_TOLD])
+
+
+def _of_counts(kind: int, model: np.ndarray, key: np.ndarray, c: list[np.ndarray], total: bool = False) -> pa.Table:
+    """By key how often a count is 1, 2, 3, 4 and more (y), and their sum (y = 0)."""
+    keys, first, at = np.unique(key, return_index=True, return_inverse=True)
+    n = []
+    for own in c:
+        of = np.bincount(at * 6 + np.minimum(own, 5), minlength=6 * len(keys)).reshape(-1, 6)
+        of[:, 0] = np.bincount(at, own, len(keys))
+        n.append(of.ravel())
+    return _told(kind, -1, -1, np.repeat(model[first], 6), np.repeat(keys, 6), np.tile(np.arange(6), len(keys)), n)
+
+
+def _of_models(kind: int, model: np.ndarray, c: list[np.ndarray]) -> pa.Table:
+    return _of_counts(kind, model, model.astype(np.uint64), c)
+
+
+def _count_shard(groups: int):
+    """Counts that go beyond a shard. Of all its words, also those without trusted contexts: the answer says what other shards have."""
 
     def run(table: pa.Table) -> pa.Table:
-        own = {x: _joined_bytes(table.column(x), t) for x, t in _SCORED.items()}
+        shard, own = table.column("shard")[0].as_py(), {x: _joined_bytes(table.column(x), t) for x, t in _NGRAMS.items()}
         uv = joined(own["u"], own["v"])
         _, first, at = np.unique(joined(uv, own["w"]), return_index=True, return_inverse=True)
-        model, level, v = (own[x][first] for x in ("model", "level", "v"))
-        context, uv = np.unique(uv[first], return_inverse=True)
-        _, second, vw = np.unique(joined(v, own["w"][first]), return_index=True, return_inverse=True)
-        words, of_word = np.unique(v[second], return_inverse=True)
-        known = np.flatnonzero(np.isin(context, hot_key))
-        place = np.searchsorted(hot_key, context[known])
-        lengths = np.array([len(x) for x in table.column("u").to_pylist()]) // 8
-        row = np.repeat(np.arange(len(lengths)), lengths)
-        docs = np.repeat(row, own["n"]) << 16 | _joined_bytes(table.column("docs"), "u2")
-        key, to = np.unique(docs, return_inverse=True)
-        keep, costs = key & NOWHERE != NOWHERE, []
-        for j in (0, 1):
-            c = np.bincount(at, own[f"c{j}"], len(first)).astype(np.int64)
-            share3, left3 = _rated(c, uv, len(context), d3[j, model, np.minimum(c, 3)], (known, hot_total[j][place], hot_taken[j][place]))
-            c = np.bincount(vw, c > 0, len(second)).astype(np.int64)
-            share2, left2 = _rated(c, of_word, len(words), d2[j, model[second], np.minimum(c, 3)])
-            lower = np.exp(own[f"l{j}"][first[second]].astype(np.float64))
-            p2 = np.where(level[second] > 0, lower, share2 + left2[of_word] * lower)
-            cost = -np.log(share3 + left3[uv] * p2[vw])
-            costs.append(np.bincount(to, np.repeat(cost[at], own["n"]), len(key))[keep].astype(np.float32))
-        row = key[keep] >> 16
-        begin = np.searchsorted(row, np.arange(len(lengths) + 1))
-        return pa.table([table.column("block").combine_chunks(), _binaries((key[keep] & NOWHERE).astype("u2"), begin), *(_binaries(x, begin) for x in costs)], ["block", "docs", "cost0", "cost1"])
+        c = [np.bincount(at, own[f"c{j}"], len(first)).astype(np.int64) for j in (0, 1)]
+        uv, v, w, model, level = (x[first] for x in (uv, own["v"], own["w"], own["model"], own["level"]))
+        out, hot = [_of_models(OF3, model, c)], np.flatnonzero(level == 2)
+        if len(hot):
+            out.append(_of_counts(CONTEXTS, model[hot], uv[hot], [x[hot] for x in c]))
+        key, first, at = np.unique(joined(v, w), return_index=True, return_inverse=True)
+        c = [np.bincount(at, x > 0, len(first)).astype(np.int64) for x in c]
+        v, w, model, level = (x[first] for x in (v, w, model, level))
+        whole, split = np.flatnonzero(level == 0), np.flatnonzero(level > 0)
+        out.append(_of_models(OF2, model[whole], [x[whole] for x in c]))
+        words, first, at = np.unique(w, return_index=True, return_inverse=True)
+        out.append(_told(WORDS, shard, _to(words, groups), model[first], words, 0, [np.bincount(at, (x > 0) & (level == 0), len(words)).astype(np.int64) for x in c]))
+        out.append(_told(PAIRS, shard, _to(key[split], groups), model[split], v[split], w[split], [x[split] for x in c]))
+        return pa.concat_tables(out)
 
     return run
 
 
-def _sum_block(table: pa.Table) -> pa.Table:
-    docs = _joined_bytes(table.column("docs"), "u2")
-    own = np.unique(docs)
-    sums = [np.bincount(docs, _joined_bytes(table.column(f"cost{j}"), "f4").astype(np.float64), int(own[-1]) + 1)[own] if len(own) else np.zeros(0) for j in (0, 1)]
-    return pa.table([pa.array(np.full(len(own), table.column("block")[0].as_py()), pa.int64()), pa.array(own, pa.int32()), *(pa.array(x) for x in sums)], ["block", "doc", "cost0", "cost1"])
+def _answers(table: pa.Table, c: list[np.ndarray], lengths: np.ndarray) -> pa.Table:
+    """The rows of shards with the counts of all shards."""
+    cuts = np.r_[0, np.cumsum(lengths)]
+    none = pa.array([b""] * len(table), pa.binary())
+    own = pa.table([*(table.column(x).combine_chunks() for x in ("kind", "to", "shard")), none, none, none, *(_binaries(x.astype("u4"), cuts) for x in c)], ["kind", "to", "shard", *_TOLD])
+    return own.filter(pc.greater_equal(own.column("shard"), 0))
 
 
-def _emit_keys(hot: tuple[np.ndarray, np.ndarray]):
-    """The words of a block and its bigrams of hot words, numbered."""
+def _lengths(column: pa.ChunkedArray, size: int) -> np.ndarray:
+    return pc.binary_length(column).to_numpy().astype(np.int64) // size
 
-    @common.tidy
-    def run(batches):
-        for batch in batches:
-            for row in batch.to_pylist():
-                block = _Block(row, hot)
-                keys = np.r_[block.words, block.pairs()[0]] if len(block.hot_at) else block.words
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(keys), row["block"]), pa.int64()), pa.array(np.arange(len(keys)), pa.int32()), pa.array(keys.view(np.int64))], ["block", "at", "key"])
+
+def _count_pairs(groups: int):
+    def run(table: pa.Table) -> pa.Table:
+        own = {x: _joined_bytes(table.column(x), t) for x, t in _TOLD.items()}
+        _, first, at = np.unique(joined(own["x"], own["y"]), return_index=True, return_inverse=True)
+        c = [np.bincount(at, own[f"c{j}"], len(first)).astype(np.int64) for j in (0, 1)]
+        v, w, model = (own[x][first] for x in ("x", "y", "model"))
+        words, of, to = np.unique(w, return_index=True, return_inverse=True)
+        more = _told(WORDS, -1, _to(words, groups), model[of], words, 0, [np.bincount(to, x > 0, len(words)).astype(np.int64) for x in c])
+        return pa.concat_tables([_answers(table, [x[at] for x in c], _lengths(table.column("x"), 8)), more, _of_counts(HOT_WORDS, model, v, c)])
 
     return run
 
 
-def _gather(table: pa.Table) -> pa.Table:
-    return pa.table([table.column("block")[:1], *(pa.array([table.column(c).to_numpy().astype(t).tobytes()], pa.binary()) for c, t in (("at", "i4"), ("l0", "f4"), ("l1", "f4")))], ["block", "at", "l0", "l1"])
+def _count_words(table: pa.Table) -> pa.Table:
+    own = {x: _joined_bytes(table.column(x), t) for x, t in _TOLD.items()}
+    words, first, at = np.unique(own["x"], return_index=True, return_inverse=True)
+    c = [np.bincount(at, own[f"c{j}"], len(words)).astype(np.int64) for j in (0, 1)]
+    model = own["model"][first]
+    return pa.concat_tables([_answers(table, [x[at] for x in c], _lengths(table.column("x"), 8)), _of_counts(OF1, model, model.astype(np.uint64) << np.uint64(3) | words & np.uint64(7), c)])
 
 
-def _lower(unseen: np.ndarray, left: tuple):
-    """At each place of a block the logarithm, by half, of its word's probability; after a hot word, that of the bigram."""
-    hot_word, hot_left = left
+def _apart(batches):
+    """Rows for the driver, one for each count."""
+    for batch in batches:
+        own = {x: _joined_bytes(pa.chunked_array([batch.column(x)]), t).astype(np.int64) if x not in "xy" else _joined_bytes(pa.chunked_array([batch.column(x)]), "i8") for x, t in _TOLD.items()}
+        kind = np.repeat(batch.column("kind").to_numpy(), _lengths(pa.chunked_array([batch.column("x")]), 8))
+        yield pa.RecordBatch.from_arrays([pa.array(kind), *map(pa.array, own.values())], ["kind", *own])
 
-    def lower(block: _Block, row: dict) -> list[np.ndarray]:
-        at = np.frombuffer(row["at"] or b"", np.int32)
-        pairs, pair = block.pairs() if len(block.hot_at) else (np.zeros(0, np.uint64), None)
-        out = []
-        for j in (0, 1):
-            found = np.full(len(block.words) + len(pairs), np.nan, np.float64)
-            found[at] = np.frombuffer(row[f"l{j}"] or b"", np.float32)
-            known = found[: len(block.words)]
-            of_word = np.where(np.isnan(known), unseen[j, block.owners, (block.words & np.uint64(7)).astype(np.int64)], known)
-            own = of_word[block.w]
-            if len(block.hot_at):
-                own_pair = found[len(block.words) :][pair]
-                back = hot_left[j][np.searchsorted(hot_word, block.words[block.v[block.hot_at]])]
-                own[block.hot_at] = np.where(np.isnan(own_pair), back + own[block.hot_at], own_pair)
-            out.append(own)
+
+def _rated(c: np.ndarray, of: np.ndarray, n: int, d: np.ndarray, known: tuple) -> tuple[np.ndarray, np.ndarray]:
+    """Of counts c with contexts `of` and their discounts: the discounted share of each, and of each context what is left to lower orders. Sums of `known` contexts are given."""
+    total, taken = np.bincount(of, c, n), np.bincount(of, d, n)
+    at, total[at], taken[at] = known
+    some = np.maximum(total, 1)
+    return (c - d) / some[of], np.where(total > 0, taken / some, 1.0)
+
+
+def _score_shard(groups: int, d: np.ndarray, totals: np.ndarray, unseen: np.ndarray, hot: tuple, sums: tuple):
+    """By block the cost of each document's places in a shard.
+
+    d: discounts by order, half, model and count; totals: of a model's words; unseen: cost of these by shape; sums: totals
+    of hot words and hot contexts and what discounts take of them, by half.
+    """
+
+    def known(kind: int, keys: np.ndarray, j: int) -> tuple:
+        at = np.flatnonzero(np.isin(keys, hot[kind]))
+        own = sums[kind][np.searchsorted(hot[kind], keys[at]), j]
+        return at, own[:, 0], own[:, 1]
+
+    def told(answers: pa.Table, kind: int, keys: np.ndarray, j: int) -> np.ndarray:
+        rows = answers.filter(pc.equal(answers.column("kind"), kind)).sort_by("to")
+        out = np.zeros(len(keys), np.int64)
+        out[np.argsort(_to(keys, groups), kind="stable")] = _joined_bytes(rows.column(f"c{j}"), "u4")
         return out
 
-    return lower
+    def run(table: pa.Table, answers: pa.Table) -> pa.Table:
+        own = {x: _joined_bytes(table.column(x), t) for x, t in _NGRAMS.items()}
+        uv = joined(own["u"], own["v"])
+        _, first, at = np.unique(joined(uv, own["w"]), return_index=True, return_inverse=True)
+        model, level, v, w = (own[x][first] for x in ("model", "level", "v", "w"))
+        contexts, uv = np.unique(uv[first], return_inverse=True)
+        pairs, second, vw = np.unique(joined(v, w), return_index=True, return_inverse=True)
+        befores, before = np.unique(v[second], return_inverse=True)
+        words, third, word = np.unique(w[second], return_index=True, return_inverse=True)
+        split, model2, model1 = np.flatnonzero(level[second] > 0), model[second], model[second][third]
+        n, lengths = _joined_bytes(table.column("n"), "u4"), _lengths(table.column("u"), 8)
+        docs = np.repeat(np.repeat(np.arange(len(lengths)), lengths), n) << 16 | _joined_bytes(table.column("docs"), "u2")
+        key, to = np.unique(docs, return_inverse=True)
+        keep, costs = key & NOWHERE != NOWHERE, []
+        for j in (0, 1):
+            c3 = np.bincount(at, own[f"c{j}"], len(first)).astype(np.int64)
+            c2 = np.bincount(vw, c3 > 0, len(second)).astype(np.int64)
+            c2[split] = told(answers, PAIRS, pairs[split], j)
+            c1 = told(answers, WORDS, words, j)
+            p1 = (c1 - d[0, j, model1, np.minimum(c1, 3)]) / totals[j, model1] + unseen[j, model1, (words & np.uint64(7)).astype(np.int64)]
+            share2, left2 = _rated(c2, before, len(befores), d[1, j, model2, np.minimum(c2, 3)], known(0, befores, j))
+            p2 = share2 + left2[before] * np.where(p1 > 0, p1, 1.0)[word]
+            share3, left3 = _rated(c3, uv, len(contexts), d[2, j, model, np.minimum(c3, 3)], known(1, contexts, j))
+            cost = -np.log(share3 + left3[uv] * p2[vw])
+            costs.append(np.bincount(to, np.repeat(cost[at], n), len(key))[keep].astype(np.float32))
+        begin = np.searchsorted(key[keep] >> 16, np.arange(len(lengths) + 1))
+        return pa.table([table.column("block").combine_chunks(), _binaries((key[keep] & NOWHERE).astype("u2"), begin), *(_binaries(x, begin) for x in costs)], ["block", "docs", "cost0", "cost1"])
+
+    return run
 
 
-def _discount(c: str, names: list[str]) -> Column:
-    return F.when(F.col(c) == 1, F.col(names[0])).when(F.col(c) == 2, F.col(names[1])).when(F.col(c) > 2, F.col(names[2])).otherwise(0.0)
+def _sum_block(table: pa.Table) -> pa.Table:
+    docs = _joined_bytes(table.column("docs"), "u2")
+    own = np.unique(docs)
+    sums = [np.bincount(docs, _joined_bytes(table.column(f"cost{j}"), "f4").astype(np.float64), int(own[-1]) + 1)[own] if len(own) else np.zeros(0) for j in (0, 1)]
+    return pa.table([pa.array(np.full(len(own), table.column("block")[0].as_py()), pa.int64()), pa.array(own, pa.int32()), *(pa.array(x) for x in sums)], ["block", "doc", "cost0", "cost1"])
 
 
-def _classes(c: str) -> list[Column]:
-    """A count's sum, and how often it is 1, 2, 3, 4 and more."""
-    return [F.sum(c).alias(f"{c}_total"), *(F.count_if(F.least(F.col(c), F.lit(5)) == i).alias(f"{c}_{i}") for i in range(1, 6))]
+def _taken(d: np.ndarray, of: np.ndarray) -> np.ndarray:
+    """What discounts take of contexts, from how often they have the counts 1 to 5 (places 1 to 5 of the last axis)."""
+    return d[..., 1] * of[..., 1] + d[..., 2] * of[..., 2] + d[..., 3] * of[..., 3:].sum(-1)
 
 
 def _costs(texts: DataFrame, models: dict[str, int]) -> tuple[DataFrame, list[set[int]]]:
@@ -469,93 +495,62 @@ def _costs(texts: DataFrame, models: dict[str, int]) -> tuple[DataFrame, list[se
     found = blocks.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum("places"), F.lit(0)).alias("places")).first()
     hot = _hot(blocks, found["places"], max(1, found["n"]))
     parts = min(PARTS, -(-found["places"] // PART) or 1)
-    shards = parts * max(1, -(-found["places"] // (SHARD * parts)))
+    shards, groups = parts * max(1, -(-found["places"] // (SHARD * parts))), -(-found["places"] // GROUP) or 1
 
-    # counts
-    counted, fewer = [], -(-parts // 2)  # counting moves less
+    # counts of shards; then those of words, and of bigrams of hot words, over all shards, for each shard that has them
+    fewer, asked = -(-2 * parts // 3), []  # counting moves less than scoring
     for i in range(fewer):
-        rows = blocks.select(*_READ).mapInArrow(_emit_ngrams(i, fewer, shards, hot), _schema(_COUNTED))
-        rows = rows.groupBy("shard").applyInArrow(_count_shard, "kind int, model int, x long, y long, c0 long, c1 long")
-        counted.append(common.stored(rows.groupBy("kind", "model", "x", "y").agg(F.sum("c0").alias("c0"), F.sum("c1").alias("c1")), "kn-counts"))
-    counts = counted[0]
-    if fewer > 1:
-        counts = functools.reduce(DataFrame.unionByName, counted).groupBy("kind", "model", "x", "y").agg(F.sum("c0").alias("c0"), F.sum("c1").alias("c1"))
-        counts = common.stored(counts, "kn-counts")
-        common.drop_since(spark, mark, blocks, counts)
-    pairs = counts.where(F.col("kind") == PAIRS).select("model", F.col("x").alias("v"), F.col("y").alias("w"), "c0", "c1")
-    words = counts.where(F.col("kind") == WORDS).select("model", F.col("x").alias("w"), "c0", "c1")
+        rows = blocks.select(*_READ).mapInArrow(_emit_ngrams(i, fewer, shards, hot), _NGRAM_ROW)
+        asked.append(common.stored(rows.groupBy("shard").applyInArrow(_count_shard(groups), _TOLD_ROW), "kn-counts"))
+    asks = functools.reduce(DataFrame.unionByName, asked)
+    own, kind = asks.where(F.col("kind") == WORDS), F.col("kind")
+    told = []
     if len(hot[0]):
-        words = words.unionByName(pairs.groupBy("model", "w").agg(*(F.count_if(F.col(c) > 0).alias(c) for c in ("c0", "c1")))).groupBy("model", "w").agg(F.sum("c0").alias("c0"), F.sum("c1").alias("c1"))
-
-    # discounts, by half, model and count, and costs of unseen words: a few rows a model
-    of = np.zeros((3, 2, size, 6))
-    for r in counts.where(F.col("kind").isin(OF2, OF3)).collect():
-        of[int(r["kind"] == OF3), :, r["model"], r["x"]] += r["c0"], r["c1"]
-    hot_words = pairs.groupBy("model", "v").agg(*_classes("c0"), *_classes("c1")).collect() if len(hot[0]) else []
-    for r in hot_words:
-        for j in (0, 1):
-            of[0, j, r["model"], 1:] += [r[f"c{j}_{i}"] for i in range(1, 6)]
-    once, kind, total = np.ones((2, size, 8)), np.ones((2, size, 8)), np.zeros((2, size))
-    for r in words.groupBy("model", F.col("w").bitwiseAND(7).alias("shape")).agg(*_classes("c0"), *_classes("c1")).collect():
-        for j in (0, 1):
-            own = [r[f"c{j}_{i}"] for i in range(1, 6)]
-            of[2, j, r["model"], 1:] += own
-            total[j, r["model"]] += r[f"c{j}_total"]
-            if r["shape"]:
-                once[j, r["model"], r["shape"]] += own[0]
-                kind[j, r["model"], r["shape"]] += sum(own)
-    d2, d3, d1 = (np.array([[[0.0, *discounts(dict(enumerate(of[i, j, m])))] for m in range(size)] for j in (0, 1)]) for i in range(3))
+        told.append(common.stored(asks.where(kind == PAIRS).groupBy("to").applyInArrow(_count_pairs(groups), _TOLD_ROW), "kn-pairs"))
+        own = own.unionByName(told[0].where((kind == WORDS) & (F.col("shard") < 0)))
+    told.append(common.stored(own.groupBy("to").applyInArrow(_count_words, _TOLD_ROW), "kn-words"))
+    counts = functools.reduce(DataFrame.unionByName, [asks, *told]).where(kind >= OF3).mapInArrow(_apart, "kind int, model long, x long, y long, c0 long, c1 long")
+    counts = counts.groupBy("kind", "model", "x", "y").agg(F.sum("c0").alias("c0"), F.sum("c1").alias("c1"))
+
+    # at the driver six rows for each model, shape, hot word and hot context
+    of, shapes, hot_of = np.zeros((3, 2, size, 6)), np.zeros((2, size, 8, 6)), [{}, {}]
+    for r in counts.collect():
+        c = r["c0"], r["c1"]
+        if r["kind"] == OF1:
+            shapes[:, r["model"], r["x"] & 7, r["y"]] = c
+        elif r["kind"] in (OF2, OF3):
+            of[1 if r["kind"] == OF2 else 2, :, r["model"], r["y"]] += c
+        else:
+            hot_of[r["kind"] == CONTEXTS].setdefault(r["x"], (r["model"], np.zeros((2, 6))))[1][:, r["y"]] = c
+    common.drop_since(spark, mark, blocks, *told)
+    of[0] = shapes.sum(2)
+    for m, c in hot_of[0].values():
+        of[1, :, m] += c
+    d = np.array([[[[0.0, *discounts(dict(enumerate(of[i, j, m])))] for m in range(size)] for j in (0, 1)] for i in range(3)])
+    once, kinds = shapes[:, :, :, 1] + 1, shapes[:, :, :, 1:].sum(-1) + 1
     once[:, :, 0] = 0.0
-    taken = (d1[:, :, 1:] * np.stack([of[2, :, :, 1], of[2, :, :, 2], of[2, :, :, 3:].sum(-1)], -1)).sum(-1)
-    unseen = (taken / np.maximum(total, 1))[:, :, None] * once / once.sum(-1)[:, :, None] / kind
-    log_unseen = np.log(np.where(unseen > 0, unseen, 1.0))
-
-    # words' probabilities, and those of bigrams of hot words, at the blocks that hold them
-    per_half = [f"{x}_{j}" for j in (0, 1) for x in ("total", "unseen", "one", "two", "more")]
-    table = [(m, s, *(float(x) for j in (0, 1) for x in (max(total[j, m], 1), unseen[j, m, s], *d1[j, m, 1:]))) for m in range(size) for s in range(8)]
-    table = spark.createDataFrame(table, "model int, shape long, " + ", ".join(f"{x} double" for x in per_half))
-    own = words.withColumn("shape", F.col("w").bitwiseAND(7)).join(F.broadcast(table), ["model", "shape"])
-    logs = [F.coalesce(F.log((F.col(f"c{j}") - _discount(f"c{j}", [f"one_{j}", f"two_{j}", f"more_{j}"])) / F.col(f"total_{j}") + F.col(f"unseen_{j}")), F.lit(0.0)).alias(f"l{j}") for j in (0, 1)]
-    lowers = p1 = common.stored(own.select(F.col("w").alias("key"), *logs), "kn-words")
-    hot_left = [np.zeros(len(hot[0])) for _ in (0, 1)]
-    if hot_words:
-        rows = []
-        for r in hot_words:
-            row = [r["v"]]
-            for j in (0, 1):
-                d, n = d2[j, r["model"], 1:], r[f"c{j}_total"]
-                left = float(d[0] * r[f"c{j}_1"] + d[1] * r[f"c{j}_2"] + d[2] * sum(r[f"c{j}_{i}"] for i in (3, 4, 5))) / n if n else 1.0
-                hot_left[j][np.searchsorted(hot[0], np.int64(r["v"]).astype(np.uint64))] = np.log(left)
-                row += [float(max(n, 1)), left, *map(float, d)]
-            rows.append(tuple(row))
-        table = spark.createDataFrame(rows, "v long, " + ", ".join(f"{x} double" for x in per_half))
-        own = pairs.join(F.broadcast(table), "v").join(p1.withColumnRenamed("key", "w"), "w")
-        logs = [F.log((F.col(f"c{j}") - _discount(f"c{j}", [f"one_{j}", f"two_{j}", f"more_{j}"])) / F.col(f"total_{j}") + F.col(f"unseen_{j}") * F.exp(f"l{j}")).alias(f"l{j}") for j in (0, 1)]
-        lowers = lowers.unionByName(own.select(F.xxhash64("v", "w").alias("key"), *logs))
-    contexts = {}
-    for r in counts.where(F.col("kind") == CONTEXTS).collect() if len(hot[1]) else []:
-        for j in (0, 1):
-            own = contexts.setdefault(r["x"], np.zeros((2, 2)))
-            own[j] += (r[f"c{j}"], 0) if r["y"] == 0 else (0, d3[j, r["model"], r["y"]] * r[f"c{j}"])
-    hot_totals = np.array([contexts.get(int(x), np.zeros((2, 2))) for x in hot[1].view(np.int64)]).reshape(-1, 2, 2)
-    at = blocks.select(*_READ).mapInArrow(_emit_keys(hot), "block long, at int, key long").join(lowers, "key").select("block", "at", "l0", "l1")
-    at = common.stored(at.groupBy("block").applyInArrow(_gather, "block long, at binary, l0 binary, l1 binary"), "kn-lower")
-    common.drop_since(spark, mark, blocks, at)
-    blocks = common.stored(blocks.join(at, "block", "left"), "kn-blocks")
-    common.drop_since(spark, mark, blocks)
-
-    # costs
-    score = _score_shard(d2, d3, (hot[1], hot_totals[:, :, 0].T, hot_totals[:, :, 1].T))
-    lower, costs = _lower(log_unseen, (hot[0], hot_left)), []
+    totals = np.maximum(of[0, :, :, 0], 1)
+    unseen = (_taken(d[0], of[0]) / totals)[:, :, None] * once / once.sum(-1)[:, :, None] / kinds
+    sums = []
+    for i in (0, 1):
+        own = np.zeros((len(hot[i]), 2, 2))
+        for at, x in enumerate(hot[i].view(np.int64).tolist()):
+            if x in hot_of[i]:
+                m, c = hot_of[i][x]
+                own[at] = np.stack([c[:, 0], _taken(d[1 + i, :, m], c)], -1)
+        sums.append(own)
+
+    score, costs = _score_shard(groups, d, totals, unseen, hot, tuple(sums)), []
+    answers = functools.reduce(DataFrame.unionByName, told).where((F.col("shard") >= 0) & kind.isin(WORDS, PAIRS)).select("shard", "kind", "to", "c0", "c1")
     for i in range(parts):
-        rows = blocks.select(*_READ, "at", "l0", "l1").mapInArrow(_emit_ngrams(i, parts, shards, hot, lower), _schema(_SCORED) + ", docs binary, block long")
-        rows = rows.groupBy("shard").applyInArrow(score, "block long, docs binary, cost0 binary, cost1 binary")
+        rows = blocks.select(*_READ).mapInArrow(_emit_ngrams(i, parts, shards, hot, True), _NGRAM_ROW + _WITH_DOCS).groupBy("shard")
+        rows = rows.cogroup(answers.where(F.col("shard") % parts == i).groupBy("shard")).applyInArrow(score, "block long, docs binary, cost0 binary, cost1 binary")
         costs.append(common.stored(rows.groupBy("block").applyInArrow(_sum_block, "block long, doc int, cost0 double, cost1 double"), "kn-costs"))
     costs = functools.reduce(DataFrame.unionByName, costs).groupBy("block", "doc").agg(F.sum("cost0").alias("cost0"), F.sum("cost1").alias("cost1"))
     each = blocks.select("block", F.posexplode(F.arrays_zip("doc_id", "row_key", "lang", "model", "half", "scored", F.col("n").alias("n_tokens"))).alias("doc", "own")).select("block", "doc", "own.*").where("scored")
     scores = common.stored(each.join(costs, ["block", "doc"]).drop("block", "doc", "scored"), "scores")
     common.drop_since(spark, mark, scores)
-    return scores, [{m for m in range(size) if total[j, m] > 0} for j in (0, 1)]
+    return scores, [{m for m in range(size) if of[0, j, m, 0] > 0} for j in (0, 1)]
 
 
 def row_key() -> Column:

@@ -462,6 +462,23 @@ def test_all_trusted_documents_are_counted_and_set_thresholds(spark, monkeypatch
     assert all(np.isclose(got[i], want[i], rtol=2e-6, atol=1e-3) for i in want)
 
 
+@pytest.mark.parametrize("sizes", [(1_000_000, 3, 2000, 900, 1500), (60, 5, 1500, 400, 700), (20, 3, 2000, 900, 700)])
+def test_costs_dont_depend_on_shards_parts_and_hot_words(spark, monkeypatch, sizes):
+    for name, n in zip(("HOT", "PARTS", "PART", "SHARD", "GROUP"), sizes, strict=True):
+        monkeypatch.setattr(kneser_ney, name, n)
+    docs = lm_documents(spark).where("doc_id is not null and doc_id <> 1")
+    scores, _ = kneser_ney.cross_scored(docs, spark.createDataFrame([(i, 1) for i in range(40)], "doc_id long, quality int"))
+    texts = {r["doc_id"]: r["text"] or "" for r in docs.collect()}
+    place = {r[0]: r[1] for r in docs.selectExpr("doc_id", f"pmod(xxhash64(doc_id, 'train'), {kneser_ney.PLACES})").collect()}
+    half = {i: int(place[i] >= kneser_ney.PLACES // 2) for i in texts if i < 40}
+    by = [brute_kneser_ney([texts[i] for i in half if half[i] == j]) for j in (0, 1)]
+    got = {r["doc_id"]: r["cost"] for r in scores.collect()}
+    assert got.keys() == texts.keys()
+    for i, t in texts.items():
+        want = by[1 - half[i]](t) if i in half else (by[0](t) + by[1](t)) / 2
+        assert np.isclose(got[i], want, rtol=2e-6, atol=1e-3)
+
+
 def test_classifier_counts_all_trusted_documents_of_a_large_language(spark):
     docs = spark.range(3000).selectExpr("id as doc_id", "concat('word ', id % 7) as text", "'en' as lang")
     _, held = kneser_ney.cross_scored(docs, docs.selectExpr("doc_id", "1 as quality"))

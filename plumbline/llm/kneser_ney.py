@@ -2,17 +2,16 @@
 
 Training counts the trigrams of all documents that labels call good, in two halves by hash of doc_id, each a model of
 its own. A trusted document's cost is that by the half which doesn't hold it, so all of them set the thresholds;
-other documents' cost is the mean of both. Both halves' weights lie in one table and meet a text in one join. (Callers
-who name a `share` or a number up to which it is half, `least`, get one model of that part of each language's trusted
-documents; the others set the thresholds.) Counts, continuation counts, contexts and probabilities are tables sharded by n-gram and
-joined by n-gram; their hot n-grams (frequent words and contexts) leave the shuffled joins.
-
-The log probability of a text then is a sum of one weight for each of its n-grams of one to three words: an n-gram
-of the table corrects what its lower orders and contexts have added, one that isn't there adds nothing. So a
-document's perplexity is one join of its n-grams to the table of weights and a sum by document. Two tables of fixed
-size save join rows, fewer the larger the model: a bit filter of the n-grams that are in the table, and for
-each of 2^22 slots the weight of its most counted n-gram. Neither changes a result. All n-grams that pass the
-filter and aren't in a slot go through the join.
+other documents' cost is the mean of both. (Callers who name a `share` or a number up to which it is half, `least`, get
+one model of that part of each language's trusted documents; the others set the thresholds.)
+
+Texts are stored once as blocks of word codes. All trigrams, of trusted texts and of those to be judged, then meet in
+shards by their middle word, where the counts of trigrams, of contexts, and of words before a bigram are whole. A middle
+word with very many places (`HOT`) is dealt by contexts instead, and such a context by trigrams; what goes beyond a shard
+then (bigrams of hot words, totals of both) is summed in groups of its own and told to the shards that need it, as is,
+for every word of a shard, the number of its contexts. So a trigram's probability is known in its shard, and a
+document's perplexity is a sum over shards. Shards are worked off in up to `PARTS` parts, one after the other, which
+bounds what lies in shuffles at once; results don't depend on their number.
 
 N-grams are 64-bit hashes of words, which hold the word's shape: an unseen word costs by the share that its
 shape has among words seen once. Languages with fewer than `MODEL_DOCS` trusted documents share a model of these and
@@ -67,7 +66,9 @@ NOWHERE = 0xFFFF
 #: Sizes of tables that scoring had before; nothing reads them now, but callers may set them.
 FILTER_BITS, SLOT_BITS = 26, 22
 #: Megabytes of text that a worker gets at once.
-BATCH = 4
+BATCH = 8
+#: Turns in which texts meet labels and words are counted; trusted documents from which texts take turns.
+TURNS, MANY = 4, 10_000
 #: Places of a language's documents by hash.
 PLACES = 1 << 20
 #: Spellings that a worker remembers.
@@ -179,12 +180,25 @@ _BLOCK = "block long, doc_id array<long>, row_key array<long>, lang array<string
 _READ = ["block", "half", "scored", "n", "words", "owners", "codes"]
 
 
-def _emit_blocks(seeds: dict[int, int], call: str):
+def _planes(codes: np.ndarray, words: int) -> bytes:
+    """The codes' lowest bytes, then their second ones and so on, which compresses better."""
+    return np.ascontiguousarray(codes.astype("<u4").view(np.uint8).reshape(-1, 4).T[: 3 if words <= 1 << 24 else 4]).tobytes()
+
+
+def _from_planes(data: bytes, words: int) -> np.ndarray:
+    planes = np.frombuffer(data, np.uint8).reshape(3 if words <= 1 << 24 else 4, -1)
+    codes = planes[0].astype(np.uint32)
+    for i, plane in enumerate(planes[1:], 1):
+        codes |= plane.astype(np.uint32) << np.uint32(8 * i)
+    return codes
+
+
+def _emit_blocks(seeds: dict[int, int], call: str, turn: int):
     """A row for each batch of texts: its distinct words (keys, and the models they belong to) and, for all places in a row, their codes."""
 
     @common.tidy
     def run(batches):
-        ngrams, number = common.worker_state(call, Ngrams), TaskContext.get().partitionId() << 32
+        ngrams, number = common.worker_state(call, Ngrams), turn << 56 | TaskContext.get().partitionId() << 32
         for batch in batches:
             if not len(batch):
                 continue
@@ -192,11 +206,14 @@ def _emit_blocks(seeds: dict[int, int], call: str):
             n, at, k1 = ngrams(batch.column("text"), np.array([seeds[int(m)] for m in model], np.uint64))
             coded = pa.array(k1).dictionary_encode()
             words, codes = coded.dictionary.to_numpy(), coded.indices.to_numpy()
+            often = np.argsort(-np.bincount(codes, minlength=len(words)), kind="stable")  # frequent words have small codes
+            place = np.empty(len(words), np.int32)
+            place[often] = np.arange(len(words), dtype=np.int32)
+            words, codes = words[often], place[codes]
             owners = np.zeros(len(words), np.int32)
             owners[codes] = model[at]
             lists = [pa.array([batch.column(c).to_pylist()], pa.list_(t)) for c, t in (("doc_id", pa.int64()), ("row_key", pa.int64()), ("lang", pa.string()), ("model", pa.int32()), ("half", pa.int32()), ("scored", pa.bool_()))]
-            codes = codes.astype(np.uint16 if len(words) <= 1 << 16 else np.uint32)
-            yield pa.RecordBatch.from_arrays([pa.array([number]), *lists, pa.array([n], pa.list_(pa.int64())), pa.array([len(codes)], pa.int64()), *(pa.array([x.tobytes()], pa.binary()) for x in (words, owners, codes))], [x.split()[0] for x in _BLOCK.split(", ")])
+            yield pa.RecordBatch.from_arrays([pa.array([number]), *lists, pa.array([n], pa.list_(pa.int64())), pa.array([len(codes)], pa.int64()), *(pa.array([x], pa.binary()) for x in (words.tobytes(), owners.tobytes(), _planes(codes, len(words))))], [x.split()[0] for x in _BLOCK.split(", ")])
             number += 1
 
     return run
@@ -212,7 +229,7 @@ class _Block:
 
     def __init__(self, row: dict, hot: tuple[np.ndarray, np.ndarray]):
         self.words, self.owners = np.frombuffer(row["words"], np.uint64), np.frombuffer(row["owners"], np.int32)
-        self.codes = np.frombuffer(row["codes"], np.uint32 if len(self.words) > 1 << 16 else np.uint16)
+        self.codes = _from_planes(row["codes"], len(self.words))
         n = np.array(row["n"], np.int64) + 3
         self.ends = np.cumsum(n)
         self.edges = np.r_[self.ends - n, self.ends - 1]
@@ -484,14 +501,16 @@ def _taken(d: np.ndarray, of: np.ndarray) -> np.ndarray:
     return d[..., 1] * of[..., 1] + d[..., 2] * of[..., 2] + d[..., 3] * of[..., 3:].sum(-1)
 
 
-def _costs(texts: DataFrame, models: dict[str, int]) -> tuple[DataFrame, list[set[int]]]:
+def _costs(texts: DataFrame, models: dict[str, int], large: bool) -> tuple[DataFrame, list[set[int]]]:
     """Of texts (doc_id, row_key, lang, text, model, half, scored) a stored table of those to be scored, with n_tokens and a cost by each half; and the models that each half has.
 
-    Texts are stored as words once. Trigrams then are counted, and scored, a part of all shards at a time, so that only a part is in shuffles at once.
+    Texts are stored as words once, many of them in turns, since they meet their labels in a shuffle. Trigrams then are counted, and scored, a part of all shards at a time, so that only a part is in shuffles at once.
     """
     spark, mark = texts.sparkSession, common.mark()
     seeds, size = {i: seed_of(x) for x, i in models.items()}, max(models.values()) + 1
-    blocks = common.stored(texts.mapInArrow(_emit_blocks(seeds, uuid.uuid4().hex), _BLOCK), "kn-blocks")
+    call, turns, turn = uuid.uuid4().hex, TURNS if large else 1, F.pmod(F.xxhash64("doc_id", F.lit("turn")), F.lit(TURNS))
+    blocks = [common.stored((texts.where(turn == i) if large else texts).mapInArrow(_emit_blocks(seeds, call, i), _BLOCK), "kn-blocks") for i in range(turns)]
+    blocks = functools.reduce(DataFrame.unionByName, blocks)
     found = blocks.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum("places"), F.lit(0)).alias("places")).first()
     hot = _hot(blocks, found["places"], max(1, found["n"]))
     parts = min(PARTS, -(-found["places"] // PART) or 1)
@@ -508,7 +527,8 @@ def _costs(texts: DataFrame, models: dict[str, int]) -> tuple[DataFrame, list[se
     if len(hot[0]):
         told.append(common.stored(asks.where(kind == PAIRS).groupBy("to").applyInArrow(_count_pairs(groups), _TOLD_ROW), "kn-pairs"))
         own = own.unionByName(told[0].where((kind == WORDS) & (F.col("shard") < 0)))
-    told.append(common.stored(own.groupBy("to").applyInArrow(_count_words, _TOLD_ROW), "kn-words"))
+    turns = min(TURNS, groups)
+    told += [common.stored(own.where(F.col("to") % turns == i).groupBy("to").applyInArrow(_count_words, _TOLD_ROW), "kn-words") for i in range(turns)]
     counts = functools.reduce(DataFrame.unionByName, [asks, *told]).where(kind >= OF3).mapInArrow(_apart, "kind int, model long, x long, y long, c0 long, c1 long")
     counts = counts.groupBy("kind", "model", "x", "y").agg(F.sum("c0").alias("c0"), F.sum("c1").alias("c1"))
 
@@ -595,7 +615,7 @@ def scored(docs: DataFrame, labels: DataFrame, *, share: float = SHARE, least: i
     shared = None
     if langs and own.where(~F.col("lang").isin(langs)).limit(1).count():  # some documents need the shared model
         shared = chosen.where("shared and model > 0").select("doc_id", "lang", "half")
-    scores, _ = _costs(_texts(own, chosen.select("doc_id", "lang", "half"), langs, models, shared), models)
+    scores, _ = _costs(_texts(own, chosen.select("doc_id", "lang", "half"), langs, models, shared), models, sum(sizes.values()) >= MANY)
     held = common.stored(trusted.select("doc_id").join(chosen.select("doc_id").distinct(), "doc_id", "left_anti").distinct(), "held-out")
     common.drop_since(spark, mark, scores, held)
     return scores.select("doc_id", "row_key", "lang", "n_tokens", F.col("cost0").alias("cost")), held
@@ -610,7 +630,7 @@ def cross_scored(docs: DataFrame, labels: DataFrame) -> tuple[DataFrame, DataFra
     counted, shared = halved.select("doc_id", "lang", "half"), None
     if langs and own.where(~F.col("lang").isin(langs)).limit(1).count():  # some documents need the shared model
         shared = halved.where("model > 0").select("doc_id", "lang", "half")
-    costs, (first, second) = _costs(_texts(own, counted, langs, models, shared), models)
+    costs, (first, second) = _costs(_texts(own, counted, langs, models, shared), models, sum(sizes.values()) >= MANY)
     there = [F.col("model").isin(sorted(x)) if x else F.lit(False) for x in (first, second)]
     other = (F.col("half") == 0) & there[1] | (F.col("half") == 1) & there[0]
     cost = F.when(other, F.when(F.col("half") == 0, F.col("cost1")).otherwise(F.col("cost0")))

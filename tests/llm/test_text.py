@@ -466,6 +466,7 @@ def test_all_trusted_documents_are_counted_and_set_thresholds(spark, monkeypatch
 def test_costs_dont_depend_on_shards_parts_and_hot_words(spark, monkeypatch, sizes):
     for name, n in zip(("HOT", "PARTS", "PART", "SHARD", "GROUP"), sizes, strict=True):
         monkeypatch.setattr(kneser_ney, name, n)
+    monkeypatch.setattr(kneser_ney, "MANY", sizes[0])  # texts in turns or at once
     docs = lm_documents(spark).where("doc_id is not null and doc_id <> 1")
     scores, _ = kneser_ney.cross_scored(docs, spark.createDataFrame([(i, 1) for i in range(40)], "doc_id long, quality int"))
     texts = {r["doc_id"]: r["text"] or "" for r in docs.collect()}

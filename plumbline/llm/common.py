@@ -154,6 +154,16 @@ def arrow_batches(spark: SparkSession, megabytes: int = 8) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(megabytes << 20))
 
 
+def give_back() -> None:
+    """Gives memory that is free in this process back to the system."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (OSError, AttributeError):  # not glibc
+        pass
+
+
 def tidy(run: Callable) -> Callable:
     """A function over Arrow batches that gives its memory back to the system when its task ends: workers are reused, and idle ones count.
 
@@ -167,12 +177,7 @@ def tidy(run: Callable) -> Callable:
             yield from run(batches)
         finally:
             gc.enable()
-        gc.collect()
-        pa.default_memory_pool().release_unused()
-        try:
-            ctypes.CDLL(None).malloc_trim(0)
-        except (OSError, AttributeError):  # not glibc
-            pass
+        give_back()
 
     return tidied
 

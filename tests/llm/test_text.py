@@ -110,6 +110,37 @@ def test_pieces(spark):
     assert piece_lattice.encode(df.limit(0), model).count() == 0
 
 
+@pytest.mark.parametrize(("buckets", "part"), [(64, 0.9), (4, 0.0)])
+def test_more_pieces_than_a_broadcast_holds_take_turns(spark, monkeypatch, buckets, part):
+    """Texts are encoded in turns and have no row for each of their parts; these are listed only if a bucket alone holds too many, a turn at a time."""
+    from sentencepiece import SentencePieceProcessor
+
+    model = P.path("piece_bpe_32k.model")
+    sp, labels, store = SentencePieceProcessor(model_file=model), [], common.stored
+    df = spark.read.parquet(f"{DATA}/documents.parquet").limit(60).select("doc_id", "text").union(odd_table(spark).selectExpr("doc_id + 10000", "text"))
+    texts = {r["doc_id"]: r["text"] or "" for r in df.collect()}
+    pieces = piece_lattice.pieces_of(model)
+    most = max(1, int(part * len({p for t in texts.values() for w in piece_lattice.words_of([t]).flatten().to_pylist() if w for p in pieces.parts(w)})))
+    monkeypatch.setattr(piece_lattice, "BUCKETS", buckets, raising=False)
+    monkeypatch.setattr(common, "stored", lambda df, label: labels.append(label) or store(df, label))
+    encoded = piece_lattice.encode(df, model, back=True, broadcast=most)
+    assert labels == ["segmentations"] + ["listed", "encoded"] * (0 if part else buckets)
+    got = encoded.collect()
+    assert len(got) == df.count()
+    for r in got:
+        assert np.frombuffer(r["ids"], "<u4").tolist() == sp.encode(texts[r["doc_id"]])
+        assert r["decoded"] == texts[r["doc_id"]].replace("▁", " ")
+
+
+def test_turns_take_as_many_buckets_as_fit(spark):
+    rows = [(1 << b if b < 63 else -(1 << 63),) for b in range(64)]
+    masks = spark.createDataFrame(rows, "buckets long").localCheckpoint()
+    assert [piece_lattice.turns(masks, n) for n in (64, 63, 32, 16, 1, 0)] == [(1, True), (2, True), (2, True), (4, True), (64, True), (1, False)]
+    assert piece_lattice.turns(masks.union(masks), 1) == (64, False)
+    everywhere = spark.createDataFrame([(-1,), (3,)], "buckets long")  # two parts in the first bucket alone
+    assert piece_lattice.turns(everywhere, 1) == (64, False)
+
+
 def proto(*fields):
     """A serialised message of (field, value): whole numbers, floats, and bytes or text."""
 
